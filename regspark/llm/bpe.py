@@ -118,7 +118,7 @@ class WordBpe:
         self.spelled = Lookup(np.array(keys), np.fromiter(self.ids.values(), np.int32))
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.beyond = re.compile(r"[^\x00-\u024f]")
+        self.beyond = re.compile(r"[^\x00-\u012f\u0131-\u017f]")
         latin = [chr(c) for c in range(0x180)]
         letter, digit = ("".join(c for c in latin if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
         self.latin_cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\t-\r \x85\xa0{letter}{digit}]+")
