@@ -7,9 +7,9 @@ SQL. Nothing outside this subpackage imports it.
 
 def registry():
     """``(name, query, sql or None)`` of every operator."""
-    from regspark.llm import bpe, decontaminate, shard
+    from regspark.llm import bpe, decontaminate, line_dedup, shard
 
-    modules = (bpe, shard, decontaminate)
+    modules = (bpe, shard, line_dedup, decontaminate)
     return [(m.NAME, m.query, m.ORACLE_SQL) for m in modules]
 
 
