@@ -7,9 +7,9 @@ SQL. Nothing outside this subpackage imports it.
 
 def registry():
     """``(name, query, sql or None)`` of every operator."""
-    from regspark.llm import bpe, chat_format, decontaminate, langid, line_dedup, shard
+    from regspark.llm import bpe, chat_format, decontaminate, langid, line_dedup, near_dedup, shard
 
-    modules = (bpe, chat_format, shard, line_dedup, decontaminate, langid)
+    modules = (bpe, chat_format, shard, line_dedup, decontaminate, langid, near_dedup)
     return [(m.NAME, m.query, m.ORACLE_SQL) for m in modules]
 
 
