@@ -7,9 +7,20 @@ SQL. Nothing outside this subpackage imports it.
 
 def registry():
     """``(name, query, sql or None)`` of every operator."""
-    from regspark.llm import bpe, chat_format, decontaminate, langid, line_dedup, near_dedup, shard, topk, toxicity
-
-    modules = (bpe, chat_format, shard, line_dedup, decontaminate, langid, topk, toxicity, near_dedup)
+    from regspark.llm import (
+        bpe,
+        chat_format,
+        decontaminate,
+        langid,
+        line_dedup,
+        lm_score,
+        near_dedup,
+        shard,
+        topk,
+        toxicity,
+    )
+
+    modules = (bpe, chat_format, shard, line_dedup, lm_score, decontaminate, langid, topk, toxicity, near_dedup)
     return [(m.NAME, m.query, m.ORACLE_SQL) for m in modules]
 
 
