@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from regspark.llm.common import lower_ascii, require, table
 
 NAME = "op6_benchmark_decontamination"
-WINDOW = 10
+WINDOW, BLOCK = 10, 256
 #: Items whose words are broadcast at most; beyond, words and items are joined by shuffling.
 BROADCAST_WORDS = 200_000
 
@@ -27,46 +27,69 @@ def words(text):
 
 
 def anchors(docs: DataFrame, items: DataFrame, window: int, small: bool) -> DataFrame:
-    """(anchor, item_id, item, at, need): for each window of an item the place of its rarest word, once for
-    each place."""
+    """(anchor, item_id, pre, post, need): for each window of an item its rarest word, once for each place,
+    with the item's words before and after it that a window can hold."""
     hint = F.broadcast if small else (lambda df: df)
     vocabulary = items.select(F.explode("item").alias("word")).distinct()
     counts = docs.select(F.explode("w").alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    placed = items.select("item_id", F.posexplode("item").alias("at", "word")).join(hint(counts), "word", "left")
-    ranked = placed.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("places"))
+    placed = items.select("item_id", "item", F.posexplode("item").alias("at", "word")).join(hint(counts), "word", "left")
+    ranked = placed.groupBy("item_id", "item").agg(F.sort_array(F.collect_list(F.struct("at", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("places"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("places") - window + 1, F.lit(1)))
     rarest = F.transform(starts, lambda s: F.array_min(F.transform(F.slice("places", s, window), lambda p: F.struct(p.n.alias("n"), p["at"].alias("at"), p.word.alias("word")))))
-    return (
-        ranked.select("item_id", F.col("places.word").alias("item"), F.explode(F.array_distinct(rarest)).alias("r"))
-        .select(F.col("r.word").alias("anchor"), "item_id", "item", F.col("r.at").alias("at"), F.least(F.lit(window), F.size("item")).alias("need"))
+    at = F.col("r.at")
+    lead = F.least(at, F.lit(window - 1))
+    return ranked.select("item_id", "item", F.explode(F.array_distinct(rarest)).alias("r")).select(
+        F.col("r.word").alias("anchor"),
+        "item_id",
+        F.slice("item", at - lead + 1, lead).alias("pre"),
+        F.slice("item", at + 2, window - 1).alias("post"),
+        F.least(F.lit(window), F.size("item")).alias("need"),
     )
 
 
+def blocks(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, digest, b): a document's words in blocks b.words from place b.first on, the first b.lead of
+    which, and all beyond BLOCK more, are there as neighbours only. What is joined carries a block, never a
+    whole text."""
+    near = window - 1
+    firsts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
+
+    def block(s):
+        lead = F.least(s, F.lit(near))
+        return F.struct(s.alias("first"), lead.alias("lead"), F.slice("w", s - lead + 1, lead + BLOCK + near).alias("words"))
+
+    return docs.select("doc_id", "digest", F.explode(F.transform(firsts, block)).alias("b"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, digest, start, stop, item_id): each run of words (0-based, stop excluded) of a document that
-    is made of an item's windows. Equal documents (same id and text) share their runs."""
+    """(doc_id, digest, start, stop, item_id): runs of words (0-based, stop excluded) of a document that are
+    made of an item's windows. Equal documents (same id and text) share their runs."""
     items = require(benchmark, "item_id", "text").select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
     small = items.agg(F.sum(F.size("item"))).first()[0]
     small = small is None or small <= broadcast_words
     cut = require(docs, "doc_id", "text").select("doc_id", digest(F.col("text")), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     marks = anchors(cut, items, window, small)
+    parts = blocks(cut, window)
+    placed = parts.select("doc_id", "digest", "b", F.posexplode("b.words").alias("q", "word")).filter((F.col("q") >= F.col("b.lead")) & (F.col("q") < F.col("b.lead") + BLOCK))
     if small:
-        found = cut.select("doc_id", "digest", "w", F.posexplode("w").alias("p", "word")).join(F.broadcast(marks), F.col("word") == F.col("anchor"))
-    else:  # rows without the document's words are shuffled, and only documents with candidates meet them again
-        placed = cut.select("doc_id", "digest", F.posexplode("w").alias("p", "word")).join(marks, F.col("word") == F.col("anchor"))
-        found = placed.join(cut.dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "d").withColumnRenamed("digest", "g"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
-    n = F.size("item")
-    left, right = F.least("p", "at"), F.least(F.size("w") - F.col("p"), n - F.col("at"))
-    found = found.filter(left + right >= F.col("need"))
+        found = placed.join(F.broadcast(marks), F.col("word") == F.col("anchor"))
+    else:  # places without words are shuffled; only those with an anchor meet their block again
+        placed = placed.select("doc_id", "digest", F.col("b.first").alias("first"), "q", "word")
+        again = parts.dropDuplicates(["doc_id", "digest", "b"]).select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "b")
+        found = placed.join(marks, F.col("word") == F.col("anchor")).join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")) & (F.col("first") == F.col("b.first")))
+    left = F.least(F.col("q"), F.size("pre"))
+    right = F.least(F.size("b.words") - F.col("q") - 1, F.size("post"))
+    found = found.filter(left + right + 1 >= F.col("need"))
     same = lambda a, b: a == b
-    before = F.zip_with(F.slice("w", F.col("p") - left + 1, left), F.slice("item", F.col("at") - left + 1, left), same)
-    after = F.zip_with(F.slice("w", F.col("p") + 1, right), F.slice("item", F.col("at") + 1, right), same)
+    before = F.zip_with(F.slice("b.words", F.col("q") - left + 1, left), F.slice("pre", F.size("pre") - left + 1, left), same)
+    after = F.zip_with(F.slice("b.words", F.col("q") + 2, right), F.slice("post", 1, right), same)
     back = F.array_position(F.reverse(before), F.lit(False))
     ahead = F.array_position(after, F.lit(False))
+    p = F.col("b.first") - F.col("b.lead") + F.col("q")
     found = found.select(
-        "doc_id", "digest", "item_id", "need", "p",
+        "doc_id", "digest", "item_id", "need", p.alias("p"),
         F.when(back == 0, left).otherwise(back - 1).alias("back"),
-        F.when(ahead == 0, right).otherwise(ahead - 1).alias("ahead"),
+        (F.when(ahead == 0, right).otherwise(ahead - 1) + 1).alias("ahead"),
     ).filter(F.col("back") + F.col("ahead") >= F.col("need"))
     return found.select("doc_id", "digest", (F.col("p") - F.col("back")).cast("int").alias("start"), (F.col("p") + F.col("ahead")).cast("int").alias("stop"), "item_id").distinct()
 
