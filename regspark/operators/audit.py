@@ -106,11 +106,12 @@ def with_means(df: DataFrame) -> DataFrame:
 
 def evaluate(results: DataFrame) -> DataFrame:
     """(part, name, value): totals, means of the axes and of each pattern (AUD-7); one scan, one shuffle."""
+    row = lambda part, name, x: F.struct(F.lit(part).alias("part"), name.alias("name"), x.cast("double").alias("x"))
     rows = F.array(
-        F.struct(F.lit("total").alias("part"), F.lit("rows").alias("name"), F.lit(1.0).alias("x")),
-        F.struct(F.lit("total"), F.lit("valid"), F.col("overall").isNotNull().cast("double")),
-        *[F.struct(F.lit("axis"), F.lit(a), F.col(a).cast("double")) for a in (*AXES, "primary_score", "overall")],
-        F.struct(F.lit("pattern"), F.col("pattern"), F.col("overall").cast("double")),
+        row("total", F.lit("rows"), F.lit(1)),
+        row("total", F.lit("valid"), F.col("overall").isNotNull()),
+        *[row("axis", F.lit(a), F.col(a)) for a in (*AXES, "primary_score", "overall")],
+        row("pattern", F.col("pattern"), F.col("overall")),
     )
     long = results.select(F.inline(rows))
     return long.groupBy("part", "name").agg(F.when(F.col("part") == "total", F.sum("x")).otherwise(F.avg("x")).alias("value"))

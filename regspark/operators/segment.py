@@ -138,9 +138,11 @@ def is_low_value(text):
 
 
 def cells_to_grid(cells: DataFrame) -> DataFrame:
-    """(table_id, grid): dense rows of cells (table_id, row, col, words), 1-based, gaps empty (SEG-11)."""
+    """(table_id, grid): dense rows of cells (table_id, row, col, words), 1-based, gaps empty (SEG-11). Of a
+    cell given twice the larger text counts."""
+    cells = cells.groupBy("table_id", "row", "col").agg(F.max(F.array_join("words", " ")).alias("said"))
     width = cells.groupBy("table_id").agg(F.max("col").alias("width"), F.max("row").alias("height"))
-    filled = cells.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), F.array_join("words", " ")))).alias("m")).join(width, "table_id")
+    filled = cells.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), "said"))).alias("m")).join(width, "table_id")
     grid = F.transform(F.sequence(F.lit(1), F.col("height")), lambda r: F.transform(F.sequence(F.lit(1), F.col("width")), lambda c: F.coalesce(F.try_element_at("m", F.struct(r.alias("row"), c.alias("col"))), F.lit(""))))
     return filled.select("table_id", grid.alias("grid"))
 

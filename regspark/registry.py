@@ -1,4 +1,5 @@
 """Queries of the library's own operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from regspark.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
