@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm.common import bounded_batches, require, table
+from regspark.llm.common import bounded_batches, free_name, require, table
 
 NAME = "op7_language_id"
 ORACLE_SQL = None  # a trained model: tests measure held-out accuracy
@@ -143,8 +143,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "lang_score": scores, "lang_accepted": accepted})
 
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score", "lang_accepted")]
-    out = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep], run(F.col(f"`{text}`")).alias("lang_found"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "lang_found.*")
+    found = free_name(docs, "lang_found")
+    out = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep], run(F.col(f"`{text}`")).alias(found))
+    return out.select(*[F.col(f"`{c}`") for c in keep], f"{found}.*")
 
 
 def held_out(doc_id):
