@@ -188,7 +188,7 @@ def clean_html_selected(pages: DataFrame, tags: tuple = ("main", "article", "sec
 
 def strip_md_tables(text):
     """Markdown tables as plain rows (SEG-15)."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"))
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"))
     cells = lambda x: F.array_join(F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), "  |  ")
     return F.array_join(F.transform(lines, lambda x: F.when(F.trim(x).startswith("|"), cells(x)).otherwise(x)), "\n")
 
