@@ -322,7 +322,7 @@ def page_keys(spark, d):
 
 
 @register("page_batches", f"""
-WITH {_PAGES} SELECT doc_id, CAST((page_number - 1) // 3 AS INTEGER) AS batch, count(*) AS n, sum(length(text)) AS chars FROM p GROUP BY 1, 2""")
+WITH {_PAGES} SELECT doc_id, CAST((page_number - 1) // 3 AS INTEGER) AS batch, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM p GROUP BY 1, 2""")
 def page_batches(spark, d):
     out = segment.page_batches(v_pages(spark, d))
     chars = F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + F.char_length(p.text))
@@ -411,12 +411,12 @@ def apply_diff(spark, d):
     return links.apply_diff(old.select(cols), new.select(cols), links.diff_manifests(new, old))
 
 
-@register("manifest_build", "SELECT lang AS state, source AS agency_type, count(*) AS documents, sum(octet_length(encode(text))) AS bytes, count(DISTINCT sha256(text)) AS distinct_files FROM documents GROUP BY ROLLUP (lang, source)")
+@register("manifest_build", "SELECT lang AS state, source AS agency_type, count(*) AS documents, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(DISTINCT sha256(text)) AS distinct_files FROM documents GROUP BY ROLLUP (lang, source)")
 def manifest_build(spark, d):
     return links.build_manifest(v_documents(spark, d).select("state", "agency_type", F.col("text").alias("content")))
 
 
-@register("crawl_summary", "SELECT lang AS source_type, count(*) AS targets, sum(n) AS documents, sum(b) AS bytes FROM (SELECT lang, source, count(*) AS n, sum(n_chars) AS b FROM documents GROUP BY 1, 2) GROUP BY 1")
+@register("crawl_summary", "SELECT lang AS source_type, count(*) AS targets, CAST(sum(n) AS BIGINT) AS documents, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT lang, source, count(*) AS n, sum(n_chars) AS b FROM documents GROUP BY 1, 2) GROUP BY 1")
 def crawl_summary(spark, d):
     by = t(spark, d, "documents").groupBy(F.col("lang").alias("source_type"), "source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("bytes"))
     return links.crawl_summary(by)
@@ -555,7 +555,7 @@ def pattern_distribution(spark, d):
     return audit.pattern_distribution(docs, docs.distinct().withColumn("target", F.lit(60)))
 
 
-@register("history", "SELECT conv_id, turn, count(*) OVER w AS n, coalesce(sum(length(text)) OVER w, 0) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@register("history", "SELECT conv_id, turn, count(*) OVER w AS n, CAST(coalesce(sum(length(text)) OVER w, 0) AS BIGINT) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def history(spark, d):
     h = audit.history(t(spark, d, "conversations"))
     chars = F.aggregate("history", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + F.char_length(x.text)).cast("decimal(38,0)"))
@@ -593,7 +593,7 @@ def crawl_windows(spark, d):
     return incremental.crawl_windows(t(spark, d, "events").select("ts", F.col("event_type").alias("state")), by=("state",))
 
 
-@register("estimate_cost", "SELECT count(*) AS documents, sum(n_chars) AS bytes, round(count(*) * 20 * 0.9 / 3 * 0.012 + floor(count(*) * 20 * 0.05) * 0.0015 + floor(count(*) * 20 * 0.25) * 0.015 + count(*) * 20 * 0.0001, 4) AS cost FROM documents")
+@register("estimate_cost", "SELECT count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS bytes, round(CAST(count(*) AS DOUBLE) * 20 * 0.9 / 3 * 0.012 + floor(count(*) * 20 * 0.05) * 0.0015 + floor(count(*) * 20 * 0.25) * 0.015 + count(*) * 20 * 0.0001, 4) AS cost FROM documents")
 def estimate_cost(spark, d):
     return clean.estimate_cost(t(spark, d, "documents").select(F.col("n_chars").alias("size"))).select("documents", "bytes", F.round("cost", 4).alias("cost"))
 
