@@ -30,8 +30,8 @@ ORACLE_SQL = None  # pairs over all texts are too slow for SQL: tests compare wi
 WORDS, SIMILARITY = 5, 0.8
 #: 26 bands of 5 rows: of links at a similarity of exactly 0.8 all but 3 in 100,000 meet in a band.
 BANDS, ROWS = 26, 5
-#: Nodes of a bucket that become hubs in one round after the first.
-HUBS = 32
+#: Nodes of a bucket that become hubs in the second round, and how many times as many in each further one.
+HUBS, MORE = 32, 8
 #: Ids that are broadcast at most, to pick the rows that are verified.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
@@ -143,42 +143,68 @@ def bands(sign: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
+#: Bytes of text that are hashed at once; a longer text is alone.
+PIECE = 1 << 21
+
+
+def pieces(texts: list[str | None]):
+    """Ranges of texts of about PIECE bytes."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > PIECE or i - start >= 256:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def text_digest(docs: DataFrame):
+    return F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(node, doc, n, bands, shingles): a text's digest, the document, its shingles' number, its band hashes
-    (none for a text without words) and sorted 32-bit shingle hashes."""
-    rows = docs.select(F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("node"), docs["doc_id"].cast("long").alias("doc"), docs["text"].alias("text"))
+    """(digest, doc, bands): a text's digest, the document, and its band hashes (none for a text without
+    words)."""
+    rows = docs.select(text_digest(docs).alias("digest"), docs["doc_id"].cast("long").alias("doc"), docs["text"].alias("text"))
 
     def run(batches):
         for b in batches:
-            for start in range(0, len(b), 256):
-                part = b.slice(start, 256)
-                texts = part.column(2).to_pylist()
+            all_texts = b.column(2).to_pylist()
+            for start, stop in pieces(all_texts):
+                texts = all_texts[start:stop]
                 h, owner = shingles(texts)
-                order = np.argsort(owner, kind="stable")
-                cut = np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]
-                own = [np.unique((x >> _U(32)).astype(np.uint32)) for x in np.split(h[order], cut)]
+                some = np.bincount(owner, minlength=len(texts)) > 0
                 found = bands(dart_minhash(h, owner, len(texts), BANDS * ROWS))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) for x in own], pa.int32()), pa.array([f if len(x) else [] for f, x in zip(found, own, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in own], pa.binary())],
-                    ["node", "doc", "n", "bands", "shingles"],
-                )
+                lists = pa.array([f if ok else [] for f, ok in zip(found, some, strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), b.column(1).slice(start, stop - start), lists], ["digest", "doc", "bands"])
 
-    return bounded_batches(rows).mapInArrow(run, "node binary, doc long, n int, bands array<long>, shingles binary")
+    return bounded_batches(rows).mapInArrow(run, "digest binary, doc long, bands array<long>")
 
 
-def one_per_node(sketched: DataFrame, *columns: str) -> DataFrame:
-    """One row per node; the rows of a node are alike, so any will do."""
-    first = sketched.groupBy("node").agg(F.min(F.struct("doc", "place")).alias("f")).select(F.col("f.place").alias("place"))
-    return sketched.join(first, "place", "left_semi").select("node", *columns)
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, shingles): sorted 32-bit hashes of the shingles of the wanted texts (node, digest, doc), each
+    once. Shingles are made again for texts that share a band with another, instead of being kept for all."""
+    few = wanted.count() <= BROADCAST_IDS
+    rows = docs.select(text_digest(docs).alias("digest"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("doc"), docs["text"].alias("text"))
+    rows = rows.join(F.broadcast(wanted) if few else wanted, ["digest", "doc"]).select("node", "text")
+
+    def run(batches):
+        for b in batches:
+            all_texts = b.column(1).to_pylist()
+            for start, stop in pieces(all_texts):
+                h, owner = shingles(all_texts[start:stop])
+                order = np.argsort(owner, kind="stable")
+                cut = np.cumsum(np.bincount(owner, minlength=stop - start))[:-1]
+                own = [np.unique((x >> _U(32)).astype(np.uint32)) for x in np.split(h[order], cut)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), pa.array([len(x) for x in own], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "n", "shingles"])
+
+    return bounded_batches(rows).mapInArrow(run, "node long, n int, shingles binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets' Jaccard similarity is reached."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = stored(ids, "near-ids")
-    few = ids.count() <= BROADCAST_IDS
-    needed = nodes.join(F.broadcast(ids) if few else ids, "node", "left_semi")
-
     @F.pandas_udf("boolean")
     def alike(a, b):
         import pandas as pd
@@ -191,9 +217,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
                 out[i] = both >= similarity * (len(x) + len(y) - both)
         return pd.Series(out)
 
-    left = needed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
-    right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
-    sizes = needed.select("node", "n")
+    left = nodes.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
+    right = nodes.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
+    sizes = nodes.select("node", "n")
     near = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
     near = near.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")  # by length
     return bounded_batches(near.join(left, "a").join(right, "b"), 512).filter(alike("sa", "sb")).select("a", "b")
@@ -218,57 +244,60 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, class_id, class_nodes): for each row of ``docs`` the smallest document id of its class
+    """(doc_id, digest, class_id, class_texts): for each row of ``docs`` the smallest document id of its class
     and the number of different texts in it. Equal texts are one class; null counts as an empty text; texts
     without words are alike only if equal; null ids sort after all others and give a null class only where
     a class has no other id."""
-    sketched = stored(sketches(require(docs, "doc_id", "text")).withColumn("place", F.monotonically_increasing_id()), "near-sketches")
-    nodes = stored(one_per_node(sketched, "n", "bands", "shingles"), "near-nodes")
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    docs = require(docs, "doc_id", "text")
+    sketched = stored(sketches(docs).withColumn("place", F.monotonically_increasing_id()), "near-sketches")
+    # a node is a text, named by the place of one row that holds it
+    texts = stored(sketched.groupBy("digest").agg(F.min(F.struct(F.coalesce("doc", F.lit(0)).alias("doc"), "place")).alias("f")).select("digest", "f.doc", F.col("f.place").alias("node")), "near-texts")
+    nodes = sketched.join(texts.select(F.col("node").alias("place")), "place", "left_semi")
+    spread = nodes.select(F.col("place").alias("node"), F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(spread.join(full, "bucket"), "near-buckets")
     weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
     rows = stored(rows.join(weight, "node"), "near-buckets")
-    hub = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    sets = stored(shingle_sets(docs, texts.join(weight.select("node"), "node", "left_semi")), "near-sets")
+    hubs = stored(rows.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub")), "near-hubs")
     pair = lambda df: df.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tried = hubs = stored(hub, "near-hubs")
-    pairs = pair(rows.join(hubs, "bucket"))
-    compared = stored(pairs, "near-pairs")
-    sets = nodes.select("node", "n", "shingles")
+    tried, compared = hubs, stored(pair(rows.join(hubs, "bucket")), "near-pairs")
     links = stored(verified(compared, sets, similarity), "near-found")
+    labels = components(links)
+    rows, many = rows.filter("size > 2"), HUBS  # a bucket of two is done
     while True:
-        labels = components(links)
         named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        left = stored(named.join(open_.select("bucket"), "bucket"), "near-open")
+        left = stored(named.join(open_.select("bucket"), "bucket"), "near-open")  # one class in a bucket stays one
         # outside the class of the bucket's first hub, and never a hub there
         chief = left.join(hubs, "bucket").filter("node = hub").select("bucket", F.col("label").alias("chief"))
         outside = left.join(chief, "bucket").filter("label <> chief").join(tried.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        next_hubs = stored(top(outside), "near-hubs")
-        pairs = left.join(next_hubs, "bucket").filter("label <> hub_label")
-        pairs = stored(pair(pairs).join(compared, ["a", "b"], "left_anti"), "near-pairs")
-        tried = tried.unionByName(next_hubs.select("bucket", "hub"))
+        next_hubs, many = stored(top(outside, many), "near-hubs"), many * MORE
+        if next_hubs.isEmpty():
+            break
+        pairs = stored(pair(left.join(next_hubs, "bucket").filter("label <> hub_label")).join(compared, ["a", "b"], "left_anti"), "near-pairs")
+        tried, rows = tried.unionByName(next_hubs.select("bucket", "hub")), left.drop("label")
         if pairs.isEmpty():
-            if next_hubs.isEmpty():
-                break
             continue
         compared = compared.unionByName(pairs)
         found = stored(verified(pairs, sets, similarity), "near-found")
-        links = links.unionByName(found)
-    labels = labels.withColumnRenamed("label", "l")
-    named = sketched.select("node", F.col("doc").alias("doc_id")).join(labels, "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l")
-    size = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count_distinct("node").alias("class_nodes"))
-    return named.join(size, "label").select("doc_id", "node", "class_id", "class_nodes")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+    of_text = texts.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    named = sketched.select("digest", F.col("doc").alias("doc_id")).join(of_text, "digest")
+    size = named.groupBy("label", "digest").agg(F.min("doc_id").alias("doc_id")).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))
+    return named.join(size, "label").select("doc_id", "digest", "class_id", "class_texts")
 
 
-def top(outside: DataFrame) -> DataFrame:
-    """The HUBS heaviest rows of each bucket, in pieces first, so that no task gets a whole large bucket."""
+def top(outside: DataFrame, many: int) -> DataFrame:
+    """The heaviest rows of each bucket, in pieces first, so that no task gets a whole large bucket."""
     from pyspark.sql import Window
 
     order = [F.desc("weight"), F.asc("node")]
     piece = outside.withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(64)))
-    piece = piece.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "piece").orderBy(*order))).filter(F.col("r") <= HUBS)
-    best = piece.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("r") <= HUBS)
+    piece = piece.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "piece").orderBy(*order))).filter(F.col("r") <= many)
+    best = piece.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("r") <= many)
     return best.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
 
 
@@ -276,11 +305,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold the smallest id of their class, with all their columns. Repeated rows
     of that document stay together; a class of null ids alone stays."""
     found = classes(docs, similarity)
-    gone = found.filter(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct()
-    node = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (node == gone["gone_node"]), "left_anti")
+    gone = found.filter(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_digest(docs) == gone["gone_digest"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_nodes")
+    return found.select("doc_id", "class_id", "class_texts")
