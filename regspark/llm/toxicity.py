@@ -26,6 +26,10 @@ THRESHOLD = 0.3
 BITS, HEADS = 18, (4, 5, 6)
 #: Labelled texts the character model is fitted on at most (a documented bound).
 MODEL_TEXTS = 3000
+#: Labelled rows a classifier is fitted on, about (a documented bound): ids and labels of these are broadcast.
+TRAIN_ROWS = 500_000
+#: Toxic texts that features are chosen on at most (a documented bound).
+COVER_TEXTS = 20_000
 #: Letters that a sign may stand for (fixed values of the channel).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l"}
 GAPS = ".-_*~^'`·,:;/\\#%&=()[]{}<>\"?"
@@ -166,7 +170,7 @@ def evidence(slots: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray)
     owner, w = owner[order], w[order]
     first = np.searchsorted(owner, owner)
     top = np.arange(len(owner)) - first < 3
-    return np.bincount(owner[top], weights=w[top], minlength=n)
+    return np.bincount(owner[top], weights=w[top], minlength=n).astype(np.float64)
 
 
 @dataclass
@@ -229,15 +233,55 @@ def fit(labelled: DataFrame) -> Model:
     counted = bounded_batches(rows).mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
     bound = odds - 1.8 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    weights = np.zeros(1 << BITS, np.float32)
-    for r in counted.select("slot", bound.alias("w")).filter((F.col("w") > 1.0) & (F.col("t") >= 4)).collect():  # 2^BITS rows at most
-        weights[r["slot"]] = r["w"]
+    clean_of, weights = np.zeros(1 << BITS), np.zeros(1 << BITS, np.float32)
+    for r in counted.select("slot", "c", bound.alias("w")).filter((F.col("w") > 1.0) & (F.col("t") >= 4)).collect():  # 2^BITS rows at most
+        weights[r["slot"]], clean_of[r["slot"]] = r["w"], r["c"]
+    weights = _cover(rows, chars, weights, clean_of, toxic, clean)
     raw = _evidence(checked, "toxic int", chars, weights).withColumn("bin", F.round(F.col("evidence"), 1))
     bins = raw.groupBy("bin").agg(F.sum(F.col("toxic")).alias("t"), F.count("*").alias("n")).collect()
     slope, offset = _logistic(np.array([[r["bin"], r["t"], r["n"]] for r in bins], float).reshape(-1, 3))
     return Model(chars, weights, slope, offset)
 
 
+def _cover(rows: DataFrame, chars: CharModel, weights: np.ndarray, clean_of: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Keeps the features that explain toxic texts one after another: each time the one with the best bound
+    among texts that no kept feature has explained. What merely comes along in copies of a toxic text, whose
+    toxic words are kept already, goes. Up to COVER_TEXTS toxic texts (a documented bound) are looked at, as
+    lists of candidate features."""
+    sent = rows.sparkSession.sparkContext.broadcast((chars, weights > 0))
+    share = min(1.0, COVER_TEXTS / max(1, toxic))
+    chosen = rows.filter((F.col("toxic") == 1) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))).select("text")
+
+    def run(batches):
+        chars, candidate = sent.value
+        restorer = Restorer(chars)
+        for b in batches:
+            slots, owner = features([restorer.text(t) for t in b.column(0).to_pylist()])
+            key = np.unique((owner << BITS | slots)[candidate[slots]])
+            cut = np.searchsorted(key >> BITS, np.arange(1, len(b)))
+            lists = np.split((key & ((1 << BITS) - 1)).astype(np.int32), cut)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in lists], pa.binary())], ["slots"])
+
+    got = bounded_batches(chosen).mapInArrow(run, "slots binary").limit(2 * COVER_TEXTS).collect()
+    lists = sorted(set(bytes(r["slots"]) for r in got))
+    lists = [np.frombuffer(x, np.int32) for x in lists]
+    n = max(1, len(lists))
+    slot = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    kept = np.zeros_like(weights)
+    while len(slot):
+        t = np.bincount(slot, minlength=1 << BITS)
+        bound = np.log((t + 0.5) / (n + 1)) - np.log((clean_of + 0.5) / (clean + 1)) - 1.8 * np.sqrt(1 / (t + 0.5) + 1 / (clean_of + 0.5))
+        bound[(t < 4) | (kept > 0) | (weights <= 0)] = -np.inf
+        best = int(bound.argmax())
+        if bound[best] < 1.0:
+            break
+        kept[best] = weights[best]
+        left = ~np.isin(text, text[slot == best])
+        slot, text = slot[left], text[left]
+    return kept
+
+
 def _logistic(bins: np.ndarray) -> tuple[float, float]:
     x, t, n = bins.T if len(bins) else np.zeros((3, 0))
     w = np.array([0.0, math.log((t.sum() + 0.5) / (n.sum() - t.sum() + 0.5)) if len(x) else -3.0])
@@ -280,6 +324,8 @@ def held_out(doc_id):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = require(table(spark, sf_dir, "documents"), "doc_id", "text")
     labels = require(table(spark, sf_dir, "labels"), "doc_id", "toxic").dropDuplicates(["doc_id"])
-    train = docs.filter(~held_out(F.col("doc_id"))).join(labels, "doc_id")
+    share = min(1.0, TRAIN_ROWS / max(1, labels.count()))
+    labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * TRAIN_ROWS)
+    train = docs.filter(~held_out(F.col("doc_id"))).join(F.broadcast(labels), "doc_id")  # texts stay where they are
     found = score(docs, fit(train))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
