@@ -9,9 +9,11 @@ weighted Jaccard similarity, and the work hardly depends on weights.
 
 Equal texts become one node first, by their digest. Bands of the signatures put nodes into buckets. In a
 bucket nodes aren't paired with each other but with a hub: the node that shares most buckets with others, as
-the text that the others were copied from does. Pairs are verified on the shingles themselves, links joined
-to classes, and only nodes that are outside their hub's class go on, as hubs in turn, until every two nodes
-of a bucket are in one class or one of them has been a hub for the other.
+the text that the others were copied from does. Pairs are verified on the shingles themselves, and links
+joined to classes. A node c outside its hub's class can still be like another node y of the bucket, but only
+if both have a shingle that the hub lacks, or if y has at most 2.25 |c and hub| - |c| shingles, fewer than the
+hub: else J(c, y) <= J(c, hub) < 0.8. So the nodes of such a bucket go on in finer buckets, one for each
+shingle beyond the hub and one of the short texts, with hubs of their own, until no bucket holds two classes.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ ORACLE_SQL = None  # pairs over all texts are too slow for SQL: tests compare wi
 WORDS, SIMILARITY = 5, 0.8
 #: 26 bands of 5 rows: of links at a similarity of exactly 0.8 all but 3 in 100,000 meet in a band.
 BANDS, ROWS = 26, 5
-#: Nodes of a bucket that become hubs in the second round, and how many times as many in each further one.
-HUBS, MORE = 32, 8
 #: Ids that are broadcast at most, to pick the rows that are verified.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
@@ -203,26 +203,44 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return bounded_batches(rows).mapInArrow(run, "node long, n int, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets' Jaccard similarity is reached."""
-    @F.pandas_udf("boolean")
-    def alike(a, b):
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, hub, alike, common, n, hub_n, extra): of each pair whether the Jaccard similarity is reached, the
+    number of common shingles, both sizes, and the node's shingles that the hub lacks."""
+
+    @F.pandas_udf("alike boolean, common int, extra array<int>")
+    def compare(a, b):
         import pandas as pd
 
-        out = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        alike, commons, extras = [], [], []
+        for x, y in zip(a, b, strict=True):
             x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out[i] = both >= similarity * (len(x) + len(y) - both)
-        return pd.Series(out)
-
-    left = nodes.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
-    right = nodes.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
-    sizes = nodes.select("node", "n")
-    near = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-    near = near.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")  # by length
-    return bounded_batches(near.join(left, "a").join(right, "b"), 512).filter(alike("sa", "sb")).select("a", "b")
+            new = np.setdiff1d(x, y, assume_unique=True)
+            both = len(x) - len(new)
+            alike.append(both >= similarity * (len(x) + len(y) - both))
+            commons.append(both)
+            extras.append(new.view(np.int32))
+        return pd.DataFrame({"alike": alike, "common": commons, "extra": extras})
+
+    left = sets.select("node", F.col("shingles").alias("sa"), "n")
+    right = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb"), F.col("n").alias("hub_n"))
+    out = bounded_batches(pairs.join(left, "node").join(right, "hub"), 512).select("node", "hub", "n", "hub_n", compare("sa", "sb").alias("c"))
+    return stored(out.select("node", "hub", "c.alike", "c.common", "n", "hub_n", "c.extra"), "near-found")
+
+
+def finer(left: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node): the finer buckets of open ones. left: bucket, node, label, hub, chief (the hub's class);
+    found: what the nodes' comparison with the hub gave."""
+    share = (1 + similarity) / similarity
+    seen = left.filter("node <> hub").join(found.select("node", "hub", "common", "n", "hub_n", "extra"), ["node", "hub"])
+    seen = seen.withColumn("outside", F.col("label") != F.col("chief")).withColumn("room", F.when(F.col("outside"), F.floor(share * F.col("common")) - F.col("n")))
+    beyond = seen.groupBy("node", "hub", "label").agg(F.max("outside").alias("outside"), F.first("extra").alias("extra"))
+    beyond = beyond.select("node", "label", "outside", F.explode("extra").alias("s"), "hub").select(F.xxhash64("hub", "s").alias("bucket"), "node", "label", "outside")
+    limits = seen.groupBy("bucket").agg(F.max("room").alias("room"), F.min("n").alias("least")).filter("least <= room").select(F.col("bucket").alias("b"), F.col("room").alias("most"), "least")
+    short = seen.join(limits, F.col("bucket") == F.col("b")).filter((F.col("n") <= F.col("most")) | (F.col("room") >= F.col("least")))
+    short = short.select(F.xxhash64("bucket", "hub", F.lit("short")).alias("bucket"), "node", "label", "outside")
+    both = beyond.unionByName(short)
+    full = both.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("outside").alias("any")).filter("low <> high AND any")
+    return both.join(full.select("bucket"), "bucket").select("bucket", "node").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,48 +277,33 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
     rows = stored(rows.join(weight, "node"), "near-buckets")
     sets = stored(shingle_sets(docs, texts.join(weight.select("node"), "node", "left_semi")), "near-sets")
-    hubs = stored(rows.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub")), "near-hubs")
-    pair = lambda df: df.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tried, compared = hubs, stored(pair(rows.join(hubs, "bucket")), "near-pairs")
-    links = stored(verified(compared, sets, similarity), "near-found")
-    labels = components(links)
-    rows, many = rows.filter("size > 2"), HUBS  # a bucket of two is done
+    found = links = labels = None
     while True:
-        named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        left = stored(named.join(open_.select("bucket"), "bucket"), "near-open")  # one class in a bucket stays one
-        # outside the class of the bucket's first hub, and never a hub there
-        chief = left.join(hubs, "bucket").filter("node = hub").select("bucket", F.col("label").alias("chief"))
-        outside = left.join(chief, "bucket").filter("label <> chief").join(tried.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        next_hubs, many = stored(top(outside, many), "near-hubs"), many * MORE
-        if next_hubs.isEmpty():
-            break
-        pairs = stored(pair(left.join(next_hubs, "bucket").filter("label <> hub_label")).join(compared, ["a", "b"], "left_anti"), "near-pairs")
-        tried, rows = tried.unionByName(next_hubs.select("bucket", "hub")), left.drop("label")
-        if pairs.isEmpty():
-            continue
-        compared = compared.unionByName(pairs)
-        found = stored(verified(pairs, sets, similarity), "near-found")
-        if not found.isEmpty():
-            links = links.unionByName(found)
+        # a short text as hub leaves fewer shorter ones; the number of buckets decides first
+        hubs = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+        rows = stored(rows.join(hubs, "bucket"), "near-stars")
+        pairs = rows.filter("node <> hub").select("node", "hub").distinct()
+        new = compared(pairs if found is None else pairs.join(found.select("node", "hub"), ["node", "hub"], "left_anti"), sets, similarity)
+        found = new if found is None else found.unionByName(new)
+        fresh = new.filter("alike").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        if links is None or not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
             labels = components(links)
+        named = rows.filter("size > 2").join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("label", "node").alias("label"))
+        open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("chief"))
+        left = named.join(open_.filter("low <> high").select("bucket", "chief"), "bucket")
+        spread = stored(finer(left, found, similarity), "near-finer")
+        full = spread.groupBy("bucket").agg(F.count("*").alias("size"))
+        rows = spread.join(full, "bucket")
+        rows = stored(rows.join(rows.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "near-buckets")
+        if rows.isEmpty():
+            break
     of_text = texts.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     named = sketched.select("digest", F.col("doc").alias("doc_id")).join(of_text, "digest")
     size = named.groupBy("label", "digest").agg(F.min("doc_id").alias("doc_id")).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))
     return named.join(size, "label").select("doc_id", "digest", "class_id", "class_texts")
 
 
-def top(outside: DataFrame, many: int) -> DataFrame:
-    """The heaviest rows of each bucket, in pieces first, so that no task gets a whole large bucket."""
-    from pyspark.sql import Window
-
-    order = [F.desc("weight"), F.asc("node")]
-    piece = outside.withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(64)))
-    piece = piece.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "piece").orderBy(*order))).filter(F.col("r") <= many)
-    best = piece.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("r") <= many)
-    return best.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-
-
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold the smallest id of their class, with all their columns. Repeated rows
     of that document stay together; a class of null ids alone stays."""
