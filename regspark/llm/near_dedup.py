@@ -13,7 +13,8 @@ the text that the others were copied from does. Pairs are verified on the shingl
 joined to classes. A node c outside its hub's class can still be like another node y of the bucket, but only
 if both have a shingle that the hub lacks, or if y has at most 2.25 |c and hub| - |c| shingles, fewer than the
 hub: else J(c, y) <= J(c, hub) < 0.8. So the nodes of such a bucket go on in finer buckets, one for each
-shingle beyond the hub and one of the short texts, with hubs of their own, until no bucket holds two classes.
+shingle beyond the hub and one of the short texts: small ones compare all their nodes (two dozen at most),
+larger ones have hubs of their own, until no bucket holds two classes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ORACLE_SQL = None  # pairs over all texts are too slow for SQL: tests compare wi
 WORDS, SIMILARITY = 5, 0.8
 #: 26 bands of 5 rows: of links at a similarity of exactly 0.8 all but 3 in 100,000 meet in a band.
 BANDS, ROWS = 26, 5
+#: Nodes of a finer bucket that are all compared with each other; larger ones get a hub.
+SMALL = 24
 #: Ids that are broadcast at most, to pick the rows that are verified.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
@@ -278,22 +281,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = stored(rows.join(weight, "node"), "near-buckets")
     sets = stored(shingle_sets(docs, texts.join(weight.select("node"), "node", "left_semi")), "near-sets")
     found = links = labels = None
+    rounds = 0
     while True:
-        # a short text as hub leaves fewer shorter ones; the number of buckets decides first
         hubs = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
         rows = stored(rows.join(hubs, "bucket"), "near-stars")
-        pairs = rows.filter("node <> hub").select("node", "hub").distinct()
+        mates = rows.filter(F.col("size") <= SMALL).select("bucket", F.col("node").alias("mate"))
+        stars = rows.filter("node <> hub").select("node", "hub")
+        close = rows.filter((F.col("size") > 2) & (F.col("size") <= SMALL)).join(mates, "bucket").filter("node < mate").select("node", F.col("mate").alias("hub"))
+        pairs = stars.unionByName(close).distinct() if found is not None else stars.distinct()
         new = compared(pairs if found is None else pairs.join(found.select("node", "hub"), ["node", "hub"], "left_anti"), sets, similarity)
         found = new if found is None else found.unionByName(new)
         fresh = new.filter("alike").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         if links is None or not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             labels = components(links)
-        named = rows.filter("size > 2").join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("label", "node").alias("label"))
+        named = rows.filter(F.col("size") > (2 if rounds == 0 else SMALL)).join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("label", "node").alias("label"))
         open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("chief"))
         left = named.join(open_.filter("low <> high").select("bucket", "chief"), "bucket")
         spread = stored(finer(left, found, similarity), "near-finer")
-        full = spread.groupBy("bucket").agg(F.count("*").alias("size"))
+        rounds += 1
+        # of buckets with the same nodes one is enough
+        full = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("node") % 1_000_003).alias("y"))
+        full = full.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
         rows = spread.join(full, "bucket")
         rows = stored(rows.join(rows.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "near-buckets")
         if rows.isEmpty():
