@@ -98,7 +98,7 @@ class Spelling:
     @staticmethod
     def inputs(zeros, ones):
         p = (ones + 0.02) / (zeros + ones + 0.04)
-        return np.log(p / (1 - p)).astype(np.float32), np.minimum(np.log2(zeros + ones + 1), 7).astype(np.uint8)
+        return np.clip(np.log(p / (1 - p)), -8, 8).astype(np.float32), np.minimum(np.log2(zeros + ones + 1), 7).astype(np.uint8)
 
     @staticmethod
     def gate(seen5, seen4, seen3):
@@ -145,8 +145,9 @@ class Spelling:
                 gate = cls.gate(level[4], level[3], level[2])
                 mixed = made.mix(x, gate)
                 error = bit - 1 / (1 + np.exp(-mixed))
-                step = rate / (1 + at / 6000)
-                np.add.at(made.weights, gate, (step * error)[:, None] * x)
+                slope, hits = np.zeros_like(made.weights), np.bincount(gate, minlength=_GATES)
+                np.add.at(slope, gate, error[:, None] * x)  # the mean step of each gate that was used
+                made.weights += rate / (1 + at / 6000) * slope / np.maximum(hits, 1)[:, None]
                 near = np.rint((mixed + 12) * ((_STEPS - 1) / 24)).astype(np.int64)
                 np.add.at(made.refine, (gate, near), 0.005 * (bit - made.refine[gate, near]))
         made.refine = np.clip(made.refine, 1e-5, 1 - 1e-5)
@@ -158,14 +159,14 @@ def count_spellings(words: DataFrame, n_words: int) -> np.ndarray:
     count into tables of a fixed size; their blocks are added up in two rounds."""
 
     def run(batches):
-        counts = np.zeros((2, int(_OFFSETS[-1])), np.float32)
+        n = int(_OFFSETS[-1])
+        flat = np.zeros(2 * n, np.float32)  # zeros first, then ones
         for b in batches:
             ws = b.column(0).to_pylist()
             for rows in chunks(ws):
                 for _, slots, bit in walk([ws[i] for i in rows]):
                     for s in slots:
-                        np.add.at(counts, (bit, s), np.float32(1))
-        flat = counts.reshape(-1)
+                        np.add.at(flat, s + bit * n, np.float32(1))
         parts = [i for i in range(0, len(flat), _BLOCK) if flat[i : i + _BLOCK].any()]
         for i in parts:
             yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK], pa.int32()), pa.array([flat[i : i + _BLOCK].tobytes()], pa.binary())], ["block", "data"])
