@@ -1,14 +1,16 @@
 """Language-model scoring by online logistic context mixing.
 
-A token's probability has two parts: what exact counts of the training tokens give it, discounted by an
+Two models give a token's probability, mixed by a share that moves within each document with how well they did
+on its frequent words before. The first codes the token stream (``lm_stream``): its hashed contexts run across
+words. The second knows no order: what exact counts of the training tokens give a word, discounted by an
 absolute discount, and, for the mass so set free, the probability of its spelling. The spelling is coded bit
 by bit. Several predictors, each with counts in a table hashed by another context (the last one to five bytes,
 and the place in the word), are stretched and mixed by weights that a gate picks from how much the longest
 contexts have seen; weights are learned online on words that are left out of the counts they meet, and an
 adaptive table refines the mixed probability by its last errors. Documents differ in kind (in language, say):
 each names one of a few kinds, found by clustering, and pays for naming it; counts are kept per kind and back
-off to those of all. Counts cover all training documents; each distinct word is scored once. Frequent words (a fixed number) go to all executors, the rest meet their scores
-by a join.
+off to those of all. Counts cover all training documents. Frequent words (a fixed number) go to all executors,
+the rest meet their exact counts by a join.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regspark.llm import lm_stream
 from regspark.llm.common import LOWER_ASCII, bounded_batches, require, stored, table
 
 NAME = "op5_lm_scoring"
@@ -34,6 +37,8 @@ TABLES = (16, 19, 20, 20, 20, 18)
 #: that one task counts spellings of, about.
 HOT_WORDS, LEARN_WORDS, TASK_WORDS = 100_000, 30_000, 1_000_000
 HOT_BYTES, FLUSH = 48, 400_000
+#: How much of the share between the two models is evened out at each token.
+EVEN = 0.02
 _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
 _BLOCK = 1 << 16
 _GATES, _STEPS = 64, 33
@@ -330,37 +335,43 @@ def score(docs: DataFrame) -> DataFrame:
     scored = stored(bounded_batches(words, 20_000).mapInArrow(spell, "word binary, c long, base double, model array<double>"), "lm-scores")
     best = scored.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()
     hot = spark.sparkContext.broadcast((kinds, corpus.prior, {bytes(r["word"]): (r["base"], tuple(r["model"]), r["c"] > 0) for r in best}))  # HOT_WORDS rows
+    del best
+    streams = spark.sparkContext.broadcast(lm_stream.fit(docs, tokens))
 
     def look_up(batches):
-        """A row of each document with its sums over frequent words, and one of each other word in it (its
-        kind in ``seen``)."""
-        kinds, prior, known = hot.value
+        """A row of each document with its sums over frequent words, and one of each other token in it (its
+        kind in ``seen``, the stream's share in ``base`` and its score in ``model``)."""
+        (kinds, prior, known), stream = hot.value, streams.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = tokens(text)
-                counted = Counter(found)
-                kind = kinds.of(counted)
-                base, model, seen = 0.0, float(prior[kind]), 0
+            words = [tokens(t) for t in b.column(1).to_pylist()]
+            for doc, text, found, streamed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words, stream.log10(words), strict=True):
+                kind = kinds.of(Counter(found))
+                base, model, seen, share = 0.0, float(prior[kind]), 0, 0.5
                 row += 1
-                for w, n in counted.items():
+                for w, s in zip(found, streamed.tolist(), strict=True):
                     if (x := known.get(w)) is None:
-                        out.append((row, None, None, None, kind, None, None, w, n))
+                        out.append((row, None, None, None, kind, share, s, w))
                     else:
-                        base += n * x[0]
-                        model += n * x[1][kind]
-                        seen += n * x[2]
-                out.append((row, doc, len(found), len((text or "").encode("utf-8", "replace")), seen, base, model, None, None))
-            cols = list(zip(*out, strict=True)) or [[]] * 9
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["row", "doc_id", "n_tokens", "n_bytes", "seen", "base", "model", "word", "n"])
-
-    schema = "row long, doc_id long, n_tokens long, n_bytes long, seen long, base double, model double, word binary, n long"
+                        first = share * 10.0 ** max(s, -300.0)
+                        both = first + (1 - share) * 10.0 ** x[1][kind]
+                        base += x[0]
+                        model += math.log10(both)
+                        seen += x[2]
+                        share = EVEN / 2 + (1 - EVEN) * first / both
+                out.append((row, doc, len(found), len((text or "").encode("utf-8", "replace")), seen, base, model, None))
+            cols = list(zip(*out, strict=True)) or [[]] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["row", "doc_id", "n_tokens", "n_bytes", "seen", "base", "model", "word"])
+
+    schema = "row long, doc_id long, n_tokens long, n_bytes long, seen long, base double, model double, word binary"
     looked = stored(bounded_batches(docs.select("doc_id", "text"), 512).mapInArrow(look_up, schema), "lm-looked")
-    rare = looked.filter("word IS NOT NULL").select("row", "word", "n", F.col("seen").cast("int").alias("kind")).join(scored, "word")
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("n_bytes"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("seen"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.element_at("model", F.col("kind") + 1)).alias("model"))
-    both = looked.filter("word IS NULL").drop("word", "n").unionByName(rare)
+    rare = looked.filter("word IS NOT NULL").select("row", "word", F.col("seen").cast("int").alias("kind"), F.col("base").alias("share"), F.col("model").alias("streamed")).join(scored, "word")
+    first, second = F.log10("share") + F.col("streamed"), F.log10(1 - F.col("share")) + F.element_at("model", F.col("kind") + 1)
+    mixed = F.greatest(first, second) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(first - second)))
+    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("n_bytes"), F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("seen"), "base", mixed.alias("model"))
+    both = looked.filter("word IS NULL").drop("word").unionByName(rare)
     out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("seen").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(corpus.total[0])).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
 

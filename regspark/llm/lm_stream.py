@@ -1,0 +1,229 @@
+"""Context mixing over the token stream of LM scoring.
+
+A document is coded byte by byte (each word and a space; the end token is a space alone), every byte in eight
+binary decisions. Predictors look at what came before, across words: the last 1, 2, 3 and 5 bytes, the word so
+far (the unigram count), the word so far with the word before it, and with the two words before it. Each has
+counts of zeros and ones in a table hashed by context, summed over all occurrences in all training documents.
+Their stretched probabilities are mixed by weights that a gate picks, and refined.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from regspark.llm.common import bounded_batches
+
+ORDERS = (1, 2, 3, 5)
+PREDICTORS = len(ORDERS) + 3
+#: Bytes coded at once, bytes of a learning step, and words repeated before a later piece of a long document.
+PIECE, STEP_BYTES, REPEATED = 1 << 15, 2048, 5
+#: Bits of each predictor's table: as many slots as training bytes, within these.
+LEAST_BITS, MOST_BITS = 16, 21
+#: Share of the training documents that mixing weights are learned on; small inputs use all up to some bytes.
+LEARN_SHARE, LEARN_BYTES = 1 / 16, 4_000_000
+GATES, STEPS, BLOCK = 64, 33, 1 << 16
+_U = np.uint64
+_M = 0x9E3779B97F4A7C15
+_INVERSE = pow(_M, -1, 1 << 64)
+
+
+def pieces(words: list[bytes]):
+    """A document's words in pieces of bounded size: the bytes before, which aren't coded, and the words."""
+    at = 0
+    while at < len(words):
+        end, size = at, 0
+        while end < len(words) and size < PIECE:
+            size += len(words[end]) + 1
+            end += 1
+        yield b" " * 5 + b"".join([w + b" " for w in words[max(0, at - REPEATED) : at]]), words[at:end]
+        at = end
+
+
+def batches(documents: list[list[bytes]], size: int = PIECE):
+    """(flat bytes, coded places, documents of the pieces, words of each piece)."""
+    parts, live, owner, n, total = [], [], [], [], 0
+    for i, words in enumerate(documents):
+        for head, coded in pieces(words):
+            body = b" ".join(coded) + b" "
+            parts += [head, body]
+            live += [np.zeros(len(head), bool), np.ones(len(body), bool)]
+            owner.append(i)
+            n.append(len(coded))
+            total += len(body)
+            if total >= size:
+                yield np.frombuffer(b"".join(parts), np.uint8), np.flatnonzero(np.concatenate(live)), owner, n
+                parts, live, owner, n, total = [], [], [], [], 0
+    if parts:
+        yield np.frombuffer(b"".join(parts), np.uint8), np.flatnonzero(np.concatenate(live)), owner, n
+
+
+def contexts(flat: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
+    """Each predictor's hash of what precedes each coded place."""
+    n = len(flat)
+    power = np.cumprod(np.concatenate([[_U(1)], np.full(n, _M, np.uint64)]))
+    back = np.cumprod(np.concatenate([[_U(1)], np.full(n, _INVERSE, np.uint64)]))
+    total = np.concatenate([[_U(0)], np.cumsum((flat.astype(np.uint64) + _U(1)) * power[:-1])])
+    space = np.maximum.accumulate(np.where(flat == 32, np.arange(1, n + 1), 0))
+    start = np.concatenate([[0], space[:-1]])  # of the word that each place is in
+    so_far = (total[:-1] - total[start]) * back[start]
+    before = np.maximum(start - 1, 0)
+    one = so_far[before]
+    two = so_far[before[before]]
+    out, h = [], np.zeros(len(live), np.uint64)
+    for k in range(1, max(ORDERS) + 1):
+        h = (h + flat[live - k].astype(np.uint64) + _U(1)) * _U(_M)
+        if k in ORDERS:
+            out.append(h ^ _U(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    word = (so_far[live] + _U(7)) * _U(0xD6E8FEB86659FD93)
+    pair = (word ^ (one[live] + _U(11)) * _U(0xA0761D6478BD642F)) * _U(0x9FB21C651E98DF25)
+    return [*out, word, pair, (pair ^ (two[live] + _U(13)) * _U(0xE7037ED1A0B428DB)) * _U(_M)]
+
+
+def walk(flat: np.ndarray, live: np.ndarray, bits: int):
+    """For each of the eight bits of the coded bytes: each predictor's slots and the bit. The first bit of
+    each half byte comes with True. Slots of one context's half byte lie together."""
+    hashes, byte = contexts(flat, live), flat[live].astype(np.int64)
+    for half in (0, 1):
+        value = byte >> 4 if half == 0 else byte & 15
+        salt = ((byte >> 4) + 1).astype(np.uint64) * _U(0x8EBC6AF09C88C6E3) if half else None
+        rows = []
+        for p, h in enumerate(hashes):
+            h = (h if salt is None else h ^ salt) * _U(0x589965CC75374CC3)
+            h ^= h >> _U(29)
+            rows.append(((h * _U(0xE7037ED1A0B428DB) >> _U(68 - bits)).astype(np.int64) << 4) + (p << bits))
+        node = np.ones_like(byte)
+        for shift in (3, 2, 1, 0):
+            bit = (value >> shift) & 1
+            yield shift == 3, [r + node for r in rows], bit
+            node = node << 1 | bit
+
+
+def inputs(zeros, ones):
+    p = (ones + 0.02) / (zeros + ones + 0.04)
+    return np.log(p / (1 - p))
+
+
+def level(n):
+    return np.minimum(np.log2(n + 1), 3).astype(np.int64)
+
+
+class Stream:
+    """Counts (slot, zeros and ones), and the weights and refining table of each gate."""
+
+    def __init__(self, bits: int, counts: np.ndarray):
+        self.bits, self.counts = bits, counts
+        self.weights = np.full((GATES, PREDICTORS), 0.3)
+        self.refine = np.tile(1 / (1 + np.exp(-((np.arange(STEPS) * 24 / (STEPS - 1)) - 12))), (GATES, 1))
+        self.stretch = self.level = None
+
+    def gate(self, levels):
+        return levels[0] + 4 * levels[1] + 16 * levels[2]
+
+    def refined(self, mixed, gate):
+        at = (mixed + 12) * ((STEPS - 1) / 24)
+        low = np.minimum(at.astype(np.int64), STEPS - 2)
+        part = at - low
+        return 0.5 / (1 + np.exp(-mixed)) + 0.5 * ((1 - part) * self.refine[gate, low] + part * self.refine[gate, low + 1])
+
+    def log10(self, documents: list[list[bytes]]) -> list[np.ndarray]:
+        """Log10 of each token's probability after all before it in its document; over all tokens they sum to
+        one at most."""
+        if self.stretch is None:
+            zeros, ones = self.counts[:, 0].astype(np.float32), self.counts[:, 1].astype(np.float32)
+            self.stretch, self.level = inputs(zeros, ones).astype(np.float32), level(zeros + ones).astype(np.uint8)
+        out: list[list[np.ndarray]] = [[] for _ in documents]
+        for flat, live, owner, n in batches(documents):
+            logs = np.zeros(len(live))
+            for first, slots, bit in walk(flat, live, self.bits):
+                if first:
+                    gate = self.gate([self.level[s].astype(np.int64) for s in slots[-4:-3] + slots[-2:]])
+                    weights = self.weights[gate].T.astype(np.float32)
+                mixed = sum(w * self.stretch[s] for w, s in zip(weights, slots, strict=True))
+                p = np.clip(self.refined(np.clip(mixed, -12, 12), gate), 1e-6, 1 - 1e-6)
+                logs += np.log10(np.where(bit == 1, p, 1 - p))
+            ends = np.flatnonzero(flat[live] == 32)
+            per = np.diff(np.concatenate([[0.0], np.cumsum(logs)[ends]]))
+            for i, part in zip(owner, np.split(per, np.cumsum(n)[:-1]), strict=True):
+                out[i].append(part)
+        return [np.concatenate(x) if x else np.zeros(0) for x in out]
+
+    def learn(self, documents: list[list[bytes]], hits: np.ndarray, rate: float = 0.02) -> None:
+        """Online steps; what is learned from is taken out of the counts that it meets."""
+        for flat, every, _, _ in batches(documents):
+            for at in range(0, len(every), STEP_BYTES):
+                for first, slots, bit in walk(flat, every[at : at + STEP_BYTES], self.bits):
+                    c = self.counts[np.stack(slots)].astype(np.float64)
+                    c[:, np.arange(len(bit)), bit] -= 1
+                    c = np.maximum(c, 0)
+                    x = inputs(c[:, :, 0], c[:, :, 1])
+                    if first:
+                        n = c.sum(axis=2)
+                        gate = self.gate(level(n[[-4, -2, -1]]))
+                    mixed = np.clip((self.weights[gate] * x.T).sum(axis=1), -12, 12)
+                    error = bit - 1 / (1 + np.exp(-mixed))
+                    slope, used = np.zeros_like(self.weights), np.bincount(gate, minlength=GATES)
+                    np.add.at(slope, gate, error[:, None] * x.T)
+                    self.weights += rate * slope / np.maximum(used, 1)[:, None]
+                    hits += used
+                    near = np.rint((mixed + 12) * ((STEPS - 1) / 24)).astype(np.int64)
+                    np.add.at(self.refine, (gate, near), 0.005 * (bit - self.refine[gate, near]))
+        self.refine = np.clip(self.refine, 1e-5, 1 - 1e-5)
+
+
+def fit(docs: DataFrame, tokens) -> Stream:
+    """Fits on rows (text, learn). Counts cover every occurrence: tasks count into tables, whose blocks Spark
+    adds up. Weights are learned by partition and averaged by how often each gate was used."""
+    spark = docs.sparkSession
+    learned = docs.filter("learn").select("text")
+    size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size + 1))))
+    n = PREDICTORS << bits
+
+    def count(found):
+        table = np.zeros(2 * n, np.float32)
+        for b in found:
+            for flat, live, _, _ in batches([tokens(t) for t in b.column(0).to_pylist()]):
+                for _, slots, bit in walk(flat, live, bits):
+                    for s in slots:
+                        np.add.at(table, 2 * s + bit, np.float32(1))
+        for i in range(0, 2 * n, BLOCK):
+            if table[i : i + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([table[i : i + BLOCK].tobytes()], pa.binary())], ["block", "data"])
+
+    def add(group):
+        import pandas as pd
+
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["data"]).reshape(-1, 2)
+        total *= np.minimum(1, 60_000 / np.maximum(total.max(axis=1, keepdims=True), 1))  # within half precision
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "data": [total.astype(np.float16).tobytes()]})
+
+    tasks = max(spark.sparkContext.defaultParallelism, size >> 26)
+    parts = bounded_batches(learned.coalesce(tasks), 512).mapInArrow(count, "block int, data binary")
+    counts = np.zeros(2 * n, np.float16)
+    for r in parts.groupBy("block").applyInPandas(add, "block int, data binary").toLocalIterator():  # tables of a bounded size
+        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["data"], np.float16)
+    made = Stream(bits, counts.reshape(-1, 2))
+    share = min(1.0, max(LEARN_SHARE, LEARN_BYTES / max(1, size)))
+    sent = spark.sparkContext.broadcast(made)
+
+    def learn(found):
+        begun = sent.value
+        mine, hits = Stream(bits, begun.counts), np.zeros(GATES)
+        for b in found:
+            mine.learn([tokens(t) for t in b.column(0).to_pylist()], hits)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (mine.weights, mine.refine, hits)], ["weights", "refine", "hits"])
+
+    chosen = learned.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    weights, refine, used = np.zeros_like(made.weights), np.zeros_like(made.refine), np.zeros((GATES, 1))
+    for r in bounded_batches(chosen.coalesce(tasks), 512).mapInArrow(learn, "weights binary, refine binary, hits binary").toLocalIterator():
+        w, t, h = (np.frombuffer(r[c], np.float64).reshape(GATES, -1) for c in ("weights", "refine", "hits"))
+        weights, refine, used = weights + w * h, refine + t * h, used + h
+    seen = used[:, 0] > 0
+    made.weights[seen], made.refine[seen] = (weights / np.maximum(used, 1))[seen], (refine / np.maximum(used, 1))[seen]
+    sent.destroy()
+    return made

@@ -85,3 +85,39 @@ def test_lm_edge_rows(odd, none):
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {1}
     assert lm_score.score(none.select("doc_id", "text", F.lit(True).alias("learn"))).count() == 0
     assert all(r.n_known == 0 for r in lm_score.score(odd.select("doc_id", "text", F.lit(False).alias("learn"))).collect())
+
+
+def test_lm_sees_the_words_before(spark):
+    from pyspark.sql import functions as F
+
+    text = "the state board shall issue a license to each applicant who has paid the fee " * 3
+    learned = [(i, text, True) for i in range(20)]
+    asked = [(100, text, False), (101, " ".join(reversed(text.split())), False)]
+    docs = spark.createDataFrame(learned + asked, "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r for r in lm_score.score(docs).filter(F.col("doc_id") >= 100).collect()}
+    assert abs(got[100].base_score - got[101].base_score) < 1e-9 and got[100].score > got[101].score + 10
+
+
+def test_lm_stream_probabilities():
+    import random
+
+    from regspark.llm import lm_stream
+
+    r = random.Random(3)
+    texts = [[*(r.choice([b"a", b"bc", b"the", b"then"]) for _ in range(300)), b""] for _ in range(20)]
+    model = lm_stream.Stream(16, np.zeros((lm_stream.PREDICTORS << 16, 2), np.float16))
+    for flat, live, _, _ in lm_stream.batches(texts):
+        for _, slots, bit in lm_stream.walk(flat, live, 16):
+            for s in slots:
+                np.add.at(model.counts, (s, bit), np.float16(1))
+    model.learn(texts, np.zeros(lm_stream.GATES))
+    after = [b"the", b"a"]
+    got = model.log10([[*after, w] for w in [b"", *[bytes([b]) for b in range(256) if b != 32]]])
+    assert 0.01 < sum(10 ** x[2] for x in got) <= 1 + 1e-6 and all(len(x) == 3 for x in got)
+    long = [*[b"w%d" % (i % 900) for i in range(20_000)], b""]  # in pieces as in one
+    whole, lm_stream.PIECE = lm_stream.PIECE, 1 << 30
+    try:
+        one = model.log10([long])[0]
+    finally:
+        lm_stream.PIECE = whole
+    assert np.allclose(model.log10([long])[0], one)
