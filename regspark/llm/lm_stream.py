@@ -220,7 +220,7 @@ def fit(docs: DataFrame, tokens) -> Stream:
 
     chosen = learned.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
     weights, refine, used = np.zeros_like(made.weights), np.zeros_like(made.refine), np.zeros((GATES, 1))
-    for r in bounded_batches(chosen.coalesce(tasks), 512).mapInArrow(learn, "weights binary, refine binary, hits binary").toLocalIterator():
+    for r in bounded_batches(chosen.coalesce(tasks), 512).mapInArrow(learn, "weights binary, refine binary, hits binary").collect():  # a row a task
         w, t, h = (np.frombuffer(r[c], np.float64).reshape(GATES, -1) for c in ("weights", "refine", "hits"))
         weights, refine, used = weights + w * h, refine + t * h, used + h
     seen = used[:, 0] > 0
