@@ -1,8 +1,9 @@
 """Toxicity behind a noisy channel.
 
 Writers hide words by leetspeak, spacing and repetition. Odd tokens become lattices of the letters they may
-stand for; the Viterbi path under a character trigram model restores them, and the restored text is scored.
-Features are hashed words and word beginnings. A feature's weight is a lower confidence bound of its log odds
+stand for, where a mark or single space may be nothing or a word break; the Viterbi path under a character
+trigram model restores and segments them, and the restored text is scored. Features are hashed words, word
+beginnings and byte n-grams inside words, so that words of unspaced scripts are seen too. A feature's weight is a lower confidence bound of its log odds
 between toxic and clean documents, counted over all labelled rows; a document's evidence is the sum of its
 three strongest features, turned into a probability by logistic regression on a histogram.
 """
@@ -23,7 +24,7 @@ from regspark.llm.common import bounded_batches, require, table
 NAME = "op9_toxicity"
 ORACLE_SQL = None  # a trained model: tests measure held-out accuracy
 THRESHOLD = 0.3
-BITS, HEADS = 18, (4, 5, 6)
+BITS, HEADS, INNER = 20, (4, 5, 6), (5, 6)
 #: Labelled texts the character model is fitted on at most (a documented bound).
 MODEL_TEXTS = 3000
 #: Labelled rows a classifier is fitted on, about (a documented bound): ids and labels of these are broadcast.
@@ -38,6 +39,8 @@ _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _WORDS = re.compile(r"[^\W\d_]+")
 _START, _ESCAPE_COST = "\x02", -9.0
+_M = 0x9E3779B97F4A7C15
+_INVERSE = pow(_M, -1, 1 << 64)
 
 
 @dataclass
@@ -74,7 +77,9 @@ def lattice(token: str):
         if c in LEET:
             yield [(x * m, -0.5 - 0.4 * (n - m)) for x in LEET[c] for m in ((1,) if n == 1 else (1, 2))] + ([("", -4.0)] if c in "!|+" else [])
         elif c in GAPS:
-            yield [("", -0.7)]
+            yield [("", -0.7), (" ", -0.7)]
+        elif c == " ":
+            yield [("", 0.0), (" ", 0.0)]
         elif n <= 2:
             yield [(c * n, 0.0)] + ([(c, -1.5)] if n == 2 else [])
         else:
@@ -82,7 +87,8 @@ def lattice(token: str):
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest letters behind a token; at most one path for each pair of last letters is kept."""
+    """The likeliest words behind a token; at most one path for each pair of last letters is kept, and one for a
+    word break, after which a word starts anew."""
     paths = {_START * 2: (0.0, None)}
     for ways in lattice(token):
         new: dict[str, tuple[float, tuple | None]] = {}
@@ -90,17 +96,21 @@ def restore(token: str, model: CharModel) -> str:
             for said, cost in ways:
                 s, last, t = score + cost, two, tail
                 for c in said:
-                    s += model.step(last, c)
-                    last, t = last[1] + c, (c, t)
+                    if c != " ":
+                        s += model.step(last, c)
+                        last, t = last[1] + c, (c, t)
+                    elif last != _START * 2:
+                        s += model.step(last, c)
+                        last, t = _START * 2, (c, t)
                 if last not in new or s > new[last][0]:
                     new[last] = s, t
         paths = new
-    _, tail = max(paths.values(), key=lambda x: x[0])
+    _, tail = max(paths.items(), key=lambda x: x[1][0] + (0.0 if x[0] == _START * 2 else model.step(x[0], " ")))[1]
     out = []
     while tail is not None:
         out.append(tail[0])
         tail = tail[1]
-    return "".join(reversed(out))
+    return "".join(reversed(out)).strip()
 
 
 class Restorer:
@@ -132,31 +142,39 @@ class Restorer:
                     got = self.known[t] = self.token(t, True)
                 swap[t] = got
         joined = " ".join([swap.get(t, t) for t in tokens])
-        return _SPACED.sub(lambda m: restore(m[0].replace(" ", ""), self.model), joined)
+        return _SPACED.sub(lambda m: restore(m[0], self.model), joined)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of hashed features and the text of each: every word, and its first 4, 5 and 6 bytes."""
+    """Slots of hashed features and the text of each: every word, its first 4, 5 and 6 bytes, and all 5 and 6
+    bytes inside it (the same features as its first ones)."""
     data = [t.encode("utf-8", "replace") for t in texts]
     b = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8)
     gap = b == 32
     start, stop = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
     ends = np.cumsum([len(d) + 1 for d in data])
     owner = np.searchsorted(ends, start - 1, "right")
-    slots, of = [], []
-    h, live, at = np.zeros(len(start), np.uint64), np.arange(len(start)), 0
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b), _M, np.uint64)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b), _INVERSE, np.uint64)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+
+    def hashed(begin, end, salt):
+        h = (total[end] - total[begin]) * back[begin]  # of the bytes alone, wherever they stand
+        h = (h ^ h >> np.uint64(32)) * np.uint64(salt)
+        return (h ^ h >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+
+    slots, of = [hashed(start, stop, 0xA0761D6478BD642F)], [owner]
     size = stop - start
-    while len(live):  # one byte of every word each time; words get shorter
-        h[live] = (h[live] ^ b[start[live] + at].astype(np.uint64)) * np.uint64(0x100000001B3)
-        at += 1
-        if at in HEADS:
-            slots.append(h[live] * np.uint64(0x9E3779B97F4A7C15 + 2 * at))
-            of.append(owner[live])
-        if at == 40:
-            live = live[:0]
-        live = live[size[live] > at]
-    slots.append(h * np.uint64(0xD6E8FEB86659FD93))
-    of.append(owner)
+    for n in HEADS:
+        salt = 0x9E3779B97F4A7C15 + 2 * n
+        begin, whose = start[size >= n], owner[size >= n]
+        slots.append(hashed(begin, begin + n, salt))
+        of.append(whose)
+        if n in INNER:
+            more = size[size >= n] - n  # places after the first
+            begin = np.repeat(begin + 1, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+            slots.append(hashed(begin, begin + n, salt))
+            of.append(np.repeat(whose, more))
     return (np.concatenate(slots) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(of)
 
 
@@ -192,7 +210,7 @@ def char_model(texts: DataFrame) -> CharModel:
         for b in batches:
             for text in b.column(0).to_pylist():
                 for w in _WORDS.findall((text or "").lower()):
-                    w = _START * 2 + w
+                    w = _START * 2 + w + " "
                     for i in range(2, len(w)):
                         for g in (w[i - 2 : i + 1], w[i - 1 : i + 1], w[i]):
                             seen[g] = seen.get(g, 0) + 1

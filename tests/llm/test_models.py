@@ -121,3 +121,13 @@ def test_lm_stream_probabilities():
     finally:
         lm_stream.PIECE = whole
     assert np.allclose(model.log10([long])[0], one)
+
+
+def test_toxicity_finds_words_in_runs(spark):
+    text = "you stupid worthless idiot and other plain words are an old text of a friend " * 3
+    r = toxicity.Restorer(toxicity.char_model(spark.createDataFrame([(text,)], "text string")))
+    assert r.text("you,idiot y o u i d i o t you.are.an.idiot") == "you idiot you idiot you are an idiot"
+    slots, owner = toxicity.features(["idiot", "x" * 50 + "idiot", "x" * 50, "今日" + "idiot" + "天气"])
+    of = [set(slots[owner == i].tolist()) for i in range(4)]
+    assert (of[0] & of[1]) - of[2] and of[0] & of[3]
+    assert set(toxicity.features(["x" * 45])[0].tolist()) != set(toxicity.features(["x" * 44])[0].tolist())
