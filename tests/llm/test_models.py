@@ -131,3 +131,20 @@ def test_toxicity_finds_words_in_runs(spark):
     of = [set(slots[owner == i].tolist()) for i in range(4)]
     assert (of[0] & of[1]) - of[2] and of[0] & of[3]
     assert set(toxicity.features(["x" * 45])[0].tolist()) != set(toxicity.features(["x" * 44])[0].tolist())
+
+
+def test_all_languages_are_learned(spark):
+    import random
+
+    r, made = random.Random(4), []
+    for k in range(70):  # each language has its own letters; the last one is rare
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(30)]
+        made += [(f"l{k:02d}", " ".join("".join(r.choices(letters, k=4)) for _ in range(12))) for _ in range(3 if k == 69 else 5)]
+    docs = spark.createDataFrame(made, "lang string, text string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 70
+    got = langid.predict(docs, model).filter("lang = lang_pred AND lang_accepted").count()
+    assert got == len(made)
+    crowd = docs.filter("lang = 'l69'").unionByName(spark.range(3000).selectExpr("'l69' AS lang", "'copies copies' AS text"))
+    one, two = (langid.fit(x, sample=4) for x in (crowd, crowd.repartition(3)))
+    assert len(one.of) == 4 and np.allclose(one.centroids, two.centroids)
