@@ -23,6 +23,8 @@ ORACLE_SQL = None  # a trained model: tests measure held-out accuracy
 DIMS = 1 << 12
 #: Labelled texts a model is fitted on for each language (a documented bound); every language is learned.
 SAMPLE, CENTROIDS = 600, 4
+#: Languages whose cuts are broadcast at most; beyond that Spark joins by shuffling.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 #: A text is rejected below this share of the cosine that its nearest centroid's own
 #: labelled texts reach at least (their 2 % quantile).
@@ -79,6 +81,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     w = Window.partitionBy("lang").orderBy("h")
     cuts = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample).groupBy("lang").agg(F.max("h").alias("cut"))
+    cuts = stored(cuts, "langid-cuts")  # a row a language; texts stay where they are unless there are very many
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGUAGES else cuts
     chosen = rows.join(cuts, "lang").filter(F.col("h") <= F.col("cut")).select("lang", "text", "h").dropDuplicates(["lang", "h"])
 
     def run(batches):
