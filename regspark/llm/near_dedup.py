@@ -10,11 +10,9 @@ weighted Jaccard similarity, and the work hardly depends on weights.
 Equal texts become one node first, by their digest. Bands of the signatures put nodes into buckets. In a
 bucket nodes aren't paired with each other but with a hub: the node that shares most buckets with others, as
 the text that the others were copied from does. Pairs are verified on the shingles themselves, and links
-joined to classes. A node c outside its hub's class can still be like another node y of the bucket, but only
-if both have a shingle that the hub lacks, or if y has at most 2.25 |c and hub| - |c| shingles, fewer than the
-hub: else J(c, y) <= J(c, hub) < 0.8. So the nodes of such a bucket go on in finer buckets, one for each
-shingle beyond the hub and one of the short texts: small ones compare all their nodes (two dozen at most),
-larger ones have hubs of their own, until no bucket holds two classes.
+joined to classes. A bucket that then holds nodes outside its hub's class is still open: those outsiders are
+compared with each other and with the class, in blocks of bounded size, whose tasks count common shingles and
+give back one link for each two classes that have any. So there are two rounds, whatever the data.
 """
 
 from __future__ import annotations
@@ -33,8 +31,8 @@ ORACLE_SQL = None  # pairs over all texts are too slow for SQL: tests compare wi
 WORDS, SIMILARITY = 5, 0.8
 #: 26 bands of 5 rows: of links at a similarity of exactly 0.8 all but 3 in 100,000 meet in a band.
 BANDS, ROWS = 26, 5
-#: Nodes of a finer bucket that are all compared with each other; larger ones get a hub.
-SMALL = 24
+#: Nodes, and bytes of their shingles, that make one block of an open bucket, about.
+BLOCK_NODES, BLOCK_BYTES = 1024, 8_000_000
 #: Ids that are broadcast at most, to pick the rows that are verified.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
@@ -187,7 +185,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, shingles): sorted 32-bit hashes of the shingles of the wanted texts (node, digest, doc), each
+    """(node, n, shingles): sorted 64-bit hashes of the shingles of the wanted texts (node, digest, doc), each
     once. Shingles are made again for texts that share a band with another, instead of being kept for all."""
     few = wanted.count() <= BROADCAST_IDS
     rows = docs.select(text_digest(docs).alias("digest"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("doc"), docs["text"].alias("text"))
@@ -200,50 +198,98 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, owner = shingles(all_texts[start:stop])
                 order = np.argsort(owner, kind="stable")
                 cut = np.cumsum(np.bincount(owner, minlength=stop - start))[:-1]
-                own = [np.unique((x >> _U(32)).astype(np.uint32)) for x in np.split(h[order], cut)]
+                own = [np.unique(x) for x in np.split(h[order], cut)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), pa.array([len(x) for x in own], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "n", "shingles"])
 
     return bounded_batches(rows).mapInArrow(run, "node long, n int, shingles binary").dropDuplicates(["node"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, hub, alike, common, n, hub_n, extra): of each pair whether the Jaccard similarity is reached, the
-    number of common shingles, both sizes, and the node's shingles that the hub lacks."""
+def enough(both, x, y, similarity: float):
+    """Whether sets of x and y elements with some in both reach the Jaccard similarity."""
+    return both >= similarity * (x + y - both) - 1e-9
 
-    @F.pandas_udf("alike boolean, common int, extra array<int>")
-    def compare(a, b):
+
+def star_links(stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs (node, hub) that are alike."""
+
+    @F.pandas_udf("boolean")
+    def alike(a, b):
         import pandas as pd
 
-        alike, commons, extras = [], [], []
+        out = []
         for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            new = np.setdiff1d(x, y, assume_unique=True)
-            both = len(x) - len(new)
-            alike.append(both >= similarity * (len(x) + len(y) - both))
-            commons.append(both)
-            extras.append(new.view(np.int32))
-        return pd.DataFrame({"alike": alike, "common": commons, "extra": extras})
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out.append(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity))
+        return pd.Series(out, dtype=bool)
 
     left = sets.select("node", F.col("shingles").alias("sa"), "n")
     right = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb"), F.col("n").alias("hub_n"))
-    out = bounded_batches(pairs.join(left, "node").join(right, "hub"), 512).select("node", "hub", "n", "hub_n", compare("sa", "sb").alias("c"))
-    return stored(out.select("node", "hub", "c.alike", "c.common", "n", "hub_n", "c.extra"), "near-found")
-
-
-def finer(left: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, node): the finer buckets of open ones. left: bucket, node, label, hub, chief (the hub's class);
-    found: what the nodes' comparison with the hub gave."""
-    share = (1 + similarity) / similarity
-    seen = left.filter("node <> hub").join(found.select("node", "hub", "common", "n", "hub_n", "extra"), ["node", "hub"])
-    seen = seen.withColumn("outside", F.col("label") != F.col("chief")).withColumn("room", F.when(F.col("outside"), F.floor(share * F.col("common")) - F.col("n")))
-    beyond = seen.groupBy("node", "hub", "label").agg(F.max("outside").alias("outside"), F.first("extra").alias("extra"))
-    beyond = beyond.select("node", "label", "outside", F.explode("extra").alias("s"), "hub").select(F.xxhash64("hub", "s").alias("bucket"), "node", "label", "outside")
-    limits = seen.groupBy("bucket").agg(F.max("room").alias("room"), F.min("n").alias("least")).filter("least <= room").select(F.col("bucket").alias("b"), F.col("room").alias("most"), "least")
-    short = seen.join(limits, F.col("bucket") == F.col("b")).filter((F.col("n") <= F.col("most")) | (F.col("room") >= F.col("least")))
-    short = short.select(F.xxhash64("bucket", "hub", F.lit("short")).alias("bucket"), "node", "label", "outside")
-    both = beyond.unionByName(short)
-    full = both.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("outside").alias("any")).filter("low <> high AND any")
-    return both.join(full.select("bucket"), "bucket").select("bucket", "node").distinct()
+    near = stars.join(left, "node").join(right, "hub").filter(F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9)
+    return bounded_batches(near, 512).filter(alike("sa", "sb")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+
+def common_shingles(sets: list[np.ndarray], often: int = 8, width: int = 2048) -> np.ndarray:
+    """How many elements each two of the sets have in common: rare elements by their pairs, others by products
+    of slices of the membership matrix."""
+    m = len(sets)
+    value, who = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")
+    value, who = value[order], who[order]
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    held = np.diff(np.concatenate([first, [len(value)]]))
+    rare = np.repeat(held <= often, held)
+    both = np.zeros((m, m), np.float32)
+    v, w = value[rare], who[rare]
+    for step in range(1, often):
+        at = np.flatnonzero(v[step:] == v[:-step])
+        np.add.at(both, (w[at], w[at + step]), np.float32(1))
+    both += both.T
+    column, w = np.repeat(np.arange((held > often).sum()), held[held > often]), who[~rare]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        member = np.zeros((m, width), np.float32)
+        member[w[lo:hi], column[lo:hi] - start] = 1
+        both += member @ member.T
+    return both
+
+
+def open_links(rows: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): classes (labels) that a link joins in a bucket whose nodes are of several. rows: bucket, node,
+    hub. Of each bucket the outsiders, in blocks, meet each other and the blocks of the hub's class."""
+    named = rows.join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("label", "node").alias("label"))
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("chief"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("node") % 1_000_003).alias("y"))
+    # of buckets with the same nodes one is enough
+    open_ = open_.filter("low <> high AND size > 2").groupBy("size", "x", "y").agg(F.min(F.struct("bucket", "chief")).alias("o")).select("o.bucket", "o.chief")
+    left = named.join(open_, "bucket").join(sets.select("node", "n"), "node").select("bucket", "node", "label", "n", (F.col("label") != F.col("chief")).cast("int").alias("out"))
+    left = stored(left, "near-open")
+
+    def blocks(side):
+        mine = F.col("out") == side
+        return F.greatest(F.lit(1), F.ceil(F.count_if(mine) / BLOCK_NODES), F.ceil(F.sum(F.when(mine, F.col("n")).otherwise(0)) * 8 / BLOCK_BYTES)).cast("int")
+
+    cut = left.groupBy("bucket").agg(blocks(1).alias("outs"), blocks(0).alias("ins"))
+    placed = left.join(cut, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("out") == 1, F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    every = F.sequence(F.lit(0), F.col("outs") - 1)
+    meets = F.when(F.col("out") == 0, F.transform(every, lambda i: F.struct(i.alias("i"), (F.col("outs") + F.col("own")).alias("j"), F.lit(1).alias("side")))).otherwise(
+        F.concat(
+            F.transform(every, lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j"), (F.col("own") > j).cast("int").alias("side"))),
+            F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda j: F.struct(F.col("own").alias("i"), (F.col("outs") + j).alias("j"), F.lit(0).alias("side"))),
+        )
+    )
+    met = placed.select("bucket", "node", "label", "n", F.explode(meets).alias("m")).select("bucket", "m.i", "m.j", "m.side", "node", "label", "n")
+
+    def compare(group):
+        import pandas as pd
+
+        label, side, n = (group[c].to_numpy() for c in ("label", "side", "n"))
+        both = common_shingles([np.frombuffer(x, np.uint64) for x in group["shingles"]])
+        good = enough(both.astype(np.float64), n[:, None], n[None, :], similarity) & (label[:, None] < label[None, :])
+        if group["i"].iloc[0] != group["j"].iloc[0]:
+            good &= side[:, None] != side[None, :]
+        a, b = np.nonzero(good)
+        return pd.DataFrame({"a": label[a], "b": label[b]}).drop_duplicates()
+
+    return met.join(sets.select("node", "shingles"), "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -280,33 +326,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
     rows = stored(rows.join(weight, "node"), "near-buckets")
     sets = stored(shingle_sets(docs, texts.join(weight.select("node"), "node", "left_semi")), "near-sets")
-    found = links = labels = None
-    rounds = 0
-    while True:
-        hubs = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
-        rows = stored(rows.join(hubs, "bucket"), "near-stars")
-        mates = rows.filter(F.col("size") <= SMALL).select("bucket", F.col("node").alias("mate"))
-        stars = rows.filter("node <> hub").select("node", "hub")
-        close = rows.filter((F.col("size") > 2) & (F.col("size") <= SMALL)).join(mates, "bucket").filter("node < mate").select("node", F.col("mate").alias("hub"))
-        pairs = stars.unionByName(close).distinct() if found is not None else stars.distinct()
-        new = compared(pairs if found is None else pairs.join(found.select("node", "hub"), ["node", "hub"], "left_anti"), sets, similarity)
-        found = new if found is None else found.unionByName(new)
-        fresh = new.filter("alike").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        if links is None or not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            labels = components(links)
-        named = rows.filter(F.col("size") > (2 if rounds == 0 else SMALL)).join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("label", "node").alias("label"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("chief"))
-        left = named.join(open_.filter("low <> high").select("bucket", "chief"), "bucket")
-        spread = stored(finer(left, found, similarity), "near-finer")
-        rounds += 1
-        # of buckets with the same nodes one is enough
-        full = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("node") % 1_000_003).alias("y"))
-        full = full.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-        rows = spread.join(full, "bucket")
-        rows = stored(rows.join(rows.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "near-buckets")
-        if rows.isEmpty():
-            break
+    hubs = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    rows = stored(rows.join(hubs, "bucket").select("bucket", "node", "hub"), "near-stars")
+    labels = components(star_links(rows.filter("node <> hub").select("node", "hub").distinct(), sets, similarity))
+    more = stored(open_links(rows, labels, sets, similarity), "near-more")
+    if not more.isEmpty():
+        joined = components(more).withColumnsRenamed({"node": "label", "label": "joined"})
+        alone = joined.join(labels, joined["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), "joined")
+        labels = labels.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")).unionByName(alone.withColumnRenamed("joined", "label"))
     of_text = texts.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     named = sketched.select("digest", F.col("doc").alias("doc_id")).join(of_text, "digest")
     size = named.groupBy("label", "digest").agg(F.min("doc_id").alias("doc_id")).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))

@@ -54,21 +54,78 @@ def test_near_duplicates_equal_brute_force(spark):
                 words[at] = f"v{rng.integers(0, 9999)}"
             rows.append((n, " ".join(words)))
             n += 1
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
+
+
+def brute_classes(rows):
+    """Connected components of all pairs with a Jaccard similarity of 0.8 or more, smallest id first."""
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
-    label = list(range(n))
+    ids, label, holders = [i for i, _ in rows], list(range(len(rows))), {}
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for i in range(n):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+    for i, s in enumerate(sets):
+        common = {}
+        for x in s:
+            for j in holders.setdefault(x, []):
+                common[j] = common.get(j, 0) + 1
+            holders[x].append(i)
+        for j, both in common.items():
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 label[b] = a
-    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == {i: find(i) for i in range(n)}
+    return {ids[i]: ids[find(i)] for i in range(len(rows))}
+
+
+def near_copies(n, edits, seed, words=100, first=0):
+    rng = np.random.default_rng(seed)
+    base = [f"b{seed}x{i}" for i in range(words)]
+    for i in range(n):
+        out = list(base)
+        for at in rng.integers(0, words, edits(rng)):
+            out[at] = f"e{rng.integers(0, 10**6)}"
+        yield first + i, " ".join(out)
+
+
+def test_large_group_of_near_copies(spark):
+    rows = list(near_copies(5000, lambda rng: int(rng.integers(0, 3)), 1))
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert len(got) == 5000 and sum(c == 0 for c in got.values()) > 4990 and got[0] == 0
+
+
+def test_outsiders_of_a_large_bucket_and_chains(spark, monkeypatch):
+    rows = list(near_copies(600, lambda rng: int(rng.integers(0, 9)), 2))
+    chain = [f"c{i}" for i in range(100)]
+    for k in range(12):  # each link of the chain drops what its predecessor began with
+        rows.append((1000 + k, " ".join(chain[6 * k :] + [f"d{i}" for i in range(6 * k)])))
+    want = brute_classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert len({want[i] for i in range(1000, 1012)}) == 1 and len(set(want.values())) > 20
+    assert classes(df) == want
+    monkeypatch.setattr(N, "BLOCK_NODES", 50)  # many blocks give the same classes
+    assert classes(df) == want
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, int(n)).astype(np.uint64)) for n in rng.integers(0, 200, 30)]
+    both = N.common_shingles(sets, often=8, width=64)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
+
+
+def test_given_documents_lose_no_link(spark):
+    import re
+
+    from tests_data import rows as table
+
+    texts = {i: " ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in table("sf0.01", "documents", "doc_id, text")}
+    long = [(i, t) for i, t in sorted(texts.items()) if len(t.split()) >= 5]
+    want = brute_classes(long)
+    docs = spark.createDataFrame(long, "doc_id long, text string")
+    assert classes(docs) == want
 
 
 def test_edge_rows(odd, none, clashing):
