@@ -310,6 +310,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, classes_: DataFrame) -> DataFrame:
+    """labels (node, label) after some labels have been joined: classes_ names each joined one's new label."""
+    joined = classes_.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    known = labels.join(joined, labels["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
+    alone = joined.join(labels.select("node"), joined["old"] == F.col("node"), "left_anti")  # nodes without a link so far
+    return known.unionByName(alone.select(F.col("old").alias("node"), F.col("new").alias("label")))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, class_id, class_texts): for each row of ``docs`` the smallest document id of its class
     and the number of different texts in it. Equal texts are one class; null counts as an empty text; texts
@@ -331,9 +339,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = components(star_links(rows.filter("node <> hub").select("node", "hub").distinct(), sets, similarity))
     more = stored(open_links(rows, labels, sets, similarity), "near-more")
     if not more.isEmpty():
-        joined = components(more).withColumnsRenamed({"node": "label", "label": "joined"})
-        alone = joined.join(labels, joined["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), "joined")
-        labels = labels.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")).unionByName(alone.withColumnRenamed("joined", "label"))
+        labels = merged(labels, components(more))
     of_text = texts.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     named = sketched.select("digest", F.col("doc").alias("doc_id")).join(of_text, "digest")
     size = named.groupBy("label", "digest").agg(F.min("doc_id").alias("doc_id")).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))

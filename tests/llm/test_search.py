@@ -109,6 +109,23 @@ def test_outsiders_of_a_large_bucket_and_chains(spark, monkeypatch):
     assert classes(df) == want
 
 
+def test_open_buckets_and_merging(spark, monkeypatch):
+    rows = list(near_copies(80, lambda rng: int(rng.integers(0, 9)), 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = docs.select(F.col("doc_id").alias("node"), N.text_digest(docs).alias("digest"), F.col("doc_id").alias("doc"))
+    sets = N.stored(N.shingle_sets(docs, wanted), "test-sets")
+    bucket = wanted.select(F.lit(1).cast("long").alias("bucket"), "node", F.lit(5).cast("long").alias("hub"))
+    none = spark.createDataFrame([], "node long, label long")
+    want = brute_classes(rows)
+    for size in (1024, 7):
+        monkeypatch.setattr(N, "BLOCK_NODES", size)
+        got = {r.node: r.label for r in N.merged(none, N.components(N.open_links(bucket, none, sets, 0.8))).collect()}
+        assert {i: got.get(i, i) for i, _ in rows} == want
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 8), (9, 8)], "node long, label long")
+    joined = spark.createDataFrame([(3, 1), (1, 1), (7, 1)], "node long, label long")
+    assert sorted(map(tuple, N.merged(labels, joined).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 1), (8, 8), (9, 8)]
+
+
 def test_common_shingles():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 300, int(n)).astype(np.uint64)) for n in rng.integers(0, 200, 30)]
