@@ -1,22 +1,25 @@
 """Language-model scoring by online logistic context mixing.
 
-Two models give a token's probability, mixed by a share that moves within each document with how well they did
-on its frequent words before. The first codes the token stream (``lm_stream``): its hashed contexts run across
-words. The second knows no order: what exact counts of the training tokens give a word, discounted by an
-absolute discount, and, for the mass so set free, the probability of its spelling. The spelling is coded bit
-by bit. Several predictors, each with counts in a table hashed by another context (the last one to five bytes,
-and the place in the word), are stretched and mixed by weights that a gate picks from how much the longest
-contexts have seen; weights are learned online on words that are left out of the counts they meet, and an
-adaptive table refines the mixed probability by its last errors. Documents differ in kind (in language, say):
-each names one of a few kinds, found by clustering, and pays for naming it; counts are kept per kind and back
-off to those of all. Counts cover all training documents. Frequent words (a fixed number) go to all executors,
-the rest meet their exact counts by a join.
+A text is a stream of tokens. Each token of the vocabulary (the most frequent training words, the end token, and
+one symbol for all rarer words) has a prefix code after its count, and is coded in the decisions of its path.
+Predictors look at what came before, across words: nothing (the decision's own counts, exact), the word before,
+the two words before, and the last two very frequent words, which tell language and style. Their hashed counts
+are mixed by gated weights and refined (``lm_mixer``). A rarer word pays for its symbol in that stream, and
+then for which of them it is: by its exact count, absolutely discounted, and for the mass so set free by its
+spelling, whose bytes are coded bit by bit by a second mixer over the last one to six bytes. That second part
+doesn't depend on what came before, so it is computed once for each distinct word.
+
+Counts cover all training tokens. Tasks count into tables of a bounded size, learn weights as they go, and
+Spark adds the tables up; the summed tables, two bytes a slot, and the vocabulary are broadcast, both of a
+bounded size. Rarer words meet their exact counts by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,25 +28,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import lm_stream
 from regspark.llm.common import LOWER_ASCII, bounded_batches, require, stored, table
+from regspark.llm.lm_mixer import Code, Mixer, Tables, mix, settled
 
 NAME = "op5_lm_scoring"
 ORACLE_SQL = None  # the model's score has no SQL; tests recompute the base score and the model by brute force
 ALPHA = 0.1
-#: Bits of each predictor's table: bytes before (1 to 5), and the place in the word with one byte.
-TABLES = (16, 19, 20, 20, 20, 18)
-#: Words whose scores all executors hold, words that mixing weights are learned on at most, and words
-#: that one task counts spellings of, about.
-HOT_WORDS, LEARN_WORDS, TASK_WORDS = 100_000, 30_000, 1_000_000
-HOT_BYTES, FLUSH = 48, 400_000
-#: How much of the share between the two models is evened out at each token.
-EVEN = 0.02
-_OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
-_BLOCK = 1 << 16
-_GATES, _STEPS = 64, 33
-#: Kinds of documents; the texts and frequent words they are found from.
-KINDS, KIND_TEXTS, KIND_WORDS = 6, 3000, 2000
+#: Words of the vocabulary at most, the count they need, and bytes beyond which a word goes by its digest.
+VOCABULARY, LEAST_COUNT, KEY_BYTES = 1 << 17, 2, 64
+#: Very frequent words that contexts remember.
+FREQUENT = 32
+#: Bits of a hashed table: as many slots as there are training tokens, within these.
+LEAST_BITS, MOST_BITS = 16, 21
+#: Tokens and distinct words that one task counts, about; a word map that is full is handed on.
+TASK_TOKENS, TASK_WORDS, FLUSH = 20_000_000, 1_000_000, 400_000
+#: Orders of the spelling's contexts; entries of a block of counts; blocks added up at once.
+ORDERS, BLOCK, FAN = (1, 2, 3, 4, 6), 1 << 16, 32
+_GROUP, _SLICE, _PADS = 1 << 15, 2048, 3
 _U = np.uint64
 
 
@@ -54,326 +55,318 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-# -- spelling model ----------------------------------------------------------------------------
-def walk(words: list[bytes]):
-    """For each place and bit of a batch of words (a word ends with byte 32): the words' rows, each
-    predictor's slot, and the bit."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    ends = np.cumsum(sizes)
-    flat = np.frombuffer(b"".join([words[i] for i in order]) + b"\0", np.uint8)
-    start = ends - sizes
-    last = [np.full(len(words), 32, np.uint64) for _ in range(5)]
-    for i in range(int(sizes[0]) + 1 if len(sizes) else 0):
-        n = int(np.searchsorted(-sizes, -i, "right"))  # words of at least i bytes
-        byte = np.where(sizes[:n] > i, flat[np.minimum(start[:n] + i, len(flat) - 1)], 32).astype(np.uint64)
-        last = [x[:n] for x in last]
-        h, bases = np.zeros(n, np.uint64), []
-        for k in range(5):
-            h = (h + last[k] + _U(1)) * _U(0x9E3779B97F4A7C15)
-            bases.append(h)
-        bases.append((_U(min(i, 24) << 8) + last[0] + _U(7)) * _U(0xD6E8FEB86659FD93))
-        node = np.ones(n, np.uint64)
-        for shift in range(7, -1, -1):
-            bit = (byte >> _U(shift)) & _U(1)
-            slots = [((b ^ (node * _U(0xA0761D6478BD642F))) * _U(0xE7037ED1A0B428DB) >> _U(64 - w)).astype(np.int64) + o for b, w, o in zip(bases, TABLES, _OFFSETS, strict=False)]
-            yield order[:n], slots, bit.astype(np.int64)
-            node = node << _U(1) | bit
-        last = [byte, *last[:4]]
-
-
-def chunks(words: list[bytes], size: int = 20_000, long: int = 64):
-    """Batches of words of like length, so that a very long word is alone."""
-    short = [i for i, w in enumerate(words) if len(w) <= long]
-    for at in range(0, len(short), size):
-        yield short[at : at + size]
-    for i, w in enumerate(words):
-        if len(w) > long:
-            yield [i]
+def key(word: bytes) -> bytes:
+    """The word, or for a long one its digest behind a byte that no text holds."""
+    return word if len(word) <= KEY_BYTES else b"\xff" + hashlib.sha256(word).digest()
 
 
-@dataclass
-class Spelling:
-    stretch: np.ndarray  # of each slot
-    seen: np.ndarray  # a small number for how often
-    weights: np.ndarray  # gates x predictors
-    refine: np.ndarray  # gates x steps
-
-    @staticmethod
-    def inputs(zeros, ones):
-        p = (ones + 0.02) / (zeros + ones + 0.04)
-        return np.clip(np.log(p / (1 - p)), -8, 8).astype(np.float32), np.minimum(np.log2(zeros + ones + 1), 7).astype(np.uint8)
-
-    @staticmethod
-    def gate(seen5, seen4, seen3):
-        return np.where(seen5 > 1, 32 + seen5 * 4, np.where(seen4 > 1, 16 + seen4 * 2, seen3)).astype(np.int64)
-
-    def mix(self, x, gate):
-        return np.clip((self.weights[gate] * x).sum(axis=1), -12, 12)
-
-    def refined(self, mixed, gate):
-        """The mixed probability, averaged with the refining table between its two next steps."""
-        at = (mixed + 12) * ((_STEPS - 1) / 24)
-        low = np.minimum(at.astype(np.int64), _STEPS - 2)
-        part = at - low
-        p = 1 / (1 + np.exp(-mixed))
-        return 0.5 * p + 0.5 * ((1 - part) * self.refine[gate, low] + part * self.refine[gate, low + 1])
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """Log10 of each word's spelling's probability; over all byte strings they sum to one at most."""
-        out = np.zeros(len(words))
-        for rows in chunks(words):
-            got = np.zeros(len(rows))
-            for at, slots, bit in walk([words[i] for i in rows]):
-                x = np.stack([self.stretch[s] for s in slots], axis=1)
-                gate = self.gate(self.seen[slots[4]].astype(np.int64), self.seen[slots[3]].astype(np.int64), self.seen[slots[2]].astype(np.int64))
-                p = np.clip(self.refined(self.mix(x, gate), gate), 1e-6, 1 - 1e-6)
-                got[at] += np.log10(np.where(bit == 1, p, 1 - p))
-            out[rows] = got
-        return out
-
-    @classmethod
-    def learn(cls, counts: np.ndarray, sample: list[bytes], rate: float = 0.02) -> Spelling:
-        """Online: one pass over the sample in small batches; each word is taken out of the counts it meets."""
-        stretch, seen = cls.inputs(counts[0], counts[1])
-        steps = (np.arange(_STEPS) * 24 / (_STEPS - 1)) - 12
-        made = cls(stretch, seen, np.full((_GATES, len(TABLES)), 1.0 / 3, np.float32), np.tile(1 / (1 + np.exp(-steps)), (_GATES, 1)))
-        rng = np.random.default_rng(5)
-        order = rng.permutation(len(sample))
-        for at in range(0, len(order), 200):
-            for _, slots, bit in walk([sample[i] for i in order[at : at + 200]]):
-                zeros = np.stack([counts[0][s] for s in slots]) - (bit == 0)
-                ones = np.stack([counts[1][s] for s in slots]) - (bit == 1)
-                x, level = cls.inputs(np.maximum(zeros, 0), np.maximum(ones, 0))
-                x, level = x.T, level.astype(np.int64)
-                gate = cls.gate(level[4], level[3], level[2])
-                mixed = made.mix(x, gate)
-                error = bit - 1 / (1 + np.exp(-mixed))
-                slope, hits = np.zeros_like(made.weights), np.bincount(gate, minlength=_GATES)
-                np.add.at(slope, gate, error[:, None] * x)  # the mean step of each gate that was used
-                made.weights += rate / (1 + at / 6000) * slope / np.maximum(hits, 1)[:, None]
-                near = np.rint((mixed + 12) * ((_STEPS - 1) / 24)).astype(np.int64)
-                np.add.at(made.refine, (gate, near), 0.005 * (bit - made.refine[gate, near]))
-        made.refine = np.clip(made.refine, 1e-5, 1 - 1e-5)
-        return made
-
-
-def count_spellings(words: DataFrame, n_words: int) -> np.ndarray:
-    """2 x slots: how often each predictor's context saw a zero and a one, over all distinct words. Tasks
-    count into tables of a fixed size; their blocks are added up in two rounds."""
+# -- counting words ----------------------------------------------------------------------------
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, word, c): every distinct word of ``docs`` (text, learn) with its count in rows that are learned
+    from; ``word`` only where the key is a digest."""
 
     def run(batches):
-        n = int(_OFFSETS[-1])
-        flat = np.zeros(2 * n, np.float32)  # zeros first, then ones
-        for b in batches:
-            ws = b.column(0).to_pylist()
-            for rows in chunks(ws):
-                for _, slots, bit in walk([ws[i] for i in rows]):
-                    for s in slots:
-                        np.add.at(flat, s + bit * n, np.float32(1))
-        parts = [i for i in range(0, len(flat), _BLOCK) if flat[i : i + _BLOCK].any()]
-        for i in parts:
-            yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK], pa.int32()), pa.array([flat[i : i + _BLOCK].tobytes()], pa.binary())], ["block", "data"])
+        seen: tuple[Counter, Counter] = (Counter(), Counter())  # words that aren't learned, and those that are
 
-    def add(group):
-        import pandas as pd
+        def put():
+            words = [w for part in seen for w in part]
+            n = [0] * len(seen[0]) + list(seen[1].values())
+            long = [w if len(w) > KEY_BYTES else None for w in words]
+            return pa.RecordBatch.from_arrays([pa.array([key(w) for w in words], pa.binary()), pa.array(long, pa.binary()), pa.array(n, pa.int64())], ["key", "word", "c"])
 
-        total = np.zeros(_BLOCK, np.float64)
-        for x in group["data"]:
-            part = np.frombuffer(x, np.float32)
-            total[: len(part)] += part
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
+        for b in batches:
+            for text, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[bool(learn)].update(tokens(text))
+            if len(seen[0]) + len(seen[1]) > FLUSH:
+                yield put()
+                seen = (Counter(), Counter())
+        yield put()
 
-    tasks = max(1, -(-n_words // TASK_WORDS))
-    parts = words.select("word").repartition(tasks).mapInArrow(run, "block int, data binary")
-    parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(max(1, tasks // 32)))).groupBy("block", "salt").applyInPandas(add, "block int, data binary")
-    blocks = parts.groupBy("block").applyInPandas(add, "block int, data binary")
-    flat = np.zeros(-(-2 * int(_OFFSETS[-1]) // _BLOCK) * _BLOCK, np.float32)
-    for r in blocks.collect():  # the tables, whose size is fixed
-        flat[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["data"], np.float32)
-    return flat[: 2 * int(_OFFSETS[-1])].reshape(2, -1)
+    counted = bounded_batches(docs.select("text", "learn")).mapInArrow(run, "key binary, word binary, c long")
+    return stored(counted.groupBy("key").agg(F.max("word").alias("word"), F.sum("c").alias("c")), "lm-words")
 
 
-# -- corpus ------------------------------------------------------------------------------------
 @dataclass
-class Kinds:
-    """Clusters of documents by their frequent words."""
+class Vocabulary:
+    """Symbols from 1, by falling count; 0 stands for all other words."""
+
+    index: dict[bytes, int]
+    counts: np.ndarray
+    code: Code
+    total: int  # training tokens
+    distinct: int
+    rare_total: int  # training tokens outside the vocabulary, their distinct words, and how much a count gives up
+    rare_distinct: int
+    discount: float
 
-    vocabulary: dict[bytes, int]
-    centers: np.ndarray  # words x kinds
+    @classmethod
+    def of(cls, words: DataFrame) -> Vocabulary:
+        end = F.octet_length("key") == 0
+        best = words.filter((F.col("c") >= LEAST_COUNT) | end).orderBy(F.desc("c"), "key").limit(VOCABULARY).select("key", "c").toArrow()
+        keys, counts = best.column(0).to_pylist(), best.column(1).to_numpy().astype(np.int64)
+        if b"" not in keys:  # fewer documents than other words have occurrences, or none at all
+            found = words.filter(end).select("c").first()
+            keys, counts = [*keys, b""], np.concatenate([counts, [found["c"] if found else 0]])
+        n, v, one, two = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+        counts = np.concatenate([[0], counts])
+        rest = int(n - counts.sum())
+        code = Code([max(rest, 1), *(max(int(c), 1) for c in counts[1:])])
+        return cls({k: i + 1 for i, k in enumerate(keys)}, counts, code, int(n), int(v), rest, int(v - (counts > 0).sum()), (one + 0.5) / (one + 2 * two + 1))
 
-    def of(self, counted: Counter) -> int:
-        at = [(i, n) for w, n in counted.items() if (i := self.vocabulary.get(w)) is not None]
-        if not at or self.centers.shape[1] < 2:
-            return 0
-        i, n = np.array(at).T
-        return int((np.sqrt(n) @ self.centers[i]).argmax())
+    def base(self, c):
+        return np.log10((np.asarray(c, float) + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        get = self.index.get
+        out = [get(w, 0) for w in words]
+        for i, n in enumerate(out):
+            if not n and len(words[i]) > KEY_BYTES:
+                out[i] = get(key(words[i]), 0)
+        return out
 
-    @classmethod
-    def fit(cls, docs: DataFrame, n: int) -> Kinds:
-        """Spherical k-means over up to KIND_TEXTS texts (a documented bound) of the n that are learned from."""
-        share = min(1.0, KIND_TEXTS / max(1, n))
-        chosen = docs.filter(F.col("learn") & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))).select("text")
-
-        def run(batches):
-            for b in batches:
-                found = [Counter(w for w in tokens(t) if 0 < len(w) <= HOT_BYTES).most_common(300) for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in f] for f in found], pa.list_(pa.binary())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int64()))], ["words", "n"])
-
-        got = bounded_batches(chosen).mapInArrow(run, "words array<binary>, n array<long>").limit(2 * KIND_TEXTS).collect()
-        rows = sorted(([bytes(w) for w in r["words"]], list(r["n"])) for r in got)
-        total = Counter()
-        for ws, ns in rows:
-            total.update(dict(zip(ws, ns, strict=True)))
-        vocabulary = {w: i for i, (w, _) in enumerate(sorted(total.items(), key=lambda x: (-x[1], x[0]))[:KIND_WORDS])}
-        m = np.zeros((len(rows), max(1, len(vocabulary))), np.float32)
-        for i, (ws, ns) in enumerate(rows):
-            for w, c in zip(ws, ns, strict=True):
-                if w in vocabulary:
-                    m[i, vocabulary[w]] = math.sqrt(c)
-        m = m[m.any(axis=1)]
-        if not len(m):
-            return cls(vocabulary, np.zeros((m.shape[1], 1), np.float32))
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        m = unit(m * np.log((1 + len(m)) / (1 + (m > 0).sum(axis=0))).clip(0.1).astype(np.float32))
-        centers = m[:1]
-        for _ in range(min(KINDS, len(m)) - 1):
-            centers = np.concatenate([centers, m[(m @ centers.T).max(axis=1).argmin()][None]])
-        for _ in range(15):
-            near = (m @ centers.T).argmax(axis=1)
-            centers = unit(np.stack([m[near == k].sum(axis=0) if (near == k).any() else centers[k] for k in range(len(centers))]))
-        idf = np.log((1 + len(m)) / (1 + (m > 0).sum(axis=0))).clip(0.1)
-        return cls(vocabulary, (centers * idf).T.astype(np.float32))
-
-
-def word_counts(docs: DataFrame, kinds: Kinds) -> DataFrame:
-    """(word, c, by): every distinct word of ``docs`` (text, learn) with its count in rows that are learned
-    from, and that of each kind."""
-    sent = docs.sparkSession.sparkContext.broadcast(kinds)
+    def rare(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Log10 of the probability of words outside the vocabulary, given that one comes."""
+        if not self.rare_total:
+            return spelled
+        with np.errstate(divide="ignore"):
+            kept = np.log10(np.maximum(c - self.discount, 0) / self.rare_total)
+        free = math.log10(self.discount * max(self.rare_distinct, 1) / self.rare_total)
+        return np.logaddexp(kept * math.log(10), (np.minimum(free, 0) + spelled) * math.log(10)) / math.log(10)
+
+
+# -- the token stream --------------------------------------------------------------------------
+def stream(vocabulary: Vocabulary, documents, tables: Tables):
+    """For slices of the token stream of ``documents`` (lists of words with their symbols): the documents'
+    places in their group, the slots and bits of all decisions, and at the end of each group its size."""
+    end = vocabulary.index[b""]
+    pad = [end] * _PADS
+
+    def group(docs):
+        symbol = np.array([n for _, ns in docs for x in (pad, ns) for n in x], np.int64)
+        name = symbol.astype(np.uint64)
+        other = symbol == 0
+        name[other] = [(1 << 32) + int.from_bytes(w[-2:], "big") for ws, ns in docs for w, n in zip(ws, ns, strict=True) if not n]
+        often = np.maximum.accumulate(np.where((symbol > 0) & (symbol <= FREQUENT) | (symbol == end), np.arange(len(symbol)), 0))
+        sizes = np.array([len(ns) for _, ns in docs])
+        of = np.repeat(np.arange(len(docs)), sizes)
+        place = np.arange(len(of)) + _PADS * (of + 1)
+        for at in range(0, len(of), _SLICE):
+            here = place[at : at + _SLICE]
+            last = often[here - 1]
+            a, b = name[last], name[often[last - 1]]
+            one, two = name[here - 1], name[here - 2]
+            contexts = [mix(one + _U(1 << 40)), mix(mix(one + _U(2 << 40)) + two), mix((np.minimum(a, b) << _U(20) | np.maximum(a, b)) + _U(3 << 50))]
+            symbols, node, bit = vocabulary.code.decisions(symbol[here])
+            yield of[at : at + _SLICE][symbols], tables.slots(contexts, symbols, node), bit
+
+    held, n = [], 0
+    for doc in documents:
+        held.append(doc)
+        n += len(doc[1])
+        if n >= _GROUP:
+            yield held, group(held)
+            held, n = [], 0
+    if held:
+        yield held, group(held)
+
+
+def stream_mixer(tables: Tables) -> Mixer:
+    return Mixer(tables, (2, 1))
+
+
+# -- spelling ----------------------------------------------------------------------------------
+def spell(words: list[bytes], tables: Tables):
+    """For slices of the words' bytes, each word ended by a space: the words' places, slots and bits."""
+    at = 0
+    while at < len(words):
+        stop, size = at, 0
+        while stop < len(words) and size < 4 * _SLICE:
+            size += len(words[stop]) + 1
+            stop += 1
+        pads = max(ORDERS)
+        flat = np.frombuffer(b"".join(b" " * pads + w + b" " for w in words[at:stop]), np.uint8).astype(np.uint64)
+        sizes = np.array([len(w) + 1 for w in words[at:stop]])
+        of = np.repeat(np.arange(stop - at), sizes)
+        place = np.arange(len(of)) + pads * (of + 1)
+        for cut in range(0, len(place), 4 * _SLICE):  # a very long word is coded in parts
+            here = place[cut : cut + 4 * _SLICE]
+            h, contexts = np.zeros(len(here), np.uint64), []
+            for k in range(1, pads + 1):
+                h = (h + flat[here - k] + _U(1)) * _U(0x9E3779B97F4A7C15)
+                if k in ORDERS:
+                    contexts.append(mix(h + _U(k)))
+            byte = flat[here].astype(np.int64)
+            node = np.stack([(byte | 256) >> (8 - i) for i in range(8)], axis=1).ravel()
+            bit = np.stack([byte >> (7 - i) & 1 for i in range(8)], axis=1).ravel()
+            places = np.repeat(np.arange(len(here)), 8)
+            yield at + of[cut : cut + 4 * _SLICE][places], tables.slots(contexts, places, node), bit
+        at = stop
+
+
+def spelling_mixer(tables: Tables) -> Mixer:
+    return Mixer(tables, (4, 3))
+
+
+# -- learning ----------------------------------------------------------------------------------
+def fitted(rows: DataFrame, tasks: int, mixer: Callable[[], Mixer], feed) -> Mixer:
+    """A mixer that has learned from all ``rows``, in about ``tasks`` tasks; ``feed(batch)`` gives the slots and
+    bits of an Arrow batch. Tables are added up block by block, FAN tasks at a time."""
 
     def run(batches):
-        kinds = sent.value
-        seen: list[Counter] = [Counter() for _ in range(KINDS + 1)]  # the last: words that aren't learned
+        m = mixer().begin()
+        for b in batches:
+            for slots, bit in feed(b):
+                m.learn(slots, bit)
+        part, flat = TaskContext.get().partitionId(), m.counts.reshape(-1)
 
-        def put():
-            rows = [(w, k, c if k < KINDS else 0) for k, words in enumerate(seen) for w, c in words.items()]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["word", "kind", "c"])
+        def block(i, data):
+            return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["block", "part", "data"])
 
-        for b in batches:
-            for text, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counted = Counter(tokens(text))
-                seen[kinds.of(counted) if learn else KINDS].update(counted)
-            if sum(map(len, seen)) > FLUSH:
-                yield put()
-                seen = [Counter() for _ in range(KINDS + 1)]
-        yield put()
+        yield block(-1, m.learned())
+        for i in range(0, len(flat), BLOCK):
+            if flat[i : i + BLOCK].any():
+                yield block(i // BLOCK, flat[i : i + BLOCK].astype(np.float32))
 
-    counted = bounded_batches(docs.select("text", "learn")).mapInArrow(run, "word binary, kind int, c long")
-    by = [F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(f"k{k}") for k in range(KINDS)]
-    counted = counted.groupBy("word").agg(F.sum("c").alias("c"), *by)
-    return stored(counted.select("word", "c", F.array(*[f"k{k}" for k in range(KINDS)]).alias("by")), "lm-words")
+    def total(group):
+        kind = np.float64 if group["block"].iloc[0] < 0 else np.float32
+        return sum(np.frombuffer(x, kind).astype(np.float64) for x in group["data"]), kind
 
+    def add(group):
+        data, kind = total(group)
+        return group.iloc[:1].assign(data=[data.astype(kind).tobytes()])
 
-@dataclass
-class Corpus:
-    """Token totals, distinct words and discounts: of all training documents first, then of each kind."""
+    def finish(group):
+        data, kind = total(group)
+        return group.iloc[:1].assign(data=[data.tobytes() if kind is np.float64 else settled(data.reshape(-1, 2)).tobytes()])
 
-    total: np.ndarray
-    distinct: np.ndarray
-    discount: np.ndarray
-    prior: np.ndarray  # log10 of each kind's share of documents
+    schema = "block int, part int, data binary"
+    parts = bounded_batches(rows.coalesce(tasks), 512).mapInArrow(run, schema)
+    while tasks > FAN:
+        parts = parts.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInPandas(add, schema)
+        tasks = -(-tasks // FAN)
+    made = mixer()
+    learned, out = np.zeros(len(made.learned())), np.zeros(made.tables.size, np.int16)
+    for r in parts.groupBy("block").applyInPandas(finish, schema).collect():  # two bytes a slot
+        if r["block"] < 0:
+            learned = np.frombuffer(r["data"], np.float64)
+        else:
+            out[r["block"] * BLOCK // 2 : (r["block"] + 1) * BLOCK // 2] = np.frombuffer(r["data"], np.int16)
+    return made.settle(learned, out)
 
-    @classmethod
-    def of(cls, words: DataFrame) -> Corpus:
-        columns = [F.col("c"), *[F.col("by")[k] for k in range(KINDS)]]
-        parts = [f(c) for c in columns for f in (F.sum, lambda c: F.count_if(c > 0), lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2))]
-        got = np.array([x or 0 for x in words.agg(*[p.alias(f"a{i}") for i, p in enumerate(parts)]).first()]).reshape(-1, 4)
-        ends = words.filter(F.octet_length("word") == 0).select("by").first()
-        docs = np.array(ends["by"] if ends else [0] * KINDS, float) + 0.5
-        return cls(got[:, 0], got[:, 1], np.clip((got[:, 2] + 0.5) / (got[:, 2] + 2 * got[:, 3] + 1), 0.05, 0.95), np.log10(docs / docs.sum()))
 
-    def base(self, c):
-        return np.log10((np.asarray(c, float) + ALPHA) / (self.total[0] + ALPHA * (self.distinct[0] + 1)))
+def bits_for(n: int, least: int = LEAST_BITS, most: int = MOST_BITS) -> int:
+    return min(most, max(least, math.ceil(math.log2(n + 1))))
+
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    stream: Mixer
+    spelling: Mixer
+    words: DataFrame  # key, word, c
+
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """Log10 of the probability of each word's bytes; over all byte strings they sum to one at most."""
+        out = np.zeros(len(words))
+        for of, slots, bit in spell(words, self.spelling.tables):
+            out += np.bincount(of, self.spelling.log10(slots, bit), len(words))
+        return out
 
-    def model(self, c, by, spelled):
-        """Log10 probability of words (rows) in each kind: discounted counts of the kind, then of all, then
-        the spelling."""
-        p = np.power(10.0, np.maximum(spelled, -290))[:, None]
-        for counts, row in ((np.asarray(c, float)[:, None], slice(0, 1)), (np.asarray(by, float), slice(1, None))):
-            total, d = np.maximum(self.total[row], 1), self.discount[row]
-            free = np.where(self.total[row] > 0, d * self.distinct[row] / total, 1.0)
-            p = np.maximum(counts - d, 0) / total + free * p
-        return np.log10(p + 1e-300)
+    def streamed(self, documents):
+        """(documents, their log10 probabilities as symbols) by groups; documents: words and symbols."""
+        for docs, slices in stream(self.vocabulary, documents, self.stream.tables):
+            out = np.zeros(len(docs))
+            for of, slots, bit in slices:
+                out += np.bincount(of, self.stream.log10(slots, bit), len(docs))
+            yield docs, out
 
 
+def fit(docs: DataFrame) -> Model:
+    """Learns from rows (text, learn)."""
+    spark = docs.sparkSession
+    words = word_counts(docs)
+    vocabulary = Vocabulary.of(words)
+    sent = spark.sparkContext.broadcast(vocabulary)
+    tables = Tables(vocabulary.code.nodes, 3, bits_for(vocabulary.total))
+    spelling_tables = Tables(256, len(ORDERS), bits_for(16 * vocabulary.distinct, most=MOST_BITS - 1))
+    cores = spark.sparkContext.defaultParallelism
+
+    def feed_text(b):
+        v = sent.value
+        texts = (tokens(t) for t in b.column(0).to_pylist())
+        for _, slices in stream(v, ((ws, v.numbers(ws)) for ws in texts), tables):
+            for _, slots, bit in slices:
+                yield slots, bit
+
+    def feed_words(b):
+        for _, slots, bit in spell([w if w is not None else k for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], spelling_tables):
+            yield slots, bit
+
+    streamed = fitted(docs.filter("learn").select("text"), max(cores, vocabulary.total // TASK_TOKENS), lambda: stream_mixer(tables), feed_text)
+    spelled = fitted(words.filter("c > 0").select("key", "word"), max(cores, vocabulary.distinct // TASK_WORDS), lambda: spelling_mixer(spelling_tables), feed_words)
+    return Model(vocabulary, streamed, spelled, words)
+
+
+# -- scoring -----------------------------------------------------------------------------------
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, learn): doc_id, n_tokens, n_known, train_tokens, base_score,
     score, n_bytes. Null texts are empty (one end token). With nothing to learn from, counts are 0 and the
-    score is the untrained spelling's. Repeated rows are scored each."""
+    score is that of untrained mixers. Repeated rows, and rows of the same or no id, are scored each. An empty
+    table gives an empty result."""
     spark = docs.sparkSession
-    kinds = Kinds.fit(docs, docs.filter("learn").count())
-    words = word_counts(docs, kinds)
-    corpus = Corpus.of(words)
-    learned = words.filter("c > 0")
-    counts = count_spellings(learned, int(corpus.distinct[0]))
-    share = min(1.0, LEARN_WORDS / max(1, int(corpus.distinct[0])))
-    sample = learned.filter(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(share * 1_000_000)).select("word").limit(2 * LEARN_WORDS).collect()
-    spelling = Spelling.learn(counts, sorted(bytes(r["word"]) for r in sample))
-    del counts
-    sent = spark.sparkContext.broadcast((corpus, spelling))
-
-    def spell(batches):
-        corpus, spelling = sent.value
+    model = fit(docs)
+    words, model.words = model.words, None
+    sent = spark.sparkContext.broadcast(model)
+    total = model.vocabulary.total
+
+    def rare(batches):
+        m = sent.value
         for b in batches:
-            c = b.column(1).to_numpy()
-            logs = spelling.log10(b.column(0).to_pylist())
-            by = b.column(2).flatten().to_numpy().reshape(-1, KINDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(corpus.base(c)), pa.array(corpus.model(c, by, logs).tolist(), pa.list_(pa.float64()))], ["word", "c", "base", "model"])
+            rows = [(k, w if w is not None else k, c) for k, w, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if k not in m.vocabulary.index]
+            c = np.array([r[2] for r in rows], np.int64)
+            logs = m.vocabulary.rare(c.astype(float), m.spelled([r[1] for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array(c > 0), pa.array(m.vocabulary.base(c)), pa.array(logs)], ["key", "known", "base", "model"])
 
-    scored = stored(bounded_batches(words, 20_000).mapInArrow(spell, "word binary, c long, base double, model array<double>"), "lm-scores")
-    best = scored.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()
-    hot = spark.sparkContext.broadcast((kinds, corpus.prior, {bytes(r["word"]): (r["base"], tuple(r["model"]), r["c"] > 0) for r in best}))  # HOT_WORDS rows
-    del best
-    streams = spark.sparkContext.broadcast(lm_stream.fit(docs, tokens))
+    rares = bounded_batches(words, 20_000).mapInArrow(rare, "key binary, known boolean, base double, model double")
 
     def look_up(batches):
-        """A row of each document with its sums over frequent words, and one of each other token in it (its
-        kind in ``seen``, the stream's share in ``base`` and its score in ``model``)."""
-        (kinds, prior, known), stream = hot.value, streams.value
-        row = TaskContext.get().partitionId() << 40
+        """A row of each document with its sums over the vocabulary, and one of each other word in it."""
+        m = sent.value
+        v, row = m.vocabulary, TaskContext.get().partitionId() << 40
+        base, known = v.base(v.counts), v.counts > 0
+        base[0] = 0.0
         for b in batches:
-            out: list[tuple] = []
-            words = [tokens(t) for t in b.column(1).to_pylist()]
-            for doc, text, found, streamed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words, stream.log10(words), strict=True):
-                kind = kinds.of(Counter(found))
-                base, model, seen, share = 0.0, float(prior[kind]), 0, 0.5
-                row += 1
-                for w, s in zip(found, streamed.tolist(), strict=True):
-                    if (x := known.get(w)) is None:
-                        out.append((row, None, None, None, kind, share, s, w))
-                    else:
-                        first = share * 10.0 ** max(s, -300.0)
-                        both = first + (1 - share) * 10.0 ** x[1][kind]
-                        base += x[0]
-                        model += math.log10(both)
-                        seen += x[2]
-                        share = EVEN / 2 + (1 - EVEN) * first / both
-                out.append((row, doc, len(found), len((text or "").encode("utf-8", "replace")), seen, base, model, None))
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["row", "doc_id", "n_tokens", "n_bytes", "seen", "base", "model", "word"])
-
-    schema = "row long, doc_id long, n_tokens long, n_bytes long, seen long, base double, model double, word binary"
-    looked = stored(bounded_batches(docs.select("doc_id", "text"), 512).mapInArrow(look_up, schema), "lm-looked")
-    rare = looked.filter("word IS NOT NULL").select("row", "word", F.col("seen").cast("int").alias("kind"), F.col("base").alias("share"), F.col("model").alias("streamed")).join(scored, "word")
-    first, second = F.log10("share") + F.col("streamed"), F.log10(1 - F.col("share")) + F.element_at("model", F.col("kind") + 1)
-    mixed = F.greatest(first, second) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(first - second)))
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("n_bytes"), F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("seen"), "base", mixed.alias("model"))
-    both = looked.filter("word IS NULL").drop("word").unionByName(rare)
-    out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("seen").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(corpus.total[0])).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            sizes = [len((t or "").encode("utf-8", "replace")) for t in texts]
+            at = 0
+            for docs_, logs in m.streamed((ws, v.numbers(ws)) for ws in map(tokens, texts)):
+                rows, keys, counts, whole = [], [], [], []
+                for (ws, ns), log in zip(docs_, logs.tolist(), strict=True):
+                    row += 1
+                    n = np.array(ns)
+                    rows.append(row)
+                    keys.append(b"\xff\xff" + row.to_bytes(8, "big"))  # meets no word
+                    counts.append(0)
+                    whole.append({"doc_id": ids[at], "n_tokens": len(ws), "n_bytes": sizes[at], "seen": int(known[n].sum()), "base": float(base[n].sum()), "model": log})
+                    at += 1
+                    for k, c in Counter(key(w) for w, i in zip(ws, ns, strict=True) if not i).items():
+                        rows.append(row)
+                        keys.append(k)
+                        counts.append(c)
+                        whole.append(None)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(whole, doc_type)], ["row", "key", "n", "doc"])
+
+    doc_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    schema = "row long, key binary, n int, doc struct<doc_id:long, n_tokens:long, n_bytes:long, seen:long, base:double, model:double>"
+    looked = bounded_batches(docs.select("doc_id", "text"), 512).mapInArrow(look_up, schema).join(rares, "key", "left")
+    whole = F.col("doc").isNotNull()
+    out = looked.groupBy("row").agg(
+        F.max("doc.doc_id").alias("doc_id"), F.max("doc.n_tokens").alias("n_tokens"), F.max("doc.n_bytes").alias("n_bytes"),
+        F.sum(F.when(whole, F.col("doc.seen")).otherwise(F.when(F.col("known"), F.col("n")).otherwise(0))).alias("n_known"),
+        F.sum(F.when(whole, F.col("doc.base")).otherwise(F.col("n") * F.col("base"))).alias("base_score"),
+        F.sum(F.when(whole, F.col("doc.model")).otherwise(F.col("n") * F.col("model"))).alias("score"),
+    )
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
 
 
 def held_out(doc_id):
@@ -381,6 +374,8 @@ def held_out(doc_id):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all rows of ``documents``, learning from those that aren't held out; see ``score`` for nulls,
+    empty tables and repeats. Rows without an id are learned from."""
     docs = require(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = score(docs.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("learn")))
     bits = -F.col("score") * math.log2(10)

@@ -64,18 +64,118 @@ def test_lm_base_and_model(spark):
         assert r.score < 0 and r.bits_per_byte > 0
 
 
-def test_spelling_probabilities_sum_to_at_most_one():
-    words = [b"the", b"then", b"than", b"a", b""] * 3
-    counts = np.zeros((2, int(lm_score._OFFSETS[-1])), np.float32)
-    for _, slots, bit in lm_score.walk(words):
-        for s in slots:
-            np.add.at(counts, (bit, s), 1)
-    model = lm_score.Spelling.learn(counts, words)
+def learned(spark, texts):
+    from pyspark.sql import functions as F
+
+    return lm_score.fit(spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.lit(True).alias("learn")))
+
+
+def test_probabilities_sum_to_at_most_one(spark):
+    import random
+
+    r = random.Random(3)
+    model = learned(spark, [" ".join(r.choice(["a", "bc", "the", "then", f"w{r.randint(0, 99)}"]) for _ in range(300)) for _ in range(20)])
     one = [b"", *[bytes([b]) for b in range(256) if b != 32]]
-    total = (10 ** model.log10(one)).sum()
-    assert 0.01 < total <= 1 + 1e-6
-    long = model.log10([b"x" * 5000, b"the"])
+    assert 0.01 < (10 ** model.spelled(one)).sum() <= 1 + 1e-6
+    v = model.vocabulary
+    after = [b"the", b"a"]
+
+    def logs(docs):
+        return np.concatenate([out for _, out in model.streamed([(ws, v.numbers(ws)) for ws in docs])])
+
+    begun, every = logs([after]), logs([[*after, w] for w in [*v.index, b"no such word"]])
+    assert abs((10 ** (every - begun[0])).sum() - 1) < 1e-6
+    long = model.spelled([b"x" * 50_000, b"the"])
     assert np.isfinite(long).all() and long[1] > long[0]
+    total = v.rare(np.array([1.0] * v.rare_distinct), np.full(v.rare_distinct, -300.0))
+    assert (10**total).sum() <= 1
+
+
+def brute_log10(mixer, symbol, contexts):
+    """The decisions of a symbol, one by one, with whole numbers of any size."""
+    from regspark.llm.lm_mixer import CLIP, LEVELS, STEPS
+
+    full, tables, total = (1 << 64) - 1, mixer.tables, 0.0
+    for node, bit in symbol:
+        slots = [node]
+        for c, at in zip(contexts, tables.offsets[1:].tolist(), strict=True):
+            h = (c ^ ((node + 1) * 0xA0761D6478BD642F & full)) * 0xE7037ED1A0B428DB & full
+            slots.append((((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & full) >> (64 - tables.bits)) + at)
+        found = [int(mixer.table[s]) for s in slots]
+        gate = (found[mixer.gate[0]] & 3) * LEVELS + (found[mixer.gate[1]] & 3)
+        mixed = sum(float(w[gate * LEVELS + (x & 3)]) * (x >> 2) for w, x in zip(mixer.weights, found, strict=True)) * CLIP / 127
+        mixed = min(12.0, max(-12.0, mixed))
+        at = (mixed + 12) * (STEPS - 1) / 24
+        low = min(int(at), STEPS - 2)
+        refined = (1 - at + low) * float(mixer.refine[gate * STEPS + low]) + (at - low) * float(mixer.refine[gate * STEPS + low + 1])
+        p = 0.5 / (1 + math.exp(-mixed)) + 0.5 * refined
+        total += math.log10(min(max(p if bit else 1 - p, 1e-5), 1 - 1e-5))
+    return total
+
+
+def test_lm_score_equals_brute_force(spark):
+    from regspark.llm.lm_mixer import mix
+
+    docs = rows("sf0.001", "documents", "doc_id, text")
+    model = learned(spark, [t for _, t in docs])
+    v, code = model.vocabulary, model.vocabulary.code
+    hashed = lambda x: int(mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    end = v.index[b""]
+
+    def path(n):
+        at = slice(code.start[n], code.start[n] + code.length[n])
+        return list(zip(code.node[at].tolist(), code.bit[at].tolist(), strict=True))
+
+    def contexts(numbers, words, i):
+        back = lambda k: (numbers[i - k], words[i - k]) if i >= k else (end, b"")
+        names = [n if n else (1 << 32) + int.from_bytes(w[-2:], "big") for n, w in map(back, (1, 2))]
+        often = [n for n in reversed(numbers[:i]) if 0 < n <= lm_score.FREQUENT or n == end][:2]
+        a, b = sorted([*often, end, end][:2])
+        return [hashed(names[0] + (1 << 40)), hashed(hashed(names[0] + (2 << 40)) + names[1]), hashed((a << 20 | b) + (3 << 50))]
+
+    def spelled(word):
+        text, total = b" " * 6 + word + b" ", 0.0
+        for i in range(6, len(text)):
+            h, found = 0, []
+            for k in range(1, 7):
+                h = (h + text[i - k] + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                if k in lm_score.ORDERS:
+                    found.append(hashed(h + k))
+            bits = [((text[i] | 256) >> (8 - j), text[i] >> (7 - j) & 1) for j in range(8)]
+            total += brute_log10(model.spelling, bits, found)
+        return total
+
+    got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame([(i, t, True) for i, t in docs], "doc_id long, text string, learn boolean")).collect()}
+    count = Counter(w for _, t in docs for w in lm_score.tokens(t))
+    few = sorted(docs, key=lambda d: len(d[1] or ""))[:: len(docs) // 11][:10]
+    for i, text in few:
+        words = lm_score.tokens(text)
+        numbers = v.numbers(words)
+        want = 0.0
+        for k, n in enumerate(numbers):
+            want += brute_log10(model.stream, path(n), contexts(numbers, words, k))
+            if not n:
+                want += float(v.rare(np.array([float(count[words[k]])]), np.array([spelled(words[k])]))[0])
+        assert abs(got[i] - want) < 0.02 * abs(want) + 0.1, (i, got[i], want)  # weights depend a little on how tasks are cut
+
+
+def test_counts_are_exact_for_the_first_predictor(spark):
+    from regspark.llm.lm_mixer import settled
+
+    texts = [t for _, t in rows("sf0.001", "documents", "doc_id, text")]
+    model = learned(spark, texts)
+    v, c = model.vocabulary, Counter()
+    for t in texts:
+        for n in v.numbers(lm_score.tokens(t)):
+            at = slice(v.code.start[n], v.code.start[n] + v.code.length[n])
+            c.update(zip(v.code.node[at].tolist(), v.code.bit[at].tolist(), strict=True))
+    counts = np.array([[c[n, 0], c[n, 1]] for n in range(v.code.nodes)])
+    assert (settled(counts) == model.stream.table[: v.code.nodes]).all()
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    found = [r for r in lm_score.query(spark, SF).collect() if r.held_out]
+    assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
 def test_lm_edge_rows(odd, none):
@@ -98,29 +198,21 @@ def test_lm_sees_the_words_before(spark):
     assert abs(got[100].base_score - got[101].base_score) < 1e-9 and got[100].score > got[101].score + 10
 
 
-def test_lm_stream_probabilities():
-    import random
-
-    from regspark.llm import lm_stream
+def test_many_tasks_and_long_words(spark, monkeypatch):
+    from pyspark.sql import functions as F
 
-    r = random.Random(3)
-    texts = [[*(r.choice([b"a", b"bc", b"the", b"then"]) for _ in range(300)), b""] for _ in range(20)]
-    model = lm_stream.Stream(16, np.zeros((lm_stream.PREDICTORS << 16, 2), np.float16))
-    for flat, live, _, _ in lm_stream.batches(texts):
-        for _, slots, bit in lm_stream.walk(flat, live, 16):
-            for s in slots:
-                np.add.at(model.counts, (s, bit), np.float16(1))
-    model.learn(texts, np.zeros(lm_stream.GATES))
-    after = [b"the", b"a"]
-    got = model.log10([[*after, w] for w in [b"", *[bytes([b]) for b in range(256) if b != 32]]])
-    assert 0.01 < sum(10 ** x[2] for x in got) <= 1 + 1e-6 and all(len(x) == 3 for x in got)
-    long = [*[b"w%d" % (i % 900) for i in range(20_000)], b""]  # in pieces as in one
-    whole, lm_stream.PIECE = lm_stream.PIECE, 1 << 30
-    try:
-        one = model.log10([long])[0]
-    finally:
-        lm_stream.PIECE = whole
-    assert np.allclose(model.log10([long])[0], one)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    monkeypatch.setattr(lm_score, "TASK_TOKENS", 200)
+    long = "y" * 300
+    docs = spark.createDataFrame([(i, f"the {long} board of {i} words {long}z {i}", i % 5 > 0) for i in range(300)], "doc_id long, text string, learn boolean").repartition(9)
+    got = lm_score.score(docs).collect()
+    assert len(got) == 300 and {r.n_tokens for r in got} == {9}
+    n, v = 240 * 9, 7 + 240
+    base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    for r in got:
+        own = r.doc_id % 5 > 0
+        want = 7 * base(240) + 2 * base(2 if own else 0)
+        assert r.n_known == (9 if own else 7) and r.train_tokens == n and abs(r.base_score - want) < 1e-6
 
 
 def test_toxicity_finds_words_in_runs(spark):
