@@ -16,8 +16,10 @@ import numpy as np
 
 LEVELS, STEPS, CLIP = 4, 33, 8.0
 #: Added to counts, decisions that are counted at once, and every which of them moves the weights.
-PRIOR, SLICE, EVERY = 0.05, 1 << 14, 16
+PRIOR, SLICE, EVERY = 0.05, 1 << 16, 32
 KEEP = 0.98  # of the curvature that earlier slices have left
+#: Steps of a mixed value between -12 and 12 in the table of final probabilities; what a table's entry is moved by.
+FINE, HALF = 3072, 512
 _U = np.uint64
 
 
@@ -47,9 +49,13 @@ class Tables:
         """Each predictor's slot for each decision: its node, in the context of symbol ``of``."""
         salt = (node.astype(np.uint64) + _U(1)) * _U(0xA0761D6478BD642F)
         out = [node.astype(np.int64)]
-        for c, at in zip(contexts, self.offsets[1:], strict=True):
-            h = (c[of] ^ salt) * _U(0xE7037ED1A0B428DB)
-            out.append(((h ^ (h >> _U(31))) * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).astype(np.int64) + at)
+        for c, at in zip(contexts, self.offsets[1:].tolist(), strict=True):
+            h = c[of]
+            h ^= salt
+            h *= _U(0xE7037ED1A0B428DB)
+            h >>= _U(64 - self.bits)
+            h += _U(at)
+            out.append(h.view(np.int64))
         return out
 
 
@@ -63,7 +69,7 @@ class Mixer:
         self.curved = np.full_like(self.weights, 20.0)  # of late
         self.rests = np.zeros_like(self.weights)  # in all
         self.hits = np.zeros((2, LEVELS * LEVELS * STEPS))  # ones and all, by gate and step
-        self.counts = self.table = self.refine = None
+        self.counts = self.table = self.logs = self.parts = None
         self.turn = 0
 
     # -- learning: in a task, with tables of its own ------------------------------------------
@@ -113,25 +119,26 @@ class Mixer:
         sums, rests = learned[:n].reshape(self.weights.shape), learned[n : 2 * n].reshape(self.weights.shape)
         self.weights = np.where(rests > 1, sums / np.maximum(rests, 1e-9), self.weights).astype(np.float32)
         ones, all_ = learned[2 * n :].reshape(2, LEVELS * LEVELS, STEPS)
-        center = 1 / (1 + np.exp(-((np.arange(STEPS) * 24 / (STEPS - 1)) - 12)))
-        self.refine = ((ones + 20 * center) / (all_ + 20)).astype(np.float32).ravel()
+        steps = np.arange(STEPS) * 24 / (STEPS - 1) - 12
+        refine = (ones + 20 / (1 + np.exp(-steps))) / (all_ + 20)
+        mixed = np.arange(FINE + 1) * 24 / FINE - 12
+        p = np.stack([0.5 / (1 + np.exp(-mixed)) + 0.5 * np.interp(mixed, steps, r) for r in refine]).clip(1e-5, 1 - 1e-5)
+        self.logs = np.log10(np.stack([1 - p, p], axis=2)).astype(np.float32).ravel()  # gate, mixed value, bit
+        entry = np.arange(-HALF, HALF)
+        self.parts = [np.concatenate([w[gate * LEVELS + (entry & 3)] * (entry >> 2) for gate in range(LEVELS * LEVELS)]).astype(np.float32) * np.float32(CLIP / 127) for w in self.weights]
         self.table, self.counts, self.curved, self.rests, self.hits = table, None, None, None, None
         return self
 
     def log10(self, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
         """Log10 of the probability of each decision."""
         found = [self.table[s] for s in slots]
-        levels = [v & 3 for v in found]
-        gate = self._gate(levels)
-        mixed = np.zeros(len(bit), np.float32)
-        for w, v, n in zip(self.weights, found, levels, strict=True):
-            mixed += w[gate * LEVELS + n] * (v >> 2)
-        mixed = np.clip(mixed * np.float32(CLIP / 127), -12, 12)
-        at = (mixed + 12) * np.float32((STEPS - 1) / 24)
-        low = np.minimum(at.astype(np.int64), STEPS - 2)
-        part, cell = at - low, gate * STEPS + low
-        p = 0.5 / (1 + np.exp(-mixed)) + 0.5 * ((1 - part) * self.refine[cell] + part * self.refine[cell + 1])
-        return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-5, 1 - 1e-5).astype(np.float64))
+        gate = (found[self.gate[0]] & 3).astype(np.int32) * LEVELS + (found[self.gate[1]] & 3)
+        at = gate * (2 * HALF) + HALF
+        mixed = self.parts[0][at + found[0]]
+        for part, v in zip(self.parts[1:], found[1:], strict=True):
+            mixed += part[at + v]
+        near = np.rint(np.clip(mixed, -12, 12) * np.float32(FINE / 24)).astype(np.int32) + FINE // 2
+        return self.logs[(gate * (FINE + 1) + near) * 2 + bit]
 
 
 def settled(counts: np.ndarray) -> np.ndarray:
@@ -173,4 +180,4 @@ class Code:
         n = self.length[symbols]
         of = np.repeat(np.arange(len(symbols)), n)
         at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.start[symbols][of]
-        return of, self.node[at], self.bit[at].astype(np.int64)
+        return of, self.node[at], self.bit[at]

@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ LEAST_BITS, MOST_BITS = 16, 21
 TASK_TOKENS, TASK_WORDS, FLUSH = 20_000_000, 1_000_000, 400_000
 #: Orders of the spelling's contexts; entries of a block of counts; blocks added up at once.
 ORDERS, BLOCK, FAN = (1, 2, 3, 4, 6), 1 << 16, 32
-_GROUP, _SLICE, _PADS = 1 << 15, 2048, 3
+_GROUP, _SLICE, _PADS = 1 << 15, 4096, 3
 _U = np.uint64
 
 
@@ -83,7 +84,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield put()
 
     counted = bounded_batches(docs.select("text", "learn")).mapInArrow(run, "key binary, word binary, c long")
-    return stored(counted.groupBy("key").agg(F.max("word").alias("word"), F.sum("c").alias("c")), "lm-words")
+    return stored(counted.groupBy("key", "word").agg(F.sum("c").alias("c")), "lm-words")
 
 
 @dataclass
@@ -116,12 +117,11 @@ class Vocabulary:
     def base(self, c):
         return np.log10((np.asarray(c, float) + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
 
-    def numbers(self, words: list[bytes]) -> list[int]:
-        get = self.index.get
-        out = [get(w, 0) for w in words]
-        for i, n in enumerate(out):
-            if not n and len(words[i]) > KEY_BYTES:
-                out[i] = get(key(words[i]), 0)
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.index.get, words, repeat(0)), np.int64, len(words))
+        for i in np.flatnonzero(out == 0).tolist():
+            if len(words[i]) > KEY_BYTES:
+                out[i] = self.index.get(key(words[i]), 0)
         return out
 
     def rare(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
@@ -139,13 +139,12 @@ def stream(vocabulary: Vocabulary, documents, tables: Tables):
     """For slices of the token stream of ``documents`` (lists of words with their symbols): the documents'
     places in their group, the slots and bits of all decisions, and at the end of each group its size."""
     end = vocabulary.index[b""]
-    pad = [end] * _PADS
+    pad = np.full(_PADS, end, np.int64)
 
     def group(docs):
-        symbol = np.array([n for _, ns in docs for x in (pad, ns) for n in x], np.int64)
+        symbol = np.concatenate([x for _, ns in docs for x in (pad, ns)])
         name = symbol.astype(np.uint64)
-        other = symbol == 0
-        name[other] = [(1 << 32) + int.from_bytes(w[-2:], "big") for ws, ns in docs for w, n in zip(ws, ns, strict=True) if not n]
+        name[symbol == 0] = [(1 << 32) + int.from_bytes(ws[i][-2:], "big") for ws, ns in docs for i in np.flatnonzero(ns == 0).tolist()]
         often = np.maximum.accumulate(np.where((symbol > 0) & (symbol <= FREQUENT) | (symbol == end), np.arange(len(symbol)), 0))
         sizes = np.array([len(ns) for _, ns in docs])
         of = np.repeat(np.arange(len(docs)), sizes)
@@ -180,7 +179,7 @@ def spell(words: list[bytes], tables: Tables):
     at = 0
     while at < len(words):
         stop, size = at, 0
-        while stop < len(words) and size < 4 * _SLICE:
+        while stop < len(words) and size < 2 * _SLICE:
             size += len(words[stop]) + 1
             stop += 1
         pads = max(ORDERS)
@@ -188,8 +187,8 @@ def spell(words: list[bytes], tables: Tables):
         sizes = np.array([len(w) + 1 for w in words[at:stop]])
         of = np.repeat(np.arange(stop - at), sizes)
         place = np.arange(len(of)) + pads * (of + 1)
-        for cut in range(0, len(place), 4 * _SLICE):  # a very long word is coded in parts
-            here = place[cut : cut + 4 * _SLICE]
+        for cut in range(0, len(place), 2 * _SLICE):  # a very long word is coded in parts
+            here = place[cut : cut + 2 * _SLICE]
             h, contexts = np.zeros(len(here), np.uint64), []
             for k in range(1, pads + 1):
                 h = (h + flat[here - k] + _U(1)) * _U(0x9E3779B97F4A7C15)
@@ -199,7 +198,7 @@ def spell(words: list[bytes], tables: Tables):
             node = np.stack([(byte | 256) >> (8 - i) for i in range(8)], axis=1).ravel()
             bit = np.stack([byte >> (7 - i) & 1 for i in range(8)], axis=1).ravel()
             places = np.repeat(np.arange(len(here)), 8)
-            yield at + of[cut : cut + 4 * _SLICE][places], tables.slots(contexts, places, node), bit
+            yield at + of[cut : cut + 2 * _SLICE][places], tables.slots(contexts, places, node), bit
         at = stop
 
 
@@ -341,15 +340,14 @@ def score(docs: DataFrame) -> DataFrame:
             at = 0
             for docs_, logs in m.streamed((ws, v.numbers(ws)) for ws in map(tokens, texts)):
                 rows, keys, counts, whole = [], [], [], []
-                for (ws, ns), log in zip(docs_, logs.tolist(), strict=True):
+                for (ws, n), log in zip(docs_, logs.tolist(), strict=True):
                     row += 1
-                    n = np.array(ns)
                     rows.append(row)
                     keys.append(b"\xff\xff" + row.to_bytes(8, "big"))  # meets no word
                     counts.append(0)
                     whole.append({"doc_id": ids[at], "n_tokens": len(ws), "n_bytes": sizes[at], "seen": int(known[n].sum()), "base": float(base[n].sum()), "model": log})
                     at += 1
-                    for k, c in Counter(key(w) for w, i in zip(ws, ns, strict=True) if not i).items():
+                    for k, c in Counter(key(ws[i]) for i in np.flatnonzero(n == 0).tolist()).items():
                         rows.append(row)
                         keys.append(k)
                         counts.append(c)

@@ -93,23 +93,20 @@ def test_probabilities_sum_to_at_most_one(spark):
 
 def brute_log10(mixer, symbol, contexts):
     """The decisions of a symbol, one by one, with whole numbers of any size."""
-    from regspark.llm.lm_mixer import CLIP, LEVELS, STEPS
+    from regspark.llm.lm_mixer import CLIP, LEVELS
 
     full, tables, total = (1 << 64) - 1, mixer.tables, 0.0
     for node, bit in symbol:
         slots = [node]
         for c, at in zip(contexts, tables.offsets[1:].tolist(), strict=True):
             h = (c ^ ((node + 1) * 0xA0761D6478BD642F & full)) * 0xE7037ED1A0B428DB & full
-            slots.append((((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & full) >> (64 - tables.bits)) + at)
+            slots.append((h >> (64 - tables.bits)) + at)
         found = [int(mixer.table[s]) for s in slots]
         gate = (found[mixer.gate[0]] & 3) * LEVELS + (found[mixer.gate[1]] & 3)
         mixed = sum(float(w[gate * LEVELS + (x & 3)]) * (x >> 2) for w, x in zip(mixer.weights, found, strict=True)) * CLIP / 127
-        mixed = min(12.0, max(-12.0, mixed))
-        at = (mixed + 12) * (STEPS - 1) / 24
-        low = min(int(at), STEPS - 2)
-        refined = (1 - at + low) * float(mixer.refine[gate * STEPS + low]) + (at - low) * float(mixer.refine[gate * STEPS + low + 1])
-        p = 0.5 / (1 + math.exp(-mixed)) + 0.5 * refined
-        total += math.log10(min(max(p if bit else 1 - p, 1e-5), 1 - 1e-5))
+        near = round((min(12.0, max(-12.0, mixed)) + 12) * 128)
+        total += float(mixer.logs[(gate * 3073 + near) * 2 + bit])
+        assert abs(sum(10.0 ** mixer.logs[(gate * 3073 + near) * 2 + b] for b in (0, 1)) - 1) < 1e-5
     return total
 
 
@@ -150,7 +147,7 @@ def test_lm_score_equals_brute_force(spark):
     few = sorted(docs, key=lambda d: len(d[1] or ""))[:: len(docs) // 11][:10]
     for i, text in few:
         words = lm_score.tokens(text)
-        numbers = v.numbers(words)
+        numbers = v.numbers(words).tolist()
         want = 0.0
         for k, n in enumerate(numbers):
             want += brute_log10(model.stream, path(n), contexts(numbers, words, k))
@@ -166,7 +163,7 @@ def test_counts_are_exact_for_the_first_predictor(spark):
     model = learned(spark, texts)
     v, c = model.vocabulary, Counter()
     for t in texts:
-        for n in v.numbers(lm_score.tokens(t)):
+        for n in v.numbers(lm_score.tokens(t)).tolist():
             at = slice(v.code.start[n], v.code.start[n] + v.code.length[n])
             c.update(zip(v.code.node[at].tolist(), v.code.bit[at].tolist(), strict=True))
     counts = np.array([[c[n, 0], c[n, 1]] for n in range(v.code.nodes)])
