@@ -16,7 +16,7 @@ import numpy as np
 
 LEVELS, STEPS, CLIP = 4, 33, 8.0
 #: Added to counts, decisions that are counted at once, and every which of them moves the weights.
-PRIOR, SLICE, EVERY = 0.05, 1 << 16, 32
+PRIOR, SLICE, EVERY = 0.05, 1 << 16, 64
 KEEP = 0.98  # of the curvature that earlier slices have left
 #: Steps of a mixed value between -12 and 12 in the table of final probabilities; what a table's entry is moved by.
 FINE, HALF = 3072, 512

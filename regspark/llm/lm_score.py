@@ -6,7 +6,7 @@ Predictors look at what came before, across words: nothing (the decision's own c
 the two words before, and the last two very frequent words, which tell language and style. Their hashed counts
 are mixed by gated weights and refined (``lm_mixer``). A rarer word pays for its symbol in that stream, and
 then for which of them it is: by its exact count, absolutely discounted, and for the mass so set free by its
-spelling, whose bytes are coded bit by bit by a second mixer over the last one to six bytes. That second part
+spelling, whose bytes are coded bit by bit by a second mixer over the last two to six bytes. That second part
 doesn't depend on what came before, so it is computed once for each distinct word.
 
 Counts cover all training tokens. Tasks count into tables of a bounded size, learn weights as they go, and
@@ -25,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ LEAST_BITS, MOST_BITS = 16, 21
 #: Tokens and distinct words that one task counts, about; a word map that is full is handed on.
 TASK_TOKENS, TASK_WORDS, FLUSH = 20_000_000, 1_000_000, 400_000
 #: Orders of the spelling's contexts; entries of a block of counts; blocks added up at once.
-ORDERS, BLOCK, FAN = (1, 2, 3, 4, 6), 1 << 16, 32
+ORDERS, BLOCK, FAN = (2, 3, 4, 6), 1 << 16, 32
 _GROUP, _SLICE, _PADS = 1 << 15, 4096, 3
 _U = np.uint64
 
@@ -203,7 +204,7 @@ def spell(words: list[bytes], tables: Tables):
 
 
 def spelling_mixer(tables: Tables) -> Mixer:
-    return Mixer(tables, (4, 3))
+    return Mixer(tables, (3, 2))
 
 
 # -- learning ----------------------------------------------------------------------------------
@@ -335,27 +336,30 @@ def score(docs: DataFrame) -> DataFrame:
         base, known = v.base(v.counts), v.counts > 0
         base[0] = 0.0
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            sizes = [len((t or "").encode("utf-8", "replace")) for t in texts]
-            at = 0
+            texts, at = b.column(1).to_pylist(), 0
             for docs_, logs in m.streamed((ws, v.numbers(ws)) for ws in map(tokens, texts)):
-                rows, keys, counts, whole = [], [], [], []
-                for (ws, n), log in zip(docs_, logs.tolist(), strict=True):
+                keys, counts, sizes, sums = [], [], [], []
+                for ws, n in docs_:
                     row += 1
-                    rows.append(row)
+                    others = Counter(key(ws[i]) for i in np.flatnonzero(n == 0).tolist())
                     keys.append(b"\xff\xff" + row.to_bytes(8, "big"))  # meets no word
+                    keys.extend(others)
                     counts.append(0)
-                    whole.append({"doc_id": ids[at], "n_tokens": len(ws), "n_bytes": sizes[at], "seen": int(known[n].sum()), "base": float(base[n].sum()), "model": log})
-                    at += 1
-                    for k, c in Counter(key(ws[i]) for i in np.flatnonzero(n == 0).tolist()).items():
-                        rows.append(row)
-                        keys.append(k)
-                        counts.append(c)
-                        whole.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(whole, doc_type)], ["row", "key", "n", "doc"])
-
-    doc_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-    schema = "row long, key binary, n int, doc struct<doc_id:long, n_tokens:long, n_bytes:long, seen:long, base:double, model:double>"
+                    counts.extend(others.values())
+                    sizes.append(1 + len(others))
+                    sums.append((len(ws), int(known[n].sum()), float(base[n].sum())))
+                stop = at + len(docs_)
+                first = np.cumsum(sizes) - sizes  # a document's own row comes first
+                whole = pa.array(np.isin(np.arange(len(keys)), first))
+                place = pa.array(np.repeat(np.arange(len(docs_)), sizes))
+                bytes_ = [len((t or "").encode("utf-8", "replace")) for t in texts[at:stop]]
+                columns = [b.column(0).slice(at, len(docs_)), *map(pa.array, (*zip(*sums, strict=True), bytes_, logs))]
+                doc = pa.StructArray.from_arrays([c.take(place) for c in columns], fields=list(doc_type), mask=pc.invert(whole))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(row - len(docs_) + 1, row + 1), sizes)), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), doc], ["row", "key", "n", "doc"])
+                at = stop
+
+    doc_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("n_bytes", pa.int64()), ("model", pa.float64())])
+    schema = "row long, key binary, n int, doc struct<doc_id:long, n_tokens:long, seen:long, base:double, n_bytes:long, model:double>"
     looked = bounded_batches(docs.select("doc_id", "text"), 512).mapInArrow(look_up, schema).join(rares, "key", "left")
     whole = F.col("doc").isNotNull()
     out = looked.groupBy("row").agg(
