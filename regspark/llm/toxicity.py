@@ -3,9 +3,10 @@
 Writers hide words by leetspeak, spacing and repetition. Odd tokens become lattices of the letters they may
 stand for, where a mark or single space may be nothing or a word break; the Viterbi path under a character
 trigram model restores and segments them, and the restored text is scored. Features are hashed words, word
-beginnings and byte n-grams inside words, so that words of unspaced scripts are seen too. A feature's weight is a lower confidence bound of its log odds
-between toxic and clean documents, counted over all labelled rows; a document's evidence is the sum of its
-three strongest features, turned into a probability by logistic regression on a histogram.
+beginnings and byte n-grams inside words, so that words of unspaced scripts are seen too. Features that labelled
+toxic texts hold more often than clean ones go into a logistic regression with a ridge, whose weights aren't
+negative: what merely comes along in copies of one toxic text shares a small weight, and a word that stands in
+many of them gets a large one, whether or not it comes with others.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ THRESHOLD = 0.3
 BITS, HEADS, INNER = 20, (4, 5, 6), (5, 6)
 #: Labelled texts the character model is fitted on at most (a documented bound).
 MODEL_TEXTS = 3000
-#: Labelled rows a classifier is fitted on, about (a documented bound): ids and labels of these are broadcast.
-TRAIN_ROWS = 500_000
-#: Toxic texts that features are chosen on at most (a documented bound).
-COVER_TEXTS = 20_000
+#: Labelled rows of each class that the classifier is fitted on at most (a documented bound).
+CLASS_ROWS = 30_000
+#: Grams of the character model that are kept.
+GRAMS = 60_000
+#: The ridge, and steps of the regression.
+RIDGE, ROUNDS = 0.5, 400
+#: Toxic texts that hold a feature at least, and standard errors by which its log odds exceed one.
+LEAST, SURE = 4, 1.8
 #: Letters that a sign may stand for (fixed values of the channel).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l"}
 GAPS = ".-_*~^'`·,:;/\\#%&=()[]{}<>\"?"
@@ -179,31 +184,21 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def evidence(slots: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    """The sum of each text's three largest feature weights (a feature counts once)."""
-    w = weights[slots]
-    strong = np.flatnonzero(w > 0)
+    """The sum of each text's feature weights; a feature counts once."""
+    strong = np.flatnonzero(weights[slots] > 0)
     key = np.unique(owner[strong] << BITS | slots[strong])
-    owner, w = key >> BITS, weights[key & ((1 << BITS) - 1)]
-    order = np.lexsort((-w, owner))
-    owner, w = owner[order], w[order]
-    first = np.searchsorted(owner, owner)
-    top = np.arange(len(owner)) - first < 3
-    return np.bincount(owner[top], weights=w[top], minlength=n).astype(np.float64)
+    return np.bincount(key >> BITS, weights=weights[key & ((1 << BITS) - 1)], minlength=n).astype(np.float64)
 
 
 @dataclass
 class Model:
     chars: CharModel
     weights: np.ndarray
-    slope: float
     offset: float
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -40, 40)))
-
 
 def char_model(texts: DataFrame) -> CharModel:
-    """Letter trigrams, bigrams and single letters of up to MODEL_TEXTS texts."""
+    """The most frequent letter trigrams, bigrams and single letters of texts; others cost an escape."""
 
     def run(batches):
         seen: dict[str, int] = {}
@@ -220,20 +215,19 @@ def char_model(texts: DataFrame) -> CharModel:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
 
     counted = bounded_batches(texts).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "gram").limit(60_000).collect()
+    best = counted.orderBy(F.desc("n"), "gram").limit(GRAMS).collect()
     return CharModel.of([(r["gram"], r["n"]) for r in best])
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fits on rows (text, toxic 0 or 1); rows without a label are left out."""
+    """Fits on rows (text, toxic 0 or 1), CLASS_ROWS of each class at most; rows without a label are left out.
+    Null texts are empty. Without rows, or with one class only, every text gets the same score."""
     rows = labelled.filter(F.col("toxic").isin(0, 1)).select(F.col("text"), F.col("toxic").cast("int").alias("toxic"))
     spark = labelled.sparkSession
-    apart = F.pmod(F.xxhash64("text"), F.lit(4)) == 0  # a quarter of the texts calibrates what the rest has taught
-    rows, checked = rows.filter(~apart), rows.filter(apart)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
-    share = min(1.0, MODEL_TEXTS / max(1, clean + toxic))
-    chars = char_model(rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").limit(2 * MODEL_TEXTS))
+    chosen = rows.select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(MODEL_TEXTS)
+    chars = char_model(chosen.select("text"))
     sent = spark.sparkContext.broadcast(chars)
 
     def count(batches):
@@ -245,71 +239,63 @@ def fit(labelled: DataFrame) -> Model:
             key = np.unique(owner << BITS | slots)
             for label in (0, 1):
                 seen[label] += np.bincount((key & ((1 << BITS) - 1))[labels[key >> BITS] == label], minlength=1 << BITS)
-        slot = np.flatnonzero(seen.any(axis=0))
+        slot = np.flatnonzero(seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[0, slot]), pa.array(seen[1, slot])], ["slot", "clean", "toxic"])
+        slot = np.flatnonzero((seen[1] == 0) & (seen[0] > 0))
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[0, slot]), pa.array(seen[1, slot])], ["slot", "clean", "toxic"])
 
     counted = bounded_batches(rows).mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
-    bound = odds - 1.8 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    clean_of, weights = np.zeros(1 << BITS), np.zeros(1 << BITS, np.float32)
-    for r in counted.select("slot", "c", bound.alias("w")).filter((F.col("w") > 1.0) & (F.col("t") >= 4)).collect():  # 2^BITS rows at most
-        weights[r["slot"]], clean_of[r["slot"]] = r["w"], r["c"]
-    weights = _cover(rows, chars, weights, clean_of, toxic, clean)
-    raw = _evidence(checked, "toxic int", chars, weights).withColumn("bin", F.round(F.col("evidence"), 1))
-    bins = raw.groupBy("bin").agg(F.sum(F.col("toxic")).alias("t"), F.count("*").alias("n")).collect()
-    slope, offset = _logistic(np.array([[r["bin"], r["t"], r["n"]] for r in bins], float).reshape(-1, 3))
-    return Model(chars, weights, slope, offset)
-
-
-def _cover(rows: DataFrame, chars: CharModel, weights: np.ndarray, clean_of: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """Keeps the features that explain toxic texts one after another: each time the one with the best bound
-    among texts that no kept feature has explained. What merely comes along in copies of a toxic text, whose
-    toxic words are kept already, goes. Up to COVER_TEXTS toxic texts (a documented bound) are looked at, as
-    lists of candidate features."""
-    sent = rows.sparkSession.sparkContext.broadcast((chars, weights > 0))
-    share = min(1.0, COVER_TEXTS / max(1, toxic))
-    chosen = rows.filter((F.col("toxic") == 1) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))).select("text")
-
-    def run(batches):
-        chars, candidate = sent.value
-        restorer = Restorer(chars)
+    bound = odds - SURE * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    found = counted.filter((F.col("t") >= LEAST) & (bound > 1)).select("slot").toArrow()  # 2^BITS rows at most
+    candidates = np.sort(found.column(0).to_numpy())
+    place = np.zeros(1 << BITS, np.int32)
+    place[candidates] = np.arange(1, len(candidates) + 1)
+    known = spark.sparkContext.broadcast(place)
+
+    def lists(batches):
+        restorer, place = Restorer(sent.value), known.value
         for b in batches:
             slots, owner = features([restorer.text(t) for t in b.column(0).to_pylist()])
-            key = np.unique((owner << BITS | slots)[candidate[slots]])
+            held = place[slots] > 0
+            key = np.unique(owner[held] << BITS | place[slots[held]] - 1)
             cut = np.searchsorted(key >> BITS, np.arange(1, len(b)))
-            lists = np.split((key & ((1 << BITS) - 1)).astype(np.int32), cut)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in lists], pa.binary())], ["slots"])
-
-    got = bounded_batches(chosen).mapInArrow(run, "slots binary").limit(2 * COVER_TEXTS).collect()
-    lists = sorted(set(bytes(r["slots"]) for r in got))
-    lists = [np.frombuffer(x, np.int32) for x in lists]
-    n = max(1, len(lists))
-    slot = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-    text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    kept = np.zeros_like(weights)
-    while len(slot):
-        t = np.bincount(slot, minlength=1 << BITS)
-        bound = np.log((t + 0.5) / (n + 1)) - np.log((clean_of + 0.5) / (clean + 1)) - 1.8 * np.sqrt(1 / (t + 0.5) + 1 / (clean_of + 0.5))
-        bound[(t < 4) | (kept > 0) | (weights <= 0)] = -np.inf
-        best = int(bound.argmax())
-        if bound[best] < 1.0:
-            break
-        kept[best] = weights[best]
-        left = ~np.isin(text, text[slot == best])
-        slot, text = slot[left], text[left]
-    return kept
-
-
-def _logistic(bins: np.ndarray) -> tuple[float, float]:
-    x, t, n = bins.T if len(bins) else np.zeros((3, 0))
-    w = np.array([0.0, math.log((t.sum() + 0.5) / (n.sum() - t.sum() + 0.5)) if len(x) else -3.0])
-    design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (t - n * p) - 1.0 * np.array([w[0], 0.0])
-        hess = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag([1.0, 1e-3])
-        w = w + np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return float(w[0]), float(w[1])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.astype(np.int32).tobytes() for x in np.split(key & ((1 << BITS) - 1), cut)], pa.binary())], ["toxic", "slots"])
+
+    got = bounded_batches(rows).mapInArrow(lists, "toxic int, slots binary")
+    got = got.groupBy("toxic", "slots").count().toArrow()  # twice CLASS_ROWS lists of candidates at most
+    order = sorted(range(got.num_rows), key=lambda i: (got.column(0)[i].as_py(), got.column(1)[i].as_py()))
+    got = got.take(pa.array(order, pa.int64()))
+    held = [np.frombuffer(x, np.int32) for x in got.column(1).to_pylist()]
+    weights, offset = _regression(held, got.column(0).to_numpy().astype(float), got.column(2).to_numpy().astype(float), len(candidates))
+    out = np.zeros(1 << BITS, np.float32)
+    out[candidates] = weights
+    return Model(chars, out, offset)
+
+
+def _regression(held: list[np.ndarray], label: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Weights of the n features, none of them negative, and the offset: accelerated proximal steps on the
+    logistic loss with a ridge. held: each text's features; times: how often it comes."""
+    feature = np.concatenate([*held, np.zeros(0, np.int32)]).astype(np.int64)
+    text = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    if not len(label):
+        return np.zeros(n), -3.0
+    # a feature's own curvature, and its texts' sizes, bound the steps of each weight
+    size = np.bincount(text, minlength=len(held)) + 1.0
+    steep = 0.25 * np.bincount(feature, (times * size)[text], n) + RIDGE
+    steep_offset = 0.25 * (times * size).sum() + 1e-3
+    share = (times * label).sum() / times.sum()
+    w, offset = np.zeros(n), math.log((share + 1e-3) / (1 - share + 1e-3))
+    w_next, o_next, t = w, offset, 1.0
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(text, w_next[feature], len(held)) + o_next, -40, 40)))
+        error = times * (label - p)
+        w_new = np.maximum(w_next + (np.bincount(feature, error[text], n) - RIDGE * w_next) / steep, 0)
+        o_new = o_next + error.sum() / steep_offset
+        t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        w_next, o_next = w_new + (t - 1) / t_new * (w_new - w), o_new + (t - 1) / t_new * (o_new - offset)
+        w, offset, t = w_new, o_new, t_new
+    return w, float(offset)
 
 
 def _evidence(rows: DataFrame, kept: str, chars: CharModel, weights: np.ndarray) -> DataFrame:
@@ -331,7 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row; a null or empty text has no evidence. Whole texts are read; rows are
     independent of each other."""
     found = _evidence(require(docs, "text", "doc_id"), "doc_id long", model.chars, model.weights)
-    x = F.least(F.greatest(F.col("evidence") * model.slope + model.offset, F.lit(-40.0)), F.lit(40.0))
+    x = F.least(F.greatest(F.col("evidence") + model.offset, F.lit(-40.0)), F.lit(40.0))
     return found.select("doc_id", (1 / (1 + F.exp(-x))).alias("score"))
 
 
@@ -339,11 +325,27 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def chosen_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): of each class the CLASS_ROWS rows with the smallest hashes of their ids. Of several
+    labels of a document the larger one holds; null ids and labels are left out."""
+    one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = [one.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_ROWS) for k in (0, 1)]
+    return picked[0].unionByName(picked[1])
+
+
+def prior_shift(labels: DataFrame, chosen: DataFrame) -> float:
+    """What the classes' unequal shares of the choice change in the log odds."""
+    n, m = ({r["toxic"]: r["count"] for r in d.groupBy("toxic").count().collect()} for d in (labels.filter(F.col("toxic").isin(0, 1)), chosen))
+    return math.log(max(n.get(1, 0), 1) / max(n.get(0, 0), 1)) - math.log(max(m.get(1, 0), 1) / max(m.get(0, 0), 1))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all rows of ``documents`` by what labelled rows that aren't held out teach. Null and empty texts
+    get the score of a text without evidence; repeated rows are scored each; without labels all scores are equal."""
     docs = require(table(spark, sf_dir, "documents"), "doc_id", "text")
-    labels = require(table(spark, sf_dir, "labels"), "doc_id", "toxic").dropDuplicates(["doc_id"])
-    share = min(1.0, TRAIN_ROWS / max(1, labels.count()))
-    labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * TRAIN_ROWS)
-    train = docs.filter(~held_out(F.col("doc_id"))).join(F.broadcast(labels), "doc_id")  # texts stay where they are
-    found = score(docs, fit(train))
+    labels = require(table(spark, sf_dir, "labels"), "doc_id", "toxic").filter(~held_out(F.col("doc_id")))
+    chosen = chosen_labels(labels)
+    model = fit(docs.join(F.broadcast(chosen), "doc_id"))  # twice CLASS_ROWS ids; texts stay where they are
+    model.offset += prior_shift(labels, chosen)
+    found = score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

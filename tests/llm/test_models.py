@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from regspark.llm import langid, lm_score, toxicity
 from tests_data import rows
@@ -29,11 +30,47 @@ def test_language_edge_rows(spark, odd, none, clashing):
     assert langid.predict(odd, langid.fit(none)).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_toxicity_on_held_out_texts(spark):
-    labels = dict(rows("sf0.01", "labels", "doc_id, toxic"))
-    found = [r for r in toxicity.query(spark, SF).collect() if r.held_out and r.doc_id in labels]
-    score = {k: np.mean([r.score for r in found if labels[r.doc_id] == k]) for k in (0, 1)}
-    assert score[1] > score[0] + 0.1
+def teaching_words(spark, sf):
+    """Words of restored training texts that at least four toxic ones and no clean one hold."""
+    texts, labels = dict(rows(sf, "documents", "doc_id, text")), dict(rows(sf, "labels", "doc_id, toxic"))
+    r = toxicity.Restorer(toxicity.char_model(spark.createDataFrame([(t,) for t in list(texts.values())[:1000]], "text string")))
+    held = {i for i in labels if zlib.crc32(str(i).encode()) % 4 == 2}
+    n = {0: Counter(), 1: Counter()}
+    for i, y in labels.items():
+        if i not in held:
+            n[y].update(set(r.text(texts[i]).split()))
+    taught = {w for w, c in n[1].items() if c >= 4 and not n[0][w] and w.isalpha()}
+    return r, texts, labels, held, taught
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_on_held_out_texts(spark, sf):
+    r, texts, labels, held, taught = teaching_words(spark, sf)
+    got = {x.doc_id: x.predicted for x in toxicity.query(spark, f"/root/testdata/{sf}").collect()}
+    sure = [i for i in held if labels[i] == 1 and taught & set(r.text(texts[i]).split())]
+    assert len(sure) > 5 and np.mean([got[i] for i in sure]) >= 0.95
+    assert np.mean([got[i] for i in held if labels[i] == 0]) <= 0.01
+
+
+def test_toxicity_of_obfuscated_copies(spark):
+    from pyspark.sql import functions as F
+
+    r, texts, labels, held, taught = teaching_words(spark, "sf0.01")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter(~toxicity.held_out(F.col("doc_id"))))
+    ways = [
+        lambda w: w.replace("i", "1").replace("o", "0").replace("s", "$"),
+        lambda w: " ".join(w),
+        lambda w: "".join(c * 3 for c in w),
+        lambda w: ".".join(w),
+    ]
+    made = []
+    for i in held:
+        words = texts[i].lower().split() if labels[i] == 1 else []
+        if {w for w in words if w in taught and len(w) > 4}:
+            made += [(10 * i + k, " ".join(f(w) if w in taught and len(w) > 4 else w for w in words)) for k, f in enumerate(ways)]
+    got = [x.score >= toxicity.THRESHOLD for x in toxicity.score(spark.createDataFrame(made, "doc_id long, text string"), model).collect()]
+    assert len(got) >= 12 and np.mean(got) >= 0.9
 
 
 def test_toxicity_restores_and_edge_rows(spark, odd, none):
