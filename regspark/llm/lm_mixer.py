@@ -45,12 +45,12 @@ class Tables:
         self.offsets = np.concatenate([[0], direct + (np.arange(hashed) << bits)])
         self.size = direct + (hashed << bits)
 
-    def slots(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        """Each predictor's slot for each decision: its node, in the context of symbol ``of``."""
+    def slots(self, contexts: list[np.ndarray], n, node: np.ndarray) -> list[np.ndarray]:
+        """Each predictor's slot for each decision, of which each symbol has ``n``: its node, in its context."""
         salt = (node.astype(np.uint64) + _U(1)) * _U(0xA0761D6478BD642F)
         out = [node.astype(np.int64)]
         for c, at in zip(contexts, self.offsets[1:].tolist(), strict=True):
-            h = c[of]
+            h = np.repeat(c, n)
             h ^= salt
             h *= _U(0xE7037ED1A0B428DB)
             h >>= _U(64 - self.bits)
@@ -73,8 +73,12 @@ class Mixer:
         self.turn = 0
 
     # -- learning: in a task, with tables of its own ------------------------------------------
-    def begin(self) -> Mixer:
+    def begin(self, known: np.ndarray | None = None) -> Mixer:
+        """known: the first predictor's counts, if they are known already."""
         self.counts = np.zeros((self.tables.size, 2), np.int32)
+        self.known = known is not None
+        if self.known:
+            self.counts[: len(known)] = np.minimum(known, 2**30)
         return self
 
     def learn(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
@@ -83,7 +87,7 @@ class Mixer:
             self.turn += 1
             some = slice(at + self.turn % EVERY, at + SLICE, EVERY)
             self._move([s[some] for s in slots], bit[some])
-            for s in slots:
+            for s in slots[self.known :]:
                 np.add.at(flat, 2 * s[at : at + SLICE] + bit[at : at + SLICE], np.int32(1))
 
     def _move(self, slots, bit) -> None:
@@ -137,8 +141,15 @@ class Mixer:
         mixed = self.parts[0][at + found[0]]
         for part, v in zip(self.parts[1:], found[1:], strict=True):
             mixed += part[at + v]
-        near = np.rint(np.clip(mixed, -12, 12) * np.float32(FINE / 24)).astype(np.int32) + FINE // 2
-        return self.logs[(gate * (FINE + 1) + near) * 2 + bit]
+        np.clip(mixed, -12, 12, out=mixed)
+        mixed *= np.float32(FINE / 24)
+        at = np.rint(mixed, out=mixed).astype(np.int32)
+        gate *= FINE + 1
+        at += gate
+        at += FINE // 2
+        at *= 2
+        at += bit
+        return self.logs[at]
 
 
 def settled(counts: np.ndarray) -> np.ndarray:
@@ -176,8 +187,13 @@ class Code:
         self.node, self.bit, self.nodes = nodes[real].astype(np.int32), steps[real], max(1, n - 1)
 
     def decisions(self, symbols: np.ndarray):
-        """(place among the symbols, node, bit) of each decision."""
+        """How many decisions each symbol has, and the node and bit of each."""
         n = self.length[symbols]
-        of = np.repeat(np.arange(len(symbols)), n)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.start[symbols][of]
-        return of, self.node[at], self.bit[at]
+        first = np.cumsum(n) - n
+        at = np.arange(first[-1] + n[-1] if len(n) else 0) + np.repeat(self.start[symbols] - first, n)
+        return n, self.node[at], self.bit[at]
+
+    def totals(self, counts: np.ndarray) -> np.ndarray:
+        """(nodes, 2): the zeros and ones at each node that ``counts`` of the symbols give."""
+        each = np.repeat(counts, self.length)
+        return np.stack([np.bincount(self.node[self.bit == b], each[self.bit == b], self.nodes) for b in (0, 1)], axis=1)

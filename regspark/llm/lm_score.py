@@ -5,8 +5,8 @@ one symbol for all rarer words) has a prefix code after its count, and is coded
 Predictors look at what came before, across words: nothing (the decision's own counts, exact), the word before,
 the two words before, and the last two very frequent words, which tell language and style. Their hashed counts
 are mixed by gated weights and refined (``lm_mixer``). A rarer word pays for its symbol in that stream, and
-then for which of them it is: by its exact count, absolutely discounted, and for the mass so set free by its
-spelling, whose bytes are coded bit by bit by a second mixer over the last two to six bytes. That second part
+then for which of them it is: by its exact count, absolutely discounted; the mass so set free goes to words
+seen once or never by their spelling, whose bytes are coded bit by bit by a second mixer over the last two to five bytes. That second part
 doesn't depend on what came before, so it is computed once for each distinct word.
 
 Counts cover all training tokens. Tasks count into tables of a bounded size, learn weights as they go, and
@@ -40,12 +40,12 @@ ALPHA = 0.1
 VOCABULARY, LEAST_COUNT, KEY_BYTES = 1 << 17, 2, 64
 #: Very frequent words that contexts remember.
 FREQUENT = 32
-#: Bits of a hashed table: as many slots as there are training tokens, within these.
+#: Bits of a hashed table: four slots for each training token, within these.
 LEAST_BITS, MOST_BITS = 16, 21
 #: Tokens and distinct words that one task counts, about; a word map that is full is handed on.
-TASK_TOKENS, TASK_WORDS, FLUSH = 20_000_000, 1_000_000, 400_000
+TASK_TOKENS, TASK_WORDS, FLUSH = 20_000_000, 1_000_000, 600_000
 #: Orders of the spelling's contexts; entries of a block of counts; blocks added up at once.
-ORDERS, BLOCK, FAN = (2, 3, 4, 6), 1 << 16, 32
+ORDERS, BLOCK, FAN = (2, 4, 5), 1 << 16, 32
 _GROUP, _SLICE, _PADS = 1 << 15, 4096, 3
 _U = np.uint64
 
@@ -125,20 +125,29 @@ class Vocabulary:
                 out[i] = self.index.get(key(words[i]), 0)
         return out
 
-    def rare(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """Log10 of the probability of words outside the vocabulary, given that one comes."""
+    def nodes(self) -> np.ndarray:
+        """The zeros and ones at each node of the code in the training tokens."""
+        return self.code.totals(np.concatenate([[self.rare_total], self.counts[1:]]))
+
+    def rare(self, c: np.ndarray, spell: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Log10 of the probability of words outside the vocabulary with counts c, given that one comes: what
+        the discount leaves of the count; for words seen once or never also their spelling's share of what it
+        takes. spell: gives the spelling's log10 of the words at some places."""
+        few = np.flatnonzero(c < 2)
+        spelled = spell(few)
         if not self.rare_total:
             return spelled
-        with np.errstate(divide="ignore"):
-            kept = np.log10(np.maximum(c - self.discount, 0) / self.rare_total)
-        free = math.log10(self.discount * max(self.rare_distinct, 1) / self.rare_total)
-        return np.logaddexp(kept * math.log(10), (np.minimum(free, 0) + spelled) * math.log(10)) / math.log(10)
+        kept = np.maximum(c - self.discount, 0) / self.rare_total
+        out = np.log(np.maximum(kept, 1e-300))
+        free = min(0.0, math.log(self.discount * max(self.rare_distinct, 1) / self.rare_total))
+        out[few] = np.logaddexp(np.where(kept[few] > 0, out[few], -np.inf), free + spelled * math.log(10))
+        return out / math.log(10)
 
 
 # -- the token stream --------------------------------------------------------------------------
 def stream(vocabulary: Vocabulary, documents, tables: Tables):
-    """For slices of the token stream of ``documents`` (lists of words with their symbols): the documents'
-    places in their group, the slots and bits of all decisions, and at the end of each group its size."""
+    """Groups of ``documents`` (words and symbols), and for slices of a group's token stream: the tokens'
+    documents, how many decisions each token has, and the slots and bits of all decisions."""
     end = vocabulary.index[b""]
     pad = np.full(_PADS, end, np.int64)
 
@@ -156,8 +165,8 @@ def stream(vocabulary: Vocabulary, documents, tables: Tables):
             a, b = name[last], name[often[last - 1]]
             one, two = name[here - 1], name[here - 2]
             contexts = [mix(one + _U(1 << 40)), mix(mix(one + _U(2 << 40)) + two), mix((np.minimum(a, b) << _U(20) | np.maximum(a, b)) + _U(3 << 50))]
-            symbols, node, bit = vocabulary.code.decisions(symbol[here])
-            yield of[at : at + _SLICE][symbols], tables.slots(contexts, symbols, node), bit
+            decisions, node, bit = vocabulary.code.decisions(symbol[here])
+            yield of[at : at + _SLICE], decisions, tables.slots(contexts, decisions, node), bit
 
     held, n = [], 0
     for doc in documents:
@@ -176,7 +185,8 @@ def stream_mixer(tables: Tables) -> Mixer:
 
 # -- spelling ----------------------------------------------------------------------------------
 def spell(words: list[bytes], tables: Tables):
-    """For slices of the words' bytes, each word ended by a space: the words' places, slots and bits."""
+    """For slices of the words' bytes, each word ended by a space: the bytes' words, and slots and bits of all
+    decisions, eight a byte."""
     at = 0
     while at < len(words):
         stop, size = at, 0
@@ -198,25 +208,27 @@ def spell(words: list[bytes], tables: Tables):
             byte = flat[here].astype(np.int64)
             node = np.stack([(byte | 256) >> (8 - i) for i in range(8)], axis=1).ravel()
             bit = np.stack([byte >> (7 - i) & 1 for i in range(8)], axis=1).ravel()
-            places = np.repeat(np.arange(len(here)), 8)
-            yield at + of[cut : cut + 2 * _SLICE][places], tables.slots(contexts, places, node), bit
+            yield at + of[cut : cut + 2 * _SLICE], tables.slots(contexts, 8, node), bit
         at = stop
 
 
 def spelling_mixer(tables: Tables) -> Mixer:
-    return Mixer(tables, (3, 2))
+    return Mixer(tables, (2, 1))
 
 
 # -- learning ----------------------------------------------------------------------------------
-def fitted(rows: DataFrame, tasks: int, mixer: Callable[[], Mixer], feed) -> Mixer:
+def fitted(rows: DataFrame, tasks: int, mixer: Callable[[], Mixer], feed, known: Callable[[], np.ndarray | None] = lambda: None) -> Mixer:
     """A mixer that has learned from all ``rows``, in about ``tasks`` tasks; ``feed(batch)`` gives the slots and
-    bits of an Arrow batch. Tables are added up block by block, FAN tasks at a time."""
+    bits of an Arrow batch, ``known()`` the first predictor's counts, if they needn't be counted. Tables are
+    added up block by block, FAN tasks at a time."""
 
     def run(batches):
-        m = mixer().begin()
+        m = mixer().begin(known())
         for b in batches:
             for slots, bit in feed(b):
                 m.learn(slots, bit)
+        if m.known:
+            m.counts[: m.tables.offsets[1]] = 0  # not to be added up
         part, flat = TaskContext.get().partitionId(), m.counts.reshape(-1)
 
         def block(i, data):
@@ -251,6 +263,8 @@ def fitted(rows: DataFrame, tasks: int, mixer: Callable[[], Mixer], feed) -> Mix
             learned = np.frombuffer(r["data"], np.float64)
         else:
             out[r["block"] * BLOCK // 2 : (r["block"] + 1) * BLOCK // 2] = np.frombuffer(r["data"], np.int16)
+    if (first := known()) is not None:
+        out[: len(first)] = settled(first)
     return made.settle(learned, out)
 
 
@@ -269,15 +283,15 @@ class Model:
         """Log10 of the probability of each word's bytes; over all byte strings they sum to one at most."""
         out = np.zeros(len(words))
         for of, slots, bit in spell(words, self.spelling.tables):
-            out += np.bincount(of, self.spelling.log10(slots, bit), len(words))
+            out += np.bincount(of, self.spelling.log10(slots, bit).reshape(-1, 8).sum(axis=1), len(words))
         return out
 
     def streamed(self, documents):
         """(documents, their log10 probabilities as symbols) by groups; documents: words and symbols."""
         for docs, slices in stream(self.vocabulary, documents, self.stream.tables):
             out = np.zeros(len(docs))
-            for of, slots, bit in slices:
-                out += np.bincount(of, self.stream.log10(slots, bit), len(docs))
+            for of, n, slots, bit in slices:
+                out += np.bincount(of, np.add.reduceat(self.stream.log10(slots, bit), np.cumsum(n) - n), len(docs))
             yield docs, out
 
 
@@ -287,7 +301,7 @@ def fit(docs: DataFrame) -> Model:
     words = word_counts(docs)
     vocabulary = Vocabulary.of(words)
     sent = spark.sparkContext.broadcast(vocabulary)
-    tables = Tables(vocabulary.code.nodes, 3, bits_for(vocabulary.total))
+    tables = Tables(vocabulary.code.nodes, 3, bits_for(4 * vocabulary.total))
     spelling_tables = Tables(256, len(ORDERS), bits_for(16 * vocabulary.distinct, most=MOST_BITS - 1))
     cores = spark.sparkContext.defaultParallelism
 
@@ -295,14 +309,14 @@ def fit(docs: DataFrame) -> Model:
         v = sent.value
         texts = (tokens(t) for t in b.column(0).to_pylist())
         for _, slices in stream(v, ((ws, v.numbers(ws)) for ws in texts), tables):
-            for _, slots, bit in slices:
+            for *_, slots, bit in slices:
                 yield slots, bit
 
     def feed_words(b):
         for _, slots, bit in spell([w if w is not None else k for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], spelling_tables):
             yield slots, bit
 
-    streamed = fitted(docs.filter("learn").select("text"), max(cores, vocabulary.total // TASK_TOKENS), lambda: stream_mixer(tables), feed_text)
+    streamed = fitted(docs.filter("learn").select("text"), max(cores, vocabulary.total // TASK_TOKENS), lambda: stream_mixer(tables), feed_text, lambda: sent.value.nodes())
     spelled = fitted(words.filter("c > 0").select("key", "word"), max(cores, vocabulary.distinct // TASK_WORDS), lambda: spelling_mixer(spelling_tables), feed_words)
     return Model(vocabulary, streamed, spelled, words)
 
@@ -324,7 +338,7 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = [(k, w if w is not None else k, c) for k, w, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if k not in m.vocabulary.index]
             c = np.array([r[2] for r in rows], np.int64)
-            logs = m.vocabulary.rare(c.astype(float), m.spelled([r[1] for r in rows]))
+            logs = m.vocabulary.rare(c.astype(float), lambda at, rows=rows: m.spelled([rows[i][1] for i in at.tolist()]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array(c > 0), pa.array(m.vocabulary.base(c)), pa.array(logs)], ["key", "known", "base", "model"])
 
     rares = bounded_batches(words, 20_000).mapInArrow(rare, "key binary, known boolean, base double, model double")

@@ -226,8 +226,8 @@ def fit(labelled: DataFrame) -> Model:
     spark = labelled.sparkSession
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
-    chosen = rows.select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(MODEL_TEXTS)
-    chars = char_model(chosen.select("text"))
+    few = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(MODEL_TEXTS)  # hashes move, not texts
+    chars = char_model(rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), "h").dropDuplicates(["h"]).select("text"))
     sent = spark.sparkContext.broadcast(chars)
 
     def count(batches):
