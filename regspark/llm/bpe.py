@@ -27,7 +27,7 @@ from regspark.llm.common import bounded_batches, require, table
 NAME = "op1_bpe_encoding"
 ORACLE_SQL = None  # SQL has no tokenizer: the tests hold every document against the library
 #: Pieces of text whose tokens a Python worker remembers (about 250 bytes each).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def vocabulary_path() -> str:

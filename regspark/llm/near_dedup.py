@@ -51,7 +51,7 @@ _IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(
 _BASE = 0x9E3779B97F4A7C55
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     def one(base: int) -> np.ndarray:
         steps = np.full(1 << bits, base, np.uint64)
@@ -145,7 +145,7 @@ def bands(sign: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndarray:
 
 
 #: Bytes of text that are hashed at once; a longer text is alone.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def pieces(texts: list[str | None]):
