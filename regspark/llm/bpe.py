@@ -27,7 +27,7 @@ from regspark.llm.common import bounded_batches, require, table
 NAME = "op1_bpe_encoding"
 ORACLE_SQL = None  # SQL has no tokenizer: the tests hold every document against the library
 #: Pieces of text whose tokens a Python worker remembers (about 250 bytes each).
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 
 
 def vocabulary_path() -> str:
@@ -127,6 +127,7 @@ class WordBpe:
         file = Tokenizer.from_file(path)  # only its Unicode tables are used, for texts beyond Latin letters
         self.normalizer, self.splitter = file.normalizer, file.pre_tokenizer
         self.cache: dict[str, tuple[str, str]] = {}
+        self.limit = CACHE_PIECES
 
     # -- guess ---------------------------------------------------------------------------------
     BASE = 0x100000001B3
@@ -326,7 +327,7 @@ class WordBpe:
     def encode_batch(self, texts: list[str]) -> list[tuple[list[str], list[str]]]:
         """For each text, per piece: the decimal ids joined by a space, and the tokens joined by a space."""
         per_text = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.limit:
             self.cache.clear()
         if new := list(set().union(*per_text).difference(self.cache)):
             self.fill(new)
@@ -377,13 +378,16 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "token_ids", t
     return bounded_batches(tokens).withColumn(text, decoded(F.col(f"`{ids}`")))
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, pieces: int = CACHE_PIECES) -> DataFrame:
     """Encodes and decodes each text in one pass and keeps only counts and digests. The encoder hands over
-    ids and their tokens word by word, so decoding reads what was encoded."""
+    ids and their tokens word by word, so decoding reads what was encoded. A worker remembers up to ``pieces``
+    pieces; with fewer than CACHE_PIECES it forgets them after each task, for jobs whose workers stay alive.
+    Null and empty texts have no tokens; rows are independent; an empty table gives an empty result."""
     path = path or vocabulary_path()
 
     def run(batches):
         bpe = load(path)
+        bpe.limit = pieces
         for b in batches:
             n, ids, texts = [], [], []
             for found, tokens in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]):
@@ -392,6 +396,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 texts.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if pieces < CACHE_PIECES:
+            bpe.cache.clear()
 
     return bounded_batches(require(docs, "doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
