@@ -39,7 +39,7 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes what is left."""
-    return bpe.digests(docs)
+    return bpe.digests(docs, pieces=50_000)
 
 
 STAGES = [
