@@ -101,7 +101,7 @@ def pages_for_ranges(chunks: DataFrame, page_map: DataFrame) -> DataFrame:
 def section_title(text, mode: str = "regex"):
     """A chunk's heading, or null (SEG-7)."""
     if mode == "regex":
-        return F.nullif(F.trim(F.regexp_extract(text, r"(?i)^\s*((?:Rule|Section|§|Chapter|Part|Article)\s+[\d.§\-]+\s*\w*)", 1)), F.lit(""))
+        return F.nullif(F.trim(F.regexp_extract(text, S.SECTION_TITLE, 1)), F.lit(""))
     line = F.trim(F.substring_index(F.trim(text, F.lit(" \t\r\n")), "\n", 1))
     words = F.upper(line).rlike("^(SECTION|CHAPTER|PART|ARTICLE|RULE|REGULATION)")
     caps = (F.upper(line) == line) & (F.lower(line) != line) & (F.char_length(line) > 5)
@@ -148,11 +148,12 @@ def cells_to_grid(cells: DataFrame) -> DataFrame:
 
 
 def grid_to_text(grids: DataFrame, index: str = "table_id") -> DataFrame:
-    """(table_id, text): the header, a rule, and each row as ``Header: value`` pairs (SEG-12)."""
+    """(table_id, text): the header, a rule, and each row as ``Header: value`` pairs joined by commas (SEG-12).
+    Rows without a value are left out; rows of another width stay as they are."""
     head = F.col("grid")[0]
-    pairs = lambda r: F.array_join(F.filter(F.zip_with(head, r, lambda h, v: F.when(F.trim(v) != "", F.concat(h, F.lit(": "), v))), lambda x: x.isNotNull()), " | ")
+    pairs = lambda r: F.nullif(F.array_join(F.filter(F.zip_with(head, r, lambda h, v: F.when(F.trim(v) != "", F.concat(h, F.lit(": "), v))), lambda x: x.isNotNull()), ", "), F.lit(""))
     rows = F.transform(F.slice("grid", 2, F.greatest(F.size("grid") - 1, F.lit(0))), lambda r: F.when(F.size(r) == F.size(head), pairs(r)).otherwise(F.array_join(r, " | ")))
-    lines = F.concat(F.array(F.concat(F.lit("[TABLE "), F.col(index).cast("string"), F.lit("]")), F.array_join(head, " | "), F.lit("-" * 40)), rows)
+    lines = F.concat(F.array(F.concat(F.lit("[TABLE "), F.col(index).cast("string"), F.lit("]")), F.array_join(head, " | "), F.lit("-" * 40)), F.filter(rows, lambda r: r.isNotNull()))
     return grids.select(index, F.array_join(lines, "\n").alias("text"))
 
 

@@ -291,6 +291,20 @@ def page_overlap(spark, d):
     return out.select("doc_id", "start", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
+_HEADING = """list_element(['Rule', 'section', '§', 'CHAPTER', 'Part', 'Article', 'Note'], CAST(doc_id % 7 AS INTEGER) + 1) || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END || doc_id
+  || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'A-3' WHEN 2 THEN '.5(b)' ELSE '-b.' END || ' ' || source || ', due' || chr(10) || lang"""
+
+
+@register("section_title_regex", f"""
+SELECT doc_id, nullif(trim(regexp_extract(trim(h), '^((?:Rule|Section|§|Chapter|Part|Article)\\s+[\\d§][\\w.\\-]*(?:\\s+[\\w\\-]+)?)', 1, 'i')), '') AS title
+FROM (SELECT doc_id, '  ' || {_HEADING} AS h FROM documents)""")
+def section_title_regex(spark, d):
+    kinds = F.array(*map(F.lit, ("Rule", "section", "§", "CHAPTER", "Part", "Article", "Note")))
+    tail = F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, "A-3").when(F.col("doc_id") % 4 == 2, ".5(b)").otherwise("-b.")
+    heading = F.concat(F.lit("  "), F.element_at(kinds, (F.col("doc_id") % 7 + 1).cast("int")), F.lit(" "), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(""), F.col("doc_id").cast("string"), tail, F.lit(" "), "source", F.lit(", due\n"), "lang")
+    return t(spark, d, "documents").select("doc_id", segment.section_title(heading, "regex").alias("title"))
+
+
 @register("section_title", f"""
 WITH {_PAGES}, l AS (SELECT doc_id, page_number, trim(split_part(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1)) AS line FROM p)
 SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, CASE WHEN length(line) >= 100 THEN NULL WHEN regexp_matches(upper(line), '^(SECTION|CHAPTER|PART|ARTICLE|RULE|REGULATION)') THEN line WHEN regexp_matches(line, '^[0-9§]') THEN substr(line, 1, 80)
@@ -678,10 +692,10 @@ def strip_md_tables(spark, d):
 @register("table_grids", """
 WITH n AS (SELECT l_orderkey, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS r FROM lineitem),
 h AS (SELECT *, max(l_returnflag) FILTER (r = 1) OVER (PARTITION BY l_orderkey) AS h1, max(l_linestatus) FILTER (r = 1) OVER (PARTITION BY l_orderkey) AS h2 FROM n)
-SELECT l_orderkey AS table_id, '[TABLE ' || l_orderkey || ']' || chr(10) || string_agg(CASE WHEN r = 1 THEN l_returnflag || ' | ' || l_linestatus || chr(10) || repeat('-', 40) ELSE h1 || ': ' || l_returnflag || ' | ' || h2 || ': ' || l_linestatus END, chr(10) ORDER BY r) AS text FROM h GROUP BY 1""")
+SELECT l_orderkey AS table_id, '[TABLE ' || l_orderkey || ']' || chr(10) || string_agg(CASE WHEN r = 1 THEN l_returnflag || ' | ' || l_linestatus || chr(10) || repeat('-', 40) ELSE h1 || ': ' || l_returnflag || CASE WHEN l_linestatus = 'O' THEN '' ELSE ', ' || h2 || ': ' || l_linestatus END END, chr(10) ORDER BY r) AS text FROM h GROUP BY 1""")
 def table_grids(spark, d):
     row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey"))
-    cells = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), row.alias("row"), F.array("l_returnflag", "l_linestatus").alias("w")).select("table_id", "row", F.posexplode("w").alias("c", "w")).select("table_id", "row", (F.col("c") + 1).alias("col"), F.array("w").alias("words"))
+    cells = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), row.alias("row"), F.array(F.col("l_returnflag"), F.when((row > 1) & (F.col("l_linestatus") == "O"), "").otherwise(F.col("l_linestatus"))).alias("w")).select("table_id", "row", F.posexplode("w").alias("c", "w")).select("table_id", "row", (F.col("c") + 1).alias("col"), F.array("w").alias("words"))
     return segment.grid_to_text(segment.cells_to_grid(cells))
 
 

@@ -32,3 +32,6 @@ MANIFEST = T.StructType([
     ]))),
 ])
 GOLDEN = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "pattern", "question", "ideal_answer", "source_url", "source_date_checked", "expected_state", "expected_doc_filename_substring")] + [T.StructField("in_corpus_verified", T.BooleanType())])
+
+#: Fixed value: how a text begins whose section has a title (in Java's form, with Unicode classes).
+SECTION_TITLE = r"(?iU)^\s*((?:Rule|Section|§|Chapter|Part|Article)\s+[\d§][\w.\-]*(?:\s+[\w\-]+)?)"

@@ -38,8 +38,10 @@ def newest(df: DataFrame, key: str, order_by: str) -> DataFrame:
 
 
 def upsert_records(df: DataFrame, path: str, key: str = "page_id", order_by: str = "ingested_at", partition: str = "state") -> int:
-    """Writes rows over those with the same key (SRC-3) and returns how many were accepted. Only the
-    partitions that are touched are rewritten; meant for one writer."""
+    """Writes rows over those with the same key (SRC-3), also where a key has moved to another partition, and
+    returns how many were accepted. Only the partitions that hold or get any of the keys are rewritten, unless
+    one of them loses its last row: then all are, for a write can't empty a partition. Meant for one writer; what
+    is written stands complete in ``<path>__next`` before the table is touched, so a crash between loses nothing."""
     spark = df.sparkSession
     new = newest(df, key, order_by)
     try:
@@ -49,12 +51,18 @@ def upsert_records(df: DataFrame, path: str, key: str = "page_id", order_by: str
             raise
         new.write.partitionBy(partition).parquet(path)
         return spark.read.parquet(path).count()
-    touched = small(new.select(partition).distinct())
-    merged = old.join(touched, partition, "left_semi").join(new.select(key), key, "left_anti").unionByName(new)
+    keys = new.select(key)
+    left = old.join(keys, key, "left_semi").select(partition).distinct()
+    touched = small(new.select(partition).union(left).distinct())
+    merged = old.join(touched, partition, "left_semi").join(keys, key, "left_anti").unionByName(new)
     held = f"{path.rstrip('/')}__next"
     merged.write.mode("overwrite").partitionBy(partition).parquet(held)
     accepted = new.count()
-    spark.read.parquet(held).select(*old.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    whole = not left.join(spark.read.parquet(held).select(partition).distinct(), partition, "left_anti").isEmpty()
+    if whole:
+        old.join(keys, key, "left_anti").unionByName(new).write.mode("overwrite").partitionBy(partition).parquet(held)
+    mode = "static" if whole else "dynamic"
+    spark.read.parquet(held).select(*old.columns).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(partition).parquet(path)
     return accepted
 
 

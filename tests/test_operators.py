@@ -79,6 +79,14 @@ def test_grid(spark):
     assert text == "[TABLE t]\nFee | Amount due\n" + "-" * 40 + "\nAmount due: $5\nFee: Late"
 
 
+def test_grid_text_and_titles(spark):
+    df = spark.createDataFrame([("t", [["Fee", "Due"], ["Late", "$5"], [" ", ""], ["one"]])], "table_id string, grid array<array<string>>")
+    assert segment.grid_to_text(df).first().text == "[TABLE t]\nFee | Due\n" + "-" * 40 + "\nFee: Late, Due: $5\none"
+    texts = [("Section 12A-3 Fees due", "Section 12A-3 Fees"), (" rule 4.1(b) x", "rule 4.1"), ("Part x", None), ("The Section 3", None), ("§ 7", "§ 7")]
+    got = spark.createDataFrame(texts, "t string, want string").select(segment.section_title(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got), got
+
+
 def test_html(spark):
     html = "<html><head><style>x</style></head><body><nav>menu</nav><main><p>One</p><p>Two <b>bold</b></p></main></body></html>"
     df = spark.createDataFrame([("u", html)], "url string, html string")
@@ -195,6 +203,11 @@ def test_upsert_and_stream(spark, tmp_path):
     assert records.upsert_records(first, path) == 2
     assert records.upsert_records(spark.createDataFrame([row("a", "MS", "newer", 3), row("c", "MS", "c", 3)], schema), path) == 2
     assert sorted((r.page_id, r.text) for r in spark.read.parquet(path).collect()) == [("a", "newer"), ("b", "b"), ("c", "c")]
+    moves = spark.createDataFrame([row("a", "TX", "moved", 4)], schema)  # leaves a row behind in its partition
+    assert records.upsert_records(moves, path) == 1
+    assert sorted((r.page_id, r.state) for r in spark.read.parquet(path).collect()) == [("a", "TX"), ("b", "TX"), ("c", "MS")]
+    assert records.upsert_records(spark.createDataFrame([row("c", "LA", "moved", 5)], schema), path) == 1  # empties its partition
+    assert sorted((r.page_id, r.state) for r in spark.read.parquet(path).collect()) == [("a", "TX"), ("b", "TX"), ("c", "LA")]
     source, sink, mark = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "mark")
     kind = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("state", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ingested_at", T.TimestampType())])
     for drop in (first.filter("text <> 'new'"), first.filter("text = 'new'")):
