@@ -381,7 +381,8 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "token_ids", t
 def digests(docs: DataFrame, path: str | None = None, pieces: int = CACHE_PIECES) -> DataFrame:
     """Encodes and decodes each text in one pass and keeps only counts and digests. The encoder hands over
     ids and their tokens word by word, so decoding reads what was encoded. A worker remembers up to ``pieces``
-    pieces; with fewer than CACHE_PIECES it forgets them after each task, for jobs whose workers stay alive.
+    pieces; with fewer than CACHE_PIECES it
+    forgets them, and its tables, after each task, for jobs whose workers stay alive.
     Null and empty texts have no tokens; rows are independent; an empty table gives an empty result."""
     path = path or vocabulary_path()
 
@@ -398,6 +399,7 @@ def digests(docs: DataFrame, path: str | None = None, pieces: int = CACHE_PIECES
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         if pieces < CACHE_PIECES:
             bpe.cache.clear()
+            load.cache_clear()
 
     return bounded_batches(require(docs, "doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
