@@ -5,34 +5,60 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 DROPPED = {"script", "style", "nav", "header", "footer"}
+#: Elements without an end.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+def selects(selector: str, tag: str, attrs: dict) -> bool:
+    """Whether ``#id``, ``.class`` or a tag name means this element."""
+    if selector[0] == "#":
+        return attrs.get("id") == selector[1:]
+    if selector[0] == ".":
+        return selector[1:] in (attrs.get("class") or "").split()
+    return tag == selector
 
 
 class _Reader(HTMLParser):
-    def __init__(self, tags):
+    """Collects all text and that of the first element of each selector."""
+
+    def __init__(self, selectors):
         super().__init__(convert_charrefs=True)
-        self.tags, self.drop, self.depth, self.done = set(tags), 0, 0, False
-        self.chosen: list[str] = []
+        self.found: dict[str, list[str]] = {}
+        self.selectors, self.drop = selectors, 0
+        self.stack: list[tuple[str, list[str]]] = []
         self.all: list[str] = []
 
     def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
         self.drop += tag in DROPPED
-        self.depth += tag in self.tags and not self.done
+        new = [s for s in self.selectors if s not in self.found and not self.drop and selects(s, tag, dict(attrs))]
+        self.found.update((s, []) for s in new)
+        self.stack.append((tag, new))
 
     def handle_endtag(self, tag):
-        self.drop -= tag in DROPPED and self.drop > 0
-        if tag in self.tags and self.depth:
-            self.depth -= 1
-            self.done = self.done or not self.depth
+        if not any(t == tag for t, _ in self.stack):
+            return
+        while True:
+            last, _ = self.stack.pop()
+            self.drop -= last in DROPPED
+            if last == tag:
+                return
 
     def handle_data(self, data):
-        text = " ".join(data.split())
+        text = data.strip()
         if text and not self.drop:
             self.all.append(text)
-            if self.depth:
-                self.chosen.append(text)
+            for _, new in self.stack:
+                for s in new:
+                    self.found[s].append(text)
 
 
-def content(html: str, tags) -> str:
-    reader = _Reader(tags)
+def content(html: str, selectors) -> str:
+    reader = _Reader((*selectors, "body"))
     reader.feed(html)
-    return "\n".join(reader.chosen or reader.all)
+    reader.close()
+    for s in reader.selectors:
+        if s in reader.found:
+            return "\n".join(reader.found[s])
+    return "\n".join(reader.all)

@@ -11,11 +11,16 @@ from regspark import schema as S
 from regspark.operators.retrieve import small
 
 
-def apply_filters(df: DataFrame, record_type=None, state=None, agency_type=None, states=None, document=None) -> DataFrame:
-    """The conjunction of the conditions that are given (PRJ-1); it reaches the Parquet scan."""
+def condition(record_type=None, state=None, agency_type=None, states=None, document=None):
+    """The conjunction of the conditions that are given, or true."""
     tests = [F.col(c) == v for c, v in (("record_type", record_type), ("state", state), ("agency_type", agency_type), ("filename", document)) if v is not None]
     tests += [F.col("state").isin(*states)] if states else []
-    return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def apply_filters(df: DataFrame, **given) -> DataFrame:
+    """The rows that meet all conditions that are given (PRJ-1); they reach the Parquet scan."""
+    return df.filter(condition(**given))
 
 
 def shape_hits(df: DataFrame, text_chars: int = 600, home: str = "MS") -> DataFrame:

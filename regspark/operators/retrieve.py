@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,26 +19,36 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def postings(records: DataFrame, key: str, fields: list[str], stop: bool = True) -> DataFrame:
-    """(key, field, term, tf, len): one shuffle for all fields."""
-    long = records.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), stop).alias("t")) for f in fields])).alias("x")).select(key, "x.field", F.col("x.t").alias("t"))
-    return long.select(key, "field", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "field", "term", "len").agg(F.count("*").alias("tf"))
+#: Questions with vectors that one block holds and broadcasts.
+QUESTION_BLOCK = 5_000
+
 
+def with_questions(records: DataFrame, questions: DataFrame, size: int = QUESTION_BLOCK) -> DataFrame:
+    """Every record beside every question of a stated set, block by block of about ``size`` questions, so that
+    what is broadcast has a bound and no record moves. Ranks cut to the k best are cut before their shuffle."""
+    blocks = max(1, math.ceil(questions.count() / size))
+    parts = [questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [questions]
+    return reduce(DataFrame.unionByName, [records.crossJoin(F.broadcast(p)) for p in parts])
 
-def bm25(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str = "doc_id", k1: float = 1.2, b: float = 0.75, stop: bool = True) -> DataFrame:
+
+def bm25(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str = "doc_id", k1: float = 1.2, b: float = 0.75, stop: bool = True, kept=None) -> DataFrame:
     """(question_id, key, score): boosted sum of each field's BM25 (RET-2, RET-3). questions: question_id and
-    terms, an array. Statistics cover all records. Only postings of asked terms are shuffled."""
+    terms, an array. Statistics cover all records, scores those that meet ``kept``, a Column. Only postings of
+    asked terms are shuffled; document frequencies are as many as asked terms and fields, and are broadcast
+    where the terms are."""
     asked = questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = small(asked.select("term").distinct())
+    terms = asked.select("term").distinct()
+    few = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     lengths = records.select([F.size(tokens(F.col(f), stop)).alias(f) for f in fields])
     stats = lengths.agg(*[x for f in fields for x in (F.count_if(F.col(f) > 0).alias(f"n_{f}"), F.sum(f).cast("double").alias(f"s_{f}"))])
     stats = stats.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), F.col(f"n_{f}").alias("n_docs"), (F.col(f"s_{f}") / F.col(f"n_{f}")).alias("avg_len")) for f, w in fields.items()])).alias("s")).select("s.*")
-    long = records.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), stop).alias("t")) for f in fields])).alias("x")).select(key, "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
-    hits = long.join(terms, "term", "left_semi").groupBy(key, "field", "len", "term").agg(F.count("*").alias("tf"))
+    inside = F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))
+    long = records.select(F.col(key), inside.alias("inside"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), stop).alias("t")) for f in fields])).alias("x")).select(key, "inside", "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
+    hits = long.join(few(terms), "term", "left_semi").groupBy(key, "inside", "field", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, ["field", "term"]).join(F.broadcast(stats), "field").join(small(asked), "term")
+    scored = hits.filter("inside").join(few(df), ["field", "term"]).join(F.broadcast(stats), "field").join(few(asked), "term")
     return scored.groupBy("question_id", key).agg(F.sum(F.col("boost") * idf * tf).alias("score"))
 
 
@@ -47,12 +60,13 @@ def ranked(scores: DataFrame, key: str, k: int, by: str = "score", partition: tu
 
 def knn(questions: DataFrame, records: DataFrame, k: int, key: str = "record_id", metric: str = "cosine", min_similarity: float | None = None) -> DataFrame:
     """(question_id, key, score, rank): exact neighbours among records with a vector (RET-4, PRJ-9). questions:
-    question_id, q (a vector). The stated question set goes to all records, broadcast while it is small."""
+    question_id, q (a vector). The stated question set goes to all records in blocks. Vectors of another length
+    than a question's are no candidates of it."""
     value = dot(F.col("vector"), F.col("q"))
     if metric == "cosine":
         value = value / (norm(F.col("vector")) * norm(F.col("q")))
-    asked = small(questions.select("question_id", "q"))
-    scored = records.filter(F.col("vector").isNotNull()).join(asked, F.size("vector") == F.size("q")).select("question_id", key, value.alias("score"))
+    both = with_questions(records.filter(F.col("vector").isNotNull()).select(key, "vector"), questions.select("question_id", "q"))
+    scored = both.filter(F.size("vector") - F.size("q") == 0).select("question_id", key, value.alias("score"))
     if min_similarity is not None:
         scored = scored.filter(F.col("score") >= min_similarity)
     return ranked(scored, key, k)
@@ -87,10 +101,15 @@ def rrf(rankings: list[DataFrame], key: str, k: int = 60, top_k: int = 5) -> Dat
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("question_id", key, "score", "rank")
 
 
-def hybrid(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str, top_k: int = 5, stop: bool = True) -> DataFrame:
-    """Fuses the 3 x top_k best by vector and by text (RET-7). questions: question_id, terms, q."""
-    pool = 3 * top_k
-    return rrf([knn(questions, records, pool, key), ranked(bm25(questions, records, fields, key, stop=stop), key, pool)], key, top_k=top_k)
+def hybrid(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str, top_k: int = 5, stop: bool = True, **filters) -> DataFrame:
+    """Fuses the 3 x top_k best by vector and by text (RET-7) among the records that meet ``filters`` (as in
+    ``project.condition``). questions: question_id, terms, q. Text scores are ranked by nine places, so that
+    the order in which they were summed doesn't matter."""
+    from regspark.operators.project import condition
+
+    pool, kept = 3 * top_k, condition(**filters)
+    said = bm25(questions, records, fields, key, stop=stop, kept=kept).withColumn("score", F.round("score", 9))
+    return rrf([knn(questions, records.filter(kept), pool, key), ranked(said, key, pool)], key, top_k=top_k)
 
 
 def state_budget(n_states):

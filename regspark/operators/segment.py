@@ -29,14 +29,15 @@ SECTION_START = r"(?=\n(?:Rule|Section|§|Chapter|Part|Article|Subchapter|RULE|S
 
 
 def split_sections(docs: DataFrame, text: str = "full_text") -> DataFrame:
-    """(doc_id, section_index, text, start): cut before section headings where there are two or more; a
-    document with fewer is one section (SEG-3)."""
+    """(doc_id, section_index, text, start): cut before section headings where there are two or more, white
+    space around a section left out; a document with fewer is one section as it is (SEG-3)."""
     parts = F.split(text, SECTION_START)
     many = F.when(F.size(parts) > 2, parts).otherwise(F.array(F.col(text)))
-    out = docs.select("doc_id", F.posexplode(many).alias("section_index", "text"))
+    out = docs.select("doc_id", F.col(text).alias("_whole"), F.posexplode(many).alias("section_index", "text"))
     before = Window.partitionBy("doc_id").orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("start", F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0)))
-    return out.filter(F.trim("text") != "")
+    out = out.withColumn("text", F.when(F.size(F.split("_whole", SECTION_START)) > 2, F.trim("text", F.lit(" \t\r\n"))).otherwise(F.col("text")))
+    return out.filter(F.trim("text", F.lit(" \t\r\n")) != "").select("doc_id", "section_index", "text", "start")
 
 
 def merge_sections(docs: DataFrame, chunk_size: int = 2000, sections: str = "sections") -> DataFrame:
@@ -175,14 +176,15 @@ def clean_html(html):
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"), F.lit(" \n"))
 
 
-def clean_html_selected(pages: DataFrame, tags: tuple = ("main", "article", "section")) -> DataFrame:
-    """The first content element's text, else the body's, by the standard library's parser (SEG-14)."""
+def clean_html_selected(pages: DataFrame, selectors: tuple = S.CONTENT_SELECTORS) -> DataFrame:
+    """The text of the first selector that a page has, else the body's, else all, by the standard library's
+    parser (SEG-14). Null pages have an empty text."""
 
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
         from regspark.functions.html import content
 
-        return rows.map(lambda h: content(h or "", tags))
+        return rows.map(lambda h: content(h or "", selectors))
 
     return pages.withColumn("text", text("html"))
 

@@ -49,7 +49,7 @@ def v_vectors(spark, d):
 
 
 def v_questions(spark, d):
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.slice(F.array_distinct(tokens(F.col("text"))), 1, 5).alias("terms"))
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_distinct(tokens(F.col("text"))).alias("terms"))
 
 
 def v_fees(spark, d):
@@ -84,9 +84,7 @@ p AS (SELECT doc_id, field, boost, len(t) AS len, unnest(t) AS term FROM f),
 tf AS (SELECT doc_id, field, boost, len, term, count(*) AS tf FROM p GROUP BY ALL),
 st AS (SELECT field, count(*) FILTER (len(t) > 0) AS n, sum(len(t)) / count(*) FILTER (len(t) > 0) AS avg_len FROM f GROUP BY field),
 df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
-qt AS (SELECT item_id, unnest(list_filter({TOK.format(c='text')}, lambda x: x NOT IN ({_STOP}))) AS term, unnest(range(1, 1 + len(list_filter({TOK.format(c='text')}, lambda x: x NOT IN ({_STOP}))))) AS pos FROM benchmark),
-q1 AS (SELECT item_id, term, min(pos) AS pos FROM qt GROUP BY ALL),
-q AS (SELECT item_id AS question_id, term FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS r FROM q1) WHERE r <= 5),
+q AS (SELECT DISTINCT item_id AS question_id, unnest(list_filter({TOK.format(c='text')}, lambda x: x NOT IN ({_STOP}))) AS term FROM benchmark),
 s AS (SELECT question_id, doc_id, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))) AS score
   FROM tf JOIN q USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM s)
@@ -155,7 +153,7 @@ g AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(
 SELECT question_id, record_id, round(score, 6) AS score, rank FROM g WHERE rank <= 5""")
 def rrf_fusion(spark, d):
     a = retrieve.ranked(retrieve.knn(_queries(spark, d), v_vectors(spark, d), 20).withColumn("score", r6("score")).drop("rank"), "record_id", 15)
-    far = v_vectors(spark, d).join(retrieve.small(_queries(spark, d)))
+    far = retrieve.with_questions(v_vectors(spark, d), _queries(spark, d))
     dist = far.select("question_id", "record_id", r6(F.sqrt(F.aggregate(F.zip_with("vector", "q", lambda x, y: (x.cast("double") - 2 * y.cast("double")) * (x.cast("double") - 2 * y.cast("double"))), F.lit(0.0), lambda s, x: s + x))).alias("dist"))
     w = Window.partitionBy("question_id").orderBy("dist", F.desc("record_id"))
     b = dist.withColumn("rank", F.row_number().over(w)).filter("rank <= 15")
@@ -168,7 +166,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id, state ORDER BY scor
 SELECT question_id, record_id, state, score, CASE WHEN score >= 0.05 THEN 'strong' WHEN score >= 0.02 THEN 'moderate' ELSE 'weak' END AS tier FROM r WHERE n <= 3""")
 def hybrid_budget(spark, d):
     v = v_vectors(spark, d)
-    scores = v.join(retrieve.small(_queries(spark, d))).select("question_id", "record_id", "state", r6(_cosine()).alias("score"))
+    scores = retrieve.with_questions(v, _queries(spark, d)).select("question_id", "record_id", "state", r6(_cosine()).alias("score"))
     states = v.agg(F.count_distinct("state").alias("n"))
     kept = retrieve.by_state(scores.crossJoin(F.broadcast(states)), "record_id", retrieve.state_budget(F.col("n")))
     return kept.select("question_id", "record_id", "state", "score", match_tier(F.col("score")).alias("tier"))
@@ -180,11 +178,33 @@ def _cosine():
     return dot(F.col("vector"), F.col("q")) / (norm(F.col("vector")) * norm(F.col("q")))
 
 
-@register("hybrid_search")
-def hybrid_search(spark, d):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text").join(v_vectors(spark, d), "record_id", "left")
+def _hybrid_sql(where: str) -> str:
+    text = _bm25_sql({"text": 1.5}, 15).split("r AS (SELECT *, CAST(row_number()")[0].strip().removeprefix("WITH ")
+    return f"""
+WITH {text}
+v AS (SELECT d.doc_id, d.lang, embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
+b AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s JOIN v USING (doc_id) WHERE {where} AND question_id IN (SELECT vec_id FROM embeddings)),
+c AS (SELECT q.vec_id AS question_id, v.doc_id, {_COS} AS score FROM v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.embedding IS NOT NULL AND {where}),
+k AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS r FROM c),
+fused AS (SELECT question_id, doc_id, sum(1.0 / (60 + r)) AS score, min((src, r)) AS first FROM (SELECT *, 0 AS src FROM k WHERE r <= 15 UNION ALL SELECT *, 1 FROM b WHERE r <= 15) GROUP BY ALL),
+g AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, first, doc_id) AS INTEGER) AS rank FROM fused)
+SELECT question_id, doc_id AS record_id, round(score, 6) AS score, rank FROM g WHERE rank <= 5"""
+
+
+def _hybrid(spark, d, **filters):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("state"), "text").join(v_vectors(spark, d).select("record_id", "vector"), "record_id", "left")
     q = v_questions(spark, d).join(v_vectors(spark, d).select(F.col("record_id").alias("question_id"), F.col("vector").alias("q")), "question_id")
-    return retrieve.hybrid(q, docs, {"text": 1.5}, "record_id", 5)
+    return retrieve.hybrid(q, docs, {"text": 1.5}, "record_id", 5, **filters).withColumn("score", r6("score"))
+
+
+@register("hybrid_search", _hybrid_sql("true"))
+def hybrid_search(spark, d):
+    return _hybrid(spark, d)
+
+
+@register("hybrid_filtered", _hybrid_sql("v.lang IN ('de', 'fr')"))
+def hybrid_filtered(spark, d):
+    return _hybrid(spark, d, states=["de", "fr"])
 
 
 @register("term_count", """
@@ -256,18 +276,26 @@ def detect_intent(spark, d):
 
 
 @register("extract_term", r"""
+WITH q AS (SELECT conv_id, turn, list_element(['How often is "' || role || '" used?', 'count of the word ' || role, 'does ' || role || ' appear', 'occurrences of ' || role, 'frequency of ' || role, 'nothing asked'], CAST((conv_id + turn) % 6 AS INTEGER) + 1) AS text FROM conversations WHERE conv_id >= 0)
 SELECT conv_id, turn, coalesce(nullif(regexp_extract(text, '["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(text, '(?i)(?:term|word|phrase)\s+["'']?(\w+)["'']?', 1), ''),
   nullif(regexp_extract(text, '(?i)(?:does|do)\s+(?:the\s+)?(?:term\s+|word\s+)?["'']?(\w+)["'']?\s+appear', 1), ''), nullif(regexp_extract(text, '(?i)(?:times|occurrences?\s+of)\s+["'']?(\w+)["'']?', 1), ''),
-  nullif(regexp_extract(text, '(?i)(?:count|frequency)\s+(?:of\s+)?["'']?(\w+)["'']?', 1), '')) AS term FROM conversations""")
+  nullif(regexp_extract(text, '(?i)(?:count|frequency)\s+(?:of\s+)?["'']?(\w+)["'']?', 1), '')) AS term FROM q""")
 def extract_term(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", analyze.extract_term(F.col("text")).alias("term"))
+    c = t(spark, d, "conversations").filter("conv_id >= 0")
+    asked = F.array(*[F.concat(F.lit(x), "role", F.lit(y)) for x, y in (('How often is "', '" used?'), ("count of the word ", ""), ("does ", " appear"), ("occurrences of ", ""), ("frequency of ", ""))], F.lit("nothing asked"))
+    c = c.withColumn("text", F.element_at(asked, ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")))
+    return c.select("conv_id", "turn", analyze.extract_term(F.col("text")).alias("term"))
 
 
 @register("route", """
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'fee_benchmarking' WHEN role = 'assistant' THEN 'term_frequency' ELSE 'general_research' END AS route FROM conversations""")
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'fee_benchmarking' WHEN event_id % 5 = 1 THEN 'term_frequency' ELSE coalesce(list_element(['fee_comparison', 'licensing_reciprocity', 'amendment_history', 'statutory_authority'], list_position(['click', 'purchase', 'signup', 'view'], event_type)), 'general_research') END AS route FROM events""")
 def route(spark, d):
-    mode = F.when(F.col("role") == "system", "compare").when(F.col("role") == "assistant", "count").otherwise("auto")
-    return t(spark, d, "conversations").select("conv_id", "turn", analyze.route(F.col("role"), mode).alias("route"))
+    names = {"click": "fee_comparison", "purchase": "licensing_reciprocity", "signup": "amendment_history", "view": "statutory_authority"}
+    intent = F.lit("unheard of")
+    for kind, name in names.items():
+        intent = F.when(F.col("event_type") == kind, name).otherwise(intent)
+    mode = F.when(F.col("event_id") % 5 == 0, "compare").when(F.col("event_id") % 5 == 1, "count").otherwise("auto")
+    return t(spark, d, "events").select("event_id", analyze.route(intent, mode).alias("route"))
 
 
 _PAGES = "p AS (SELECT doc_id, lang AS state, source AS agency_type, 'doc_' || doc_id || '.pdf' AS filename, n AS page_number, substr(text, CAST((n - 1) * 500 + 1 AS BIGINT), 500) AS text FROM (SELECT *, unnest(range(1, greatest(CAST(ceil(length(text) / 500.0) AS BIGINT), 1) + 1)) AS n FROM documents))"
@@ -383,10 +411,15 @@ def link_extract(spark, d):
     return links.extract_links(t(spark, d, "pages"), keywords=["th"]).select("url", "link", "kind")
 
 
-@register("two_tier_links")
+@register("two_tier_links", """
+WITH k AS (SELECT page_id, 'https://example.org/rules/' || page_id AS url FROM pages)
+SELECT url AS root, CASE j WHEN 1 THEN url || '.pdf' ELSE 'https://example.org/rules/' || (page_id + 1) || '.pdf' END AS link, 'Rule ' || (page_id + j - 1) AS text, CAST(j AS INTEGER) AS tier FROM k, (VALUES (1), (2)) v(j)
+WHERE page_id % 2 = 0 AND (j = 1 OR page_id + 1 IN (SELECT page_id FROM k))""")
 def two_tier_links(spark, d):
-    pages = t(spark, d, "pages")
-    return links.two_tier(pages.select("url"), pages, keywords=["th"], extensions=["html", "asp"])
+    i, base = F.col("page_id").cast("string"), F.lit("https://example.org/rules/")
+    html = F.concat(F.lit('<a href="/rules/'), i, F.lit('.pdf">Rule '), i, F.lit('</a> <a href="'), (F.col("page_id") + 1).cast("string"), F.lit('">more rules</a>'))
+    pages = t(spark, d, "pages").select("page_id", F.concat(base, i).alias("url"), html.alias("html"))
+    return links.two_tier(pages.filter("page_id % 2 = 0").select("url"), pages.select("url", "html")).select("root", "link", "text", "tier")
 
 
 @register("page_title", r"""
@@ -576,10 +609,12 @@ def history(spark, d):
     return h.select("conv_id", "turn", F.size("history").cast("long").alias("n"), chars.cast("long").alias("chars"))
 
 
-@register("grounding", "SELECT conv_id, turn, 'red' AS status FROM conversations")
+@register("grounding", "SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'red' WHEN turn = 0 THEN 'green' ELSE 'amber' END AS status, CASE WHEN conv_id % 4 = 0 THEN 0 ELSE CAST(conv_id AS INTEGER) END AS grounded FROM conversations")
 def grounding(spark, d):
-    answers = t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("answer_id"), "text")
-    return audit.grounding(answers).select("answer_id.conv_id", "answer_id.turn", "status")
+    line = F.format_string("\n\nGrounding summary: %d grounded, %d inferred\n", "conv_id", "turn")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 4 == 0, "").otherwise(line))
+    answers = t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("answer_id"), text.alias("text"))
+    return audit.grounding(answers).select("answer_id.conv_id", "answer_id.turn", "status", "grounded")
 
 
 @register("stale_sessions", "SELECT user_id AS session, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 600 SECOND")
@@ -612,9 +647,12 @@ def estimate_cost(spark, d):
     return clean.estimate_cost(t(spark, d, "documents").select(F.col("n_chars").alias("size"))).select("documents", "bytes", F.round("cost", 4).alias("cost"))
 
 
-@register("extract_rules", r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '((?:Rule|Chapter)\s+[\d][\d.\-A-Z]*)', 1))) AS INTEGER) AS rules, CAST(len(list_distinct(regexp_extract_all(text, '\$([\d,]*\d(?:\.\d{2})?)', 1))) AS INTEGER) AS amounts FROM documents")
+@register("extract_rules", """
+SELECT doc_id, 'Rule ' || doc_id || '.2' || CASE WHEN doc_id % 3 = 0 THEN ',Chapter 7-A' ELSE '' END AS rules, '§ ' || doc_id || '-1(b)' AS codes, CAST(n_chars AS DOUBLE) + 0.25 AS amount FROM documents""")
 def extract_rules(spark, d):
-    return clean.extract_rules(t(spark, d, "documents")).select("doc_id", F.size("rules").alias("rules"), F.size("amounts").alias("amounts"))
+    said = F.concat(F.lit("Under Rule "), F.col("doc_id").cast("string"), F.lit(".2, twice Rule "), F.col("doc_id").cast("string"), F.lit(".2, "), F.when(F.col("doc_id") % 3 == 0, "Chapter 7-A, ").otherwise(""), F.lit("§ "), F.col("doc_id").cast("string"), F.lit("-1(b), pay $"), F.format_number("n_chars", 0), F.lit(".25 now"))
+    out = clean.extract_rules(t(spark, d, "documents").select("doc_id", said.alias("text")))
+    return out.select("doc_id", F.array_join("rules", ",").alias("rules"), F.array_join("statute_codes", ",").alias("codes"), F.col("amounts")[0].alias("amount"))
 
 
 @register("sanitize_fees", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE round(l_extendedprice, 2) END AS amount FROM lineitem WHERE l_linenumber % 3 <> 0")
@@ -730,3 +768,134 @@ def link_references(spark, d):
 def judge_scores(spark, d):
     raw = t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.to_json(F.struct(F.col("quality").cast("double").alias("groundedness"), (1 - F.col("toxic")).cast("double").alias("inference_honesty"), F.lit(1.0).alias("correctness"), F.lit(1.0).alias("jurisdiction"))).alias("raw"))
     return audit.judge_scores(raw).select("id", "groundedness", "primary_score")
+
+
+# -- operators over records made from the tables ---------------------------------------------------
+def v_hits(spark, d):
+    """Records with every field that tables and chains read."""
+    none = F.array().cast("array<string>")
+    every = lambda n, c: F.when(F.col("doc_id") % n == 0, c)
+    return v_documents(spark, d).select(
+        F.col("doc_id").alias("question_id"), "state", "agency_type", "filename", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("section"), every(2, F.array(F.lit(1), F.lit(2))).alias("page_numbers"),
+        every(3, F.array(F.col("agency_type"))).alias("statute_codes"), (F.col("doc_id") / 7).alias("score"), every(4, F.col("state")).otherwise("").alias("reciprocity_provisions"), every(5, F.array(F.lit("x"))).otherwise(none).alias("license_categories"),
+        every(3, F.array(F.col("filename"))).otherwise(none).alias("authority_references"), every(2, F.lit("core")).otherwise("").alias("core_rule"), F.col("text").alias("abstract"),
+        F.array(F.struct(F.col("doc_id").cast("double").alias("amount"), F.lit("late").alias("fee_type")), F.struct(F.lit(1.5).alias("amount"), F.col("state").alias("fee_type"))).alias("fees"),
+    )
+
+
+@register("to_citations", "SELECT doc_id AS question_id, 'doc_' || doc_id || '.pdf' AS document, CASE WHEN doc_id % 2 = 0 THEN '1,2' ELSE '' END AS pages, CASE WHEN doc_id % 3 = 0 THEN source END AS codes, round(doc_id / 7.0, 3) AS relevance FROM documents")
+def to_citations(spark, d):
+    out = project.to_citations(v_hits(spark, d))
+    return out.select("question_id", "document", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join("statute_codes", ",").alias("codes"), "relevance")
+
+
+@register("source_urls", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'u' || doc_id WHEN lang = 'en' THEN 'https://example.org/doc_' || doc_id || '.htm' END AS url FROM documents")
+def source_urls(spark, d):
+    files = v_documents(spark, d).select("doc_id", "state", "filename")
+    known = files.filter("doc_id % 3 = 0").select("filename", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"))
+    return project.source_urls(files, known, {"en": "https://example.org/{}.htm"}).select("doc_id", "url")
+
+
+@register("section_split", """
+SELECT doc_id, CAST(i AS INTEGER) AS section_index, CASE i WHEN 0 THEN lang WHEN 1 THEN 'Rule ' || doc_id ELSE 'Section 2 ' || source END AS text, CASE i WHEN 0 THEN 0 WHEN 1 THEN length(lang) + 1 ELSE length(lang) + 8 + length(CAST(doc_id AS VARCHAR)) END AS start
+FROM documents, (VALUES (0), (1), (2)) v(i) WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 0, lang || ' ' || chr(10) || 'Rule 1', 0 FROM documents WHERE doc_id % 2 = 1""")
+def section_split(spark, d):
+    i = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("\n\nRule "), i, F.lit("\n\nSection 2 "), "source")).otherwise(F.concat("lang", F.lit(" \nRule 1")))
+    out = segment.split_sections(t(spark, d, "documents").select("doc_id", text.alias("full_text")))
+    return out.withColumn("start", F.col("start").cast("long"))
+
+
+@register("chunk_ids", "SELECT doc_id, substr(sha256('doc_' || doc_id || '.pdf:' || (doc_id % 5) || ':' || substr(text, 1, 100)), 1, 12) AS chunk_id FROM documents WHERE text IS NOT NULL")
+def chunk_ids(spark, d):
+    return v_documents(spark, d).filter("text IS NOT NULL").select("doc_id", segment.chunk_id(F.col("filename"), F.col("doc_id") % 5, F.col("text")).alias("chunk_id"))
+
+
+@register("run_stats", "SELECT count(DISTINCT user_id) AS documents, count(*) AS pages, count(*) FILTER (event_type <> 'view') AS abstracts, count(*) FILTER (event_type = 'view') AS failures FROM events")
+def run_stats(spark, d):
+    failed = F.col("event_type") == "view"
+    return clean.run_stats(t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(~failed, "x").alias("output"), F.when(failed, "e").alias("error")))
+
+
+@register("expand_questions", "SELECT item_id, concat_ws(' ', 'fees caps', text) AS text FROM benchmark")
+def expand_questions(spark, d):
+    return retrieve.expand(t(spark, d, "benchmark").select("item_id", "text"), "fees caps")
+
+
+@register("scope_questions", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'multi' ELSE 'single' END AS scope, CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 3 <> 2 THEN 'MS' END AS state, CASE WHEN doc_id % 3 = 2 THEN source END AS states FROM documents""")
+def scope_questions(spark, d):
+    mode = F.when(F.col("doc_id") % 3 == 1, "chat").when(F.col("doc_id") % 3 == 2, "compare")
+    q = t(spark, d, "documents").select("doc_id", mode.alias("mode"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("state"), F.array("source").alias("states"))
+    return retrieve.scope(q).select("doc_id", "scope", "state", F.array_join("states", ",").alias("states"))
+
+
+@register("fee_table", "SELECT lang AS state, 'doc_' || doc_id || '.pdf' AS source, CAST(doc_id AS DOUBLE) AS amount, 'late' AS fee_type FROM documents UNION ALL SELECT lang, 'doc_' || doc_id || '.pdf', 1.5, lang FROM documents")
+def fee_table(spark, d):
+    return analyze.fee_table(v_hits(spark, d)).select("state", "source", "amount", "fee_type")
+
+
+@register("reciprocity_rows", "SELECT doc_id FROM documents WHERE (doc_id % 4 = 0 AND lang <> '') OR doc_id % 5 = 0")
+def reciprocity_rows(spark, d):
+    return analyze.reciprocity_rows(v_hits(spark, d)).select(F.col("question_id").alias("doc_id"))
+
+
+@register("authority_chain", "SELECT lang AS state, 's' || doc_id AS section, CASE WHEN doc_id % 2 = 0 THEN 'core' ELSE '' END AS core_rule, 'doc_' || doc_id || '.pdf' AS refs FROM documents WHERE doc_id % 3 = 0")
+def authority_chain(spark, d):
+    return analyze.authority_chain(v_hits(spark, d)).select("state", "section", "core_rule", F.array_join("authority_references", ",").alias("refs"))
+
+
+@register("comparison_table", "SELECT lang AS state, md5(CASE WHEN doc_id % 2 = 0 THEN 'core' ELSE substr(text, 1, 200) END) AS provision, 'doc_' || doc_id || '.pdf' AS citation FROM documents")
+def comparison_table(spark, d):
+    return analyze.comparison_table(v_hits(spark, d)).select("state", F.md5("provision").alias("provision"), "citation")
+
+
+@register("resolve_states", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'GA' WHEN event_type = 'view' THEN 'AL,AR,GA,LA,MS,TN,TX' WHEN event_type = 'click' THEN 'TX,MS' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'MS,AL' ELSE 'AL' END AS states FROM events""")
+def resolve_states(spark, d):
+    text = F.when(F.col("event_type") == "view", "any rules?").when(F.col("event_type") == "click", "from Texas to MS today").otherwise("rules in Alabama")
+    given = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("GA")))
+    intent = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0), "reciprocity").otherwise("general")
+    return t(spark, d, "events").select("event_id", F.array_join(analyze.resolve_states(given, text, intent), ",").alias("states"))
+
+
+@register("collect_metadata", """
+WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
+SELECT c_custkey AS question_id, CASE WHEN n IS NULL THEN '{}' WHEN c_custkey % 2 = 0 THEN '{"orders":' || n || ',"even":1}' ELSE '{"orders":' || n || '}' END AS metadata FROM customer LEFT JOIN o ON c_custkey = k WHERE n IS NOT NULL OR c_custkey % 2 = 1""")
+def collect_metadata(spark, d):
+    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("question_id"))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("question_id"))
+    asked = c.join(orders, "question_id", "left_semi").union(c.join(orders, "question_id", "left_anti").filter("question_id % 2 = 1"))
+    return analyze.collect_metadata(asked, {"orders": orders, "even": c.filter("question_id % 2 = 0")})
+
+
+@register("crawl_targets", """
+SELECT doc_id, s AS state, CASE WHEN doc_id % 2 = 0 THEN 'medical' ELSE 'dental' END AS agency_type FROM (SELECT doc_id, list_element(['AL', 'AR', 'GA', 'LA', 'MS', 'TN', 'TX'], CAST(doc_id % 7 AS INTEGER) + 1) AS s FROM documents) WHERE s IN ('MS', 'TX')""")
+def crawl_targets(spark, d):
+    states = F.array(*[F.lit(x) for x in ("AL", "AR", "GA", "LA", "MS", "TN", "TX")])
+    docs = t(spark, d, "documents").select("doc_id", F.element_at(states, (F.col("doc_id") % 7 + 1).cast("int")).alias("state"), F.when(F.col("doc_id") % 2 == 0, "medical").otherwise("dental").alias("agency_type"))
+    return docs.join(F.broadcast(records.targets(spark, states=["ms", "tx"])), ["state", "agency_type"]).select("doc_id", "state", "agency_type")
+
+
+@register("parse_options", "SELECT CAST(doc_id AS VARCHAR) AS value, trim(source) AS label FROM documents WHERE source <> ''")
+def parse_options(spark, d):
+    html = F.concat(F.lit('<select><option value="">  </option><option class=x value = "'), F.col("doc_id").cast("string"), F.lit('"> <b>'), "source", F.lit("</b></option></select>"))
+    return records.parse_options(t(spark, d, "documents").select(html.alias("html")))
+
+
+@register("links_by_rule", "SELECT 'even' AS source, 'https://example.org/p/' || page_id AS url, 'https://example.org/p/' || page_id || '.pdf' AS link FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'odd', 'https://example.org/p/' || page_id, 'https://example.org/p/rule-' || page_id FROM pages WHERE page_id % 2 = 1")
+def links_by_rule(spark, d):
+    p = t(spark, d, "pages")
+    i = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<a href="'), i, F.lit('.pdf">one</a><a href="rule-'), i, F.lit('">two</a>'))
+    source = F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd")
+    rules = p.select(source.alias("source"), F.when(F.col("page_id") % 2 == 0, r"\.pdf$").otherwise("/rule-").alias("pattern")).distinct()
+    return links.links_by_rule(p.select(source.alias("source"), F.concat(F.lit("https://example.org/p/"), i).alias("url"), html.alias("html")), rules).select("source", "url", "link")
+
+
+@register("paired_records", "SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'n' || page_id AS label FROM pages UNION ALL SELECT page_id, '0', 'last' FROM pages")
+def paired_records(spark, d):
+    i = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<i data-id="), i, F.lit("><b>n"), i, F.lit("</b><i data-id=0><b>last</b>"))
+    out = links.paired_records(t(spark, d, "pages").select(F.col("page_id").alias("url"), html.alias("html")), r"data-id=(\d+)", r"<b>(.*?)</b>")
+    return out.select(F.col("url").alias("page_id"), "id", "label")

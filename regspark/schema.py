@@ -15,6 +15,8 @@ COUNT_PHRASES = ("how many times", "how often", "count of", "frequency of", "num
 RECIPROCITY_PHRASES = ("reciprocity", "reciprocal", "moved to", "moving to", "transfer license", "licensed in another state", "holds a license in", "held a license in")
 COMPARISON_PHRASES = ("compare", "comparison", "how does", "differ", "difference", "versus", " vs ", "other states", "across states")
 INTENTS = ("fee_comparison", "term_frequency", "licensing_reciprocity", "fee_benchmarking", "amendment_history", "statutory_authority", "license_category_compare", "testing_requirements", "general_research")
+#: Where a page's content is looked for, in this order.
+CONTENT_SELECTORS = ("#doc-content", "#content", ".content", "main", "article", ".rule-text")
 
 FEE = T.StructType([T.StructField("amount", T.DoubleType()), T.StructField("fee_type", T.StringType()), T.StructField("description", T.StringType()), T.StructField("statutory_cap", T.DoubleType())])
 _TEXTS = ("record_type", "doc_id", "page_id", "filename", "state", "agency_type", "agency_name", "section", "raw_text", "abstract", "core_rule", "compliance_requirements", "testing_requirements", "reciprocity_provisions", "model")

@@ -57,7 +57,7 @@ def test_pages_and_sections(spark):
     assert sorted(tuple(r) for r in segment.split_pages(docs).collect()) == [("d", 1, "Title"), ("d", 3, "Fees\n\n$5")]
     text = spark.createDataFrame([(1, "Intro\nSection 1 a\nRule 2 b"), (2, "Nothing\nSection 1 alone")], "doc_id int, full_text string")
     got = {(r.doc_id, r.section_index): r.text for r in segment.split_sections(text).collect()}
-    assert len(got) == 4 and got[2, 0] == "Nothing\nSection 1 alone" and "".join(v for (d, _), v in sorted(got.items()) if d == 1) == "Intro\nSection 1 a\nRule 2 b"
+    assert got == {(1, 0): "Intro", (1, 1): "Section 1 a", (1, 2): "Rule 2 b", (2, 0): "Nothing\nSection 1 alone"}
 
 
 def test_merge_sections(spark):
@@ -92,6 +92,9 @@ def test_html(spark):
     df = spark.createDataFrame([("u", html)], "url string, html string")
     assert df.select(segment.clean_html(F.col("html"))).first()[0] == "One\nTwo bold"
     assert segment.clean_html_selected(df).first().text == "One\nTwo\nbold"
+    chosen = '<body>out<br><article>second</article><div class="x content"><p>in<script>no</script></p> it<img></div> out</body>'
+    texts = spark.createDataFrame([(chosen,), ("<title>t</title><body>all <p>of it</body>",), ("bare",), (None,)], "html string").coalesce(1)
+    assert [r.text for r in segment.clean_html_selected(texts).collect()] == ["in\nit", "all\nof it", "bare", ""]
     table = spark.createDataFrame([("| a | b |\n|---|:-:|\n| 1 | 2 |\ntext",)], "t string")
     assert table.select(segment.strip_md_tables(F.col("t"))).first()[0] == "a  |  b\n1  |  2\ntext"
 
@@ -231,3 +234,26 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("bm25_topk", "page_overlap", "manifest_diff", "pending"):
         plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_neighbours_by_blocks(spark):
+    from regspark.operators import retrieve
+
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(60, [1.0]), (61, None)]
+    records = spark.createDataFrame(rows, "record_id long, vector array<double>")
+    asked = records.filter("record_id < 23").selectExpr("record_id question_id", "vector q")
+    whole = {tuple(r) for r in retrieve.with_questions(records, asked).select("question_id", "record_id").collect()}
+    assert len(whole) == 23 * 62
+    assert {tuple(r) for r in retrieve.with_questions(records, asked, 4).select("question_id", "record_id").collect()} == whole
+    found = retrieve.knn(asked, records, 100).groupBy("question_id").count().collect()
+    assert {r["count"] for r in found} == {60}
+
+
+def test_hybrid_filters_both_sides(spark):
+    from regspark.operators import retrieve
+
+    records = spark.createDataFrame([(1, "a", "fee due", [1.0, 0.0]), (2, "b", "fee due", [1.0, 0.1]), (3, "b", "none", [0.0, 1.0])], "record_id long, state string, text string, vector array<double>")
+    asked = spark.createDataFrame([(9, ["fee"], [1.0, 0.0])], "question_id long, terms array<string>, q array<double>")
+    assert [r.record_id for r in retrieve.hybrid(asked, records, {"text": 1.0}, "record_id", state="b").orderBy("rank").collect()] == [2, 3]
+    scores = [{r.record_id: r.score for r in retrieve.bm25(asked, records, {"text": 1.0}, "record_id", kept=k).collect()} for k in (None, F.col("state") == "b")]
+    assert set(scores[0]) == {1, 2} and set(scores[1]) == {2} and scores[0][2] == scores[1][2]
