@@ -16,11 +16,12 @@ def registry():
         lm_score,
         near_dedup,
         shard,
+        simhash,
         topk,
         toxicity,
     )
 
-    modules = (bpe, chat_format, shard, line_dedup, lm_score, decontaminate, langid, topk, toxicity, near_dedup)
+    modules = (bpe, chat_format, shard, line_dedup, lm_score, decontaminate, langid, topk, toxicity, near_dedup, simhash)
     return [(m.NAME, m.query, m.ORACLE_SQL) for m in modules]
 
 
