@@ -10,6 +10,7 @@ def registry():
     from regspark.llm import (
         bpe,
         chat_format,
+        collocations,
         decontaminate,
         langid,
         line_dedup,
@@ -17,11 +18,12 @@ def registry():
         near_dedup,
         shard,
         simhash,
+        token_align,
         topk,
         toxicity,
     )
 
-    modules = (bpe, chat_format, shard, line_dedup, lm_score, decontaminate, langid, topk, toxicity, near_dedup, simhash)
+    modules = (bpe, chat_format, shard, line_dedup, lm_score, decontaminate, langid, topk, toxicity, near_dedup, token_align, simhash, collocations)
     return [(m.NAME, m.query, m.ORACLE_SQL) for m in modules]
 
 
