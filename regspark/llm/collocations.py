@@ -221,7 +221,7 @@ def exact_counts(rows: DataFrame, passes: Filter, longest: int) -> DataFrame:
                 out, names = [(0, pa.array([b""], pa.large_binary()), np.array([words.total]))], None
                 for length, h, n, part, word in words.phrases(longest, passes):
                     last = words.spelled.take(pa.array(word))
-                    names = last if names is None else pc.binary_join_element_wise(names.take(pa.array(part)), last, b" ")
+                    names = last if names is None else pc.binary_join_element_wise(names.take(pa.array(part)), last, pa.scalar(b" ", pa.large_binary()))
                     ok = passes(length, h)
                     out.append((length, names.filter(pa.array(ok)), n[ok]))
                 for length, phrase, n in out:
@@ -280,7 +280,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\n-\r]')) AS piece FROM documents),
-lists AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces),
+lists AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
 grams AS (
   SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
   FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM lists, range(1, {LONGEST + 1}) t(m) WHERE len(w) >= m)),
