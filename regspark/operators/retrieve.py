@@ -72,23 +72,6 @@ def knn(questions: DataFrame, records: DataFrame, k: int, key: str = "record_id"
     return ranked(scored, key, k)
 
 
-def knn_approx(questions: DataFrame, records: DataFrame, k: int, key: str = "record_id", tables: int = 8, width: float = 0.8, radius: float = 2.1) -> DataFrame:
-    """Candidates by random projections, ranked again exactly (RET-5). Vectors have unit length, so a radius over
-    2 excludes no candidate. Questions with fewer than k candidates get their exact neighbours."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=width, seed=11)
-    side = lambda df, vec, *names: df.select(*names, F.col(vec).alias("vector"), array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("v"))
-    left, right = side(records.filter("vector IS NOT NULL"), "vector", key), side(questions, "q", "question_id")
-    near = model.fit(left).approxSimilarityJoin(left, right, radius)
-    near = near.select(F.col(f"datasetA.{key}").alias(key), F.col("datasetB.question_id").alias("question_id"), dot(F.col("datasetA.vector"), F.col("datasetB.vector")).alias("score"))
-    found = ranked(near, key, k)
-    full = found.filter(F.col("rank") == k).select("question_id")
-    short = questions.join(full, "question_id", "left_anti")
-    return found.join(full, "question_id", "left_semi").unionByName(knn(short, records, k, key))
-
-
 def rrf(rankings: list[DataFrame], key: str, k: int = 60, top_k: int = 5) -> DataFrame:
     """Reciprocal rank fusion (RET-6): sum of 1 / (k + rank); ties keep the first ranking's order, then the
     next one's."""

@@ -139,11 +139,6 @@ def knn_min_similarity(spark, d):
     return retrieve.knn(_queries(spark, d), v_vectors(spark, d), 2**30, min_similarity=0.3).groupBy("question_id").agg(F.count("*").alias("n"))
 
 
-@register("knn_approx")
-def knn_approx(spark, d):
-    return retrieve.knn_approx(_queries(spark, d), v_vectors(spark, d), 10)
-
-
 @register("rrf_fusion", f"""
 WITH s AS (SELECT q.vec_id AS question_id, v.vec_id AS record_id, round({_COS}, 6) AS score, round(sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - 2 * CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - 2 * CAST(p[2] AS DOUBLE))))), 6) AS dist
   FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),

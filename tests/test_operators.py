@@ -117,29 +117,6 @@ def test_fusion_keeps_the_first_rankings_order_on_ties(spark):
     assert [r.record_id for r in retrieve.rrf([a, b], "record_id").orderBy("rank").collect()] == ["y", "x", "z"]
 
 
-def test_approximate_neighbours_reach_recall(spark):
-    from regspark.plans import queries as Q
-
-    d = "/root/testdata/sf0.001"
-    exact = {(r.question_id, r.record_id) for r in Q.QUERIES["knn_topk"](spark, d).collect()}
-    near = {(r.question_id, r.record_id) for r in retrieve.knn_approx(Q._queries(spark, d), Q.v_vectors(spark, d), 10, tables=30, width=2.0, radius=2.1).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
-def test_registered_approximate_neighbours(spark):
-    from regspark.plans import queries as Q
-
-    d = "/root/testdata/sf0.01"
-    exact = {(r.question_id, r.record_id) for r in Q.QUERIES["knn_topk"](spark, d).collect()}
-    near = [(r.question_id, r.record_id) for r in Q.QUERIES["knn_approx"](spark, d).collect()]
-    print("recall", len(exact & set(near)) / len(exact))
-    assert len(near) == len(set(near)) == len(exact) and len(exact & set(near)) >= 0.9 * len(exact)
-    v, q = Q.v_vectors(spark, d).limit(50).cache(), Q._queries(spark, d).limit(3).cache()
-    few = retrieve.knn_approx(q, v, 10, tables=1, width=0.001, radius=0.01)  # next to no candidates
-    same = retrieve.knn(q, v, 10)
-    assert {(r.question_id, r.record_id, r["rank"]) for r in few.collect()} == {(r.question_id, r.record_id, r["rank"]) for r in same.collect()}
-
-
 def test_answers(spark):
     text = "Fact.\n[INFERENCE]: guess one\n\nMore.\n[INFERENCE]: guess two\nGrounding summary: 3 grounded, 2 inferred"
     df = spark.createDataFrame([(1, text), (2, "no line"), (3, "x\nGrounding summary: 1 grounded, 0 inferred")], "answer_id int, text string")
