@@ -1,6 +1,6 @@
 """Queries of the library's own operators, and their SQL."""
 
-from regspark.plans import search  # noqa: F401  registers its queries
+from regspark.plans import search, store  # noqa: F401  register their queries
 from regspark.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
