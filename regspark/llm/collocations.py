@@ -212,10 +212,20 @@ def filter_bits(found: DataFrame, partition_bits: int):
     return found.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
+#: Phrases with counts that a task holds before it sums them, and of different ones before it hands them on.
+HELD, DIFFERENT = 1_500_000, 750_000
+
+
 def exact_counts(rows: DataFrame, passes: Filter, longest: int) -> DataFrame:
-    """(lang, length, phrase, f) of the phrases that the filter lets through; length 0 counts all words."""
+    """(lang, length, phrase, f) of the phrases that the filter lets through; length 0 counts all words. A task
+    sums over its batches first, in bounded memory."""
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(held).group_by(["lang", "length", "phrase"]).aggregate([("f", "sum")])
+        return out.rename_columns(["lang", "length", "phrase", "f"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for lang, words in by_language(batch):
                 out, names = [(0, pa.array([b""], pa.large_binary()), np.array([words.total]))], None
@@ -225,9 +235,17 @@ def exact_counts(rows: DataFrame, passes: Filter, longest: int) -> DataFrame:
                     ok = passes(length, h)
                     out.append((length, names.filter(pa.array(ok)), n[ok]))
                 for length, phrase, n in out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length), pa.int32()), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "length", "phrase", "f"]
-                    )
+                    phrase = phrase.cast(pa.large_string()).cast(pa.string())
+                    held.append(pa.table({"lang": pa.array([lang] * len(n), pa.string()), "length": pa.array(np.full(len(n), length), pa.int32()), "phrase": phrase, "f": pa.array(n, pa.int64())}))
+                    size += len(n)
+            if size > HELD:
+                held = [summed(held)]
+                size = len(held[0])
+                if size > DIFFERENT:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from summed(held).to_batches()
 
     found = bounded_batches(rows, 4096, BATCH).mapInArrow(run, "lang string, length int, phrase string, f long")
     return found.groupBy("lang", "length", "phrase").agg(F.sum("f").alias("f"))
