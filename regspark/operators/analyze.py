@@ -6,33 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regspark import schema as S
-from regspark.functions.text import substring_count, tokens
+from regspark.operators.patterns import occurrences
 from regspark.operators.retrieve import small
 
 
+def _asked(terms: DataFrame) -> DataFrame:
+    """(term, low): asked terms beside what is looked for."""
+    return terms.select("term").distinct().withColumn("low", F.lower("term"))
+
+
 def term_count(terms: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", need_token: bool = True, markers: bool = True) -> DataFrame:
     """(term, key, count, pages): occurrences in each document that shares a token with the term, and the
     first 20 pages that hold it (ANA-1). Pages are told by ``[Page n]`` lines; ``markers=False`` leaves those
-    lines out of the count."""
-    body = F.col(text) if markers else F.regexp_replace(text, r"\[Page \d+\]", "")
-    asked = small(terms.select("term").distinct())
-    df = docs.select(key, F.col(text).alias("text"), body.alias("body")).join(asked, F.lower("body").contains(F.lower("term")))
-    if need_token:
-        df = df.filter(F.arrays_overlap(tokens(F.col("body"), False), tokens(F.col("term"), False)))
-    parts = F.transform(F.split("text", r"(?=\[Page \d+\])"), lambda p: F.struct(F.regexp_extract(p, r"^\[Page (\d+)\]", 1).alias("n"), F.lower(p).alias("t")))
-    pages = F.transform(F.filter(parts, lambda p: (p.n != "") & p.t.contains(F.lower("term"))), lambda p: p.n.cast("int"))
-    return df.select("term", key, substring_count(F.col("body"), F.col("term")).alias("count"), F.slice(F.array_distinct(pages), 1, 20).alias("pages")).filter("count > 0")
-
-
-def term_totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.sum("count").alias("total"), F.count("*").alias("documents"))
+    lines out of the count. Any number of terms: each text is read once for a block of them."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?=\[Page \d+\])"), lambda p: F.struct(F.regexp_extract(p, r"^\[Page (\d+)\]", 1).try_cast("int").alias("page"), F.lower(p).alias("text")))
+    body = F.lit(None).cast("string") if markers else F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[Page \d+\]", ""))
+    asked = _asked(terms)
+    found = occurrences(docs.select(key, parts.alias("parts"), body.alias("body")), asked.select(F.col("low").alias("term")), [key], body="body", need_token=need_token)
+    found = found.withColumnsRenamed({"term": "low"}).join(small(asked), "low")
+    return found.select("term", key, "count", F.slice("pages", 1, 20).alias("pages"))
 
 
 def term_frequency(hits: DataFrame, terms: DataFrame) -> DataFrame:
     """Counts in each hit's text and abstract, with a snippet and the term's total (ANA-2)."""
-    body = F.concat_ws(" ", "text", "abstract")
-    df = hits.join(small(terms.select("term").distinct()), F.lower(body).contains(F.lower("term")))
-    df = df.withColumn("count", substring_count(body, F.col("term"))).filter("count > 0").withColumn("snippet", F.substring("text", 1, 200))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("page"), F.lower(F.concat_ws(" ", "text", "abstract")).alias("text")))
+    asked = _asked(terms)
+    found = occurrences(hits.withColumn("_parts_", whole), asked.select(F.col("low").alias("term")), hits.columns, "_parts_")
+    df = found.drop("pages").withColumnsRenamed({"term": "low"}).join(small(asked), "low").drop("low").withColumn("snippet", F.substring("text", 1, 200))
     totals = df.groupBy("term").agg(F.sum("count").alias("total"))
     return df.join(small(totals), "term")
 

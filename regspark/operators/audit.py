@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regspark import schema as S
 from regspark.operators.clean import parse_model_json
-from regspark.operators.retrieve import small
+from regspark.operators.patterns import automaton, occurrences
 
 SUMMARY = r"(?m)^[ \t]*Grounding summary:\s*(\d+)\s+grounded,\s*(\d+)\s+inferred[ \t]*$"
 BLOCK = r"(?s)\[INFERENCE\]:\s*(.*?)(?=\n\s*\n|\n\[INFERENCE\]:|\z)"
@@ -49,19 +50,50 @@ REFERENCES = r"([A-Za-z0-9§.\-_]+\.pdf|§\s?[\d.\-]+(?:\([a-z0-9]+\))?|Rule\s+[
 def link_references(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """(answer_id, position, reference, document, page): each reference of an answer with the citation it means
     (AUD-3): equal to a file, section or code, else contained either way; page is the citation's first, or 1.
-    One pattern finds references from left to right, so none overlap."""
-    refs = answers.select("answer_id", F.posexplode(F.regexp_extract_all("text", F.lit(REFERENCES), 1)).alias("position", "reference"))
+    One pattern finds references from left to right, so none overlap. An answer's references and keys meet in
+    two automata, not pair by pair."""
+    refs = answers.select("answer_id", F.regexp_extract_all("text", F.lit(REFERENCES), 1).alias("refs")).filter(F.size("refs") > 0)
     keys = F.array_compact(F.concat(F.array("document", "section"), F.coalesce("statute_codes", F.array().cast("array<string>"))))
-    c = citations.select(F.col("answer_id").alias("a"), "document", F.try_element_at("pages", F.lit(1)).alias("page"), F.explode(keys).alias("key"))
-    ref, key = F.lower("reference"), F.lower("key")
-    hit = refs.join(c, (F.col("answer_id") == F.col("a")) & (key != "") & (ref.contains(key) | key.contains(ref)))
-    order = F.struct((ref != key).cast("int"), F.col("document"), F.col("page"))
-    best = hit.groupBy("answer_id", "position", "reference").agg(F.min_by(F.struct("document", "page"), order).alias("c"))
-    return best.select("answer_id", "position", "reference", "c.document", F.coalesce("c.page", F.lit(1)).alias("page"))
+    c = citations.select(F.col("answer_id").alias("a"), F.struct("document", F.try_element_at("pages", F.lit(1)).cast("int").alias("page"), F.transform(keys, lambda k: F.lower(k)).alias("keys")).alias("c"))
+    c = c.groupBy("a").agg(F.collect_list("c").alias("citations"))
+    both = refs.join(c, F.col("answer_id") == F.col("a")).select("answer_id", "refs", F.transform("refs", lambda r: F.lower(r)).alias("low"), "citations")
+
+    @F.pandas_udf("array<struct<position int, document string, page int>>")
+    def meant(low, citations):
+        return pd.Series([_meant(list(r), list(c)) for r, c in zip(low, citations, strict=True)])
+
+    found = both.select("answer_id", "refs", F.explode(meant("low", "citations")).alias("m"))
+    return found.select("answer_id", "m.position", F.get("refs", F.col("m.position")).alias("reference"), "m.document", F.coalesce("m.page", F.lit(1)).alias("page"))
+
+
+def _meant(refs: list[str], citations: list) -> list[dict]:
+    """For each reference that has one: the citation of an equal key, else of a key that holds it or that it
+    holds; of several the first by document and page."""
+    order = lambda c: (c["document"] is not None, c["document"] or "", c["page"] is not None, c["page"] or 0)
+    best: dict[str, dict] = {}
+    for c in citations:
+        for k in c["keys"]:
+            if k and (k not in best or order(c) < order(best[k])):
+                best[k] = c
+    keys, asked = list(best), list(dict.fromkeys(r for r in refs if r))
+    near: dict[str, set] = {r: set() for r in asked}
+    if keys and asked:
+        inside, around = automaton(keys), automaton(asked)
+        for r in asked:
+            near[r].update(keys[k] for _, k in inside.iter(r))
+        for k in keys:
+            for _, r in around.iter(k):
+                near[asked[r]].add(k)
+    out = []
+    for i, r in enumerate(refs):
+        if near.get(r):
+            c = best[min(near[r], key=lambda k: (k != r, order(best[k])))]
+            out.append({"position": i, "document": c["document"], "page": c["page"]})
+    return out
 
 
 def rule_id(filename):
-    """A readable rule name out of a file name."""
+    """A readable rule name out of a file name. The six patterns and the words before them."""
     base = F.regexp_replace(filename, r"(?i)\.pdf$", "")
     title = F.concat(F.lit("Title "), F.regexp_extract(base, r"^(\d+)v(\d+)$", 1), F.lit(", Vol. "), F.regexp_extract(base, r"^(\d+)v(\d+)$", 2))
     named = lambda w: F.concat(F.lit(f"{w} "), base)
@@ -132,11 +164,15 @@ def report(results: DataFrame) -> DataFrame:
 
 
 def golden_coverage(golden: DataFrame, records: DataFrame) -> DataFrame:
-    """(id, hits): records of the expected state whose file name holds the expected part (AUD-9)."""
-    files = records.groupBy("state", "filename").agg(F.count("*").alias("n"))
-    g = small(golden.select("id", "expected_state", "expected_doc_filename_substring"))
-    hit = files.join(g, (F.col("state") == F.col("expected_state")) & F.col("filename").contains(F.col("expected_doc_filename_substring")))
-    return golden.select("id").join(hit.groupBy("id").agg(F.sum("n").alias("hits")), "id", "left").select("id", F.coalesce("hits", F.lit(0)).alias("hits"))
+    """(id, hits): records of the expected state whose file name holds the expected part (AUD-9). An empty part is
+    in every name, a null one in none."""
+    files = records.filter("state IS NOT NULL AND filename IS NOT NULL").groupBy("state", "filename").agg(F.count("*").alias("n"))
+    name = F.array(F.struct(F.lit(None).cast("int").alias("page"), F.col("filename").alias("text")))
+    g = golden.select("id", F.col("expected_state").alias("state"), F.col("expected_doc_filename_substring").alias("term"))
+    found = occurrences(files.withColumn("parts", name), g, ["state", "n"]).groupBy("state", "term").agg(F.sum("n").alias("n"))
+    every = files.groupBy("state").agg(F.sum("n").alias("n")).select("state", F.lit("").alias("term"), "n")
+    hit = g.join(found.unionByName(every), ["state", "term"]).groupBy("id").agg(F.sum("n").alias("hits"))
+    return golden.select("id").join(hit, "id", "left").select("id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def pattern_distribution(golden: DataFrame, targets: DataFrame) -> DataFrame:

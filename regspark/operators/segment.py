@@ -3,6 +3,7 @@ to put pages together."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,11 +93,31 @@ def size_split(docs: DataFrame, chunk_size: int = 2000, overlap: int = 200, mode
 
 def pages_for_ranges(chunks: DataFrame, page_map: DataFrame) -> DataFrame:
     """``chunks`` (doc_id, start, end) with the pages (doc_id, page_number, page_start, page_end) they touch,
-    ascending; page 1 if none (SEG-6)."""
-    m = page_map.select(F.col("doc_id").alias("d"), "page_number", "page_start", "page_end")
-    hit = chunks.join(m, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("page_end")) & (F.col("end") > F.col("page_start")), "left")
-    got = hit.groupBy(*chunks.columns).agg(F.sort_array(F.collect_set("page_number")).alias("pages"))
-    return got.withColumn("pages", F.when(F.size("pages") == 0, F.array(F.lit(1))).otherwise(F.col("pages")))
+    ascending; page 1 if none (SEG-6). A document's chunks and pages meet in one row, as arrays, and are looked up
+    by binary search: no chunk is joined with a page."""
+    m = page_map.groupBy(F.col("doc_id").alias("_doc")).agg(*[F.collect_list(c).alias(f"_{c}") for c in ("page_start", "page_end", "page_number")])
+    c = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(*chunks.columns)).alias("_chunks"))
+    both = c.join(m, F.col("doc_id") == F.col("_doc"), "left")
+    kind = page_map.schema["page_number"].dataType.simpleString()
+
+    @F.pandas_udf(f"array<array<{kind}>>")
+    def touched(start: pd.Series, end: pd.Series, page_start: pd.Series, page_end: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series([_touched(*row) for row in zip(start, end, page_start, page_end, number, strict=True)])
+
+    pages = touched("_chunks.start", "_chunks.end", "_page_start", "_page_end", "_page_number")
+    rows = both.select(F.explode(F.arrays_zip(F.col("_chunks").alias("c"), pages.alias("pages"))).alias("r"))
+    return rows.select("r.c.*", "r.pages")
+
+
+def _touched(start, end, page_start, page_end, number) -> list[list]:
+    if page_start is None or not len(page_start):
+        return [[1] for _ in start]
+    by = np.argsort(page_start, kind="stable")
+    first, last, n = (np.asarray(x)[by] for x in (page_start, page_end, number))
+    reach = np.maximum.accumulate(last)  # of pages up to here: ascending, also where ranges overlap
+    low, high = np.searchsorted(reach, start, "right"), np.searchsorted(first, end, "left")
+    found = [sorted(set(n[i:j][last[i:j] > s].tolist())) for s, i, j in zip(start, low, high, strict=True)]
+    return [f or [1] for f in found]
 
 
 def section_title(text, mode: str = "regex"):

@@ -36,9 +36,9 @@ def v_arrivals(spark, d):
 
 
 @register("late_windows", """
-WITH a AS (SELECT event_id * 10 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END AS batch, ts, event_type AS by FROM events),
+WITH a AS (SELECT event_id * 10 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END AS batch, ts, event_type AS "by" FROM events),
 m AS (SELECT batch, max(max(epoch_us(ts))) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 43200000000 AS mark FROM a GROUP BY batch),
-w AS (SELECT batch, epoch_us(ts) // 86400000000 * 86400 AS start, by, mark FROM a JOIN m USING (batch))
-SELECT start, by, count(*) FILTER (NOT coalesce((start + 86400) * 1000000 <= mark, false)) AS on_time, count(*) FILTER ((start + 86400) * 1000000 <= mark) AS late FROM w GROUP BY ALL""")
+w AS (SELECT batch, epoch_us(ts) // 86400000000 * 86400 AS start, "by", mark FROM a JOIN m USING (batch))
+SELECT start, "by", count(*) FILTER (NOT coalesce((start + 86400) * 1000000 <= mark, false)) AS on_time, count(*) FILTER ((start + 86400) * 1000000 <= mark) AS late FROM w GROUP BY ALL""")
 def late_windows(spark, d):
     return windows.late_windows(v_arrivals(spark, d), 86_400, 43_200)
