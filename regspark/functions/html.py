@@ -62,3 +62,39 @@ def content(html: str, selectors) -> str:
         if s in reader.found:
             return "\n".join(reader.found[s])
     return "\n".join(reader.all)
+
+
+class _Anchors(HTMLParser):
+    """Addresses of all anchors that have one, with the texts inside them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, int | None]] = []
+        self.found: list[tuple[str, list[str]]] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        href = (dict(attrs).get("href") or "").strip() if tag == "a" else ""
+        if href:
+            self.found.append((href, []))
+        self.stack.append((tag, len(self.found) - 1 if href else None))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        text = data.strip()
+        if text and not any(t in ("script", "style") for t, _ in self.stack):
+            for _, i in self.stack:
+                if i is not None:
+                    self.found[i][1].append(text)
+
+
+def page_anchors(html: str) -> list[tuple[str, str]]:
+    reader = _Anchors()
+    reader.feed(html)
+    reader.close()
+    return [(href, " ".join(" ".join(texts).split())) for href, texts in reader.found]

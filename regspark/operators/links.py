@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +10,33 @@ from regspark import schema as S
 from regspark.operators.retrieve import small
 
 
+#: A reference's scheme, authority (with its slashes), path and query (with its mark).
+_URL = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
+
+
+def without_dots(segments):
+    """Path segments after a fold over them with a stack: ``.`` is nothing, ``..`` takes the one before away."""
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", up(acc)).when(s == ".", acc).otherwise(F.array_append(acc, s)))
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+
+
 def normalize_url(base, href):
-    """An absolute URL without fragment (LNK-1)."""
-    h = F.regexp_replace(F.trim(href), "#.*$", "")
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*):", 1)
-    root = F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*://[^/?#]*)", 1)
-    plain = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(plain.rlike(r"^[a-zA-Z][\w+.\-]*://[^/]*$"), F.concat(plain, F.lit("/"))).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
+    """An absolute URL without fragment (LNK-1): a reference resolved against its page, as RFC 3986 (5.2) has it,
+    where one of the page's own scheme without an authority counts as relative. Absolute references stay as written."""
+    h = F.trim(href, F.lit(" \t\r\n\x0b\x0c"))
+    scheme, authority, path, query = (F.regexp_extract(h, _URL, i) for i in (1, 2, 3, 4))
+    own, host, folder, asked = (F.regexp_extract(base, _URL, i) for i in (1, 2, 3, 4))
+    plain = F.regexp_replace(h, "#.*$", "")
+    middle = F.slice(F.split(folder, "/"), 1, F.greatest(F.size(F.split(folder, "/")) - 1, F.lit(0)))
+    beside = F.concat(F.filter(middle, lambda s, i: (i == 0) | (s != "")), F.split(path, "/"))
+    beside = F.when((folder == "") & (host != ""), F.concat(F.array(F.lit("")), F.split(path, "/"))).otherwise(beside)
+    resolved = F.array_join(without_dots(F.when(path.startswith("/"), F.split(path, "/")).otherwise(beside)), "/")
+    rooted = F.when((host != "") & ~resolved.startswith("/"), F.concat(F.lit("/"), resolved)).otherwise(resolved)
+    made = F.when(path == "", F.concat(folder, F.when(query != "", query).otherwise(asked))).otherwise(F.concat(rooted, query))
     return (
-        F.when(h.rlike(r"^[a-zA-Z][\w+.\-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h))
-        .when(h.startswith("?"), F.concat(plain, h)).when(h == "", F.regexp_replace(base, "#.*$", "")).otherwise(F.concat(folder, F.regexp_replace(h, r"^(\./)+", "")))
+        F.when((scheme != "") & (F.lower(scheme) != F.lower(own)), plain).when((scheme != "") & (authority != ""), plain)
+        .when(authority != "", F.concat(own, F.lit(":"), plain)).otherwise(F.concat(own, F.lit(":"), host, made))
     )
 
 
@@ -32,15 +50,18 @@ def keyword_match(text, url, keywords=S.RULE_WORDS):
     return F.lower(F.concat_ws(" ", text, url)).rlike("|".join(keywords))
 
 
-ANCHOR = r'(?is)<a\b[^>]*?href\s*=\s*["\']([^"\']*)["\'][^>]*>(.*?)</a>'
+def anchors(pages: DataFrame, *keep: str) -> DataFrame:
+    """(url, position, link, text): every anchor of a page with an address, its link made absolute. Pages are read by
+    the standard library's parser: attributes with or without quotes, entities decoded, comments and scripts left out."""
 
+    @F.pandas_udf("array<struct<href string, text string>>")
+    def found(rows: pd.Series) -> pd.Series:
+        from regspark.functions.html import page_anchors
 
-def anchors(pages: DataFrame, *keep: str) -> DataFrame:
-    """(url, position, link, text): every anchor of a page, its link made absolute."""
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("inner"))
-    rows = pages.select("url", *keep, F.posexplode(both).alias("position", "a"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.col("a.inner"), r"(?s)<[^>]+>", " "), r"\s+", " "))
-    return rows.select("url", *keep, "position", normalize_url(F.col("url"), F.col("a.href")).alias("link"), text.alias("text"))
+        return rows.map(lambda h: [{"href": a, "text": t} for a, t in page_anchors(h or "")])
+
+    rows = pages.select("url", *keep, F.posexplode(found("html")).alias("position", "a"))
+    return rows.select("url", *keep, "position", normalize_url(F.col("url"), F.col("a.href")).alias("link"), F.col("a.text").alias("text"))
 
 
 def extract_links(pages: DataFrame, allowed_domains=None, keywords=S.RULE_WORDS, extensions=S.DOC_EXTENSIONS) -> DataFrame:

@@ -25,20 +25,24 @@ def split_pages(docs: DataFrame, text: str = "full_text") -> DataFrame:
     return parts.select("doc_id", F.regexp_extract("p", r"^\[Page (\d+)\]", 1).cast("int").alias("page_number"), F.regexp_replace("p", r"^\[Page \d+\]\n", "").alias("text"))
 
 
-#: Words that open a section.
-SECTION_START = r"(?=\n(?:Rule|Section|§|Chapter|Part|Article|Subchapter|RULE|SECTION|CHAPTER)\s+[\d§])"
+#: A line feed before words that open a section.
+SECTION_START = r"\n(?=(?:Rule|Section|§|Chapter|Part|Article|Subchapter|RULE|SECTION|CHAPTER)\s+[\d§])"
+#: All white space, as Python strips it.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def split_sections(docs: DataFrame, text: str = "full_text") -> DataFrame:
     """(doc_id, section_index, text, start): cut before section headings where there are two or more, white
-    space around a section left out; a document with fewer is one section as it is (SEG-3)."""
-    parts = F.split(text, SECTION_START)
-    many = F.when(F.size(parts) > 2, parts).otherwise(F.array(F.col(text)))
-    out = docs.select("doc_id", F.col(text).alias("_whole"), F.posexplode(many).alias("section_index", "text"))
-    before = Window.partitionBy("doc_id").orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("start", F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0)))
-    out = out.withColumn("text", F.when(F.size(F.split("_whole", SECTION_START)) > 2, F.trim("text", F.lit(" \t\r\n"))).otherwise(F.col("text")))
-    return out.filter(F.trim("text", F.lit(" \t\r\n")) != "").select("doc_id", "section_index", "text", "start")
+    space around a section left out; a document with fewer is one section as it is (SEG-3). A heading counts if a
+    line feed stands before it, also at the very beginning; start is where the cut lies."""
+    whole = F.col(text)
+    many = F.regexp_count(whole, F.lit(SECTION_START)) >= 2
+    parts = F.when(many, F.split(whole, "(?=" + SECTION_START + ")")).otherwise(F.array(whole))
+    before = lambda acc, p: F.struct(F.array_append(acc.out, F.struct(p.alias("text"), acc.at.alias("start"))).alias("out"), (acc.at + F.char_length(p)).alias("at"))
+    zero = F.struct(F.array().cast("array<struct<text:string,start:int>>").alias("out"), F.lit(0).alias("at"))
+    trimmed = lambda p: F.struct(F.when(many, F.trim(p.text, F.lit(BLANKS))).otherwise(p.text).alias("text"), p.start.alias("start"))
+    kept = F.filter(F.transform(F.aggregate(parts, zero, before, lambda acc: acc.out), trimmed), lambda p: F.trim(p.text, F.lit(BLANKS)) != "")
+    return docs.select("doc_id", F.posexplode(kept).alias("section_index", "s")).select("doc_id", "section_index", "s.text", "s.start")
 
 
 def merge_sections(docs: DataFrame, chunk_size: int = 2000, sections: str = "sections") -> DataFrame:
@@ -52,45 +56,84 @@ def merge_sections(docs: DataFrame, chunk_size: int = 2000, sections: str = "sec
     return docs.withColumn("chunks", folded)
 
 
-#: Marks a sentence ends with.
+#: Marks a sentence ends with, and how far past a window's end a blank line or sentence may lie.
 SENTENCE_ENDS = (". ", ".\n", "? ", "?\n", "! ", "!\n")
+PARAGRAPH_REACH, SENTENCE_REACH = 200, 100
+
+
+def window_end(text: str, start: int, size: int, mode: str) -> int:
+    """Where the window that begins at ``start`` ends: at the last good place in its second half, or after
+    ``size`` characters, be that beyond the text."""
+    end, half = start + size, start + size // 2
+    if end >= len(text):
+        return end
+    if mode == "paragraph":  # before a blank line, or after a full stop; both may lie a little past the window
+        at = text.rfind("\n\n", half, end + PARAGRAPH_REACH)
+        if at > start:
+            return at
+        at = text.rfind(". ", half, end + SENTENCE_REACH)
+        return at + 1 if at > start else end
+    found = ((text.rfind(mark, start, end), len(mark)) for mark in ("\n\n", *SENTENCE_ENDS))
+    return next((at + n for at, n in found if at > half), end)  # after the mark, which lies inside
 
 
 def cuts(text: str, size: int, overlap: int, mode: str, drop_tail: bool) -> list[tuple[int, int]]:
-    """The spans of a text's chunks."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n:
-            if mode == "paragraph":
-                found = text.rfind("\n\n", at + size // 2, end + overlap)
-                found = found if found >= 0 else text.rfind(". ", at + size // 2, end + overlap // 2)
-                end = found + 1 if found >= 0 else end
-            else:
-                found = text.rfind("\n\n", at, end)
-                marks = [text.rfind(m, at, end) for m in SENTENCE_ENDS]
-                best = [f for f in (found, *marks) if f > at + size // 2]
-                end = best[0] + 1 if best else end
-        out.append((at, end))
-        if end >= n and (drop_tail or mode == "sentence"):
+    """The spans of a text's chunks. Mode ``paragraph`` goes on while the next start lies inside the text, and so
+    ends with short chunks that the one before holds already; ``drop_tail`` leaves those out. Mode ``sentence``
+    stops where less than an overlap is left."""
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = window_end(text, start, size, mode)
+        if not (drop_tail and out and out[-1][1] >= n):
+            out.append((start, min(end, n)))
+        start = max(start + 1, end - overlap)
+        if mode == "sentence" and start >= n - overlap:
             break
-        at = max(at + 1, end - overlap)
-        if mode == "sentence" and at >= n - overlap or end >= n and at >= n - 1:
-            break
-    return out
+    return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-def size_split(docs: DataFrame, chunk_size: int = 2000, overlap: int = 200, mode: str = "paragraph", drop_tail: bool = True, text: str = "text") -> DataFrame:
+def size_split(docs: DataFrame, chunk_size: int = 2000, overlap: int = 200, mode: str = "paragraph", drop_tail: bool = False, text: str = "text") -> DataFrame:
     """(doc_id, chunk_index, start, end, text): windows that end at a blank line or sentence where they can
-    (SEG-5). Every character is in a chunk."""
+    (SEG-5); texts without white space around, blank windows left out."""
 
     @F.pandas_udf("array<struct<start int, end int, text string>>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b]} for a, b in cuts(t or "", chunk_size, overlap, mode, drop_tail)])
+        return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b].strip()} for a, b in cuts(t or "", chunk_size, overlap, mode, drop_tail)])
 
     return docs.select("doc_id", F.posexplode(split(F.col(text))).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
 
 
+def chunk_pages(pages: DataFrame, chunk_size: int = 2000, overlap: int = 200) -> DataFrame:
+    """(doc_id, chunk_index, total_chunks, section, start, end, pages, section_title, text): the whole chunker
+    (SEG-1, SEG-3 to SEG-8). A document's pages are put together, cut at section headings, small sections merged,
+    and what is over twice the size, or has no sections, cut by size. Pages are those that a chunk's own place
+    touches. pages: doc_id, page_number, text."""
+    said = F.struct("page_number", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n")).alias("t"))
+    docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(said)).alias("p"))
+    docs = docs.select("doc_id", F.array_join(F.transform("p", lambda p: p.t), "").alias("full_text"), F.transform("p", lambda p: F.struct(p.page_number.alias("n"), F.char_length(p.t).alias("size"))).alias("p"))
+    ends = F.aggregate("p", F.array().cast("array<struct<n:int,size:int>>"), lambda acc, p: F.array_append(acc, F.struct(p.n.cast("int").alias("n"), (p["size"] + F.when(F.size(acc) > 0, F.element_at(acc, -1)["size"]).otherwise(0)).alias("size"))))
+    page_map = docs.select("doc_id", F.posexplode(F.zip_with("p", ends, lambda p, e: F.struct(p.n.alias("page_number"), (e["size"] - p["size"]).alias("page_start"), e["size"].alias("page_end")))).alias("i", "m")).select("doc_id", "m.*")
+    sections = split_sections(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_index", "text", "start"))).alias("s"))
+    empty = F.array().cast("array<struct<text:string,start:int>>")
+    piece = lambda text, start: F.struct(text.alias("text"), start.alias("start"))
+    last = lambda acc: F.element_at(acc, -1)
+    joined = lambda acc, s: F.array_append(F.slice(acc, 1, F.size(acc) - 1), piece(F.concat(last(acc).text, F.lit("\n\n"), s.text), last(acc).start))
+    step = lambda acc, s: F.when((F.size(acc) > 0) & (F.char_length(F.try_element_at(acc, F.lit(-1)).text) + F.char_length(s.text) < chunk_size), joined(acc, s)).otherwise(F.array_append(acc, piece(s.text, s.start)))
+    merged = sections.select("doc_id", (F.size("s") < 2).alias("alone"), F.posexplode(F.aggregate("s", empty, step)).alias("section", "c")).select("doc_id", "alone", "section", F.col("c.text").alias("text"), F.col("c.start").alias("at"))
+
+    @F.pandas_udf("array<struct<start int, end int, text string>>")
+    def split(texts: pd.Series, alone: pd.Series) -> pd.Series:
+        whole = lambda t: [{"start": 0, "end": len(t), "text": t}]
+        some = lambda t: [{"start": a, "end": b, "text": t[a:b].strip()} for a, b in cuts(t, chunk_size, overlap, "paragraph", False)]
+        return pd.Series([some(t) if one or len(t) > 2 * chunk_size else whole(t) for t, one in zip(texts, alone, strict=True)])
+
+    chunks = merged.select("doc_id", "section", "at", F.posexplode(split("text", "alone")).alias("sub", "c")).select("doc_id", "section", "sub", (F.col("at") + F.col("c.start")).alias("start"), (F.col("at") + F.col("c.end")).alias("end"), "c.text")
+    placed = pages_for_ranges(chunks, page_map)
+    w = Window.partitionBy("doc_id")
+    numbered = placed.withColumn("chunk_index", F.row_number().over(w.orderBy("section", "sub")) - 1).withColumn("total_chunks", F.count("*").over(w).cast("int"))
+    return numbered.select("doc_id", "chunk_index", "total_chunks", "section", "start", "end", "pages", section_title(F.col("text")).alias("section_title"), "text")
+
+
 def pages_for_ranges(chunks: DataFrame, page_map: DataFrame) -> DataFrame:
     """``chunks`` (doc_id, start, end) with the pages (doc_id, page_number, page_start, page_end) they touch,
     ascending; page 1 if none (SEG-6). A document's chunks and pages meet in one row, as arrays, and are looked up

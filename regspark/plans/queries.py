@@ -366,17 +366,6 @@ def page_batches(spark, d):
     return out.select("doc_id", "batch", F.size("pages").cast("long").alias("n"), chars.alias("chars"))
 
 
-@register("size_split")
-def size_split(spark, d):
-    return segment.size_split(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "start", "end")
-
-
-@register("section_merge")
-def section_merge(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("sections"))
-    return segment.merge_sections(docs).select("doc_id", F.size("chunks").alias("chunks"), F.array_max(F.transform("chunks", lambda c: F.char_length(c))).alias("longest"))
-
-
 @register("embedding_text", f"""
 WITH {_PAGES} SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, md5(concat_ws(' | ', nullif(trim(substr(text, 1, 100)), ''), nullif(trim(state), ''), nullif(trim(substr(text, 1, 2000)), ''))) AS h FROM p""")
 def embedding_text(spark, d):

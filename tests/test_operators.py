@@ -65,14 +65,6 @@ def test_merge_sections(spark):
     assert segment.merge_sections(df, 20).first().chunks == ["aaaaa\n\nbbbbb", "c" * 30, "d"]
 
 
-def test_chunks_cover_every_character():
-    for mode in ("paragraph", "sentence"):
-        for text in ("", "x" * 5000, "One. Two.\n\nThree. " * 400, "a b. " * 1000):
-            spans = segment.cuts(text, 2000, 200, mode, True)
-            assert all(b > a for a, b in spans) and (not text or spans[0][0] == 0 and (spans[-1][1] == len(text) or mode == "sentence" and len(text) - spans[-1][1] <= 200))
-            assert all(c <= b for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
-
-
 def test_grid(spark):
     cells = spark.createDataFrame([("t", 1, 1, ["Fee"]), ("t", 1, 2, ["Amount", "due"]), ("t", 2, 2, ["$5"]), ("t", 3, 1, ["Late"])], "table_id string, row int, col int, words array<string>")
     text = segment.grid_to_text(segment.cells_to_grid(cells)).first().text
