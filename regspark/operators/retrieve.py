@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regspark.functions.text import dot, match_tier, norm, tokens
+from regspark.functions.text import dot, norm, tokens
 
 #: Rows of questions or terms that are broadcast at most; beyond that Spark joins by shuffling.
 BROADCAST_ROWS = 20_000
@@ -72,16 +72,16 @@ def knn(questions: DataFrame, records: DataFrame, k: int, key: str = "record_id"
     return ranked(scored, key, k)
 
 
-def rrf(rankings: list[DataFrame], key: str, k: int = 60, top_k: int = 5) -> DataFrame:
+def rrf(rankings: list[DataFrame], key: str, k: int = 60, top_k=5, by: tuple = ("question_id",)) -> DataFrame:
     """Reciprocal rank fusion (RET-6): sum of 1 / (k + rank); ties keep the first ranking's order, then the
-    next one's."""
+    next one's. Rankings are those of a question, or of whatever ``by`` names; top_k, a Column of them or number."""
     parts = None
     for i, r in enumerate(rankings):
-        part = r.select("question_id", key, F.col("rank").alias("r"), F.lit(i).alias("source"))
+        part = r.select(*by, key, F.col("rank").alias("r"), F.lit(i).alias("source"))
         parts = part if parts is None else parts.unionByName(part)
-    fused = parts.groupBy("question_id", key).agg(F.sum(1.0 / (k + F.col("r"))).alias("score"), F.min(F.struct("source", "r")).alias("first"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("first"), F.asc(key))
-    return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("question_id", key, "score", "rank")
+    fused = parts.groupBy(*by, key).agg(F.sum(1.0 / (k + F.col("r"))).alias("score"), F.min(F.struct("source", "r")).alias("first"))
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("first"), F.asc(key))
+    return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select(*by, key, "score", "rank")
 
 
 def hybrid(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str, top_k: int = 5, stop: bool = True, **filters) -> DataFrame:
@@ -95,11 +95,37 @@ def hybrid(questions: DataFrame, records: DataFrame, fields: dict[str, float], k
     return rrf([knn(questions, records.filter(kept), pool, key), ranked(said, key, pool)], key, top_k=top_k)
 
 
-def state_budget(n_states):
-    """Hits for each state: 6 up to two states, 4 up to four, else 3."""
+def state_budget(n_states, mode: str = "research", top_k: int = 10):
+    """Hits for each state: 6 up to two states, 4 up to four, else 3; in mode ``comparison`` 3 each, in mode
+    ``fees`` an equal share of top_k and one more (all of top_k for one state)."""
+    if mode == "comparison":
+        return F.lit(3)
+    if mode == "fees":
+        return F.when(n_states <= 1, top_k).otherwise(F.floor(top_k / n_states).cast("int") + 1)
     return F.when(n_states <= 2, 6).when(n_states <= 4, 4).otherwise(3)
 
 
+def hybrid_by_state(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str, mode: str = "research", top_k: int = 10, stop: bool = True) -> DataFrame:
+    """(question_id, state, key, score, state_rank, rank): hybrid search in each state that a question asks for
+    (RET-8). questions: question_id, terms, q, states (an array). Both rankings are scored once for all states and
+    cut to three times a state's budget, then fused per state; a question's hits are ordered by score, equal ones
+    by the order of its states. States asked twice count once."""
+    states = F.array_distinct("states")
+    asked = questions.select("question_id", "q", states.alias("states"), state_budget(F.size(states), mode, top_k).alias("budget"))
+    inside = F.array_contains("states", F.col("state"))
+    value = dot(F.col("vector"), F.col("q")) / (norm(F.col("vector")) * norm(F.col("q")))
+    near = with_questions(records.filter("vector IS NOT NULL AND state IS NOT NULL").select(key, "state", "vector"), asked)
+    near = near.filter(inside & (F.size("vector") == F.size("q"))).select("question_id", "state", "budget", key, value.alias("score"))
+    said = bm25(questions, records, fields, key, stop=stop).withColumn("score", F.round("score", 9))
+    said = said.join(records.select(key, "state"), key).join(small(asked.select("question_id", "states", "budget")), "question_id").filter(inside)
+    by = ("question_id", "state")
+    pool = lambda df: ranked(df, key, 3 * F.col("budget"), partition=by)
+    fused = rrf([pool(near), pool(said)], key, top_k=18 if mode == "research" else 3 * (top_k + 1), by=by)
+    kept = fused.join(small(asked.select("question_id", "states", "budget")), "question_id").filter(F.col("rank") <= F.col("budget"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.array_position("states", F.col("state")), "rank")
+    return kept.withColumn("all", F.row_number().over(order)).select("question_id", "state", key, "score", F.col("rank").alias("state_rank"), F.col("all").alias("rank"))
+
+
 def by_state(scores: DataFrame, key: str, budget) -> DataFrame:
     """Cuts scored hits (question_id, state, key, score) to each state's budget, a Column or number (RET-8)."""
     w = Window.partitionBy("question_id", "state").orderBy(F.desc("score"), F.asc(key))
@@ -113,17 +139,35 @@ def expand(questions: DataFrame, prefix: str, text: str = "text") -> DataFrame:
     return questions.withColumn(text, F.concat_ws(" ", F.lit(prefix), F.col(text)))
 
 
-def with_tier(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("tier", match_tier(F.col("score")))
-
-
-def format_context(hits: DataFrame, none: str = "No relevant documents found.") -> DataFrame:
-    """(question_id, context): a block for each hit (rank, title, text), in rank order (RET-11). A hit without
-    a title or text has an empty one; a question whose only row has a null rank gets the fixed sentence."""
-    block = F.format_string("[%d] %s\n%s", F.col("rank"), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
-    made = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", block.alias("b"))))).alias("x"))
-    text = F.array_join(F.transform("x", lambda x: x.b), "\n\n")
-    return made.select("question_id", F.when(F.size("x") == 0, F.lit(none)).otherwise(text).alias("context"))
+#: How a hit is written out for a model, a state's heading, and what is said where there is no hit.
+CONTEXT_BLOCK = "---\nSTATE: %s\nSOURCE: %s (Section: %s, {}: %s)\nRELEVANCE SCORE: %.4f\nSTATUTE CODES: %s\n\nSUMMARY: %s\n\nCORE RULE: %s\n\nORIGINAL TEXT (for precise citation):\n%s\n---"
+STATE_HEADING = "\n=== %s ==="
+NO_HITS = "No relevant legal documents found for this query."
+
+
+def context_block(pages: bool = False):
+    """A hit written out (columns state, filename, section, page_number or page_numbers, score, statute_codes,
+    abstract, core_rule, raw_text)."""
+    some = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    page = F.array_join(F.transform(F.coalesce("page_numbers", F.array().cast("array<int>")), lambda p: p.cast("string")), ", ") if pages else F.coalesce(F.col("page_number").cast("string"), F.lit("0"))
+    codes = some(F.array_join(F.coalesce("statute_codes", F.array().cast("array<string>")), ", "), "None identified")
+    text = lambda name, other="": F.coalesce(name, F.lit(other))
+    return F.format_string(CONTEXT_BLOCK.format("Pages" if pages else "Page"), text("state", "MS"), text("filename"), some(F.col("section"), "N/A"), page, F.col("score"), codes, text("abstract"), text("core_rule", "N/A"), text("raw_text"))
+
+
+def format_context(hits: DataFrame, questions: DataFrame | None = None, pages: bool = False, states: bool = False) -> DataFrame:
+    """(question_id, context): a question's hits written out in rank order (RET-11). With ``states`` they stand
+    under a heading for each state, in the order of the question's states (questions: question_id, states); a state
+    without hits has the fixed sentence. So has a question (of ``questions``) without hits."""
+    by = ("question_id", "state") if states else ("question_id",)
+    made = hits.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", context_block(pages).alias("b")))).alias("x"))
+    made = made.select(*by, F.array_join(F.transform("x", lambda x: x.b), "\n").alias("context"))
+    if not states:
+        return made if questions is None else questions.select("question_id").join(made, "question_id", "left").select("question_id", F.coalesce("context", F.lit(NO_HITS)).alias("context"))
+    asked = questions.select("question_id", F.posexplode(F.array_distinct("states")).alias("at", "state"))
+    every = asked.join(made, ["question_id", "state"], "left")
+    part = F.concat(F.format_string(STATE_HEADING, "state"), F.lit("\n"), F.coalesce("context", F.lit(NO_HITS)))
+    return every.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", part.alias("p")))), lambda x: x.p), "\n").alias("context"))
 
 
 def scope(questions: DataFrame, home: str = "MS") -> DataFrame:

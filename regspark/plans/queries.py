@@ -683,12 +683,6 @@ def citations(spark, d):
     return v_documents(spark, d).select("doc_id", project.citation_text(F.col("filename"), F.col("state"), F.array(F.lit(1), F.lit(2))).alias("citation"))
 
 
-@register("context_blocks", "SELECT conv_id AS question_id, md5(string_agg('[' || turn || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY 1")
-def context_blocks(spark, d):
-    hits = t(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").cast("int").alias("rank"), F.col("role").alias("title"), "text")
-    return retrieve.format_context(hits).select("question_id", F.md5("context").alias("h"))
-
-
 @register("analyzer", f"SELECT doc_id, CAST(len(list_filter({TOK.format(c='text')}, lambda x: x NOT IN ({_STOP}))) AS INTEGER) AS n, CAST(len({TOK.format(c='text')}) AS INTEGER) AS n_all FROM documents")
 def analyzer(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n"), F.size(tokens(F.col("text"), False)).alias("n_all"))
