@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from regspark.functions.text import first_number
@@ -109,6 +109,17 @@ def run_stats(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("pages"), F.count_if(F.col("output").isNotNull() & F.col("error").isNull()).alias("abstracts"), F.count_if(F.col("error").isNotNull()).alias("failures"))
 
 
+def write_observed(pages: DataFrame, path: str) -> dict[str, int]:
+    """Writes pages and returns the figures of ``run_stats``, counted on the way by Spark: nothing is read twice
+    (EXT-9). Documents are told by their first page, so pages are put together by document once."""
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))) == 1
+    seen = Observation("run")
+    done = F.col("output").isNotNull() & F.col("error").isNull()
+    counted = pages.withColumn("_first", first & F.col("doc_id").isNotNull()).observe(seen, F.count_if(F.col("_first")).alias("documents"), F.count(F.lit(1)).alias("pages"), F.count_if(done).alias("abstracts"), F.count_if(F.col("error").isNotNull()).alias("failures"))
+    counted.drop("_first").write.mode("overwrite").parquet(path)
+    return {k: v or 0 for k, v in seen.get.items()}
+
+
 def with_agency_name(df: DataFrame, names: DataFrame) -> DataFrame:
     """Adds agency_name of (state, agency_type) from ``names``, else the two words (EXT-10)."""
     other = F.trim(F.concat_ws(" ", "state", "agency_type"))

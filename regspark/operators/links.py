@@ -152,6 +152,50 @@ def apply_diff(store: DataFrame, current: DataFrame, diff: DataFrame) -> DataFra
     return store.join(out, "url", "left_anti").unionByName(current.join(into, "url", "left_semi"))
 
 
+HISTORY = "url string, file_hash string, valid_from timestamp, valid_to timestamp"
+
+
+def history_of(manifests: DataFrame) -> DataFrame:
+    """(url, file_hash, valid_from, valid_to): when each URL had which content (LNK-11). manifests: crawled (a
+    time), url, file_hash, position; of a URL given twice in a crawl the last counts. An interval begins with the
+    crawl that first finds the content and ends with the one that finds another or none; open ones end in null."""
+    crawls = manifests.groupBy("crawled").agg(F.lit(1).alias("one")).select("crawled", F.row_number().over(Window.orderBy("crawled")).alias("turn"))  # a row a crawl
+    seen = manifests.groupBy("crawled", "url").agg(F.max_by("file_hash", "position").alias("file_hash")).join(small(crawls), "crawled")
+    w = Window.partitionBy("url").orderBy("turn")
+    fresh = ~(F.col("file_hash").eqNullSafe(F.lag("file_hash").over(w)) & (F.lag("turn").over(w) == F.col("turn") - 1))
+    runs = seen.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w))
+    runs = runs.groupBy("url", "run", "file_hash").agg(F.min("crawled").alias("valid_from"), F.max("turn").alias("last"))
+    after = crawls.select((F.col("turn") - 1).alias("last"), F.col("crawled").alias("valid_to"))
+    return runs.join(small(after), "last", "left").select("url", "file_hash", "valid_from", "valid_to")
+
+
+def record_changes(history: DataFrame, current: DataFrame, crawled) -> DataFrame:
+    """``history`` after one more crawl (``current``: url, file_hash, position) at the time ``crawled``, later than
+    all before: only open intervals meet the crawl; closed ones pass through."""
+    now = latest_by_url(current).withColumnRenamed("file_hash", "now")
+    open_ = history.filter("valid_to IS NULL")
+    same = F.col("file_hash").eqNullSafe(F.col("now")) & F.col("valid_from").isNotNull() & F.col("seen").isNotNull()
+    both = open_.join(now.withColumn("seen", F.lit(1)), "url", "full_outer").withColumn("same", same)
+    kept = both.filter("valid_from IS NOT NULL").select("url", "file_hash", "valid_from", F.when(~F.col("same"), crawled).alias("valid_to"))
+    new = both.filter("seen IS NOT NULL AND NOT same").select("url", F.col("now").alias("file_hash"), crawled.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    return history.filter("valid_to IS NOT NULL").unionByName(kept).unionByName(new)
+
+
+def store_at(history: DataFrame, at) -> DataFrame:
+    """(url, file_hash): what the store held at a time."""
+    return history.filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))).select("url", "file_hash")
+
+
+def change_summary(history: DataFrame, every: str = "7 days") -> DataFrame:
+    """(week, added, changed, removed): changes in each window. Content that ends where other content of the same
+    URL begins has changed; else it was added or removed."""
+    begins = history.select("url", F.col("valid_from").alias("at"), F.lit(1).alias("begin"), F.lit(0).alias("end"))
+    ends = history.filter("valid_to IS NOT NULL").select("url", F.col("valid_to").alias("at"), F.lit(0).alias("begin"), F.lit(1).alias("end"))
+    events = begins.unionByName(ends).groupBy("url", "at").agg(F.max("begin").alias("begin"), F.max("end").alias("end"))
+    by = events.groupBy(F.window("at", every).alias("w")).agg(F.count_if(F.col("begin") > F.col("end")).alias("added"), F.count_if(F.col("begin") == F.col("end")).alias("changed"), F.count_if(F.col("begin") < F.col("end")).alias("removed"))
+    return by.select(F.col("w.start").alias("week"), "added", "changed", "removed")
+
+
 def crawl_summary(results: DataFrame) -> DataFrame:
     """Targets, documents and bytes by source type (LNK-12)."""
     return results.groupBy("source_type").agg(F.count("*").alias("targets"), F.sum("documents").alias("documents"), F.sum("bytes").alias("bytes"))

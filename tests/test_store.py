@@ -121,3 +121,36 @@ def test_stream_with_broken_lines_and_a_replay(spark, tmp_path):
     run("mark")
     assert held(s.read())["a"] == ("MS", 1) or s.version() == 2
     assert s.version() == 2
+
+
+def test_statistics_without_reading_records(spark):
+    s = RecordStore(spark, scratch_path(spark, "store-test"), SCHEMA, buckets=4, sketch=("state", "n"))
+    assert s.stats().count() == 0
+    s.upsert(rows(spark, [f"k{i}" for i in range(500)], 1, 1), "one")
+    s.upsert(spark.range(300).selectExpr("concat('k', id) AS page_id", "'TN' AS state", "id AS n", "2L AS ingested_at"), "two")
+    s.delete(spark.range(100).selectExpr("concat('k', id) AS page_id"), "three")
+    got = {r.group: (r.rows, r.documents) for r in s.stats().collect()}
+    assert got["MS"] == (200, 1) and got["TN"][0] == 200 and abs(got["TN"][1] - 200) <= 4
+    plan = s.stats()._jdf.queryExecution().executedPlan().toString()
+    assert "/data/" not in plan
+    assert {r.group: r.rows for r in s.stats(1).collect()} == {"MS": 500}
+
+
+def test_run_statistics_need_one_scan(spark, tmp_path):
+    from regspark.operators import clean
+
+    pages = spark.createDataFrame([(1, "x", None), (1, None, "e"), (2, "y", "e"), (None, "z", None)], "doc_id int, output string, error string")
+    got = clean.write_observed(pages, str(tmp_path / "out"))
+    assert got == clean.run_stats(pages).first().asDict() == {"documents": 2, "pages": 4, "abstracts": 2, "failures": 2}
+    assert spark.read.parquet(str(tmp_path / "out")).columns == pages.columns
+    assert clean.write_observed(pages.limit(0), str(tmp_path / "none")) == {"documents": 0, "pages": 0, "abstracts": 0, "failures": 0}
+
+
+def test_history_one_by_one_equals_history_at_once(spark):
+    from regspark.operators import links
+    from regspark.plans.store import _recorded, v_crawls
+
+    d = "/root/testdata/sf0.001"
+    rows_of = lambda df: sorted(((r.url, r.file_hash, r.valid_from, r.valid_to) for r in df.collect()), key=str)
+    one, all_ = rows_of(_recorded(spark, d)), rows_of(links.history_of(v_crawls(spark, d)))
+    assert one == all_ and any(r[3] for r in one) and not all(r[3] for r in one)
