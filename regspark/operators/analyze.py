@@ -136,6 +136,34 @@ def route(intent, mode):
     return F.when(mode == "compare", "fee_benchmarking").when(mode == "count", "term_frequency").otherwise(known)
 
 
+#: Which specialist answers an intent; all others are searched.
+SPECIALISTS = {"fee_comparison": "fees", "fee_benchmarking": "fees", "term_frequency": "terms", "licensing_reciprocity": "reciprocity", "statutory_authority": "authority", "license_category_compare": "comparison", "testing_requirements": "comparison", "amendment_history": "comparison"}
+#: The states that are compared where none is named, in this order.
+COMPARED = ("MS", "AL", "LA", "TN", "AR", "GA", "TX")
+
+
+def plan_route(questions: DataFrame) -> DataFrame:
+    """``questions`` with a plan (ANA-17): intent, specialist, states (an array or null), single_state, agency. Columns:
+    intent, mode, extracted_states and extracted_agencies (arrays), and the user's own filter_states (an array),
+    filter_state and filter_agency, which come before what was extracted."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    empty = F.array().cast("array<string>")
+    intent, states = route(F.col("intent"), F.col("mode")), F.coalesce(some("filter_states"), some("extracted_states"), empty)
+    known = questions.withColumn("plan_intent", intent).withColumn("_s", states)
+    specialist = F.lit("search")
+    for name, who in SPECIALISTS.items():
+        specialist = F.when(F.col("plan_intent") == name, who).otherwise(specialist)
+    named, n = F.when(F.size("_s") > 0, F.col("_s")), F.size("_s")
+    is_ = lambda *names: F.col("plan_intent").isin(*names)
+    every = F.array(*[F.lit(x) for x in COMPARED])
+    lists = F.when(is_("fee_comparison"), named).when(is_("fee_benchmarking", "licensing_reciprocity", "license_category_compare", "testing_requirements"), F.coalesce(named, every)).when(is_("amendment_history"), F.coalesce(named, F.array(F.lit("MS"))))
+    lists = lists.when(is_("term_frequency", "general_research") & (n > 1), F.col("_s"))
+    given, first = F.nullif(F.col("filter_state"), F.lit("")), F.get("_s", F.lit(0))
+    single = F.when(is_("term_frequency", "general_research"), F.coalesce(given, F.when(n == 1, first))).when(is_("statutory_authority"), F.coalesce(given, first))
+    agency = F.coalesce(F.nullif(F.col("filter_agency"), F.lit("")), F.get("extracted_agencies", F.lit(0)))
+    return known.withColumn("specialist", specialist).withColumn("plan_states", lists).withColumn("single_state", single).withColumn("agency", agency).drop("_s")
+
+
 def collect_metadata(questions: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """(question_id, metadata): JSON of the counts of each structure a question has (ANA-18)."""
     out = questions.select("question_id")

@@ -53,6 +53,19 @@ def parse_model_json(df: DataFrame, schema: str, raw: str = "raw") -> DataFrame:
     return df.withColumn("parsed", F.coalesce(good, F.array().cast(f"array<struct<{schema}>>"))).withColumn("parse_error", F.when(F.coalesce(F.size(good), F.lit(0)) <= 0, "no JSON found"))
 
 
+def pages_of_results(df: DataFrame, schema: str, raw: str = "raw", pages: str = "page_numbers") -> DataFrame:
+    """``df`` exploded to a row for each page that a batch's answer speaks of, with ``page_number`` and ``fields``
+    (EXT-2): a list's items by their page_number (items without one go, of two the later counts), an object's by its
+    own, and an object without one stands for the batch's first page. ``pages`` is the batch's array of numbers."""
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.col(raw), r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)\s*```.*$", ""))
+    listed = F.regexp_extract(body, r"(?s)(\[.*\]|\{.*\})", 1).startswith("[")
+    parsed = parse_model_json(df, f"page_number: int, {schema}", raw)
+    item = lambda x, i: F.struct(F.when(listed, x.page_number).otherwise(F.coalesce(x.page_number, F.get(F.col(pages), F.lit(0)))).alias("page_number"), i.alias("at"), x.alias("fields"))
+    rows = parsed.select(*df.columns, F.explode(F.transform("parsed", item)).alias("r")).filter("r.page_number IS NOT NULL")
+    last = rows.groupBy(*df.columns, F.col("r.page_number").alias("page_number")).agg(F.max_by("r.fields", "r.at").alias("fields"))
+    return last.select(*df.columns, "page_number", "fields")
+
+
 def sanitize_fees(fees, strict: bool = False):
     """Clean fees out of an array of (amount, fee_type, description, statutory_cap) texts (EXT-3): amounts
     take their first number, and rows without a positive one go; strict casts amounts or drops them."""

@@ -108,6 +108,40 @@ def paired_records(pages: DataFrame, id_pattern: str, label_pattern: str) -> Dat
     return pages.select("url", F.inline(both))
 
 
+def source_links(pages: DataFrame) -> DataFrame:
+    """(url, rule, link, text, position): a page's links by its source's rule, each once (LNK-6). pages: url, html,
+    rule and param. Rules: ``pdf``, links that end in .pdf; ``pdf_path``, those with .pdf or /rules/pdf/ in them;
+    ``department``, PDF and Word files, chapter pages of department param, and its one file (Download_pdf);
+    ``volume``, .docx files of volume param, or, if there is none, Word files. A link without a text is called by the
+    last part of its path, a chapter, a department's file or a volume by what it is."""
+    found = anchors(pages, "rule", "param")
+    low, param, rule = F.lower("link"), F.col("param"), F.col("rule")
+    is_file, whole = low.rlike(r"\.(pdf|docx?)$"), F.col("link").contains("Download_pdf")
+    chapter = F.col("link").contains(F.concat(F.lit("/gac/"), param, F.lit("-")))
+    kept = F.when(rule == "pdf", low.endswith(".pdf")).when(rule == "pdf_path", low.contains(".pdf") | low.contains("/rules/pdf/")).when(rule == "department", is_file | chapter | whole).when(rule == "volume", low.contains(F.lower(param)) & low.contains(".doc"))
+    last = F.element_at(F.split("link", "/"), -1)
+    name = F.when(rule == "volume", param).when((rule == "department") & ~is_file & chapter, F.concat(F.lit("Chapter "), last)).otherwise(last)
+    text = F.when((rule == "department") & whole & ~is_file & ~chapter, F.format_string("Department %s Full PDF", param)).otherwise(F.coalesce(F.nullif("text", F.lit("")), name))
+    rows = found.filter(kept).withColumn("text", text).withColumn("worse", ((rule == "volume") & ~low.endswith(".docx")).cast("int"))
+    rows = rows.withColumn("least", F.min("worse").over(Window.partitionBy("url", "rule", "param"))).filter("worse = least")
+    first = rows.groupBy("url", "rule", "link").agg(F.min(F.struct("position", "text")).alias("f"))
+    return first.select("url", "rule", "link", "f.text", "f.position")
+
+
+def chapter_links(targets: DataFrame, base: str) -> DataFrame:
+    """(target, link, text): the addresses of a target's list of chapters (LNK-6). targets: target, chapters."""
+    return targets.select("target", F.explode("chapters").alias("c")).select("target", F.concat(F.lit(base.rstrip("/") + "/"), "c").alias("link"), F.concat(F.lit("Chapter "), "c").alias("text"))
+
+
+def record_links(pages: DataFrame, base: str, id_pattern: str = r"recordId[=:](\d+)", label_pattern: str = r"(§[\d.]+)") -> DataFrame:
+    """(url, position, link, text): a chapter page's record ids, each once, with its labels by position (LNK-6); a
+    record without a label is called by chapter and number. pages: url, chapter, html (ids), text (labels)."""
+    ids = F.array_distinct(F.regexp_extract_all("html", F.lit(id_pattern), 1))
+    rows = pages.select("url", "chapter", F.regexp_extract_all("text", F.lit(label_pattern), 1).alias("labels"), F.posexplode(ids).alias("position", "id"))
+    text = F.coalesce(F.get("labels", F.col("position")), F.format_string("Ch%s_Rule%d", F.col("chapter"), F.col("position") + 1))
+    return rows.select("url", "position", F.concat(F.lit(base), "id").alias("link"), text.alias("text"))
+
+
 def page_title(html, fallback: str = "board"):
     """The title's text, or the fallback (LNK-7)."""
     t = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
@@ -132,6 +166,16 @@ def build_manifest(files: DataFrame) -> DataFrame:
     return rows.rollup("state", "agency_type").agg(F.count("*").alias("documents"), F.sum("size_bytes").alias("bytes"), F.count_distinct("file_hash").alias("distinct_files"))
 
 
+def manifest_entries(targets: DataFrame, files: DataFrame, crawled_at) -> DataFrame:
+    """A row for each target (state, agency_type, discovered, errors) with its counts and the list of its documents:
+    url, filename, saved_path, file_hash, size_bytes, crawled_at, by saved path (LNK-9). files: state, agency_type,
+    url, saved_path, content (null where a file could not be read: no hash, size 0)."""
+    doc = F.struct(F.coalesce("saved_path", F.lit("")).alias("saved_path"), "url", F.coalesce(F.element_at(F.split("saved_path", "/"), -1), F.lit("")).alias("filename"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("file_hash"), F.coalesce(F.octet_length("content").cast("long"), F.lit(0).cast("long")).alias("size_bytes"), crawled_at.cast("string").alias("crawled_at"))
+    docs = files.groupBy("state", "agency_type").agg(F.sort_array(F.collect_list(doc)).alias("documents"))
+    out = targets.join(docs, ["state", "agency_type"], "left")
+    return out.withColumn("documents", F.coalesce("documents", F.array().cast(docs.schema["documents"].dataType))).withColumn("downloaded", F.size("documents"))
+
+
 def latest_by_url(docs: DataFrame) -> DataFrame:
     return docs.groupBy("url").agg(F.max_by("file_hash", "position").alias("file_hash"))
 

@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regspark import schema as S
-from regspark.operators.retrieve import small
+from regspark.functions.text import safe_date
+from regspark.operators.clean import sanitize_fees
+from regspark.operators.patterns import occurrences
 
 
 def condition(record_type=None, state=None, agency_type=None, states=None, document=None):
@@ -44,6 +47,51 @@ def build_page_records(pages: DataFrame, extracted: DataFrame) -> DataFrame:
     return out.withColumn("abstract", F.coalesce("a", F.substring("text", 1, 500))).withColumn("model", F.coalesce("m", F.lit(""))).drop("a", "m")
 
 
+def hydrate_records(hits: DataFrame) -> DataFrame:
+    """``hits`` (question_id, record_id, score and a record's fields) as results (PRJ-3): version 2 where a record has
+    a state, else 1, whose version 2 fields are null; lists are empty instead of null, a document's type is unknown
+    and its model empty where they aren't given; rank from 1 within the question."""
+    out, new = hydrate(hits), F.col("version") == 2
+    for f in hits.schema:
+        value = F.col(f.name)
+        if f.dataType.simpleString().startswith("array"):
+            value = F.coalesce(value, F.array().cast(f.dataType))
+        if f.name in ("document_type", "compression_model"):
+            value = F.coalesce(value, F.lit("unknown" if f.name == "document_type" else ""))
+        if f.name in S.VERSION_2:
+            value = F.when(new, value)
+        out = out.withColumn(f.name, value)
+    return out
+
+
+def page_record_columns(pages: DataFrame, extracted: DataFrame, model: str, state: str, ingested_at) -> DataFrame:
+    """The 28 columns of page records (PRJ-4). pages: page_id, doc_id, filename, s3_key, page_number, total_pages,
+    text, has_tables, state, agency_type; extracted: page_id and any of the extracted fields, a row for a page at most.
+    Without a row a page has no model; an abstract that isn't given is the text's first 500 characters. Dates are those
+    that are written as such, fees those with an amount."""
+    said = {f.name for f in extracted.schema} - {"page_id"}
+    e = extracted.select("page_id", F.struct(F.lit(True).alias("_any"), *sorted(said)).alias("e"))
+    both = pages.join(e, "page_id", "left")
+    page = {"record_type": F.lit("page"), "raw_text": F.col("text"), "is_table_page": F.coalesce("has_tables", F.lit(False)), "used_vision": F.lit(False), "extraction_model": F.when(F.col("e").isNotNull(), model).otherwise(""), "state": F.coalesce(F.nullif("state", F.lit("")), F.lit(state)), "agency_type": F.coalesce("agency_type", F.lit("")), "ingested_at": ingested_at}
+    own = ("page_id", "doc_id", "filename", "s3_key", "page_number", "total_pages")
+
+    def value(name: str, kind):
+        if name in page or name in own:
+            return page.get(name, F.col(name) if name in own else None)
+        got = F.col(f"e.{name}") if name in said else F.lit(None)
+        if name == "abstract_text":
+            return F.coalesce(got, F.substring("text", 1, 500))
+        if name in ("effective_date", "amendment_date"):
+            return safe_date(got.cast("string"))
+        if name == "fee_amounts" and name in said:
+            got = sanitize_fees(got)
+        if name == "document_type":
+            return F.coalesce(got, F.lit("unknown"))
+        return F.coalesce(got.cast(kind), F.array().cast(kind)) if kind.simpleString().startswith("array") else got
+
+    return both.select(*[value(f.name, f.dataType).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(S.PAGE_RECORD)])
+
+
 def to_citations(hits: DataFrame) -> DataFrame:
     """Document, section, pages, codes, score to three places, state, agency (PRJ-5)."""
     return hits.select("question_id", F.col("filename").alias("document"), "section", F.coalesce("page_numbers", F.array().cast("array<int>")).alias("pages"), "statute_codes", F.round("score", 3).alias("relevance"), "state", "agency_type")
@@ -68,12 +116,20 @@ def resolve_keys(requests: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def source_urls(files: DataFrame, manifest: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """``files`` (state, filename) with a url: the manifest's for that filename, else the state's pattern, in
-    which {} stands for the name without extension (PRJ-8)."""
-    known = manifest.groupBy("filename").agg(F.min("url").alias("known"))
-    stem = F.regexp_replace("filename", r"\.[^.]+$", "")
+    """``files`` (state, filename or path) with a url (PRJ-8): the manifest's, whose saved path or filename the
+    file's path holds, the manifest's first if several do; else the state's pattern, in which {} stands for the
+    name without extension. manifest: url and filename, saved_path or both. Manifest keys meet paths in an automaton."""
+    path = "path" if "path" in files.columns else "filename"
+    names = [c for c in ("saved_path", "filename") if c in manifest.columns]
+    listed = manifest.filter("url <> ''").withColumn("_at", F.col("position") if "position" in manifest.columns else F.monotonically_increasing_id())
+    keys = listed.select("url", F.posexplode(F.array(*names)).alias("_k", "term"), (F.col("_at") * 2 + F.col("_k")).alias("_order")).filter("term <> ''")
+    first = keys.groupBy("term").agg(F.min("_order").alias("_order"), F.max_by("url", "_order").alias("url"))  # the last given for a key, in the first's place
+    asked = files.select(F.col(path).alias("_path")).distinct()
+    found = occurrences(asked.withColumn("parts", F.array(F.struct(F.lit(None).cast("int").alias("page"), F.col("_path").alias("text")))), first, ["_path"])
+    known = found.join(first, "term").groupBy("_path").agg(F.min_by("url", "_order").alias("known"))
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", "")
     other = F.lit(None).cast("string")
     for state, p in (patterns or {}).items():
         head, _, tail = p.partition("{}")
-        other = F.when(F.col("state") == state, F.concat(F.lit(head), stem, F.lit(tail))).otherwise(other)
-    return files.join(small(known), "filename", "left").withColumn("url", F.coalesce("known", other)).drop("known")
+        other = F.when(F.col("state") == state, F.concat(F.lit(head), stem, F.lit(tail)) if "{}" in p else F.lit(p)).otherwise(other)
+    return files.join(known, files[path] == known["_path"], "left").withColumn("url", F.coalesce("known", other)).drop("known", "_path")

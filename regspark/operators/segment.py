@@ -183,6 +183,13 @@ def chunk_id(name, index, text):
     return F.substring(F.sha2(F.concat_ws(":", name, index.cast("string"), F.substring(text, 1, 100)), 256), 1, 12)
 
 
+def abstract_id(name, pages, text):
+    """16 hex digits of a chunk's abstract (SEG-8): of its document's name, its pages as a list, and its first 500
+    characters."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "), F.lit("]"))
+    return F.substring(F.sha2(F.concat_ws(":", name, listed, F.substring(text, 1, 500)), 256), 1, 16)
+
+
 def table_page_score(text):
     """How much a page looks like a fee table; 3 or more is one (SEG-9). Null or short pages score 0."""
     dollars = F.regexp_count(text, F.lit(r"\$[\d,]+(?:\.\d{2})?"))

@@ -562,11 +562,6 @@ def eval_lowest(spark, d):
     return audit.lowest(v_results(spark, d)).select("id", "overall")
 
 
-@register("eval_report")
-def eval_report(spark, d):
-    return audit.report(v_results(spark, d))
-
-
 @register("claim_summary", """
 SELECT d.doc_id AS answer_id, count(l.doc_id) AS claims, count(l.doc_id) FILTER (l.quality <> 1) AS unsupported, CASE WHEN count(l.doc_id) = 0 THEN 0.5 ELSE round(avg(CAST(l.quality AS DOUBLE)), 3) END AS confidence FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
 def claim_summary(spark, d):
@@ -721,13 +716,6 @@ def model_stage(spark, d):
     return out.select("doc_id", F.col("output").cast("long").alias("n"), F.col("error").isNotNull().alias("failed"))
 
 
-@register("embed_stub")
-def embed_stub(spark, d):
-    from regspark.functions.text import norm
-
-    return clean.embed(t(spark, d, "documents").select("doc_id", "text"), dim=64).select("doc_id", r6(norm(F.col("vector"))).alias("norm"))
-
-
 @register("inference_blocks", "SELECT conv_id, turn, 'a' AS content, 0 AS position FROM conversations UNION ALL SELECT conv_id, turn, role, 1 FROM conversations")
 def inference_blocks(spark, d):
     a = t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("answer_id"), F.concat(F.lit("x [INFERENCE]: a\n\nmore\n[INFERENCE]: "), F.col("role"), F.lit("\nGrounding summary: 1 grounded, 2 inferred\n")).alias("text"))

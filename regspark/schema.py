@@ -37,3 +37,12 @@ GOLDEN = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "pattern
 
 #: Fixed value: how a text begins whose section has a title (in Java's form, with Unicode classes).
 SECTION_TITLE = r"(?iU)^\s*((?:Rule|Section|§|Chapter|Part|Article)\s+[\d§][\w.\-]*(?:\s+[\w\-]+)?)"
+
+#: The 28 columns of a page record, and the fields that only version 2 of a record has.
+PAGE_RECORD = (
+    "record_type string, page_id string, doc_id string, filename string, s3_key string, page_number int, total_pages int, raw_text string, abstract_text string, core_rule string, "
+    "statute_codes array<string>, compliance_requirements array<string>, legal_entities array<string>, section_identifier string, document_type string, "
+    "fee_amounts array<struct<amount:double,fee_type:string,description:string,statutory_cap:double>>, effective_date date, amendment_date date, license_categories array<string>, testing_requirements string, "
+    "statutory_authority_references array<string>, reciprocity_provisions string, is_table_page boolean, used_vision boolean, extraction_model string, state string, agency_type string, ingested_at timestamp"
+)
+VERSION_2 = ("state", "agency_type", "agency_name", "fee_amounts", "effective_date", "amendment_date", "license_categories", "testing_requirements", "statutory_authority_references", "reciprocity_provisions")

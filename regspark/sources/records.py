@@ -78,6 +78,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return e.select("crawl_id", "entry.state", "entry.agency_type", (F.col("e") * F.lit(1_000_000)).alias("base"), F.posexplode("entry.documents").alias("d", "doc")).select("crawl_id", "state", "agency_type", (F.col("base") + F.col("d")).alias("position"), "doc.*")
 
 
+def url_lookup(docs: DataFrame) -> DataFrame:
+    """(key, url): a manifest's addresses by saved path and by filename; of a key given twice the last counts
+    (SRC-5). docs: url, filename, saved_path, position."""
+    keys = docs.filter("url <> ''").select("url", F.posexplode(F.array("saved_path", "filename")).alias("k", "key"), "position").filter("key <> ''")
+    return keys.groupBy("key").agg(F.max_by("url", F.struct("position", "k")).alias("url"))
+
+
 def write_manifest(docs: DataFrame, path: str) -> None:
     """Flat documents as nested JSON, one manifest a line."""
     entry = docs.groupBy("crawl_id", "state", "agency_type").agg(F.collect_list(F.struct("url", "filename", "saved_path", "file_hash", "size_bytes", "crawled_at")).alias("documents"))
