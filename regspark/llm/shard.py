@@ -4,13 +4,12 @@ A uniform random permutation of all rows, cut into shards whose row counts diffe
 four steps: rows fall into source blocks; the matrix that says how many rows of each block go to each shard is
 drawn exactly (multivariate hypergeometric, so that both margins hold); each block is permuted and dealt out
 by its row of the matrix; and each shard is permuted again. Only counts reach the driver: one number for each
-of a fixed number of blocks. Permuting sorts by random keys; a shard is sorted in pieces by the top bits of
-the key, so that no task holds a whole shard.
+block of about BLOCK_ROWS rows. Permuting sorts by random keys; a shard is sorted in pieces of about as many rows,
+by bits of the key, so that no task holds a whole shard.
 """
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,33 +19,42 @@ from regspark.llm.common import literal_rows, require, stored, table
 
 NAME = "op3_sharding"
 ORACLE_SQL = None  # the permutation is random; tests check its law and its uniformity
-SHARDS, BLOCKS, PIECES, SEED = 16, 256, 64, 20240229
+SHARDS, SEED = 16, 20240229
+#: Rows of a block, and of a piece of a shard, about; blocks and pieces of a shard at least.
+BLOCK_ROWS, LEAST_BLOCKS, LEAST_PIECES = 1_000_000, 256, 64
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """An exact draw by inversion from the mode outwards: about as many steps as the standard deviation."""
+    """A draw by inversion from the mode outwards: some tens of times as many steps as the standard deviation.
+    Probabilities are kept relative to the mode's, by exact ratios of neighbours, and summed until the rest can't
+    matter in double precision; nothing is a difference of large logarithms, however many rows there are."""
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
     mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
-    lg = math.lgamma
-    log_choose = lambda n, k: lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-    start = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-    u = rng.random() - start
-    down, up, p_down, p_up = mode, mode, start, start
-    while u > 0 and (down > low or up < high):
-        if up < high:
-            p_up *= (good - up) / (up + 1) * (draws - up) / (bad - draws + up + 1)
-            up += 1
-            u -= p_up
+    up, down, total = [1.0], [], 1.0
+    for k in range(mode, high):
+        up.append(up[-1] * ((good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1))))
+        total += up[-1]
+        if up[-1] < 1e-18 * total:
+            break
+    last = 1.0
+    for k in range(mode, low, -1):
+        last *= k * (bad - draws + k) / ((good - k + 1) * (draws - k + 1))
+        down.append(last)
+        total += last
+        if last < 1e-18 * total:
+            break
+    u = rng.random() * total
+    for step in range(max(len(up), len(down) + 1)):
+        if step < len(up):
+            u -= up[step]
             if u <= 0:
-                return up
-        if down > low:
-            p_down *= down / (good - down + 1) * (bad - draws + down) / (draws - down + 1)
-            down -= 1
-            u -= p_down
+                return mode + step
+        if 0 < step <= len(down):
+            u -= down[step - 1]
             if u <= 0:
-                return down
+                return mode - step
     return mode
 
 
@@ -65,7 +73,7 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
     return out
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, pieces: int = PIECES, seed: int = SEED, shard: str = "shard", slot: str = "slot") -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, block_rows: int = BLOCK_ROWS, seed: int = SEED, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """``df`` with a shard (0 to shards - 1) and a gapless slot from 0 in it. Shards' row counts differ by one
     at most; the first ones have the extra row. Rows are dealt by position, not by value: repeated rows,
     nulls and hot keys spread like all others. An empty table gives an empty table.
@@ -77,12 +85,15 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, blocks: int = BLOCK
     place = F.monotonically_increasing_id()
     keyed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-        F.pmod(F.xxhash64(F.lit(seed), place), F.lit(blocks)).cast("int").alias("block"),
+        F.xxhash64(F.lit(seed), place).alias("block_key"),
         F.xxhash64(F.lit(seed + 1), place).alias("first_key"),
         F.xxhash64(F.lit(seed + 2), place).alias("second_key"),
         place.alias("place"),
     )
     keyed = stored(keyed, "shard-keyed")
+    rows = keyed.count()
+    blocks, pieces = max(LEAST_BLOCKS, -(-rows // block_rows)), max(LEAST_PIECES, -(-rows // (shards * block_rows)))
+    keyed = keyed.withColumn("block", F.pmod("block_key", F.lit(blocks)).cast("int"))
     counts = {r.block: r.n for r in keyed.groupBy("block").agg(F.count("*").alias("n")).collect()}  # `blocks` numbers
     total = sum(counts.values())
     sizes = [total // shards + (j < total % shards) for j in range(shards)]

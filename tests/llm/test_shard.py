@@ -20,7 +20,7 @@ def test_draws_follow_the_law():
 
 
 def test_sizes_slots_and_uniformity(spark):
-    out = S.shuffle_into_shards(spark.range(10_007).withColumnRenamed("id", "x"), shards=16, blocks=32, pieces=8).collect()
+    out = S.shuffle_into_shards(spark.range(10_007).withColumnRenamed("id", "x"), shards=16, block_rows=40).collect()
     by = {}
     for r in out:
         by.setdefault(r.shard, []).append(r)
@@ -41,6 +41,33 @@ def test_edge_rows(odd, none, clashing):
     assert S.shuffle_into_shards(odd.select("text").filter("text = ''")).count() == 1
 
 
+def test_draws_of_many_rows():
+    rng = random.Random(2)
+    good, bad, draws = 10**10, 15 * 10**10, 10**7
+    got = [S.hypergeometric(rng, good, bad, draws) for _ in range(60)]
+    mean, p = draws / 16, 1 / 16
+    sd = (draws * p * (1 - p)) ** 0.5
+    assert abs(sum(got) / 60 - mean) < 4 * sd / 60**0.5 and 0.7 * sd < (sum((x - mean) ** 2 for x in got) / 60) ** 0.5 < 1.3 * sd
+
+
+def test_draws_at_the_edges():
+    rng = random.Random(3)
+    assert S.hypergeometric(rng, 0, 5, 3) == 0 and S.hypergeometric(rng, 5, 0, 3) == 3 and S.hypergeometric(rng, 4, 3, 7) == 4
+    assert {S.hypergeometric(rng, 1, 1, 1) for _ in range(50)} == {0, 1}
+
+
 def test_query(spark):
+    import zlib
+    from collections import defaultdict
+
+    from tests.llm.tests_data import rows
+
+    texts = dict(rows("sf0.001", "documents", "doc_id, text"))
     out = S.query(spark, "/root/testdata/sf0.001").toPandas()
-    assert out.groupby("shard").size().max() - out.groupby("shard").size().min() <= 1 and (out["size"] > 0).all()
+    assert len(out) == len(texts) and out.groupby("shard").size().max() - out.groupby("shard").size().min() <= 1
+    slots = defaultdict(list)
+    for r in out.itertuples():
+        data = (texts[r.doc_id] or "").encode()
+        assert r.size == len(data) + 1 and r.text_crc32 == zlib.crc32(data) and r.law == "rows" and 0 <= r.shard < 16
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
