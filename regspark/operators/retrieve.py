@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from regspark.functions.text import dot, norm, tokens
 
-#: Rows of questions or terms that are broadcast at most; beyond that Spark joins by shuffling.
-BROADCAST_ROWS = 20_000
+#: Rows, and bytes of them as JSON, that are broadcast at most; beyond that Spark joins by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts ``df`` only if it is known to be small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcasts ``df`` only if it is known to be small: by its rows and by their bytes."""
+    rows, total = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= limit and (total or 0) <= size else df
 
 
 #: Questions with vectors that one block holds and broadcasts.
@@ -58,8 +59,8 @@ def ranked(scores: DataFrame, key: str, k: int, by: str = "score", partition: tu
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn(questions: DataFrame, records: DataFrame, k: int, key: str = "record_id", metric: str = "cosine", min_similarity: float | None = None) -> DataFrame:
-    """(question_id, key, score, rank): exact neighbours among records with a vector (RET-4, PRJ-9). questions:
+def knn(questions: DataFrame, records: DataFrame, k: int | None, key: str = "record_id", metric: str = "cosine", min_similarity: float | None = None) -> DataFrame:
+    """(question_id, key, score, rank; without k, all of them unranked): exact neighbours among records with a vector (RET-4, PRJ-9). questions:
     question_id, q (a vector). The stated question set goes to all records in blocks. Vectors of another length
     than a question's are no candidates of it."""
     value = dot(F.col("vector"), F.col("q"))
@@ -69,7 +70,7 @@ def knn(questions: DataFrame, records: DataFrame, k: int, key: str = "record_id"
     scored = both.filter(F.size("vector") - F.size("q") == 0).select("question_id", key, value.alias("score"))
     if min_similarity is not None:
         scored = scored.filter(F.col("score") >= min_similarity)
-    return ranked(scored, key, k)
+    return scored if k is None else ranked(scored, key, k)
 
 
 def rrf(rankings: list[DataFrame], key: str, k: int = 60, top_k=5, by: tuple = ("question_id",)) -> DataFrame:

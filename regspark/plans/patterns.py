@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from regspark.functions.text import tokens
 from regspark.operators import analyze, segment
-from regspark.plans.queries import TOK, register, t, v_documents, v_pages
+from regspark.plans.queries import TOK, register, spread, t, v_documents, v_pages
 
 
 @register("term_totals", f"""
@@ -18,7 +18,7 @@ SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS documents FROM h GROUP
 def term_totals(spark, d):
     """Every word of the benchmark as a term: its occurrences in the documents that hold it as a word."""
     terms = t(spark, d, "benchmark").select(F.explode(tokens(F.col("text"), False)).alias("term"))
-    return analyze.term_count(terms, t(spark, d, "documents")).groupBy("term").agg(F.sum("count").alias("total"), F.count("*").alias("documents"))
+    return analyze.term_count(terms, spread(t(spark, d, "documents").select("doc_id", "text"))).groupBy("term").agg(F.sum("count").alias("total"), F.count("*").alias("documents"))
 
 
 @register("term_pages", """

@@ -28,6 +28,13 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores, dealt out to all of them, for work that is dear by the row.
+    Tables of many splits stay where they are. For scans alone: their splits are known without running anything."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -97,12 +104,12 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
 
 @register("bm25_topk", _bm25_sql({"text": 1.0}, 5))
 def bm25_topk(spark, d):
-    return _top(retrieve.bm25(v_questions(spark, d), t(spark, d, "documents").select("doc_id", "text"), {"text": 1.0}), 5).select("question_id", "doc_id", "score", "rank")
+    return _top(retrieve.bm25(v_questions(spark, d), spread(t(spark, d, "documents").select("doc_id", "text")), {"text": 1.0}), 5).select("question_id", "doc_id", "score", "rank")
 
 
 @register("bm25_multifield", _bm25_sql({"text": 1.5, "source": 3.0, "lang": 1.0}, 5))
 def bm25_multifield(spark, d):
-    return _top(retrieve.bm25(v_questions(spark, d), t(spark, d, "documents").select("doc_id", "text", "source", "lang"), {"text": 1.5, "source": 3.0, "lang": 1.0}), 5).select("question_id", "doc_id", "score", "rank")
+    return _top(retrieve.bm25(v_questions(spark, d), spread(t(spark, d, "documents").select("doc_id", "text", "source", "lang")), {"text": 1.5, "source": 3.0, "lang": 1.0}), 5).select("question_id", "doc_id", "score", "rank")
 
 
 _COS = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"
@@ -136,7 +143,7 @@ def knn_filtered(spark, d):
 
 @register("knn_min_similarity", f"SELECT q.vec_id AS question_id, count(*) AS n FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND {_COS} >= 0.3 GROUP BY 1")
 def knn_min_similarity(spark, d):
-    return retrieve.knn(_queries(spark, d), v_vectors(spark, d), 2**30, min_similarity=0.3).groupBy("question_id").agg(F.count("*").alias("n"))
+    return retrieve.knn(_queries(spark, d), v_vectors(spark, d), None, min_similarity=0.3).groupBy("question_id").agg(F.count("*").alias("n"))
 
 
 @register("rrf_fusion", f"""
@@ -187,7 +194,7 @@ SELECT question_id, doc_id AS record_id, round(score, 6) AS score, rank FROM g W
 
 
 def _hybrid(spark, d, **filters):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("state"), "text").join(v_vectors(spark, d).select("record_id", "vector"), "record_id", "left")
+    docs = spread(t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("state"), "text")).join(v_vectors(spark, d).select("record_id", "vector"), "record_id", "left")
     q = v_questions(spark, d).join(v_vectors(spark, d).select(F.col("record_id").alias("question_id"), F.col("vector").alias("q")), "question_id")
     return retrieve.hybrid(q, docs, {"text": 1.5}, "record_id", 5, **filters).withColumn("score", r6("score"))
 

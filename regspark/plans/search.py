@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regspark.operators import ivf, retrieve
-from regspark.plans.queries import _COS, _bm25_sql, _queries, register, t, v_questions, v_vectors
+from regspark.plans.queries import _COS, _bm25_sql, _queries, register, spread, t, v_questions, v_vectors
 from regspark.schema import BOOSTS
 from regspark.sources.scratch import scratch_path
 
@@ -52,7 +52,7 @@ SELECT question_id, state, doc_id AS record_id, round(score, 6) AS score, CAST(n
 
 
 def _state_hits(spark, d, mode):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("state"), "text").join(v_vectors(spark, d).select("record_id", "vector"), "record_id", "left")
+    docs = spread(t(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("state"), "text")).join(v_vectors(spark, d).select("record_id", "vector"), "record_id", "left")
     return retrieve.hybrid_by_state(v_state_questions(spark, d), docs, {"text": 1.5}, "record_id", mode).withColumn("score", F.round("score", 6))
 
 
@@ -85,7 +85,7 @@ def _ten_sql() -> str:
 def bm25_ten_fields(spark, d):
     """All ten boosted fields: a document's first lines, and its whole text."""
     line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text"), *[line(i).alias(f) for f, i in _FIELDS.items()])
+    docs = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("text").alias("raw_text"), *[line(i).alias(f) for f, i in _FIELDS.items()])
     scores = retrieve.bm25(v_questions(spark, d), docs, BOOSTS).withColumn("score", F.round("score", 6))
     return retrieve.ranked(scores, "doc_id", 5).select("question_id", "doc_id", "score", "rank")
 

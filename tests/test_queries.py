@@ -11,5 +11,6 @@ def test_query_equals_sql(spark, same, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    """What they give is tested in the modules of their operators."""
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
