@@ -128,6 +128,18 @@ def source_links(pages: DataFrame) -> DataFrame:
     return first.select("url", "rule", "link", "f.text", "f.position")
 
 
+def department_files(pages: DataFrame, found: DataFrame, template: str) -> DataFrame:
+    """(url, rule, link, text): the address of a department's one file for pages on which none was found (LNK-6).
+    pages: url, rule, param, title; found: what ``source_links`` gives; template: an address with {dept} and {title}."""
+    have = found.filter((F.col("rule") == "department") & F.col("link").contains("Download_pdf")).select("url").distinct()
+    title = F.url_encode(F.upper("title"))
+    for java, plain in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        title = F.replace(title, F.lit(java), F.lit(plain))
+    link = F.replace(F.replace(F.lit(template), F.lit("{dept}"), F.col("param")), F.lit("{title}"), title)
+    rest = pages.filter("rule = 'department'").join(have, "url", "left_anti")
+    return rest.select("url", "rule", link.alias("link"), F.format_string("Department %s Full PDF", "param").alias("text"))
+
+
 def chapter_links(targets: DataFrame, base: str) -> DataFrame:
     """(target, link, text): the addresses of a target's list of chapters (LNK-6). targets: target, chapters."""
     return targets.select("target", F.explode("chapters").alias("c")).select("target", F.concat(F.lit(base.rstrip("/") + "/"), "c").alias("link"), F.concat(F.lit("Chapter "), "c").alias("text"))

@@ -203,3 +203,13 @@ l AS (SELECT k, -value AS o, name, printf('%s %s: %.2f', part, name, value) AS t
 SELECT CAST(row_number() OVER (ORDER BY k, o, name) AS INTEGER) AS line, text FROM l""")
 def eval_report(spark, d):
     return audit.report(v_results(spark, d))
+
+
+@register("department_files", "SELECT page_id, 'https://h.org/d?pdf=' || page_id || '+PAGE%20NO.%20' || page_id || '/A%26B~C%2A' AS link, 'Department ' || page_id || ' Full PDF' AS text FROM pages WHERE page_id % 3 > 0")
+def department_files(spark, d):
+    """Pages of departments, of which each third one links its file."""
+    i = F.col("page_id").cast("string")
+    html = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<a href="Download_pdf.aspx?i='), i, F.lit('">file</a>'))).otherwise(F.concat(F.lit('<a href="/gac/'), i, F.lit('-2">chapter</a>')))
+    pages = t(spark, d, "pages").select("page_id", F.concat(F.lit("https://h.org/gac?p="), i).alias("url"), F.lit("department").alias("rule"), i.alias("param"), html.alias("html"), F.concat(F.lit("Page no. "), i, F.lit("/a&b~c*")).alias("title"))
+    out = links.department_files(pages, links.source_links(pages), "https://h.org/d?pdf={dept}+{title}")
+    return out.select(F.regexp_extract("url", r"=(\d+)$", 1).cast("long").alias("page_id"), "link", "text")

@@ -105,13 +105,24 @@ def skip_indexed(inventory: DataFrame, store: DataFrame, key: str = "filename",
     return inventory if rebuild else inventory.join(store.select(key).distinct(), key, "left_anti")
 
 
-def targets(spark: SparkSession, states=None, agency_types=None) -> DataFrame:
-    """The 21 crawl targets, filtered (SRC-9)."""
+def targets(spark: SparkSession, states=None, agency_types=None, attributes: DataFrame | None = None) -> DataFrame:
+    """The 21 crawl targets, filtered without regard to case (SRC-9), with the columns of ``attributes`` (a row for
+    each state and agency_type at most: names, addresses, settings) where it has any for them."""
     state, agency = F.explode(F.array(*[F.lit(s) for s in S.STATES])), F.explode(F.array(*[F.lit(a) for a in S.AGENCY_TYPES]))
     df = spark.range(1).select(state.alias("state")).select("state", agency.alias("agency_type"))
     if states:
         df = df.filter(F.col("state").isin(*[s.upper() for s in states]))
-    return df.filter(F.col("agency_type").isin(*[a.lower() for a in agency_types])) if agency_types else df
+    if agency_types:
+        df = df.filter(F.col("agency_type").isin(*[a.lower() for a in agency_types]))
+    if attributes is None:
+        return df
+    known = attributes.withColumn("state", F.upper("state")).withColumn("agency_type", F.lower("agency_type"))
+    return df.join(known, ["state", "agency_type"], "left")
+
+
+def target(targets_: DataFrame, state: str, agency_type: str) -> DataFrame:
+    """The one target of a state and agency type, or none."""
+    return targets_.filter((F.col("state") == state.upper()) & (F.col("agency_type") == agency_type.lower()))
 
 
 def parse_listing(df: DataFrame, payload: str = "payload") -> DataFrame:

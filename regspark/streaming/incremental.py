@@ -1,11 +1,11 @@
-"""Resuming, ledgers and streams (INC-1 to INC-8)."""
+"""Resuming, ledgers and job logs (INC-1, INC-2, INC-4, INC-5, INC-7, INC-8). Ingest is in ``sources.store`` (INC-6),
+leases and late rows in ``leases`` and ``windows``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regspark.sources.records import upsert_records
 
 
 def pending(inventory: DataFrame, completed: DataFrame, failed: DataFrame, leased: DataFrame, n: int | None = None) -> DataFrame:
@@ -43,19 +43,6 @@ def merge_progress(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("key").union(b.select("key")).distinct()
 
 
-def ingest_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema, transform, key: str = "page_id", order_by: str = "ingested_at", partition: str = "state"):
-    """New JSON files under ``source`` go through ``transform`` and into the store once (INC-6); returns the
-    query, which ends when all files there are are read. A file that can't be parsed leaves rows of nulls,
-    which ``transform`` sees."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert_records(transform(batch), sink, key, order_by, partition)
-
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def job_status(events: DataFrame, as_of, keep: str = "1 hour") -> DataFrame:
     """Each job's newest status and whether it has expired (INC-7). events: job, status, ts."""
     by = events.groupBy("job").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.min("ts").alias("created"), F.max("ts").alias("updated"))

@@ -3,12 +3,10 @@
 import json
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from regspark import schema as S
 from regspark.functions.text import first_number, match_tier, safe_date, safe_str
 from regspark.operators import analyze, audit, clean, links, project, retrieve, segment
 from regspark.sources import records
-from regspark.streaming import incremental
 
 
 def one(spark, **values):
@@ -154,6 +152,10 @@ def test_inventory_and_listing(spark):
     options = spark.createDataFrame([('<select><option value="1">One</option><option value="2"></option></select>',)], "html string")
     assert [tuple(r) for r in records.parse_options(options).collect()] == [("1", "One")]
     assert records.targets(spark).count() == 21 and records.targets(spark, ["ms"], ["Dental"]).count() == 1
+    about = spark.createDataFrame([("ms", "Dental", "Board of Dental Examiners"), ("XX", "dental", "none")], "state string, agency_type string, agency_name string")
+    known = records.targets(spark, attributes=about)
+    assert known.count() == 21 and records.target(known, "MS", "DENTAL").first().agency_name == "Board of Dental Examiners"
+    assert records.target(known, "tx", "medical").first().agency_name is None and records.target(known, "NY", "dental").count() == 0
 
 
 def test_manifest_round_trip(spark, tmp_path):
@@ -167,7 +169,7 @@ def test_manifest_round_trip(spark, tmp_path):
     assert links.diff_manifests(flat, flat).filter("change <> 'unchanged'").count() == 0
 
 
-def test_upsert_and_stream(spark, tmp_path):
+def test_upserts_follow_moved_keys(spark, tmp_path):
     schema = "page_id string, state string, text string, ingested_at timestamp"
     row = lambda i, s, x, day: (i, s, x, __import__("datetime").datetime(2024, 1, day))
     path = str(tmp_path / "store")
@@ -180,12 +182,6 @@ def test_upsert_and_stream(spark, tmp_path):
     assert sorted((r.page_id, r.state) for r in spark.read.parquet(path).collect()) == [("a", "TX"), ("b", "TX"), ("c", "MS")]
     assert records.upsert_records(spark.createDataFrame([row("c", "LA", "moved", 5)], schema), path) == 1  # empties its partition
     assert sorted((r.page_id, r.state) for r in spark.read.parquet(path).collect()) == [("a", "TX"), ("b", "TX"), ("c", "LA")]
-    source, sink, mark = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "mark")
-    kind = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("state", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ingested_at", T.TimestampType())])
-    for drop in (first.filter("text <> 'new'"), first.filter("text = 'new'")):
-        drop.coalesce(1).write.mode("append").json(str(source))
-        incremental.ingest_stream(spark, str(source), sink, mark, kind, lambda df: df.filter("page_id IS NOT NULL")).awaitTermination()
-    assert sorted((r.page_id, r.text) for r in spark.read.parquet(sink).collect()) == [("a", "new"), ("b", "b")]
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
