@@ -23,8 +23,11 @@ NAME = "op4_line_dedup"
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Repeated keys in a shard's filter, on average.
 KEYS_PER_SHARD = 100_000
-#: The filters are sent to all executors up to this size; beyond it all references meet the exact counts.
-FILTER_BYTES = 32 << 20
+#: The filters are sent to all executors up to this size; beyond it each shard's references are brought to its
+#: filter, PROBE_ROWS of them at a time, about.
+FILTER_BYTES, PROBE_ROWS = 32 << 20, 500_000
+#: Shards, a row each, whose number of slices is sent to all executors.
+SENT_SHARDS = 500_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -32,7 +35,7 @@ SPACE = " \t\n\x0b\x0c\r"
 class CuckooFilter:
     """16-bit fingerprints in buckets of four; works on arrays of 64-bit keys."""
 
-    SLOTS, KICKS = 4, 500
+    SLOTS, KICKS, LOAD = 4, 500, 0.8
 
     def __init__(self, buckets: int):
         self.table = np.zeros((1 << max(1, int(buckets - 1).bit_length()), self.SLOTS), np.uint16)
@@ -40,7 +43,7 @@ class CuckooFilter:
 
     @classmethod
     def holding(cls, keys: np.ndarray) -> CuckooFilter:
-        made = cls(int(len(keys) / cls.SLOTS / 0.8) + 1)
+        made = cls(int(len(keys) / cls.SLOTS / cls.LOAD) + 1)
         made.insert(keys)
         return made
 
@@ -92,6 +95,10 @@ class CuckooFilter:
             else:
                 self.spilled = [s for s in self.spilled if not (s[0] == mark and s[1] in both)] or []
 
+    def crowded(self) -> bool:
+        """Whether further keys would hardly find a place."""
+        return len(self.spilled) > 0 or np.count_nonzero(self.table) > 0.93 * self.table.size
+
     def contains(self, keys: np.ndarray) -> np.ndarray:
         mark, first, second = self.places(keys)
         hit = ((self.table[first] == mark[:, None]) | (self.table[second] == mark[:, None])).any(axis=1)
@@ -152,31 +159,47 @@ def build_filters(repeated: DataFrame, shards: int) -> DataFrame:
         made = CuckooFilter.holding(group["k1"].to_numpy())
         return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "filter": [made.to_bytes()]})
 
-    keys = repeated.select(F.pmod("k2", F.lit(shards)).cast("int").alias("shard"), "k1")
+    keys = repeated.select(shard_of(shards).alias("shard"), "k1")
     return keys.groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
-def update_filters(filters: DataFrame, gone: DataFrame, shards: int) -> DataFrame:
-    """Takes keys that aren't repeated any more out of their shard's filter."""
+def shard_of(shards: int):
+    return F.pmod("k2", F.lit(shards)).cast("int")
+
+
+def update_filters(filters: DataFrame, risen: DataFrame, fallen: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
+    """Takes keys that aren't repeated any more out of their shard's filter and puts new ones in. Only filters of
+    touched shards change; one that gets crowded is built anew, larger, from its shard's keys (of ``counts``)."""
+    change = lambda keys, sign: keys.select(shard_of(shards).alias("shard"), "k1", F.lit(sign).alias("sign"))
 
     def update(_, old, keys):
         import pandas as pd
 
-        if not len(old):
-            return pd.DataFrame({"shard": [], "filter": []})
-        made = CuckooFilter.from_bytes(old["filter"].iloc[0])
-        made.delete(keys["k1"].to_numpy())
-        return pd.DataFrame({"shard": [int(old["shard"].iloc[0])], "filter": [made.to_bytes()]})
-
-    keys = gone.select(F.pmod("k2", F.lit(shards)).cast("int").alias("shard"), "k1")
-    return filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(update, "shard int, filter binary")
+        if not len(keys):
+            return old[["shard", "filter"]]
+        in_, out = (keys.loc[keys["sign"] == s, "k1"].to_numpy() for s in (1, -1))
+        made = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter.holding(in_)
+        if len(old):
+            made.delete(out)
+            made.insert(in_)
+        shard = (old if len(old) else keys)["shard"].iloc[0]
+        return pd.DataFrame({"shard": [int(shard)], "filter": [None if made.crowded() else made.to_bytes()]})
+
+    keys = change(risen, 1).unionByName(change(fallen, -1))
+    updated = stored(filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(update, "shard int, filter binary"), "line-filters")
+    full = updated.filter("filter IS NULL").select("shard")
+    if full.isEmpty():
+        return updated
+    again = counts.withColumn("shard", shard_of(shards)).join(full, "shard", "left_semi")
+    return stored(updated.filter("filter IS NOT NULL").unionByName(build_filters(again.drop("shard"), shards)), "line-filters")
 
 
 def maybe_repeated(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """References that their shard's filter may hold, if the filters are small enough to send; else all."""
+    """References that their shard's filter may hold. Small filters are sent to the references; else references go
+    to the filters, shard by shard, a shard that many references ask for in several slices."""
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size > FILTER_BYTES:
-        return refs
+        return asked_by_shard(refs, filters, shards)
     sent = refs.sparkSession.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in filters.collect()})
 
     def probe(batches):
@@ -193,6 +216,23 @@ def maybe_repeated(refs: DataFrame, filters: DataFrame, shards: int) -> DataFram
     return refs.mapInArrow(probe, "k1 long, k2 long, doc long")
 
 
+def asked_by_shard(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    keyed = refs.withColumn("shard", shard_of(shards))
+    many = keyed.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("slices"))  # a row a shard
+    many = F.broadcast(many) if shards <= SENT_SHARDS else many
+    dealt = keyed.join(many, "shard").select("k1", "k2", "doc", "shard", F.pmod(F.xxhash64("doc"), "slices").cast("int").alias("slice"))
+    held = filters.join(many, "shard").select("filter", F.col("shard").alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"))
+
+    def probe(asked: pa.Table, found: pa.Table) -> pa.Table:
+        rows = asked.select(["k1", "k2", "doc"])
+        if not found.num_rows or not asked.num_rows:
+            return rows.slice(0, 0)
+        hit = CuckooFilter.from_bytes(found.column("filter")[0].as_py()).contains(rows.column("k1").to_numpy())
+        return rows.filter(pa.array(hit))
+
+    return dealt.groupBy("shard", "slice").cogroup(held.groupBy("own", "part")).applyInArrow(probe, "k1 long, k2 long, doc long")
+
+
 @dataclass
 class LineIndex:
     """The state after some insertions and deletions; each change gives a new state, all tables stored."""
@@ -216,19 +256,28 @@ class LineIndex:
         return cls(refs, repeated, stored(build_filters(repeated, shards), "line-filters"), shards, min_chars, min_docs)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Adds documents; those known already change nothing."""
-        refs = self.refs.unionByName(references(docs, self.min_chars)).dropDuplicates(["k1", "k2", "doc"])
-        return self._of_refs(stored(refs, "line-refs"), self.min_chars, self.min_docs)
+        """Adds documents; those known already change nothing. Only keys that the new references hold are counted
+        again, and only filters of shards with keys that have become repeated change."""
+        fresh = stored(references(docs, self.min_chars).join(self.refs, ["k1", "k2", "doc"], "left_anti"), "line-fresh")
+        refs = stored(self.refs.unionByName(fresh.select("k1", "k2", "doc")), "line-refs")
+        return self._changed(refs, fresh.select("k1", "k2").distinct())
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Takes documents (column doc_id) out again."""
         gone = ids.select(id_of(ids).alias("doc")).distinct()
-        touched = self.refs.join(gone, "doc", "left_semi").select("k1", "k2").distinct()
+        touched = stored(self.refs.join(gone, "doc", "left_semi").select("k1", "k2").distinct(), "line-touched")
         refs = stored(self.refs.join(gone, "doc", "left_anti").select("k1", "k2", "doc"), "line-refs")
+        return self._changed(refs, touched)
+
+    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
         again = counted(refs.join(touched, ["k1", "k2"], "left_semi")).filter(F.col("n_docs") >= self.min_docs)
         counts = stored(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(again), "line-counts")
-        fallen = self.counts.join(counts, ["k1", "k2"], "left_anti")
-        return LineIndex(refs, counts, stored(update_filters(self.filters, fallen, self.shards), "line-filters"), self.shards, self.min_chars, self.min_docs)
+        if counts.count() > 2 * self.shards * KEYS_PER_SHARD:  # time for more shards
+            shards = -(-counts.count() // KEYS_PER_SHARD)
+            return LineIndex(refs, counts, stored(build_filters(counts, shards), "line-filters"), shards, self.min_chars, self.min_docs)
+        risen, fallen = counts.join(self.counts, ["k1", "k2"], "left_anti"), self.counts.join(counts, ["k1", "k2"], "left_anti")
+        filters = update_filters(self.filters, risen, fallen, counts, self.shards)
+        return LineIndex(refs, counts, filters, self.shards, self.min_chars, self.min_docs)
 
     def drops(self) -> DataFrame:
         """(doc, keys): the keys whose lines each document loses, an array<struct<k1, k2>> no longer than the

@@ -35,3 +35,35 @@ def test_edge_rows(odd, none, clashing):
     out = {r.doc_id: r for r in L.dedup_lines(odd).collect()}
     assert out[2].text == "" and out[2].n_lines == 1 and out[6].n_lines == 3 and out[None].n_dropped == 0
     assert L.dedup_lines(none).count() == 0 and L.dedup_lines(clashing).count() == clashing.count()
+
+
+def index_rows(index):
+    return {(r.k1, r.k2, r.n_docs, r.keeper) for r in index.counts.collect()}
+
+
+def test_tiny_limits_change_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, L.query(spark, d).collect()))
+    for name, value in (("FILTER_BYTES", 0), ("PROBE_ROWS", 7), ("KEYS_PER_SHARD", 5)):
+        monkeypatch.setattr(L, name, value)
+    assert sorted(map(tuple, L.query(spark, d).collect())) == want
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    whole = L.LineIndex.of(docs, 4, 2)
+    grown = L.LineIndex.of(docs.filter("doc_id % 3 = 0"), 4, 2).insert(docs.filter("doc_id % 3 = 1")).insert(docs.filter("doc_id % 3 >= 1"))
+    assert index_rows(grown) == index_rows(whole) and len(index_rows(whole)) > 5
+    lost = lambda i: {(r.doc, k.k1) for r in i.drops().collect() for k in r["keys"]}
+    assert lost(grown) == lost(whole) and lost(whole)
+    shrunk = grown.delete(docs.filter("doc_id % 3 = 2").select("doc_id"))
+    rest = L.LineIndex.of(docs.filter("doc_id % 3 < 2"), 4, 2)
+    assert index_rows(shrunk) == index_rows(rest) and lost(shrunk) == lost(rest)
+    back = shrunk.insert(docs.filter(F.col("doc_id") % 3 == 2))
+    assert index_rows(back) == index_rows(whole) and lost(back) == lost(whole)
+
+
+def test_ties_and_ids_with_several_texts(spark):
+    line = "a line that is long enough to count as a repeated one, surely"
+    rows = [(i, f"{line}\nown {i}") for i in range(5)] + [(4, line.upper()), (4, f"  {line}\t"), (2, None)]
+    out = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(out, key=str) == sorted([(i, 2, 1, f"own {i}") for i in range(4)] + [(4, 2, 0, f"{line}\nown 4"), (4, 1, 0, line.upper()), (4, 1, 0, f"  {line}\t"), (2, 1, 0, "")], key=str)
