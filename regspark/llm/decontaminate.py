@@ -9,7 +9,7 @@ exactly. A run as long as a window is a hit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.llm.common import lower_ascii, require, table
@@ -103,7 +103,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     items (sorted item ids as strings), contaminated. Null and empty texts have no words; items without words
     match nothing; an item id that is null counts as none."""
     runs = hits(docs, benchmark, window)
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("stop") - 1)))))
+    # a fold over a document's runs by their start adds what each reaches beyond those before it
+    spans = F.sort_array(F.collect_set(F.struct("start", "stop")))
+    longer = lambda acc, r: F.struct((acc.n + F.greatest(r.stop - F.greatest(r.start, acc.reach), F.lit(0))).alias("n"), F.greatest(acc.reach, r.stop).alias("reach"))
+    covered = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), longer, lambda acc: acc.n)
     per_doc = runs.groupBy("doc_id", "digest").agg(covered.alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "n_hit", "items")
     all_docs = require(docs, "doc_id", "text").select("doc_id", digest(F.col("text")), F.size(words(F.col("text"))).cast("long").alias("n_words"))
