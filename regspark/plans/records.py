@@ -198,8 +198,8 @@ WITH r AS (SELECT doc_id AS id, source AS pattern, CAST(quality AS DOUBLE) AS gr
 s AS (SELECT *, (groundedness + inference_honesty) / 2 AS primary_score, (groundedness + inference_honesty + correctness + jurisdiction) / 4 AS overall FROM r),
 v AS (SELECT 0 AS k, 'total' AS part, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM s UNION ALL SELECT 0, 'total', 'valid', CAST(count(overall) AS DOUBLE) FROM s UNION ALL SELECT 2, 'pattern', pattern, avg(overall) FROM s GROUP BY pattern
 UNION ALL SELECT 1, 'axis', name, avg(value) FROM (UNPIVOT (SELECT groundedness, inference_honesty, correctness, jurisdiction, primary_score, overall FROM s) ON groundedness, inference_honesty, correctness, jurisdiction, primary_score, overall INTO NAME name VALUE value) GROUP BY name),
-w AS (SELECT 3 AS k, overall AS o, CAST(id AS VARCHAR) AS name, printf('worst %s: %.2f', CAST(id AS VARCHAR), overall) AS text FROM (SELECT id, overall FROM s ORDER BY overall, id LIMIT 5)),
-l AS (SELECT k, -value AS o, name, printf('%s %s: %.2f', part, name, value) AS text FROM v UNION ALL SELECT * FROM w)
+w AS (SELECT 3 AS k, overall AS o, CAST(id AS VARCHAR) AS name, printf('worst %s: %.2f', CAST(id AS VARCHAR), round(overall, 2)) AS text FROM (SELECT id, overall FROM s ORDER BY overall, id LIMIT 5)),
+l AS (SELECT k, -value AS o, name, printf('%s %s: %.2f', part, name, round(value, 2)) AS text FROM v UNION ALL SELECT * FROM w)
 SELECT CAST(row_number() OVER (ORDER BY k, o, name) AS INTEGER) AS line, text FROM l""")
 def eval_report(spark, d):
     return audit.report(v_results(spark, d))
