@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from regspark.functions.text import dot, norm, tokens
+from regspark.sources.scratch import stored
 
 #: Rows, and bytes of them as JSON, that are broadcast at most; beyond that Spark joins by shuffling.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
@@ -34,18 +35,21 @@ def with_questions(records: DataFrame, questions: DataFrame, size: int = QUESTIO
 
 def bm25(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str = "doc_id", k1: float = 1.2, b: float = 0.75, stop: bool = True, kept=None) -> DataFrame:
     """(question_id, key, score): boosted sum of each field's BM25 (RET-2, RET-3). questions: question_id and
-    terms, an array. Statistics cover all records, scores those that meet ``kept``, a Column. Only postings of
-    asked terms are shuffled; document frequencies are as many as asked terms and fields, and are broadcast
-    where the terms are."""
+    terms, an array. Statistics cover all records, scores those that meet ``kept``, a Column. Texts are read once:
+    the postings of asked terms are stored, and fields' lengths are counted on the way. Document frequencies are as many
+    as asked terms and fields, and are broadcast where the terms are."""
     asked = questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term"))
     terms = asked.select("term").distinct()
     few = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    lengths = records.select([F.size(tokens(F.col(f), stop)).alias(f) for f in fields])
-    stats = lengths.agg(*[x for f in fields for x in (F.count_if(F.col(f) > 0).alias(f"n_{f}"), F.sum(f).cast("double").alias(f"s_{f}"))])
-    stats = stats.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), F.col(f"n_{f}").alias("n_docs"), (F.col(f"s_{f}") / F.col(f"n_{f}")).alias("avg_len")) for f, w in fields.items()])).alias("s")).select("s.*")
     inside = F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))
-    long = records.select(F.col(key), inside.alias("inside"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), stop).alias("t")) for f in fields])).alias("x")).select(key, "inside", "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
-    hits = long.join(few(terms), "term", "left_semi").groupBy(key, "inside", "field", "len", "term").agg(F.count("*").alias("tf"))
+    seen, words = Observation(), [f"_w{i}" for i in range(len(fields))]
+    cut = records.select(F.col(key), inside.alias("inside"), *[tokens(F.col(f), stop).alias(w) for f, w in zip(fields, words, strict=True)])
+    cut = cut.observe(seen, *[x for w in words for x in (F.count_if(F.size(w) > 0).alias(f"n{w}"), F.sum(F.size(w)).alias(f"s{w}"))])
+    long = cut.select(key, "inside", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(w).alias("t")) for f, w in zip(fields, words, strict=True)])).alias("x")).select(key, "inside", "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
+    hits = stored(long.join(few(terms), "term", "left_semi").groupBy(key, "inside", "field", "len", "term").agg(F.count("*").alias("tf")), "bm25-postings")
+    total = seen.get
+    of = lambda f, w: F.struct(F.lit(f).alias("field"), F.lit(float(fields[f])).alias("boost"), F.lit(total[f"n{w}"] or 0).cast("long").alias("n_docs"), F.lit((total[f"s{w}"] or 0) / (total[f"n{w}"] or 1)).cast("double").alias("avg_len"))
+    stats = records.sparkSession.range(1).select(F.inline(F.array(*[of(f, w) for f, w in zip(fields, words, strict=True)])))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
