@@ -108,6 +108,11 @@ def paired_records(pages: DataFrame, id_pattern: str, label_pattern: str) -> Dat
     return pages.select("url", F.inline(both))
 
 
+#: What sources' addresses hold, and how their records and labels are written.
+RULE_PATH, CHAPTER_PATH, WHOLE_FILE = "/rules/pdf/", "/gac/", "Download_pdf"
+RECORD_ID, RECORD_LABEL = r"recordId[=:](\d+)", r"(§[\d.]+)"
+
+
 def source_links(pages: DataFrame) -> DataFrame:
     """(url, rule, link, text, position): a page's links by its source's rule, each once (LNK-6). pages: url, html,
     rule and param. Rules: ``pdf``, links that end in .pdf; ``pdf_path``, those with .pdf or /rules/pdf/ in them;
@@ -116,9 +121,9 @@ def source_links(pages: DataFrame) -> DataFrame:
     last part of its path, a chapter, a department's file or a volume by what it is."""
     found = anchors(pages, "rule", "param")
     low, param, rule = F.lower("link"), F.col("param"), F.col("rule")
-    is_file, whole = low.rlike(r"\.(pdf|docx?)$"), F.col("link").contains("Download_pdf")
-    chapter = F.col("link").contains(F.concat(F.lit("/gac/"), param, F.lit("-")))
-    kept = F.when(rule == "pdf", low.endswith(".pdf")).when(rule == "pdf_path", low.contains(".pdf") | low.contains("/rules/pdf/")).when(rule == "department", is_file | chapter | whole).when(rule == "volume", low.contains(F.lower(param)) & low.contains(".doc"))
+    is_file, whole = low.rlike(r"\.(pdf|docx?)$"), F.col("link").contains(WHOLE_FILE)
+    chapter = F.col("link").contains(F.concat(F.lit(CHAPTER_PATH), param, F.lit("-")))
+    kept = F.when(rule == "pdf", low.endswith(".pdf")).when(rule == "pdf_path", low.contains(".pdf") | low.contains(RULE_PATH)).when(rule == "department", is_file | chapter | whole).when(rule == "volume", low.contains(F.lower(param)) & low.contains(".doc"))
     last = F.element_at(F.split("link", "/"), -1)
     name = F.when(rule == "volume", param).when((rule == "department") & ~is_file & chapter, F.concat(F.lit("Chapter "), last)).otherwise(last)
     text = F.when((rule == "department") & whole & ~is_file & ~chapter, F.format_string("Department %s Full PDF", param)).otherwise(F.coalesce(F.nullif("text", F.lit("")), name))
@@ -131,7 +136,7 @@ def source_links(pages: DataFrame) -> DataFrame:
 def department_files(pages: DataFrame, found: DataFrame, template: str) -> DataFrame:
     """(url, rule, link, text): the address of a department's one file for pages on which none was found (LNK-6).
     pages: url, rule, param, title; found: what ``source_links`` gives; template: an address with {dept} and {title}."""
-    have = found.filter((F.col("rule") == "department") & F.col("link").contains("Download_pdf")).select("url").distinct()
+    have = found.filter((F.col("rule") == "department") & F.col("link").contains(WHOLE_FILE)).select("url").distinct()
     title = F.url_encode(F.upper("title"))
     for java, plain in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
         title = F.replace(title, F.lit(java), F.lit(plain))
@@ -145,7 +150,7 @@ def chapter_links(targets: DataFrame, base: str) -> DataFrame:
     return targets.select("target", F.explode("chapters").alias("c")).select("target", F.concat(F.lit(base.rstrip("/") + "/"), "c").alias("link"), F.concat(F.lit("Chapter "), "c").alias("text"))
 
 
-def record_links(pages: DataFrame, base: str, id_pattern: str = r"recordId[=:](\d+)", label_pattern: str = r"(§[\d.]+)") -> DataFrame:
+def record_links(pages: DataFrame, base: str, id_pattern: str = RECORD_ID, label_pattern: str = RECORD_LABEL) -> DataFrame:
     """(url, position, link, text): a chapter page's record ids, each once, with its labels by position (LNK-6); a
     record without a label is called by chapter and number. pages: url, chapter, html (ids), text (labels)."""
     ids = F.array_distinct(F.regexp_extract_all("html", F.lit(id_pattern), 1))
