@@ -69,13 +69,14 @@ class Mixer:
         self.curved = np.full_like(self.weights, 20.0)  # of late
         self.rests = np.zeros_like(self.weights)  # in all
         self.hits = np.zeros((2, LEVELS * LEVELS * STEPS))  # ones and all, by gate and step
-        self.counts = self.table = self.logs = self.parts = None
+        self.counts = self.table = self.logs = self.parts = self.ones = None
         self.turn = 0
 
     # -- learning: in a task, with tables of its own ------------------------------------------
     def begin(self, known: np.ndarray | None = None) -> Mixer:
         """known: the first predictor's counts, if they are known already."""
         self.counts = np.zeros((self.tables.size, 2), np.int32)
+        self.ones = np.ones(SLICE, np.int32)
         self.known = known is not None
         if self.known:
             self.counts[: len(known)] = np.minimum(known, 2**30)
@@ -87,8 +88,11 @@ class Mixer:
             self.turn += 1
             some = slice(at + self.turn % EVERY, at + SLICE, EVERY)
             self._move([s[some] for s in slots], bit[some])
+            right = bit[at : at + SLICE].astype(np.int64)
             for s in slots[self.known :]:
-                np.add.at(flat, 2 * s[at : at + SLICE] + bit[at : at + SLICE], np.int32(1))
+                cell = s[at : at + SLICE] << 1
+                cell |= right
+                np.add.at(flat, cell, self.ones[: len(cell)])
 
     def _move(self, slots, bit) -> None:
         seen = [self.counts[s] for s in slots]
@@ -130,26 +134,27 @@ class Mixer:
         self.logs = np.log10(np.stack([1 - p, p], axis=2)).astype(np.float32).ravel()  # gate, mixed value, bit
         entry = np.arange(-HALF, HALF)
         self.parts = [np.concatenate([w[gate * LEVELS + (entry & 3)] * (entry >> 2) for gate in range(LEVELS * LEVELS)]).astype(np.float32) * np.float32(CLIP / 127) for w in self.weights]
-        self.table, self.counts, self.curved, self.rests, self.hits = table, None, None, None, None
+        self.table, self.counts, self.curved, self.rests, self.hits, self.ones = table, None, None, None, None, None
         return self
 
     def log10(self, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
         """Log10 of the probability of each decision."""
-        found = [self.table[s] for s in slots]
-        gate = (found[self.gate[0]] & 3).astype(np.int32) * LEVELS + (found[self.gate[1]] & 3)
-        at = gate * (2 * HALF) + HALF
-        mixed = self.parts[0][at + found[0]]
+        found = [self.table.take(s, mode="clip") for s in slots]  # all slots are within; clipping spares a check
+        gate = (found[self.gate[0]] & 3) * LEVELS + (found[self.gate[1]] & 3)
+        at = gate.astype(np.int64)
+        at *= 2 * HALF
+        at += HALF
+        mixed = self.parts[0].take(at + found[0], mode="clip")
         for part, v in zip(self.parts[1:], found[1:], strict=True):
-            mixed += part[at + v]
+            mixed += part.take(at + v, mode="clip")
         np.clip(mixed, -12, 12, out=mixed)
         mixed *= np.float32(FINE / 24)
-        at = np.rint(mixed, out=mixed).astype(np.int32)
-        gate *= FINE + 1
-        at += gate
-        at += FINE // 2
-        at *= 2
-        at += bit
-        return self.logs[at]
+        np.rint(mixed, out=mixed)
+        mixed += (gate * np.int32(FINE + 1) + np.int32(FINE // 2)).astype(np.float32)  # whole numbers, exact below 2^24
+        at = mixed.astype(np.int64)
+        at <<= 1
+        at |= bit
+        return self.logs.take(at, mode="clip")
 
 
 def settled(counts: np.ndarray) -> np.ndarray:
@@ -184,16 +189,27 @@ class Code:
         real = steps < 2
         self.length = real.sum(axis=1)
         self.start = np.cumsum(self.length) - self.length
-        self.node, self.bit, self.nodes = nodes[real].astype(np.int32), steps[real], max(1, n - 1)
+        self.step, self.nodes = nodes[real].astype(np.int32) << 1 | steps[real], max(1, n - 1)  # both in one number, to be fetched at once
+
+    @property
+    def node(self) -> np.ndarray:
+        return self.step >> 1
+
+    @property
+    def bit(self) -> np.ndarray:
+        return self.step & 1
 
     def decisions(self, symbols: np.ndarray):
         """How many decisions each symbol has, and the node and bit of each."""
-        n = self.length[symbols]
+        n = self.length.take(symbols)
         first = np.cumsum(n) - n
-        at = np.arange(first[-1] + n[-1] if len(n) else 0) + np.repeat(self.start[symbols] - first, n)
-        return n, self.node[at], self.bit[at]
+        at = np.repeat(self.start.take(symbols) - first, n)
+        at += np.arange(len(at))
+        step = self.step.take(at, mode="clip")
+        return n, step >> 1, step & 1
 
     def totals(self, counts: np.ndarray) -> np.ndarray:
         """(nodes, 2): the zeros and ones at each node that ``counts`` of the symbols give."""
         each = np.repeat(counts, self.length)
-        return np.stack([np.bincount(self.node[self.bit == b], each[self.bit == b], self.nodes) for b in (0, 1)], axis=1)
+        node, bit = self.node, self.bit
+        return np.stack([np.bincount(node[bit == b], each[bit == b], self.nodes) for b in (0, 1)], axis=1)

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
@@ -62,28 +61,55 @@ def key(word: bytes) -> bytes:
     return word if len(word) <= KEY_BYTES else b"\xff" + hashlib.sha256(word).digest()
 
 
+@dataclass
+class Batch:
+    """The tokens of some texts, as ``tokens`` gives them: how many each text has, which of the distinct words
+    each token is, and those words."""
+
+    sizes: np.ndarray
+    of: np.ndarray
+    words: list[bytes]
+
+    @classmethod
+    def split(cls, texts: pa.Array) -> Batch:
+        none, blank = (pa.scalar(x, texts.type) for x in ("", " "))
+        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: Arrow lower-cases some slices of larger arrays wrongly
+        texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, none)))
+        ended = pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(texts, none, blank))  # what follows the last blank is the end
+        lists = pc.ascii_split_whitespace(ended)
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.binary() if texts.type == pa.string() else pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        return cls(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), found.indices.to_numpy(), words)
+
+
 # -- counting words ----------------------------------------------------------------------------
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, word, c): every distinct word of ``docs`` (text, learn) with its count in rows that are learned
     from; ``word`` only where the key is a digest."""
 
     def run(batches):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())  # words that aren't learned, and those that are
+        seen, n = [], 0
 
-        def put():
-            words = [w for part in seen for w in part]
-            n = [0] * len(seen[0]) + list(seen[1].values())
-            long = [w if len(w) > KEY_BYTES else None for w in words]
-            return pa.RecordBatch.from_arrays([pa.array([key(w) for w in words], pa.binary()), pa.array(long, pa.binary()), pa.array(n, pa.int64())], ["key", "word", "c"])
+        def added() -> pa.Table:
+            return pa.Table.from_batches(seen).group_by(["key", "word"], use_threads=False).aggregate([("c", "sum")]).rename_columns(names)
 
         for b in batches:
-            for text, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[bool(learn)].update(tokens(text))
-            if len(seen[0]) + len(seen[1]) > FLUSH:
-                yield put()
-                seen = (Counter(), Counter())
-        yield put()
-
+            text = Batch.split(b.column(0))
+            learn = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(bool), text.sizes)
+            count = np.bincount(text.of[learn], minlength=len(text.words))
+            long = [w if len(w) > KEY_BYTES else None for w in text.words]
+            seen.append(pa.RecordBatch.from_arrays([pa.array(map(key, text.words), pa.binary()), pa.array(long, pa.binary()), pa.array(count, pa.int64())], names))
+            n += len(count)
+            if n > flush:
+                seen = added().combine_chunks().to_batches()
+                n = sum(x.num_rows for x in seen)
+                if n > flush // 2:
+                    yield from seen
+                    seen, n = [], 0
+        if seen:
+            yield from added().to_batches()
+
+    names, flush = ["key", "word", "c"], FLUSH
     counted = bounded_batches(docs.select("text", "learn")).mapInArrow(run, "key binary, word binary, c long")
     return stored(counted.groupBy("key", "word").agg(F.sum("c").alias("c")), "lm-words")
 
@@ -145,38 +171,40 @@ class Vocabulary:
 
 
 # -- the token stream --------------------------------------------------------------------------
-def stream(vocabulary: Vocabulary, documents, tables: Tables):
-    """Groups of ``documents`` (words and symbols), and for slices of a group's token stream: the tokens'
-    documents, how many decisions each token has, and the slots and bits of all decisions."""
+def named(vocabulary: Vocabulary, batch: Batch):
+    """How many tokens each text has, and each token's symbol and its name in contexts: the symbol, or for other
+    words what their last two bytes tell."""
+    symbol = vocabulary.numbers(batch.words)
+    name = symbol.astype(np.uint64)
+    for i in np.flatnonzero(symbol == 0).tolist():
+        name[i] = (1 << 32) + int.from_bytes(batch.words[i][-2:], "big")
+    return batch.sizes, symbol.take(batch.of), name.take(batch.of)
+
+
+def stream(vocabulary: Vocabulary, sizes: np.ndarray, symbols: np.ndarray, names: np.ndarray, tables: Tables):
+    """For slices of the token stream of documents (see ``named``): the tokens' documents, how many decisions each
+    token has, and the slots and bits of all decisions."""
     end = vocabulary.index[b""]
-    pad = np.full(_PADS, end, np.int64)
-
-    def group(docs):
-        symbol = np.concatenate([x for _, ns in docs for x in (pad, ns)])
+    stops = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        begin = stops[first] - sizes[first]
+        last = min(int(np.searchsorted(stops, begin + _GROUP)), len(sizes) - 1)
+        of = np.repeat(np.arange(last + 1 - first), sizes[first : last + 1])
+        place = np.arange(len(of)) + _PADS * (of + 1)  # each document comes after ends
+        symbol = np.full(len(of) + _PADS * (last + 1 - first), end, np.int64)
         name = symbol.astype(np.uint64)
-        name[symbol == 0] = [(1 << 32) + int.from_bytes(ws[i][-2:], "big") for ws, ns in docs for i in np.flatnonzero(ns == 0).tolist()]
+        symbol[place], name[place] = symbols[begin : stops[last]], names[begin : stops[last]]
         often = np.maximum.accumulate(np.where((symbol > 0) & (symbol <= FREQUENT) | (symbol == end), np.arange(len(symbol)), 0))
-        sizes = np.array([len(ns) for _, ns in docs])
-        of = np.repeat(np.arange(len(docs)), sizes)
-        place = np.arange(len(of)) + _PADS * (of + 1)
         for at in range(0, len(of), _SLICE):
             here = place[at : at + _SLICE]
-            last = often[here - 1]
-            a, b = name[last], name[often[last - 1]]
+            near = often[here - 1]
+            a, b = name[near], name[often[near - 1]]
             one, two = name[here - 1], name[here - 2]
             contexts = [mix(one + _U(1 << 40)), mix(mix(one + _U(2 << 40)) + two), mix((np.minimum(a, b) << _U(20) | np.maximum(a, b)) + _U(3 << 50))]
             decisions, node, bit = vocabulary.code.decisions(symbol[here])
-            yield of[at : at + _SLICE], decisions, tables.slots(contexts, decisions, node), bit
-
-    held, n = [], 0
-    for doc in documents:
-        held.append(doc)
-        n += len(doc[1])
-        if n >= _GROUP:
-            yield held, group(held)
-            held, n = [], 0
-    if held:
-        yield held, group(held)
+            yield first + of[at : at + _SLICE], decisions, tables.slots(contexts, decisions, node), bit
+        first = last + 1
 
 
 def stream_mixer(tables: Tables) -> Mixer:
@@ -286,13 +314,19 @@ class Model:
             out += np.bincount(of, self.spelling.log10(slots, bit).reshape(-1, 8).sum(axis=1), len(words))
         return out
 
+    def logs(self, sizes: np.ndarray, symbols: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Log10 of the probability of each document (see ``named``) as symbols."""
+        out = np.zeros(len(sizes))
+        for of, n, slots, bit in stream(self.vocabulary, sizes, symbols, names, self.stream.tables):
+            each = np.add.reduceat(self.stream.log10(slots, bit), np.cumsum(n) - n)
+            out[of[0] : of[-1] + 1] += np.bincount(of - of[0], each)
+        return out
+
     def streamed(self, documents):
-        """(documents, their log10 probabilities as symbols) by groups; documents: words and symbols."""
-        for docs, slices in stream(self.vocabulary, documents, self.stream.tables):
-            out = np.zeros(len(docs))
-            for of, n, slots, bit in slices:
-                out += np.bincount(of, np.add.reduceat(self.stream.log10(slots, bit), np.cumsum(n) - n), len(docs))
-            yield docs, out
+        """Documents, given by words and symbols, and their log10 probabilities as symbols."""
+        words = [w for ws, _ in documents for w in ws]
+        sizes = np.array([len(ws) for ws, _ in documents])
+        yield documents, self.logs(*named(self.vocabulary, Batch(sizes, np.arange(len(words)), words)))
 
 
 def fit(docs: DataFrame) -> Model:
@@ -306,11 +340,8 @@ def fit(docs: DataFrame) -> Model:
     cores = spark.sparkContext.defaultParallelism
 
     def feed_text(b):
-        v = sent.value
-        texts = (tokens(t) for t in b.column(0).to_pylist())
-        for _, slices in stream(v, ((ws, v.numbers(ws)) for ws in texts), tables):
-            for *_, slots, bit in slices:
-                yield slots, bit
+        for *_, slots, bit in stream(sent.value, *named(sent.value, Batch.split(b.column(0))), tables):
+            yield slots, bit
 
     def feed_words(b):
         for _, slots, bit in spell([w if w is not None else k for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], spelling_tables):
@@ -347,34 +378,31 @@ def score(docs: DataFrame) -> DataFrame:
         """A row of each document with its sums over the vocabulary, and one of each other word in it."""
         m = sent.value
         v, row = m.vocabulary, TaskContext.get().partitionId() << 40
-        base, known = v.base(v.counts), v.counts > 0
+        base, known = v.base(v.counts), (v.counts > 0).astype(float)
         base[0] = 0.0
         for b in batches:
-            texts, at = b.column(1).to_pylist(), 0
-            for docs_, logs in m.streamed((ws, v.numbers(ws)) for ws in map(tokens, texts)):
-                keys, counts, sizes, sums = [], [], [], []
-                for ws, n in docs_:
-                    row += 1
-                    others = Counter(key(ws[i]) for i in np.flatnonzero(n == 0).tolist())
-                    keys.append(b"\xff\xff" + row.to_bytes(8, "big"))  # meets no word
-                    keys.extend(others)
-                    counts.append(0)
-                    counts.extend(others.values())
-                    sizes.append(1 + len(others))
-                    sums.append((len(ws), int(known[n].sum()), float(base[n].sum())))
-                stop = at + len(docs_)
-                first = np.cumsum(sizes) - sizes  # a document's own row comes first
-                whole = pa.array(np.isin(np.arange(len(keys)), first))
-                place = pa.array(np.repeat(np.arange(len(docs_)), sizes))
-                bytes_ = [len((t or "").encode("utf-8", "replace")) for t in texts[at:stop]]
-                columns = [b.column(0).slice(at, len(docs_)), *map(pa.array, (*zip(*sums, strict=True), bytes_, logs))]
-                doc = pa.StructArray.from_arrays([c.take(place) for c in columns], fields=list(doc_type), mask=pc.invert(whole))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(row - len(docs_) + 1, row + 1), sizes)), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), doc], ["row", "key", "n", "doc"])
-                at = stop
+            text = Batch.split(b.column(1))
+            sizes, symbols, names = named(v, text)
+            n, doc = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            sums = [np.bincount(doc, each.take(symbols), n) for each in (known, base)]
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            columns = [b.column(0), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), size, pa.array(m.logs(sizes, symbols, names))]
+            own = [b"\xff\xff" + (row + i).to_bytes(8, "big") for i in range(n)]  # meets no word
+            yield batch(np.arange(row, row + n), pa.array(own, pa.binary()), np.zeros(n, np.int32), pa.StructArray.from_arrays(columns, fields=list(doc_type)))
+            rare = symbols == 0
+            pairs, counts = np.unique(doc[rare] * len(text.words) + text.of[rare], return_counts=True)
+            doc, word = np.divmod(pairs, len(text.words) or 1)
+            some, word = np.unique(word, return_inverse=True)
+            keys = pa.array([key(text.words[i]) for i in some.tolist()], pa.binary())
+            yield batch(row + doc, keys.take(pa.array(word)), counts.astype(np.int32), pa.nulls(len(doc), doc_type))
+            row += n
+
+    def batch(rows, keys, counts, docs_):
+        return pa.RecordBatch.from_arrays([pa.array(rows), keys, pa.array(counts), docs_], ["row", "key", "n", "doc"])
 
     doc_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("n_bytes", pa.int64()), ("model", pa.float64())])
     schema = "row long, key binary, n int, doc struct<doc_id:long, n_tokens:long, seen:long, base:double, n_bytes:long, model:double>"
-    looked = bounded_batches(docs.select("doc_id", "text"), 512).mapInArrow(look_up, schema).join(rares, "key", "left")
+    looked = bounded_batches(docs.select("doc_id", "text"), size="8m").mapInArrow(look_up, schema).join(rares, "key", "left")
     whole = F.col("doc").isNotNull()
     out = looked.groupBy("row").agg(
         F.max("doc.doc_id").alias("doc_id"), F.max("doc.n_tokens").alias("n_tokens"), F.max("doc.n_bytes").alias("n_bytes"),

@@ -274,3 +274,43 @@ def test_all_languages_are_learned(spark):
     crowd = docs.filter("lang = 'l69'").unionByName(spark.range(3000).selectExpr("'l69' AS lang", "'copies copies' AS text"))
     one, two = (langid.fit(x, sample=4) for x in (crowd, crowd.repartition(3)))
     assert len(one.of) == 4 and np.allclose(one.centroids, two.centroids)
+
+
+def test_batches_hold_the_tokens_of_their_texts(spark):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    odd = [None, "", " ", " a", "a ", "\x1c a\x0b\x0cB c\x85d É", "a\x00b  c", "ÀÉ İ ſ K", "x" * 100 + " " + "Y" * 65]
+    texts = odd + ["".join(r.choice(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f  aBÇ") for _ in range(r.randint(0, 12))) for _ in range(500)]
+    for arrow in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string())[7:400][:100], pa.array(texts, pa.string())[9:].cast(pa.large_string()), pa.array([], pa.string())):
+        batch = lm_score.Batch.split(arrow)
+        words = iter([batch.words[i] for i in batch.of.tolist()])
+        assert [[next(words) for _ in range(n)] for n in batch.sizes.tolist()] == [lm_score.tokens(t) for t in arrow.to_pylist()]
+        assert next(words, None) is None
+
+
+def test_words_are_looked_up_once_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"the state board shall {'y' * 80} issue {i % 3}" for i in range(300)]
+    model = learned(spark, texts)
+    v, asked = model.vocabulary, []
+    whole = np.concatenate([out for _, out in model.streamed([(ws, v.numbers(ws)) for ws in map(lm_score.tokens, texts)])])
+    numbers = lm_score.Vocabulary.numbers
+    monkeypatch.setattr(lm_score.Vocabulary, "numbers", lambda self, words: asked.append(len(words)) or numbers(self, words))
+    got = model.logs(*lm_score.named(v, lm_score.Batch.split(pa.array(texts))))
+    assert asked == [10] and np.array_equal(got, whole)  # six words, three numbers, the end
+
+
+def test_word_counts_with_full_maps(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FLUSH", 5)
+    long = "Z" * 70
+    texts = [(f"a b {long} w{i % 9} {long}" if i % 4 else None, i % 3 > 0) for i in range(200)]
+    found = lm_score.word_counts(spark.createDataFrame(texts, "text string, learn boolean")).collect()
+    want = Counter()
+    for text, learn in texts:
+        want.update({w: int(learn) * n for w, n in Counter(lm_score.tokens(text)).items()})
+    assert {bytes(r.word if r.word is not None else r.key): r.c for r in found} == dict(want) and len(found) == len(want)
+    assert [bytes(r.word) for r in found if r.word is not None] == [long.lower().encode()]
