@@ -82,6 +82,11 @@ class Batch:
         return cls(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), found.indices.to_numpy(), words)
 
 
+def give_back() -> None:
+    """Hands what Arrow has freed back to the system, as workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+
+
 # -- counting words ----------------------------------------------------------------------------
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, word, c): every distinct word of ``docs`` (text, learn) with its count in rows that are learned
@@ -106,8 +111,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if n > flush // 2:
                     yield from seen
                     seen, n = [], 0
+                give_back()
         if seen:
             yield from added().to_batches()
+        seen = []
+        give_back()
 
     names, flush = ["key", "word", "c"], FLUSH
     counted = bounded_batches(docs.select("text", "learn")).mapInArrow(run, "key binary, word binary, c long")
@@ -255,6 +263,7 @@ def fitted(rows: DataFrame, tasks: int, mixer: Callable[[], Mixer], feed, known:
         for b in batches:
             for slots, bit in feed(b):
                 m.learn(slots, bit)
+        give_back()
         if m.known:
             m.counts[: m.tables.offsets[1]] = 0  # not to be added up
         part, flat = TaskContext.get().partitionId(), m.counts.reshape(-1)
@@ -396,6 +405,7 @@ def score(docs: DataFrame) -> DataFrame:
             keys = pa.array([key(text.words[i]) for i in some.tolist()], pa.binary())
             yield batch(row + doc, keys.take(pa.array(word)), counts.astype(np.int32), pa.nulls(len(doc), doc_type))
             row += n
+        give_back()
 
     def batch(rows, keys, counts, docs_):
         return pa.RecordBatch.from_arrays([pa.array(rows), keys, pa.array(counts), docs_], ["row", "key", "n", "doc"])
