@@ -165,13 +165,14 @@ def page_title(html, fallback: str = "board"):
     return F.when(F.coalesce(t, F.lit("")) == "", F.lit(fallback)).otherwise(t)
 
 
-def assign_filenames(links: DataFrame) -> DataFrame:
+def assign_filenames(links: DataFrame, *key: str) -> DataFrame:
     """``links`` (directory, link, extension) with a file name: the path's last part or ``document``, with an
-    extension, numbered where names of a directory collide (LNK-8)."""
+    extension, numbered by link where names of a directory collide (LNK-8). A link that stands there more than once
+    is numbered by ``key``, columns that tell its rows apart; without one their order is open."""
     last = F.regexp_extract(F.regexp_replace("link", r"[?#].*$", ""), r"([^/]+)$", 1)
     last = F.when(F.col("link").rlike(r"^[a-z]+://[^/]*/?$") | (last == ""), "document").otherwise(last)
     named = F.when(last.rlike(r"\.[A-Za-z0-9]{1,5}$"), last).otherwise(F.concat(last, F.coalesce("extension", F.lit(".html"))))
-    w = Window.partitionBy("directory", "name").orderBy("link")
+    w = Window.partitionBy("directory", "name").orderBy("link", *key)
     n = F.row_number().over(w)
     numbered = F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.lit("_"), F.col("n").cast("string"), F.regexp_extract("name", r"(\.[^.]*)$", 1)))
     return links.withColumn("name", named).withColumn("n", n).withColumn("filename", numbered).drop("name", "n")

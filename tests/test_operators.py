@@ -222,3 +222,15 @@ def test_hybrid_filters_both_sides(spark):
     assert [r.record_id for r in retrieve.hybrid(asked, records, {"text": 1.0}, "record_id", state="b").orderBy("rank").collect()] == [2, 3]
     scores = [{r.record_id: r.score for r in retrieve.bm25(asked, records, {"text": 1.0}, "record_id", kept=k).collect()} for k in (None, F.col("state") == "b")]
     assert set(scores[0]) == {1, 2} and set(scores[1]) == {2} and scores[0][2] == scores[1][2]
+
+
+def test_equal_links_are_numbered_by_page(spark, tmp_path):
+    """However the rows are dealt; the query's SQL leaves the order of equal links open."""
+    from regspark.registry import QUERIES
+
+    rows = [(n, "https://x.org/a/b?page=2") for n in range(40, 0, -1)] + [(41, "https://x.org/a/b"), (42, "https://x.org/c.pdf")]
+    want = {41: "b.html", 1: "b_2.html", 42: "c.pdf"} | {n: f"b_{n + 1}.html" for n in range(2, 41)}
+    for parts in (1, 7):
+        d = str(tmp_path / str(parts))
+        spark.createDataFrame(rows, "page_id long, url string").repartition(parts).write.parquet(f"{d}/pages.parquet")
+        assert {r.page_id: r.filename for r in QUERIES["assign_filenames"](spark, d).collect()} == want
