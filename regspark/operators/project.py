@@ -35,8 +35,10 @@ def shape_hits(df: DataFrame, text_chars: int = 600, home: str = "MS") -> DataFr
 
 
 def hydrate(df: DataFrame) -> DataFrame:
-    """Adds the record's version (2 if it has a state) and rank from 1 within its question (PRJ-3)."""
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "record_id")
+    """Adds the record's version (2 if it has a state) and rank from 1 within its question (PRJ-3). A record found
+    twice with one score is ranked by its other columns in turn (maps, which have no order, aside)."""
+    others = [f.name for f in df.schema if f.name not in ("question_id", "score", "record_id") and "map<" not in f.dataType.simpleString()]
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "record_id", *others)
     return df.withColumn("version", F.when(F.coalesce("state", F.lit("")) != "", 2).otherwise(1)).withColumn("rank", F.row_number().over(w))
 
 

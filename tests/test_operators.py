@@ -234,3 +234,11 @@ def test_equal_links_are_numbered_by_page(spark, tmp_path):
         d = str(tmp_path / str(parts))
         spark.createDataFrame(rows, "page_id long, url string").repartition(parts).write.parquet(f"{d}/pages.parquet")
         assert {r.page_id: r.filename for r in QUERIES["assign_filenames"](spark, d).collect()} == want
+
+
+def test_a_record_found_twice_is_ranked_alike_however_rows_are_dealt(spark):
+    rows = [(q, 7, 1.0, f"S{n:02}", {"n": n}) for n in range(20, 0, -1) for q in (1, 2)] + [(1, 3, 1.0, "Z", None), (2, 9, 2.0, None, None)]
+    hits = spark.createDataFrame(rows, "question_id int, record_id int, score double, state string, extra map<string, int>")
+    want = {(1, "Z"): 1, (2, None): 1} | {(q, f"S{n:02}"): n + 1 for n in range(1, 21) for q in (1, 2)}
+    for parts in (1, 7):
+        assert {(r.question_id, r.state): r["rank"] for r in project.hydrate_records(hits.repartition(parts)).collect()} == want
