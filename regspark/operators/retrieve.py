@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from regspark.functions.text import dot, norm, tokens
+from regspark.operators import vectors
 from regspark.sources.scratch import stored
 
 #: Rows, and bytes of them as JSON, that are broadcast at most; beyond that Spark joins by shuffling.
@@ -28,9 +29,12 @@ QUESTION_BLOCK = 5_000
 def with_questions(records: DataFrame, questions: DataFrame, size: int = QUESTION_BLOCK) -> DataFrame:
     """Every record beside every question of a stated set, block by block of about ``size`` questions, so that
     what is broadcast has a bound and no record moves. Ranks cut to the k best are cut before their shuffle."""
+    return reduce(DataFrame.unionByName, [records.crossJoin(F.broadcast(p)) for p in in_blocks(questions, size)])
+
+
+def in_blocks(questions: DataFrame, size: int = QUESTION_BLOCK) -> list[DataFrame]:
     blocks = max(1, math.ceil(questions.count() / size))
-    parts = [questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [questions]
-    return reduce(DataFrame.unionByName, [records.crossJoin(F.broadcast(p)) for p in parts])
+    return [questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [questions]
 
 
 def bm25(questions: DataFrame, records: DataFrame, fields: dict[str, float], key: str = "doc_id", k1: float = 1.2, b: float = 0.75, stop: bool = True, kept=None) -> DataFrame:
@@ -63,20 +67,34 @@ def ranked(scores: DataFrame, key: str, k: int, by: str = "score", partition: tu
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn(questions: DataFrame, records: DataFrame, k: int | None, key: str = "record_id", metric: str = "cosine", min_similarity: float | None = None) -> DataFrame:
+def near(questions: DataFrame, records: DataFrame, k: int | None, key: str = "record_id", metric: str = "cosine", min_similarity: float | None = None, digits: int | None = None, group: str | None = None, reverse: bool = False) -> DataFrame:
+    """(question_id, key, score, and ``group`` if one is named): pairs among which are each question's k best, in each
+    group if one is named, and no more of them than a task's k best; without k all pairs. metric: cosine, dot, or
+    euclidean (a distance, less is better). Scores are rounded to ``digits`` before they count; equal ones are ordered by
+    key, backwards if ``reverse``. Vectors of another length than a question's are no candidates of it."""
+    names = ["question_id", key, "score", *([group] if group else [])]
+    schema = vectors.schema_of(questions, records, names)
+    if k is None:
+        out = vectors.over(in_blocks(questions), records, [key, "vector"], schema, lambda b, ids, held: vectors.all_within(b, ids, held, metric, min_similarity, names))
+        return out if digits is None else out.withColumn("score", F.round("score", digits))
+    return vectors.over(in_blocks(questions), records, [key, "vector", *names[3:]], schema, lambda b, ids, held: vectors.k_best(b, ids, held, metric, k, digits, min_similarity, reverse, names))
+
+
+def knn(questions: DataFrame, records: DataFrame, k: int | None, key: str = "record_id", metric: str = "cosine", min_similarity: float | None = None, digits: int | None = None) -> DataFrame:
     """(question_id, key, score, rank; without k, all of them unranked): exact neighbours among records with a vector (RET-4, PRJ-9). questions:
-    question_id, q (a vector). The stated question set goes to all records in blocks. Vectors of another length
-    than a question's are no candidates of it."""
-    value = dot(F.col("vector"), F.col("q"))
-    if metric == "cosine":
-        value = value / (norm(F.col("vector")) * norm(F.col("q")))
-    both = with_questions(records.filter(F.col("vector").isNotNull()).select(key, "vector"), questions.select("question_id", "q"))
-    scored = both.filter(F.size("vector") - F.size("q") == 0).select("question_id", key, value.alias("score"))
-    if min_similarity is not None:
-        scored = scored.filter(F.col("score") >= min_similarity)
+    question_id, q (a vector). The stated question set goes to all records in blocks. Scores are ranked as rounded to
+    ``digits``. Vectors of another length than a question's are no candidates of it."""
+    scored = near(questions, records, k, key, metric, min_similarity, digits)
     return scored if k is None else ranked(scored, key, k)
 
 
+def count_near(questions: DataFrame, records: DataFrame, min_similarity: float, metric: str = "cosine") -> DataFrame:
+    """(question_id, n): how many records reach ``min_similarity``, of questions that some do (PRJ-9). Tasks count; no pair leaves them."""
+    schema = vectors.schema_of(questions, records, ["question_id"]).add("n", "long")
+    parts = vectors.over(in_blocks(questions), records, ["vector"], schema, lambda b, ids, held: vectors.counted(b, ids, held, metric, min_similarity))
+    return parts.groupBy("question_id").agg(F.sum("n").alias("n"))
+
+
 def rrf(rankings: list[DataFrame], key: str, k: int = 60, top_k=5, by: tuple = ("question_id",)) -> DataFrame:
     """Reciprocal rank fusion (RET-6): sum of 1 / (k + rank); ties keep the first ranking's order, then the
     next one's. Rankings are those of a question, or of whatever ``by`` names; top_k, a Column of them or number."""

@@ -242,3 +242,97 @@ def test_a_record_found_twice_is_ranked_alike_however_rows_are_dealt(spark):
     want = {(1, "Z"): 1, (2, None): 1} | {(q, f"S{n:02}"): n + 1 for n in range(1, 21) for q in (1, 2)}
     for parts in (1, 7):
         assert {(r.question_id, r.state): r["rank"] for r in project.hydrate_records(hits.repartition(parts)).collect()} == want
+
+
+def _neighbours(records, asked, metric):
+    """(question, record): score, pair by pair."""
+    import math
+
+    def score(v, q):
+        fold = lambda f: __import__("functools").reduce(lambda s, p: s + f(*p), zip(v, q, strict=True), 0.0)
+        if metric == "euclidean":
+            return math.sqrt(fold(lambda x, y: (x - y) * (x - y)))
+        return fold(lambda x, y: x * y) / (math.sqrt(fold(lambda x, y: x * x)) * math.sqrt(fold(lambda x, y: y * y)))
+
+    return {(n, i): score(v, q) for n, q in asked for i, v, *_ in records if len(v) == len(q)}
+
+
+def test_neighbours_equal_all_pairs(spark, monkeypatch):
+    """Copies, scores that are equal only when rounded, two lengths, several blocks and pieces, groups with a null."""
+    import random
+
+    from regspark.operators import retrieve, vectors
+
+    monkeypatch.setattr(vectors, "PAIRS", 64)
+    monkeypatch.setattr(vectors, "CELLS", 40)
+    monkeypatch.setattr(vectors, "WAITING", 30)
+    rng = random.Random(3)
+    base = [[rng.choice((-1.0, 0.5, 2.0)) for _ in range(4)] for _ in range(30)]
+    rows = [(i, [x * rng.choice((1.0, 3.0)) + rng.choice((0.0, 1e-8)) for x in base[i % 30]], rng.choice(("a", "b", None))) for i in range(200)]
+    rows += [(200 + i, [rng.gauss(0, 1) for _ in range(3)], "a") for i in range(20)]
+    records = spark.createDataFrame(rows, "record_id long, vector array<double>, state string").repartition(3)
+    asked = [(i, v) for i, v, _ in rows[::9]]
+    questions = spark.createDataFrame(asked, "question_id long, q array<double>")
+    monkeypatch.setattr(retrieve, "in_blocks", lambda q, size=7, f=retrieve.in_blocks: f(q, size))
+    state = {i: s for i, _, s in rows}
+    for metric, sign in (("cosine", -1), ("euclidean", 1)):
+        pairs = {p: round(x, 6) + 0.0 for p, x in _neighbours(rows, asked, metric).items()}
+        for reverse in (False, True):
+            for group in (None, "state"):
+                want = {}
+                for (q, i), x in sorted(pairs.items(), key=lambda p: (p[0][0], sign * p[1], -p[0][1] if reverse else p[0][1])):
+                    if len(slot := want.setdefault((q, state[i] if group else ""), [])) < 4:
+                        slot.append((i, x))
+                found = {}
+                for r in retrieve.near(questions, records, 4, metric=metric, digits=6, group=group, reverse=reverse).collect():
+                    found.setdefault((r.question_id, r.state if group else ""), []).append((r.record_id, round(r.score, 9)))
+                order = lambda p: (sign * p[1], -p[0] if reverse else p[0])
+                assert {s: sorted(x, key=order)[:4] for s, x in found.items()} == {s: [(i, round(x, 9)) for i, x in v] for s, v in want.items()}, (metric, reverse, group)
+    exact = _neighbours(rows, asked, "cosine")
+    got = {(r.question_id, r.record_id): r.score for r in retrieve.knn(questions, records, None).collect()}
+    assert got == {p: x + 0.0 for p, x in exact.items()}
+    bound = sorted(exact.values())[len(exact) // 2]
+    want = {p for p, x in exact.items() if x >= bound}
+    assert {(r.question_id, r.record_id) for r in retrieve.knn(questions, records, None, min_similarity=bound).collect()} == want
+    assert {r.question_id: r.n for r in retrieve.count_near(questions, records, bound).collect()} == {q: sum(p[0] == q for p in want) for q in {p[0] for p in want}}
+
+
+def test_neighbours_of_odd_vectors(spark):
+    """Nulls give no score, other odd vectors what doubles give, NaN first as in SQL; none stops the job."""
+    from regspark.operators import retrieve
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, None]), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, None), (8, []), (9, [1e-200, 0.0])]
+    records = spark.createDataFrame(rows, "record_id long, vector array<double>")
+    asked = records.filter("record_id IN (1, 4, 7, 8)").selectExpr("record_id question_id", "vector q")
+    got = {}
+    for r in retrieve.knn(asked, records, 100).orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append((r.record_id, r.score if r.score is None else str(r.score)))
+    assert got == {1: [(4, "nan"), (5, "nan"), (6, "nan"), (9, "inf"), (1, "1.0"), (2, "0.0"), (3, None)], 4: [(i, "nan") for i in (1, 2, 4, 5, 6, 9)] + [(3, None)], 8: [(8, "nan")]}
+    assert {r.question_id: r.n for r in retrieve.count_near(asked, records, 0.5).collect()} == {1: 5, 4: 6, 8: 1}
+
+
+def test_vector_queries_on_small_odd_tables(spark, tmp_path):
+    """Vectors that are null, copied, or equal when rounded; states with fewer vectors than hits; against the SQL."""
+    import random
+
+    import duckdb
+    from conftest import normal
+    from regspark.registry import QUERIES, SQL
+
+    rng = random.Random(4)
+    rows = [(i, [rng.choice((0.25, 0.5, 1.0)) + rng.choice((0.0, 1e-7)) for _ in range(3)], i % 7 if i % 11 else None) for i in range(405)]
+    rows = [(i, None if i % 7 == 2 and i > 100 or i % 7 == 3 and i != 101 and i % 100 else v, s) for i, v, s in rows]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("knn_topk",):
+        assert normal(QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(c.execute(SQL[name]).df()), name
+
+
+def test_vector_queries_make_no_row_a_pair(spark):
+    from regspark.registry import QUERIES
+
+    for name in ("knn_topk",):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "Cartesian" not in plan and "MapInArrow" in plan, name
