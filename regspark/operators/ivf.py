@@ -6,7 +6,7 @@ how many lists have to be looked at: for a few vectors of its own it finds their
 which of their nearest lists those lie, so that the wanted recall decides, not a guess.
 
 Searching: each question picks its nearest lists. Their codes are read where they lie, scored against the
-questions that picked the list, and cut to the best few in every batch, so no record is shuffled. Only the few that
+questions that picked the list, and cut to the best few of a task, so no record is shuffled. Only the few that
 remain are compared exactly.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from regspark.functions.text import dot, norm
 from regspark.operators.retrieve import QUESTION_BLOCK, knn, ranked
+from regspark.operators.vectors import PAIRS, Best
 from regspark.sources.scratch import stored
 
 #: Lists at most: their centroids are broadcast (16 MB at 64 components).
@@ -57,7 +58,7 @@ class Index(NamedTuple):
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+    x = column.flatten().to_numpy().reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -190,24 +191,7 @@ def first_cut(asked: DataFrame, index: Index, k: int, oversample: int) -> DataFr
     held = spark.sparkContext.broadcast((q, looks, index.centroids, index.scale))
 
     def score(batches):
-        q, looks, c, scale = held.value
-        for b in batches:
-            lists = b.column(0).to_numpy()
-            packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(lists), -1)
-            level = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(lists), -1)[:, : c.shape[1]]
-            found = []
-            for one in np.unique(lists):
-                rows, who = np.flatnonzero(lists == one), np.flatnonzero(looks[:, one])
-                if not len(who):
-                    continue
-                x = c[one] + (level[rows] * (2 / (LEVELS - 1)) - 1) * scale
-                guess = q[who] @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                for i, w in enumerate(who):
-                    best = np.argpartition(-guess[i], cut - 1)[:cut] if len(rows) > cut else np.arange(len(rows))
-                    found.append((np.full(len(best), w, np.int32), rows[best], guess[i][best]))
-            if found:
-                who, rows, guess = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(lists[rows]), b.column(1).take(pa.array(rows)), pa.array(guess)], ["question", "list", "key", "guess"])
+        yield from best_codes(batches, *held.value, cut)
 
     scored = vectors.filter(F.col("list").isin(wanted)).mapInArrow(score, schema.format(kind))
     w = Window.partitionBy("question").orderBy(F.desc("guess"), "key")
@@ -217,6 +201,33 @@ def first_cut(asked: DataFrame, index: Index, k: int, oversample: int) -> DataFr
     return best.join(F.broadcast(names), "question").select("question_id", "list", "key")
 
 
+def best_codes(batches, q: np.ndarray, looks: np.ndarray, c: np.ndarray, scale: np.ndarray, cut: int):
+    """(question, list, key, guess): the ``cut`` best codes of a task's batches (list, key, code) for each question, a
+    row of q, among the lists it looks at; equal ones by key."""
+    best = Best(len(q), cut)
+    for b in batches:
+        lists = b.column(0).to_numpy()
+        packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(lists), -1)
+        level = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(lists), -1)[:, : c.shape[1]]
+        for one in np.unique(lists):
+            rows, who = np.flatnonzero(lists == one), np.flatnonzero(looks[:, one])
+            x = c[one] + (level[rows] * (2 / (LEVELS - 1)) - 1) * scale
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            step = max(1, PAIRS // len(rows))
+            for s in range(0, len(who), step):
+                some = who[s : s + step]
+                guess, floor = q[some] @ x.T, best.floor[some]
+                few = np.flatnonzero(floor == -np.inf)
+                if len(few) and len(rows) > cut:
+                    floor[few] = np.partition(guess[few], -cut, axis=1)[:, -cut]
+                at, row = np.nonzero(guess >= floor[:, None])
+                best.add(some[at], guess[at, row], key=b.column(1).take(pa.array(rows[row])), list=pa.array(np.full(len(at), one, np.int32)))
+        best.rows()
+    found = best.rows()
+    for x in found.to_batches(max_chunksize=1 << 16) if found is not None else []:
+        yield pa.RecordBatch.from_arrays([x["slot"].cast(pa.int32()), x["list"], x["key"], x["good"]], ["question", "list", "key", "guess"])
+
+
 def recall(found: DataFrame, exact: DataFrame, key: str = "record_id") -> DataFrame:
     """One row: questions, wanted neighbours, and how many of them were found. Both: question_id, key."""
     hit = exact.select("question_id", key).join(found.select("question_id", key, F.lit(1).alias("hit")), ["question_id", key], "left")

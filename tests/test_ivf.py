@@ -1,6 +1,7 @@
 """The clustered index: recall, pairs compared, odd vectors, crowded lists."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from regspark.operators import ivf, retrieve
@@ -50,3 +51,31 @@ def test_odd_vectors(spark):
     assert all(abs(r.score - 1) < 1e-9 for r in got if r.question_id == 150)
     empty = ivf.build(df.limit(0), scratch_path(spark, "ivf-test"))
     assert ivf.search(asked, empty).count() == 0
+
+
+@pytest.mark.parametrize("waiting", [1, 1 << 19])
+def test_a_task_sends_on_the_best_codes_of_all_its_batches(monkeypatch, waiting):
+    """No more than the cut a question, however many batches and lists; equal guesses by key."""
+    from regspark.operators import vectors
+
+    monkeypatch.setattr(vectors, "WAITING", waiting)
+    monkeypatch.setattr(ivf, "PAIRS", 100)
+    rng = np.random.default_rng(7)
+    c, scale, cut = rng.normal(size=(6, 5)), np.full(5, 0.3), 4
+    q, looks = rng.normal(size=(9, 5)), rng.random((9, 6)) < 0.6
+    lists, keys = np.sort(rng.integers(0, 6, 300)).astype(np.int32), rng.permutation(300)
+    code = rng.integers(0, 256, (300, 3)).astype(np.uint8)
+    code[100:200] = code[100]
+    code[:, 2] &= 0xF0
+    table = pa.table({"list": pa.array(lists), "key": pa.array(keys), "code": pa.array([r.tobytes() for r in code], pa.binary())})
+    got = pa.Table.from_batches(list(ivf.best_codes(iter(table.to_batches(max_chunksize=37)), q, looks, c, scale, cut)))
+    level = np.stack([code >> 4, code & 15], axis=2).reshape(300, -1)[:, :5]
+    x = c[lists] + (level * (2 / 15) - 1) * scale
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    guess = np.round(q @ x.T, 12)
+    found = {}
+    for r in got.to_pylist():
+        found.setdefault(r["question"], set()).add((r["key"], r["list"]))
+    for i in range(9):
+        order = sorted(np.flatnonzero(looks[i, lists]), key=lambda j: (-guess[i, j], keys[j]))[:cut]
+        assert found.get(i, set()) == {(keys[j], lists[j]) for j in order}
